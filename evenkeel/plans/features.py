@@ -10,7 +10,7 @@ from ..operators.encode import fit_scaler, scaled, vocabulary_codes
 from ..operators.fit import with_constants, with_group_value
 from .registry import query
 
-TRAIN = F.col("season") < 2024
+TRAIN = "season < 2024"
 
 
 @query(
