@@ -84,10 +84,10 @@ def describe_moments(t) -> DataFrame:
 @query(
     f"""{_LONG_SQL}, q AS (SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM l GROUP BY metric),
     d AS (SELECT metric, quantile_cont(abs(value - med), 0.5) AS mad FROM l JOIN q USING (metric) GROUP BY metric),
-    e AS (SELECT metric, list(v ORDER BY v) AS vs FROM (SELECT DISTINCT metric, value AS v FROM l WHERE value IS NOT NULL) GROUP BY metric)
+    e AS (SELECT metric, list(v ORDER BY v)[1:3] AS vs FROM (SELECT DISTINCT metric, value AS v FROM l WHERE value IS NOT NULL) GROUP BY metric)
     SELECT metric, count(*) FILTER (value < q1 - 3 * (q3 - q1)) AS low3, count(*) FILTER (value > q3 + 3 * (q3 - q1)) AS high3,
            count(*) FILTER (mad > 0 AND abs(0.6745 * (value - med) / mad) > 3.5) AS mad_out, count(*) FILTER (value = 0) AS zeros,
-           array_to_string(list_transform(vs[1:3], lambda x: round(x, 2)::DECIMAL(18,2)::VARCHAR), ',') AS lowest
+           array_to_string(list_transform(vs, lambda x: round(x, 2)::DECIMAL(18,2)::VARCHAR), ',') AS lowest
     FROM l JOIN q USING (metric) JOIN d USING (metric) JOIN e USING (metric) GROUP BY metric, vs""",
     "m",
 )

@@ -33,5 +33,5 @@ def query(sql: str | None = None, shapes: str = ""):
     return register
 
 
-from . import features, profiles  # noqa: E402, F401
+from . import drift, features, profiles, temporal  # noqa: E402, F401
 from . import tables as _tables  # noqa: E402, F401
