@@ -120,21 +120,33 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _sample_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each text its sparse counts, and those of beginnings of it for the rejection bound."""
+def _vector_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The counts of each text, packed: DIMENSIONS numbers at most, however long it is."""
     for batch in batches:
-        out = []
-        for key, lang, text in zip(batch["key"], batch["lang"], batch["text"], strict=True):
-            points = code_points(text)
-            letters = int((points > 0).sum())
-            if not letters:
-                continue
-            cuts = [len(points)] + [SHORTEST << k for k in range(LENGTHS) if SHORTEST << k < len(points)]
-            for cut in cuts:
-                count = counts(points[:cut])
-                at = np.flatnonzero(count)
-                out.append((key, lang, cut == len(points), int((points[:cut] > 0).sum()), at.astype(np.int32), count[at].astype(np.float32)))
-        yield pd.DataFrame(out, columns=["key", "lang", "whole", "letters", "at", "n"])
+        made = (counts(code_points(t)).astype("<f4") for t in batch["text"])
+        packed = [(np.flatnonzero(c).astype("<u2").tobytes(), c[c > 0].tobytes()) for c in made]
+        out = batch[["key", "lang"]].copy()
+        out["at"], out["n"] = zip(*packed, strict=True) if packed else ([], [])
+        yield out[out["at"].map(len) > 0]
+
+
+def _floors(model: Model):
+    """For each text and for its beginnings of doubling lengths: the length class and the nearest cosine."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least: dict[int, float] = {}
+            for text in batch["text"]:
+                points = code_points(text)
+                for cut in [*(SHORTEST << k for k in range(LENGTHS) if SHORTEST << k < len(points)), len(points)]:
+                    letters = int((points[:cut] > 0).sum())
+                    if letters:
+                        near = float((model.centroids @ weighted(counts(points[:cut]), model.idf).astype(np.float32)).max())
+                        c = _length_class(letters)
+                        least[c] = min(least.get(c, near), near)
+            yield pd.DataFrame({"c": list(least), "near": list(least.values())})
+
+    return run
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
@@ -148,36 +160,27 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
         .where(share * F.col("count") < F.lit(float(per_language)))
         .select(key.alias("key"), "lang", "text")
     )
-    kind = "key bigint, lang string, whole boolean, letters int, at array<int>, n array<float>"
-    rows = staged(drawn.mapInPandas(_sample_batches, kind), "language-sample").orderBy("lang", "key", "letters").toPandas()
-    languages = sorted(rows["lang"].unique())
-
-    def dense(part: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(part), DIMENSIONS), dtype=np.float32)
-        for i, (at, n) in enumerate(zip(part["at"], part["n"], strict=True)):
-            out[i, at] = n
-        return out
-
-    whole = rows[rows["whole"].to_numpy(dtype=bool)]
-    holds = np.zeros(DIMENSIONS)
-    for at in whole["at"]:
-        holds[at] += 1
-    idf = (np.log((1 + len(whole)) / (1 + holds)) + 1).astype(np.float32)
+    sample = staged(drawn, "language-sample")
+    vectors = sample.mapInPandas(_vector_batches, "key bigint, lang string, at binary, n binary").collect()
+    vectors.sort(key=lambda r: (r["lang"], r["key"]))
+    languages = sorted({r["lang"] for r in vectors})
+    dense = np.zeros((len(vectors), DIMENSIONS), dtype=np.float32)
+    for i, r in enumerate(vectors):
+        dense[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
+    idf = (np.log((1 + len(vectors)) / (1 + (dense > 0).sum(axis=0))) + 1).astype(np.float32)
     owner, found = [], []
+    langs = np.array([r["lang"] for r in vectors], dtype=object)
     for i, lang in enumerate(languages):
-        centres = cluster(weighted(dense(whole[whole["lang"] == lang]), idf), centroids)
+        centres = cluster(weighted(dense[langs == lang], idf), centroids)
         owner += [i] * len(centres)
         found.append(centres)
     centres = np.vstack(found).astype(np.float32) if found else np.zeros((0, DIMENSIONS), dtype=np.float32)
-    floor = np.full(LENGTHS, np.inf)
-    for at in range(0, len(rows), 512):
-        part = rows.iloc[at : at + 512]
-        for near, letters in zip((weighted(dense(part), idf) @ centres.T).max(axis=1, initial=0), part["letters"], strict=True):
-            c = _length_class(int(letters))
-            floor[c] = min(floor[c], near)
+    model = Model(languages, idf, centres, np.array(owner, dtype=int), np.zeros(LENGTHS))
     # a class of lengths that no training text reaches rejects nothing
-    floor = np.where(np.isinf(floor), 0, floor) * SLACK
-    return Model(languages, idf, centres, np.array(owner, dtype=int), floor)
+    if languages:
+        for c, near in sample.mapInPandas(_floors(model), "c int, near double").groupBy("c").agg(F.min("near")).collect():
+            model.floor[c] = near * SLACK
+    return model
 
 
 def predictions(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
