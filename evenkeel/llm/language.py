@@ -34,6 +34,8 @@ UNKNOWN = "und"
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CENTROIDS = 3
+#: Languages whose counts may be broadcast, and whose centroids every task may hold.
+MAX_LANGUAGES = 1000
 #: Letters that are counted at once.
 CHUNK = 1 << 20
 #: For rejection, training texts are also cut to so many letters and more, doubling.
@@ -152,7 +154,9 @@ def _floors(model: Model):
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """labelled: doc_id, lang, text."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.groupBy("lang").count().withColumnRenamed("lang", "t_lang")
+    totals = staged(known.groupBy(F.col("lang").alias("t_lang")).count(), "language-totals")
+    if totals.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     key = F.xxhash64(F.lit("language sample"), "doc_id")
     share = F.shiftrightunsigned(key, 11) / F.lit(float(2**53))
     drawn = (
