@@ -40,6 +40,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select div section article".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([A-Za-z][^\s/>]*)[^>]*(?:>|$)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|([^<]+|<)", re.S)
+BROKEN = re.compile(r"([A-Za-z][^\s/>]*)[^>]*>")
 NAMED = re.compile(r"(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -74,16 +75,12 @@ def parse(page: str) -> list[Node]:
     at = 0
     while at < len(page):
         token = TOKEN.match(page, at)
-        if token is None:  # a quote that never ends: take the tag to the next bracket
-            cut = page.find(">", at)
-            name = re.match(r"<([A-Za-z][^\s/>]*)", page[at : at + 64])
-            end_tag, tag, inside, at = None, name[1] if name else None, "", len(page) if cut < 0 else cut + 1
-            text = None
-        else:
-            end_tag, tag, inside, ended, text = token.groups()
-            at = token.end()
-            if tag and not ended:
-                break
+        end_tag, tag, inside, ended, text = token.groups()
+        at = token.end()
+        if tag and not ended:
+            break
+        if text == "<" and (broken := BROKEN.match(page, at)):  # a quote that never ends: the tag goes to the next bracket
+            tag, inside, text, at = broken[1], "", None, broken.end()
         if text is not None:
             if text.strip():
                 nodes[stack[-1]].children.append(len(nodes))
@@ -109,10 +106,8 @@ def parse(page: str) -> list[Node]:
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b", re.I).search(page, at)
                 at = end.start() if end else len(page)
-            if tag not in VOID and not (inside or "").endswith("/"):
+            if tag not in VOID:
                 stack.append(len(nodes) - 1)
-            elif tag in RAW:
-                at = token.end()
     for i in range(len(nodes) - 1, 0, -1):
         node, parent = nodes[i], nodes[nodes[i].parent]
         if node.tag == "#text" and not node.hidden:
@@ -138,20 +133,25 @@ def seen(nodes: list[Node], i: int) -> list[str]:
 @dataclass(frozen=True)
 class Potentials:
     root: tuple[float, float]
-    edge: tuple[tuple[float, float], tuple[float, float]]
+    #: By kind of child (text and inline elements, or blocks), label of the parent, label of the child.
+    edge: tuple[tuple[tuple[float, float], ...], ...]
     node: dict[str, tuple[float, float]]
 
 
+def kind(node: Node) -> int:
+    return 0 if node.tag == "#text" or node.tag in INLINE or node.tag in VOID else 1
+
+
 def train(pages: list[list[tuple[Node, int]]]) -> Potentials:
     """Log potentials from pages whose nodes are labelled 0 or 1."""
-    edge = [[1.0, 1.0], [1.0, 1.0]]
+    edge = [[[1.0, 1.0], [1.0, 1.0]] for _ in range(2)]
     counts: dict[str, list[float]] = {}
     totals: dict[str, list[float]] = {}
     for page in pages:
         nodes = [n for n, _ in page]
         for i, (node, label) in enumerate(page):
             if i and not node.hidden:
-                edge[page[node.parent][1]][label] += 1
+                edge[kind(node)][page[node.parent][1]][label] += 1
                 for f in seen(nodes, i):
                     counts.setdefault(f, [0.0, 0.0])[label] += 1
                     totals.setdefault(f.split(" ")[0], [0.0, 0.0])[label] += 1
@@ -160,12 +160,12 @@ def train(pages: list[list[tuple[Node, int]]]) -> Potentials:
         total, more = totals[f.split(" ")[0]], SMOOTHING[f.split(" ")[0]]
         share = sum(pair) / sum(total)
         node[f] = tuple(math.log((pair[y] + more * share) / (total[y] + more)) for y in (0, 1))
-    rows = tuple(tuple(math.log(x / sum(row)) for x in row) for row in edge)
+    rows = tuple(tuple(tuple(math.log(x / sum(row)) for x in row) for row in table) for table in edge)
     return Potentials((math.log(0.5), math.log(0.5)), rows, node)
 
 
 #: Pseudo-nodes of each label, by kind of observation: words and tags say much, lengths little.
-SMOOTHING = {"word": 0.2, "tag": 2.0, "links": 20.0, "text": 50.0}
+SMOOTHING = {"word": 0.2, "tag": 0.5, "links": 20.0, "text": 50.0}
 
 
 def _sum(a: float, b: float) -> float:
@@ -175,12 +175,14 @@ def _sum(a: float, b: float) -> float:
 def marginals(nodes: list[Node], p: Potentials) -> list[float]:
     """Each node's probability of being content, by messages up and then down the tree."""
     n = len(nodes)
-    (e00, e01), (e10, e11) = p.edge
+    flat = [(*table[0], *table[1]) for table in p.edge]
+    edges = [flat[kind(node)] for node in nodes]
     belief = [[0.0, 0.0] for _ in nodes]
     up = [(0.0, 0.0)] * n
     known = p.node
     for i in range(n - 1, -1, -1):
         own = belief[i]
+        e00, e01, e10, e11 = edges[i]
         if i:
             for f in seen(nodes, i):
                 potential = known.get(f)
@@ -196,6 +198,7 @@ def marginals(nodes: list[Node], p: Potentials) -> list[float]:
     for i in range(n):
         own = belief[i]
         if i:
+            e00, e01, e10, e11 = edges[i]
             above = belief[nodes[i].parent]
             a0, a1 = above[0] - up[i][0], above[1] - up[i][1]
             own[0] += _sum(a0 + e00, a1 + e10)
@@ -243,16 +246,16 @@ def labelled_pages() -> list[str]:
         own = (
             f"<nav data-y=0>{_LINKS}</nav>",
             f"<header data-y=0>{_FILL['header']}</header>",
-            f"<div class='{good}' data-y=1>{_ARTICLE}{''.join(boxes[:2])}</div>" if k % 2 else f"<article data-y=1>{_ARTICLE}{''.join(boxes[:3])}</article>",
-            "".join(boxes[2:] if k % 2 else boxes[3:]),
+            f"<div class='{good}' data-y=1>{_ARTICLE}{''.join(boxes[:5])}</div>" if k % 2 else f"<article data-y=1>{_ARTICLE}{''.join(boxes[:5])}</article>",
+            "".join(boxes[5:]),
             f"<aside data-y=0>{_FILL['aside']}</aside><form data-y=0>{_FORM}</form><dialog data-y=0>{_NOTE}</dialog>",
             f"<footer data-y=0>{_SMALL}</footer>",
         )
         pages.append(f"<html><body data-y=0>{''.join(own)}</body></html>")
-        pages.append(f"<html><body data-y=0><div class=ad data-y=0>{_ADVERT}</div><main data-y=1><article>{_ARTICLE}</article></main><footer data-y=0>{_SMALL}</footer></body></html>")
+        pages.append(f"<html><body data-y=0><div class=ad data-y=0>{_ADVERT}</div><main data-y=1><article>{_ARTICLE}{boxes[0]}{boxes[1]}<aside data-y=0>{_FILL['aside']}</aside></article>{boxes[2]}</main><footer data-y=0>{_SMALL}</footer></body></html>")
         pages.append(f"<html><body data-y=0><div class='wrapper container row page'><div><div class='{good}' id=content data-y=1>{_ARTICLE}</div></div></div></body></html>")
         pages.append(f"<div data-y=1>{_PARAGRAPHS}<div>{_SENTENCE * 3}</div><section><div><p>{_SENTENCE}</p></div></section></div>")
-        pages.append(f"<html><body data-y=0><nav data-y=0>{_LINKS}</nav><main data-y=1>{_ARTICLE}</main><section class=comments data-y=0>{_COMMENT}</section></body></html>")
+        pages.append(f"<html><body data-y=0><nav data-y=0>{_LINKS}</nav><main data-y=1>{_ARTICLE}{boxes[3]}<form data-y=0>{_FORM}</form>{boxes[4]}</main><section class=comments data-y=0>{_COMMENT}</section></body></html>")
     return pages
 
 

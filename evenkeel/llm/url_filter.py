@@ -9,7 +9,8 @@ posterior bound of its host's bad rate exceeds the limit; fixed rules, longest m
 before the method.
 
 Counting is partial before every shuffle, so a hot host costs one row for each task; the join of
-hosts to pages is left to Catalyst, which splits a hot host's rows.
+hosts to pages is left to Catalyst, which splits a hot host's rows. Hosts, suffixes and domains are
+staged, as each level is read several times.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the
 verdict of the corpus mean. Repeated labels of one page count once, bad if any is bad; null
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, staged
 
 RULES = (
     ("allow", "org/"),
@@ -94,22 +95,21 @@ def _strength(n: Column, bad: Column, mean: Column) -> Column:
 
 def reputations(hosts: DataFrame) -> DataFrame:
     """hosts: host, n, bad (labelled pages), one row for each host. Adds lower, the posterior bound of the bad rate."""
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    hosts = staged(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "url-hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad"))
-    mean0 = ((F.sum("s_bad") + 1) / (F.sum("s_n") + 2)).alias("mean0")
-    corpus = suffixes.agg(mean0)
-    suffixes = suffixes.crossJoin(F.broadcast(corpus))
+    mean0 = ((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean0")
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("bad").alias("s_bad"))
+    suffixes = staged(suffixes.crossJoin(F.broadcast(hosts.agg(mean0))), "url-suffixes")
     strength0 = suffixes.agg(_strength(F.col("s_n"), F.col("s_bad"), F.col("mean0")).alias("k0"))
     suffixes = suffixes.crossJoin(F.broadcast(strength0)).select(
         "suffix", ((F.col("s_bad") + F.col("k0") * F.col("mean0")) / (F.col("s_n") + F.col("k0"))).alias("s_mean")
     )
-    domains = domains.join(suffixes, "suffix")
+    domains = staged(domains.join(suffixes, "suffix"), "url-domains")
     strength1 = domains.agg(_strength(F.col("d_n"), F.col("d_bad"), F.col("s_mean")).alias("k1"))
     domains = domains.crossJoin(F.broadcast(strength1)).select(
         "domain", "suffix", ((F.col("d_bad") + F.col("k1") * F.col("s_mean")) / (F.col("d_n") + F.col("k1"))).alias("d_mean")
     )
-    hosts = hosts.join(domains, ["domain", "suffix"])
+    hosts = staged(hosts.join(domains, ["domain", "suffix"]), "url-rated")
     strength2 = hosts.agg(_strength(F.col("n"), F.col("bad"), F.col("d_mean")).alias("k2"))
     alpha = F.col("bad") + F.col("k2") * F.col("d_mean")
     beta = F.col("n") - F.col("bad") + F.col("k2") * (1 - F.col("d_mean"))

@@ -1,0 +1,242 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from evenkeel.llm import decontaminate, language, mixing, pii, sharding
+
+NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return [w for w in NOT_WORD.split((text or "").translate(UPPER)) if w]
+
+
+def naive_contamination(docs, items, window=10):
+    wins = {}
+    for i, text in items:
+        w = words(text)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            wins.setdefault(tuple(w[k : k + n]), set()).add(i)
+    out = []
+    for d, text in docs:
+        w, hit, found = words(text), set(), set()
+        for n in {len(g) for g in wins}:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in wins:
+                    hit |= set(range(k, k + n))
+                    found |= wins[g]
+        names = ",".join(sorted(map(str, found)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("max_windows", [decontaminate.MAX_WINDOWS, 0])
+def test_contamination_against_brute_force(spark, messy, nothing, benchmark, max_windows):
+    items = [(1, "on the MAT; and looked-at the small dog over"), (2, "sat on the mat and looked at the small dog over there you see"), (3, "und die"), (4, None), (5, "..."), (1, "runs on and on without any end the river of words"), (6, "Garten")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
+    got = decontaminate.contamination(messy, bench, max_windows=max_windows)
+    assert sorted(str(tuple(r)) for r in got.collect()) == naive_contamination(docs, items)
+    assert decontaminate.contamination(nothing, bench, max_windows=max_windows).count() == 0
+
+
+def test_contamination_of_the_corpus(corpus, benchmark):
+    docs = [(r["doc_id"], r["text"]) for r in corpus.select("doc_id", "text").collect()]
+    items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
+    got = decontaminate.contamination(corpus, benchmark)
+    assert sorted(str(tuple(r)) for r in got.collect()) == naive_contamination(docs, items)
+
+
+def test_clean_documents(spark, messy, nothing):
+    bench = spark.createDataFrame([(1, "on the mat and looked at the small dog over there"), (2, "garten")], "item_id bigint, text string")
+    kept = decontaminate.clean_documents(messy, bench)
+    assert kept.columns == messy.columns
+    ids = sorted(str(r["doc_id"]) for r in kept.collect())
+    assert ids == sorted(map(str, [3, 4, 5, 6, 6, 8, 9, 9, None, 10]))
+    empty = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.clean_documents(messy, empty).count() == messy.count()
+    assert decontaminate.clean_documents(nothing, bench).count() == 0
+
+
+def test_language_held_out_accuracy(corpus):
+    got = language.identified(corpus).join(corpus.select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out")
+    assert held.where("lang_pred = lang").count() >= 0.98 * held.count()
+    assert got.where("rejected").count() == 0
+    assert got.where("score < 0 OR score > 1").count() == 0
+
+
+def test_language_never_sees_held_out_labels(corpus):
+    other = corpus.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
+    a = language.identified(corpus, per_language=60).select("doc_id", "lang_pred", "score")
+    b = language.identified(other, per_language=60).select("doc_id", "lang_pred", "score")
+    assert a.exceptAll(b).count() == 0
+
+
+def test_language_messy(messy, nothing, corpus):
+    rows = language.identified(messy).collect()
+    assert len(rows) == messy.count()
+    for r in rows:
+        assert (r["lang_pred"] == "und") == (r["score"] == 0.0) or r["lang_pred"] in ("en", "de")
+    assert language.identified(nothing).count() == 0
+    kept = language.keep_identified(messy)
+    assert kept.columns == messy.columns
+    assert kept.where("text IS NULL OR text = '' OR text LIKE '12345%'").count() == 0
+    model = language.fit(corpus.select("doc_id", "lang", "text"))
+    assert model.predict("xq zzkw vvvqx jjkx qqwz xxkz zzzqj wxwx kqkq zxzx qjqj vkvk wqwq xjxj " * 5)[2]
+
+
+def test_code_points_and_counts():
+    assert language.code_points("Ab, cD!").tolist() == [0, 97, 98, 0, 99, 100, 0]
+    short, long = "un deux trois ", "un deux trois " * 100_000
+    a, b = (language.weighted(language.counts(language.code_points(t)) > 0, 1) for t in (short * 2, long))
+    assert (a == b).all()
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def naive_base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+ODD = ["a@b.c@d.e", "x a.b@c.d_e@f.g hh", "1.2.3.4.5.6.7.8 999.1.1.1 00001.2.3.4", "+1 (988) 555-2485 and +49 30 1234567-", "4111 1111 1111 1111, 4111-1111-1111-1112", "a" * 50_000, "1" * 50_000, "+1" * 500, "a@" * 5000, "1.1.1.1" * 400, "a@" + "b." * 20_000 + "c", "5555555555554444+14155552671@x.y", "(415) 555-2671", "tel 415-555-2671", "jane [at] corp [dot] com"]
+
+
+def test_base_spans_against_regular_expressions(spark, messy, corpus):
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string")
+    for docs in (odd, messy, corpus):
+        want = []
+        for d, t in docs.select("doc_id", "text").collect():
+            base = naive_base(t)
+            want.append((d, *[sum(s.startswith(k) for s in base) for k in PATTERNS], hashlib.sha256(",".join(base).encode()).hexdigest()))
+        rows = pii.personal_data(docs).collect()
+        assert sorted(str(tuple(r)[:6]) for r in rows) == sorted(map(str, want))
+    for r in pii.personal_data(odd).collect():
+        assert set(naive_base(ODD[r["doc_id"]])) <= set(r["spans"].split(","))
+
+
+def test_method_adds_announced_spans(spark, corpus):
+    extra = spark.createDataFrame([(-1, "my phone: (415) 555-2671 thanks"), (-2, "contact jane [at] corp [dot] com today")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(corpus.select("doc_id", "text").union(extra)).where("doc_id < 0").collect()}
+    assert got == {-1: "phone:10:24", -2: "email:8:32"}
+
+
+def test_pii_of_nothing(nothing):
+    assert pii.personal_data(nothing).count() == 0
+
+
+def test_reliabilities_favour_agreeing_voters():
+    patterns = {(1, 1, 1, 0, 0): 60, (-1, -1, -1, 0, 0): 30, (1, 1, -1, 0, 0): 5}
+    posterior = pii.reliabilities(patterns)
+    assert posterior[(1, 1, 1, 0, 0)] > 0.95 > 0.05 > posterior[(-1, -1, -1, 0, 0)]
+
+
+def water_fill(sizes, weights, epochs=3):
+    targets, open_, left = {}, dict(zip(sizes, weights, strict=True)), sum(sizes.values())
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s in open_ if epochs * sizes[s] < open_[s] * level]
+        if not full:
+            return targets | {s: w * level for s, w in open_.items()}
+        for s in full:
+            targets[s] = epochs * sizes[s]
+            left -= targets[s]
+            del open_[s]
+    return targets
+
+
+def test_targets_against_repeated_redistribution(spark, corpus):
+    rows = mixing.mixed_sizes(corpus).join(corpus.select("doc_id", "source"), "doc_id").collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    sizes = dict(sorted(sizes.items()))
+    want = water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    taken = {}
+    for r in rows:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    longest = max(r["size"] for r in rows)
+    assert all(abs(taken[s] - want[s]) <= longest / 2 + 1 for s in want)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 1000}, {"a": 0, "b": 5, "c": 0, "d": 7}, {"a": 0, "b": 0}])
+def test_water_fill(spark, sizes):
+    got = mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
+    want = water_fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]) if sum(sizes.values()) else dict.fromkeys(sizes, 0)
+    assert {r["source"]: pytest.approx(r["target"]) for r in got} == want
+
+
+def test_mix_messy(messy, nothing):
+    rows = mixing.mixed_sizes(messy).collect()
+    assert len(rows) == messy.count()
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed_sizes(messy).collect()))
+    assert mixing.mixed_sizes(nothing).count() == 0
+    mixed = mixing.mixed_documents(messy)
+    assert mixed.columns == messy.columns
+    words_of = mixing.word_count(F.col("text"))
+    assert mixed.agg(F.sum(words_of)).first()[0] == sum(r["taken"] for r in rows)
+    assert mixing.mixed_documents(nothing).count() == 0
+
+
+def test_shards(messy, nothing, corpus):
+    import zlib
+
+    for docs in (corpus, messy):
+        rows = sharding.sharded(docs, bucket_rows=5).collect()
+        assert len(rows) == docs.count()
+        texts = sorted(str((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()))) for r in docs.select("doc_id", "text").collect())
+        assert sorted(str((r["doc_id"], r["size"], r["text_crc32"])) for r in rows) == texts
+        assert all(0 <= r["shard"] < 40 for r in rows)
+        assert all(r["grown_shard"] in (r["shard"], 40) for r in rows)
+        by = {}
+        for r in rows:
+            by.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in by.values())
+        where = {}
+        for r in rows:
+            assert where.setdefault(r["doc_id"], r["shard"]) == r["shard"]
+    assert sharding.sharded(nothing).count() == 0
+
+
+def test_shards_are_near_equal_and_growth_is_fair(spark):
+    ids = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    tree = sharding.build_tree(40)
+    rows = sharding.shard_of(sharding.shard_of(ids, tree, "a"), tree.grown(), "b")
+    counts = [r["count"] for r in rows.groupBy("a").count().collect()]
+    assert len(counts) == 40 and max(counts) < 1.12 * min(counts)
+    moved = rows.where("a <> b")
+    assert moved.where("b <> 40").count() == 0
+    assert 0.8 < moved.count() / (100_000 / 41) < 1.2
+
+
+def test_growing_a_rack_moves_rows_inside_it_only(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    tree = sharding.build_tree(40)
+    rack = tree.regions[1][2]
+    wider = tree.regroup_rack(1, 2, (*rack, (40, 1.0)))
+    moved = sharding.shard_of(sharding.shard_of(ids, tree, "a"), wider, "b").where("a <> b").select("a", "b").distinct().collect()
+    assert moved and {r["b"] for r in moved} == {40} and {r["a"] for r in moved} <= {s for s, _ in rack}
+
+
+def test_trees_of_any_size():
+    for n in (1, 2, 19, 20, 41, 45):
+        tree = sharding.build_tree(n)
+        assert sorted(s for region in tree.regions for rack in region for s, _ in rack) == list(range(n))
