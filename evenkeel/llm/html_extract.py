@@ -224,15 +224,15 @@ _COMMENT = "<div><h4>Jo</h4><p>I was there too and saw it. Great story, thanks f
 # fixed values: words in class, id and role that tell parts of pages apart
 _CONTENT_WORDS = "article content post entry story body main text article-body post-content entry-content".split()
 _CLUTTER = {
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs topnav pagination pager tabs toc".split(),
-    "header": "header masthead banner topbar site-header branding".split(),
-    "footer": "footer site-footer copyright legal bottom colophon credits".split(),
-    "aside": "sidebar aside widget related recommended popular trending teaser rail promoted".split(),
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay banner message paywall disclaimer".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo promotion adsbygoogle adslot commercial".split(),
-    "form": "form search subscribe newsletter signup login register contact".split(),
-    "comments": "comments comment discussion replies reply respond disqus feedback".split(),
-    "share": "share sharing social follow tools toolbar meta tags byline-tools".split(),
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs topnav pagination pager tabs toc menubar sitemap skip".split(),
+    "header": "header masthead banner topbar site-header branding logo".split(),
+    "footer": "footer site-footer copyright legal bottom colophon credits contentinfo".split(),
+    "aside": "sidebar aside widget related recommended popular trending teaser rail promoted complementary leftbar rightbar seealso readmore author-bio".split(),
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay banner message paywall disclaimer warning announcement privacy toast".split(),
+    "ad": "ad ads advert advertisement advertising sponsor sponsored promo promotion adsbygoogle adslot commercial dfp offer".split(),
+    "form": "form search subscribe subscription newsletter signup login register contact poll survey".split(),
+    "comments": "comments comment discussion replies reply respond responses disqus feedback reactions guestbook commentlist".split(),
+    "share": "share sharing social follow tools toolbar meta tags byline-tools buttons print".split(),
 }
 _FILL = {"nav": f"<h2>Sections</h2>{_LINKS}<a href=/d>More</a>", "header": f"<div>The Example Daily</div><h1>Example</h1><p>All that is new</p>{_LINKS}", "footer": _SMALL, "aside": f"<h3>More</h3>{_LINKS}<p>Other words that stand aside, and a few more of them.</p><div><b>Also</b> read</div>", "notice": _NOTE, "ad": f"{_ADVERT}<h3>Now cheaper</h3><p>{_ADVERT}</p><img src=x>", "form": _FORM, "comments": f"<h2>Comments</h2>{_COMMENT}<h3>Leave a reply</h3>", "share": "<a href=x>Share</a><a href=y>Post</a><span>12 times</span>"}
 

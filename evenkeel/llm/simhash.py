@@ -145,7 +145,6 @@ def _forest(fp: np.ndarray, homes: int, of: list[tuple[int, int]]) -> None:
 def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by cell, residents first; a cell may go over several batches."""
     rest: list[np.ndarray] = []
-    held = 0
 
     def settle(rows: np.ndarray) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
@@ -174,7 +173,6 @@ def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield settle(rows[:last])
             rows = rows[last:]
         rest.append(rows)
-        held += len(rows)
     if rest:
         yield settle(np.concatenate(rest))
 
