@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ordinal_positions
+
 
 def unit_hash(*parts: Column, digits: int = 7) -> Column:
     """A number in [0, 1) from the SHA-256 of the parts, which any engine can repeat."""
@@ -28,8 +30,7 @@ def quotas(strata: DataFrame, keys: list[str], budget: int) -> DataFrame:
 
 def systematic(rows: DataFrame, keys: list[str], order: list[str], quota: DataFrame) -> DataFrame:
     """Evenly spread rows of each stratum: the places floor((2 j + 1) n / (2 q)) for j = 0..q-1."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1)
+    placed = ordinal_positions(rows, keys, [F.col(c) for c in order], "_k", "_total").drop("_total")
     j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("j")
     picks = quota.where(F.col("quota") > 0).select(*keys, "n", "quota", j)
     picks = picks.select(*keys, F.floor((2 * F.col("j") + 1) * F.col("n") / (2 * F.col("quota"))).alias("_p"))

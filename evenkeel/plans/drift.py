@@ -9,6 +9,7 @@ from ..functions.exprs import flag, r6
 from ..operators import drift as ops
 from ..operators.fit import with_constants
 from ..operators.grouped import shares, total_variation
+from ..operators.ranking import average_ranks, ordinal_positions
 from .profiles import _LONG_SQL, _long
 from .registry import query
 
@@ -44,8 +45,8 @@ def drift_smd(t) -> DataFrame:
 )
 def rank_biserial(t) -> DataFrame:
     """From ordinal ranks, nulls last; equal values are ordered by the row key."""
-    order = Window.partitionBy("game_type").orderBy(F.col("prev1").asc_nulls_last(), "rk", "price")
-    r = t.main.select("game_type", "y", F.row_number().over(order).alias("k"))
+    order = [F.col("prev1").asc_nulls_last(), F.col("rk"), F.col("price")]
+    r = ordinal_positions(t.main.select("game_type", "y", "prev1", "rk", "price"), ["game_type"], order, "k")
     mean = lambda y: F.avg(F.when(F.col("y") == y, F.col("k")))
     return r.groupBy("game_type").agg(r6(2 * (mean(1) - mean(0)) / F.count("*")).alias("rank_biserial"))
 
@@ -133,8 +134,8 @@ def bounded_first_n(t) -> DataFrame:
     "f",
 )
 def bounded_vs_full(t) -> DataFrame:
-    inside = F.row_number().over(Window.partitionBy("season").orderBy("id")) <= 200
-    rows = with_constants(t.frame.withColumn("inside", inside), t.frame, mf=F.avg("amount"), sf=F.stddev_pop("amount"))
+    placed = ordinal_positions(t.frame, ["season"], [F.col("id")])
+    rows = with_constants(placed.withColumn("inside", F.col("position") < 200), t.frame, mf=F.avg("amount"), sf=F.stddev_pop("amount"))
     part = lambda c: F.when(F.col("inside"), F.col(c))
     return rows.groupBy("season").agg(
         r6(ops.smd_full_panel(F.avg(part("amount")), F.max("mf"), F.max("sf"))).alias("smd"), r6(F.count_distinct(part("entity")) / F.count_distinct("entity")).alias("coverage"), F.count_if("inside").alias("n")
@@ -146,10 +147,9 @@ def bounded_vs_full(t) -> DataFrame:
     "f",
 )
 def rank_bins(t) -> DataFrame:
-    w = Window.partitionBy("season")
-    place = F.row_number().over(w.orderBy("id")) - 1
-    bins = F.least(F.lit(19), F.floor(place * 20 / F.count("*").over(w))).cast("int")
-    return t.frame.select("season", "status", bins.alias("bin")).groupBy("season", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("hits"))
+    placed = ordinal_positions(t.frame.select("season", "status", "id"), ["season"], [F.col("id")])
+    bins = F.least(F.lit(19), F.floor(F.col("position") * 20 / F.col("total"))).cast("int")
+    return placed.select("season", "status", bins.alias("bin")).groupBy("season", "bin").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("hits"))
 
 
 _PAIRS = [("rate", "prev1"), ("rate", "prev5"), ("rate", "li"), ("prev1", "prev5"), ("prev5", "price")]
@@ -170,8 +170,8 @@ _RANKS_SQL = """+ r AS (SELECT season, rank() OVER (PARTITION BY season ORDER BY
 
 
 def _spearman(t) -> DataFrame:
-    rows = ops.average_ranks(t.main.select("season", "n_p", "prev5"), "n_p", "a", ["season"])
-    rows = ops.average_ranks(rows, "prev5", "b", ["season"])
+    rows = average_ranks(t.main.select("season", "n_p", "prev5"), "n_p", "a", ["season"])
+    rows = average_ranks(rows, "prev5", "b", ["season"])
     return rows.groupBy("season").agg(F.corr("a", "b").alias("rho"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import choose, classify_value, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
 from ..operators.encode import fit_scaler, scaled, vocabulary_codes
 from ..operators.fit import with_constants, with_group_value
+from ..operators.ranking import ordinal_positions
 from .registry import query
 
 TRAIN = "season < 2024"
@@ -207,7 +208,6 @@ def feat_trend(t) -> DataFrame:
 )
 def usage_rank(t) -> DataFrame:
     """Ordinal rank within the season, and the share of training values strictly below."""
-    season = Window.partitionBy("season")
     counts = t.main.where(TRAIN).groupBy("n_p").count()
     # values are few: one row for each distinct count
     below = F.sum("count").over(Window.orderBy("n_p")) - F.col("count")
@@ -216,9 +216,9 @@ def usage_rank(t) -> DataFrame:
     cdf = every.join(F.broadcast(table), F.col("v") < F.col("n_p"), "left").groupBy("n_p").agg(
         (F.coalesce(F.max(F.col("below") + F.col("count")), F.lit(0))).alias("under")
     )
-    rows = with_constants(t.main.join(F.broadcast(cdf), "n_p"), t.main.where(TRAIN), n=F.count("*"))
-    ordinal = F.row_number().over(season.orderBy("n_p", "rk")) / F.count("*").over(season)
-    return rows.select("rk", r6(ordinal).alias("ordinal"), r6(F.col("under") / F.col("n")).alias("cdf"))
+    placed = ordinal_positions(t.main.select("rk", "season", "n_p"), ["season"], [F.col("n_p"), F.col("rk")])
+    rows = with_constants(placed.join(F.broadcast(cdf), "n_p"), t.main.where(TRAIN), n=F.count("*"))
+    return rows.select("rk", r6((F.col("position") + 1) / F.col("total")).alias("ordinal"), r6(F.col("under") / F.col("n")).alias("cdf"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import choose, clip, deployed, flag, logit, r6, sigmoid
 from ..operators.fit import with_constants, with_group_value
+from ..operators.ranking import ordinal_positions
 from ..operators.scoring import brier, grid, simplex, skill
 from .registry import query
 
@@ -81,8 +82,8 @@ def calibration_curve(t) -> DataFrame:
 )
 def reliability_slope(t) -> DataFrame:
     """Ten bins of equal counts with bounds floor(i n / 10); slope and deviations of their means."""
-    w = Window.partitionBy("game_type")
-    r = t.main.select("game_type", "p0", "y", (F.row_number().over(w.orderBy("p0", "rk", "price")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    order = [F.col("p0"), F.col("rk"), F.col("price")]
+    r = ordinal_positions(t.main.select("game_type", "p0", "y", "rk", "price"), ["game_type"], order, "k", "n")
     # the bin i holds places floor(i n / 10) up to floor((i + 1) n / 10)
     bin_ = F.floor((10 * (F.col("k") + 1) - 1) / F.col("n"))
     c = r.groupBy("game_type", bin_.alias("bin")).agg(F.avg("p0").alias("p"), F.avg("y").alias("o"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import exprs
-from evenkeel.operators import calibration, drift, folds, governance, grouped, history, matching, sampling, scoring, sequences
+from evenkeel.operators import calibration, drift, folds, governance, grouped, history, matching, ranking, sampling, scoring, sequences
 from evenkeel.sources import readers, sinks
 
 
@@ -93,7 +93,7 @@ def test_distances(spark):
 
 def test_average_ranks(spark):
     rows = spark.createDataFrame([(1, 10.0), (1, 20.0), (1, 20.0), (1, 30.0)], "g int, x double")
-    assert sorted(r["r"] for r in drift.average_ranks(rows, "x", "r", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r["r"] for r in ranking.average_ranks(rows, "x", "r", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
 
 
 def test_quotas_and_systematic_places(spark):
@@ -230,3 +230,12 @@ def test_golden_delta_equals_difference_of_rates(spark):
     rates = {(r["season"], r["balls"], r["strikes"]): r["rate"] for r in grouped.rate_table(Tables(spark, sf).main, ["season", "balls", "strikes"]).collect()}
     for r in QUERIES["yoy_delta"](spark, sf).where("delta IS NOT NULL").collect():
         assert r["delta"] == pytest.approx(rates[2024, r["balls"], r["strikes"]] - rates[2023, r["balls"], r["strikes"]], abs=1e-6)
+
+
+def test_positions_within_groups(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.hash("id").alias("x"), F.when(F.col("id") % 3 == 0, None).otherwise("k").alias("h"))
+    got = ranking.ordinal_positions(rows, ["g", "h"], [F.col("x")]).collect()
+    for g in range(3):
+        mine = sorted((r["position"], r["x"], r["total"]) for r in got if r["g"] == g)
+        assert [p for p, *_ in mine] == list(range(len(mine))) and [x for _, x, _ in mine] == sorted(x for _, x, _ in mine)
+        assert {t for *_, t in mine} == {len(mine)}
