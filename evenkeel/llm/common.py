@@ -1,43 +1,13 @@
-"""What several corpus operators share: the shared folder, staged tables, exact row keys."""
+"""What several corpus operators share: staged tables, ASCII case, exact row keys."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/evenkeel"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; checkpoint() is made to use it too."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if at is None:
-        at = LOCAL_CHECKPOINTS
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(at)
-    return at
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it from there.
-
-    The files outlive any executor, so what follows never recomputes df, and all readers see
-    the same rows even where df holds generated row ids.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.stage import checkpointed, shared_dir, staged
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["ascii_lower", "checkpointed", "read_table", "row_key", "shared_dir", "staged"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
