@@ -31,3 +31,14 @@ def scaled(rows: DataFrame, state: DataFrame, columns: list[str], limit: float =
         z = (F.coalesce(F.col(c), F.col(f"{c}_mean")) - F.col(f"{c}_mean")) / F.col(f"{c}_sd")
         rows = rows.withColumn(f"{c}_z", clip(z, -limit, limit))
     return rows.drop(*[f"{c}_{s}" for c in columns for s in ("mean", "sd")])
+
+
+def without_repeated_columns(rows: DataFrame) -> DataFrame:
+    """Drops each column that equals an earlier one in every row; one pass compares columns of equal type."""
+    kinds = dict(rows.dtypes)
+    names = rows.columns
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if kinds[a] == kinds[b]]
+    if not pairs:
+        return rows
+    same = rows.agg(*[F.coalesce(F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))), F.lit(True)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return rows.drop(*{b for i, (_, b) in enumerate(pairs) if same[i]})

@@ -58,6 +58,30 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def check_contract(config: dict, runtime: dict) -> None:
+    """A run's settings must be those that were agreed on, key by key."""
+    drift = sorted(k for k in config.keys() | runtime.keys() if config.get(k) != runtime.get(k))
+    if drift:
+        raise FirewallError(f"settings differ from the contract: {drift}")
+
+
+def check_aggregate_only(metrics: DataFrame, count: str, least: int, identifiers: tuple[str, ...] = ()) -> None:
+    """A report may hold no identifier and no group of fewer than ``least`` rows."""
+    named = set(metrics.columns) & set(identifiers)
+    if named or not metrics.where(F.col(count) < least).isEmpty():
+        raise FirewallError(f"not aggregate only: identifiers {sorted(named)} or groups under {least}")
+
+
+def freeze_decision(evidence: DataFrame, gain: str, least: float, origins: int) -> str | None:
+    """The candidate whose gain exceeds ``least`` on every one of the origins, the largest mean first, then the
+    smaller name; None if there is none or any gain is unknown."""
+    made = evidence.groupBy("candidate").agg(
+        F.avg(gain).alias("mean"), F.min(gain).alias("worst"), F.count(gain).alias("known"), F.count("*").alias("n")
+    )
+    best = made.where((F.col("known") == origins) & (F.col("n") == origins) & (F.col("worst") > least)).orderBy(F.desc("mean"), "candidate").head()
+    return best["candidate"] if best else None
+
+
 def one_hot(rows: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """A 0/1 column for each level, in lexicographic order; unseen values have all zeros."""
     return rows.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}={v}") for v in sorted(levels)])

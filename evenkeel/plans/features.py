@@ -319,6 +319,7 @@ def value_classify(t) -> DataFrame:
     SELECT CASE WHEN raw IS NULL OR raw = '' THEN 'empty' WHEN raw <> trim(raw) THEN 'whitespace_variant' WHEN regexp_full_match(raw, '[+-]?[0-9]+') THEN 'integer_lexeme'
                 WHEN raw = '1.5' THEN 'decimal_lexeme' WHEN raw = '1e2' THEN 'exponent_lexeme' ELSE 'other_lexeme' END AS kind, count(*) AS n FROM d GROUP BY 1""",
     "h",
+    name="lexical_kind",
 )
 def lexical_kinds(t) -> DataFrame:
     return _raw_tokens(t).groupBy(lexical_kind(F.col("raw")).alias("kind")).agg(F.count("*").alias("n"))

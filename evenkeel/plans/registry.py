@@ -15,19 +15,19 @@ ORACLE_SQL: dict[str, str] = {}
 _SHAPES = {"m": MAIN_SQL, "h": HISTORY_SQL, "f": FRAME_SQL}
 
 
-def query(sql: str | None = None, shapes: str = ""):
-    """Register a function of Tables under its name. ``shapes`` says which of m, h and f the SQL reads."""
+def query(sql: str | None = None, shapes: str = "", name: str | None = None):
+    """Register a function of Tables, under its own name unless another is given. ``shapes`` says which of m, h and f the SQL reads."""
 
     def register(plan: Callable[[Tables], DataFrame]):
         @wraps(plan)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return plan(Tables(spark, sf_dir))
 
-        name = plan.__name__
-        QUERIES[name] = run
+        key = name or plan.__name__
+        QUERIES[key] = run
         if sql is not None:
             head = ", ".join(_SHAPES[s] for s in shapes)
-            ORACLE_SQL[name] = (f"WITH {head}{', ' if sql.startswith('+') else ' '}" if head else "") + sql.removeprefix("+").strip()
+            ORACLE_SQL[key] = (f"WITH {head}{', ' if sql.startswith('+') else ' '}" if head else "") + sql.removeprefix("+").strip()
         return plan
 
     return register

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -22,8 +23,6 @@ def report(metrics: DataFrame, path: str) -> str:
 
 def cache_key(config: dict) -> str:
     """Of equal configurations, however their keys are ordered, the same key."""
-    import hashlib
-
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import exprs
-from evenkeel.operators import calibration, drift, folds, governance, grouped, history, matching, ranking, sampling, scoring, sequences
+from evenkeel.operators import calibration, drift, encode, folds, governance, grouped, history, matching, ranking, sampling, scoring, sequences
 from evenkeel.sources import readers, sinks
 
 
@@ -239,3 +239,30 @@ def test_positions_within_groups(spark):
         mine = sorted((r["position"], r["x"], r["total"]) for r in got if r["g"] == g)
         assert [p for p, *_ in mine] == list(range(len(mine))) and [x for _, x, _ in mine] == sorted(x for _, x, _ in mine)
         assert {t for *_, t in mine} == {len(mine)}
+
+
+def test_contracts_and_decisions(spark):
+    governance.check_contract({"a": 1}, {"a": 1})
+    with pytest.raises(governance.FirewallError):
+        governance.check_contract({"a": 1}, {"a": 1, "b": 2})
+    m = spark.createDataFrame([("x", 10), ("y", 3)], "g string, n int")
+    governance.check_aggregate_only(m, "n", 3)
+    for least, identifiers in ((4, ()), (1, ("g",))):
+        with pytest.raises(governance.FirewallError):
+            governance.check_aggregate_only(m, "n", least, identifiers)
+    e = spark.createDataFrame([("b", 2.0), ("b", 4.0), ("a", 3.0), ("a", 3.0), ("c", 9.0), ("c", None), ("d", 9.0), ("d", 0.5)], "candidate string, gain double")
+    assert governance.freeze_decision(e, "gain", 1.0, 2) == "a"
+    assert governance.freeze_decision(e, "gain", 5.0, 2) is None
+
+
+def test_repeated_columns_go(spark):
+    rows = spark.createDataFrame([(1, 1, None, 2), (2, 2, None, 2)], "a int, b int, c int, d int")
+    assert encode.without_repeated_columns(rows).columns == ["a", "c", "d"]
+
+
+def test_vocabulary_and_scaler(spark):
+    train = spark.createDataFrame([("b", 1.0), ("a", 1.0), (None, 1.0)], "c string, x double")
+    rows = spark.createDataFrame([("a", 1.0), ("b", None), ("z", 9.0), (None, 1.0)], "c string, x double")
+    codes = {r["c"]: r["k"] for r in encode.vocabulary_codes(rows, train, "c", "k").collect()}
+    assert codes == {"a": 1, "b": 2, "z": 0, None: 0}
+    assert sorted(r["x_z"] for r in encode.scaled(rows, encode.fit_scaler(train, ["x"]), ["x"]).collect()) == [0.0, 0.0, 0.0, 5.0]
