@@ -17,21 +17,39 @@ from ..sources.stage import staged
 def ordinal_positions(rows: DataFrame, keys: list[str], order: list[Column], out: str = "position", total: str = "total") -> DataFrame:
     """rows with their place from 0 within their keys, and the number of rows of the keys. Rows equal in all of
     ``order`` are numbered in any order."""
-    ranged = rows.repartitionByRange(*[F.col(k) for k in keys], *order)
-    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()), "positions")
-    counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    by = [*[F.col(k) for k in keys], *order]
+    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the id numbers the rows of each sorted range from 0; staged, as a second evaluation could range anew
+    ranged = staged(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "positions")
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
     group = Window.partitionBy(*keys)
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys],
-        F.col("_part").alias("_s_part"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(group).alias(total),
+    starts = (
+        ranged.groupBy(*keys, "_part")
+        .agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        .select(
+            *[F.col(k).alias(f"_s_{k}") for k in keys],
+            F.col("_part").alias("_s_part"),
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.sum("_n").over(group).alias(total),
+        )
     )
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], F.col("_part") == F.col("_s_part"))
-    placed = ranged.withColumn("_place", F.row_number().over(inside) - 1).join(starts, on)
-    return placed.withColumn(out, F.col("_start") + F.col("_place")).select(*rows.columns, out, total)
+    return ranged.join(starts, on).withColumn(out, F.col("_id") + F.col("_shift")).select(*rows.columns, out, total)
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], out: str = "q") -> DataFrame:
+    """keys and an array of linearly interpolated quantiles of the values that aren't null.
+
+    percentile() holds a map of all distinct values in one task; here the values are sorted by ranges and only the
+    two neighbours of each point are kept.
+    """
+    placed = ordinal_positions(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)])
+    at = [F.lit(float(p)) * (F.col("total") - 1) for p in points]
+    picked = lambda place: F.max(F.when(F.col("position") == place, F.col(value)))
+    made = placed.groupBy(*keys, "total").agg(*[picked(f(a)).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return made.select(*keys, F.array(*between).alias(out))
 
 
 def average_ranks(rows: DataFrame, column: str, out: str, within: list[str]) -> DataFrame:

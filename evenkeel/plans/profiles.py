@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bias_corrected_kurtosis, bias_corrected_skew, choose, flag, r6
 from ..operators.fit import with_constants
 from ..operators.grouped import unpivoted
+from ..operators.ranking import exact_quantiles
 from .registry import query
 
 REALS = ["rate", "prev1", "prev5", "li", "price"]
@@ -28,26 +29,24 @@ def _long(t) -> DataFrame:
 )
 def column_profile(t) -> DataFrame:
     rows = _long(t)
-    q = rows.groupBy("metric").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, ["metric"], "value", [0.25, 0.75, 0.01, 0.5, 0.99])
     low, high = F.col("q")[0], F.col("q")[1]
-    p = lambda x: r6(F.percentile("value", F.lit(x)))
-    return (
+    distinct = rows.where(F.col("value").isNotNull()).select("metric", "value").distinct().groupBy("metric").agg(F.count("*").alias("distinct_values"))
+    counted = (
         rows.join(F.broadcast(q), "metric")
-        .groupBy("metric")
+        .groupBy("metric", "q")
         .agg(
             F.count_if(F.col("value").isNull()).alias("missing"),
-            F.countDistinct("value").alias("distinct_values"),
             r6(F.min("value")).alias("lo"),
             r6(F.max("value")).alias("hi"),
             r6(F.avg("value")).alias("mean"),
             r6(F.stddev_samp("value")).alias("sd"),
-            p(0.01).alias("p1"),
-            p(0.5).alias("med"),
-            p(0.99).alias("p99"),
             F.count_if(F.col("value") < low - 1.5 * (high - low)).alias("low_out"),
             F.count_if(F.col("value") > high + 1.5 * (high - low)).alias("high_out"),
         )
     )
+    points = [r6(F.col("q")[i]).alias(n) for i, n in ((2, "p1"), (3, "med"), (4, "p99"))]
+    return counted.join(distinct, "metric").select("metric", "missing", "distinct_values", "lo", "hi", "mean", "sd", *points, "low_out", "high_out")
 
 
 @query(
@@ -94,10 +93,9 @@ def describe_moments(t) -> DataFrame:
 def outlier_mad(t) -> DataFrame:
     """Far fences, modified z-scores, zeros, and the three lowest distinct values."""
     rows = _long(t)
-    q = rows.groupBy("metric").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"))
-    rows = rows.join(F.broadcast(q), "metric")
+    rows = rows.join(F.broadcast(exact_quantiles(rows, ["metric"], "value", [0.25, 0.5, 0.75])), "metric")
     q1, med, q3 = (F.col("q")[i] for i in range(3))
-    mad = rows.groupBy("metric").agg(F.percentile(F.abs(F.col("value") - med), F.lit(0.5)).alias("mad"))
+    mad = exact_quantiles(rows.withColumn("dev", F.abs(F.col("value") - med)), ["metric"], "dev", [0.5], "m").select("metric", F.col("m")[0].alias("mad"))
     place = F.dense_rank().over(Window.partitionBy("metric").orderBy("value"))
     low = rows.where(F.col("value").isNotNull()).select("metric", "value").distinct().withColumn("k", place).where(F.col("k") <= 3)
     text = F.array_join(F.transform(F.array_sort(F.collect_list("value")), lambda v: F.round(v, 2).cast("decimal(18,2)").cast("string")), ",")

@@ -266,3 +266,9 @@ def test_vocabulary_and_scaler(spark):
     codes = {r["c"]: r["k"] for r in encode.vocabulary_codes(rows, train, "c", "k").collect()}
     assert codes == {"a": 1, "b": 2, "z": 0, None: 0}
     assert sorted(r["x_z"] for r in encode.scaled(rows, encode.fit_scaler(train, ["x"]), ["x"]).collect()) == [0.0, 0.0, 0.0, 5.0]
+
+
+def test_exact_quantiles(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in (0, 1, 2, 3)] + [("b", 5.0), ("b", None), ("b", 5.0)], "k string, x double")
+    got = {r["k"]: r["q"] for r in ranking.exact_quantiles(rows, ["k"], "x", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got == {"a": [0.0, 0.75, 1.5, 3.0], "b": [5.0] * 4}
