@@ -236,12 +236,12 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def component_ids(prints: DataFrame, cell: int = CELL) -> DataFrame:
-    """prints: doc_id, fp. fp and component_id of each distinct fingerprint."""
+    """prints: doc_id, fp. fp, root and component_id of each distinct fingerprint; only the root tells components apart."""
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct, cell))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
@@ -257,17 +257,18 @@ def first_of_each(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """One row of docs for each component: that of the smallest doc_id; the columns of docs stay.
 
     The rows that go are named by id and text hash and leave by an anti join. Where the smallest id
-    itself has several rows, those with the least text hash stay as one.
+    itself has several rows, those with the least text hash stay as one. Components without any id,
+    and unlinked ones that share their smallest id, are told apart by their roots.
     """
     keyed = docs.select("text", *row_key(docs), F.col("doc_id"))
     prints = staged(fingerprints(keyed, "doc_id", "__ek_id", "__ek_text"), "simhash-prints")
     named = component_ids(prints, cell).withColumnRenamed("fp", "c_fp")
-    rows = staged(prints.join(named, F.col("fp") == F.col("c_fp")).select("__ek_id", "__ek_text", "component_id"), "simhash-rows")
-    first = rows.where(F.col("__ek_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__ek_text").alias("f_text"), F.count("*").alias("n"))
+    rows = staged(prints.join(named, F.col("fp") == F.col("c_fp")).select("__ek_id", "__ek_text", "root", "component_id"), "simhash-rows")
+    first = rows.where(F.col("__ek_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("__ek_text").alias("f_text"), F.count("*").alias("n"))
     first = staged(first, "simhash-first")
-    f = first.select(F.col("component_id").alias("f_id"), "f_text")
+    f = first.select(F.col("root").alias("f_root"), F.col("component_id").alias("f_id"), "f_text")
     goes = (
-        rows.join(f, F.col("component_id").eqNullSafe(F.col("f_id")))
+        rows.join(f, F.col("root") == F.col("f_root"))
         .where(~(F.col("__ek_id").eqNullSafe(F.col("f_id")) & (F.col("__ek_text") == F.col("f_text"))))
         .select("__ek_id", "__ek_text")
         .distinct()

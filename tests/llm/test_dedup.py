@@ -108,6 +108,13 @@ def test_first_of_each(messy, nothing):
     assert simhash.first_of_each(nothing).count() == 0
 
 
+def test_first_of_each_keeps_unlinked_texts_of_equal_or_no_ids(spark):
+    bridge, corn, ship, bread, night = "the old bridge by the mill was closed", "corn prices fell for a third week", "no ship had left port since monday", "bread rises best in a warm kitchen", "stars were seen over all the hills"
+    rows = [(None, bridge), (None, corn), (None, corn), (9, ship), (9, bread), (9, bread), (None, night), (4, night)]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, bridge), (None, corn), (9, ship), (9, bread), (4, night)]))
+
+
 @pytest.mark.parametrize("heavy", [2, 64])
 def test_exact_groups_against_a_dictionary(messy, corpus, heavy):
     for docs in (messy, corpus):
