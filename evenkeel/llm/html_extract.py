@@ -10,8 +10,8 @@ All potentials are smoothed counts from the labelled pages below.
 Pages are independent: a map over rows without any shuffle, holding one page at a time.
 
 Defined results: null and empty html give an empty text. Unclosed and misnested tags are closed
-as browsers do for paragraphs, list items, table parts and options, and otherwise at their
-parent's end. An unfinished tag at the end of a page is dropped. Nesting is followed to any
+as browsers do for heads, paragraphs, list items, table parts and options, and otherwise at their
+parent's end. An open head ends at the body, or at the first element or text that isn't metadata. An unfinished tag at the end of a page is dropped. Nesting is followed to any
 depth without recursion. Repeated rows give equal results. An empty table gives no rows. Further
 columns are ignored.
 """
@@ -34,6 +34,7 @@ from .common import read_table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video select textarea button datalist".split())
 RAW = frozenset("script style textarea title".split())
+METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -83,6 +84,8 @@ def parse(page: str) -> list[Node]:
             tag, inside, text, at = broken[1], "", None, broken.end()
         if text is not None:
             if text.strip():
+                if nodes[stack[-1]].tag == "head":
+                    stack.pop()
                 nodes[stack[-1]].children.append(len(nodes))
                 nodes.append(Node("#text", stack[-1], text=html.unescape(text), hidden=nodes[stack[-1]].hidden))
             elif nodes[stack[-1]].children:
@@ -96,6 +99,10 @@ def parse(page: str) -> list[Node]:
                     break
         elif tag:
             tag = tag.lower()
+            if tag == "body":
+                close({"head"}, frozenset({"template"}))
+            elif nodes[stack[-1]].tag == "head" and tag not in METADATA:
+                stack.pop()
             if tag in CLOSED_BY_BLOCK:
                 close({"p"}, SCOPES)
             if tag in SIBLINGS:

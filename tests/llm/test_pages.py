@@ -162,3 +162,16 @@ def test_pages_with_nulls(spark):
     got = html_extract.extracted(pages).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 86, 86]
     assert html_extract.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("opened", ["<body>", "<BODY class=x>", "", "</title><meta name=a><body>", "<noscript><style>b{}</style><body>"])
+def test_an_omitted_end_of_the_head_hides_nothing(opened):
+    article = f"<article>{'<p>' + 'The river rose by night, and the mill was lost. ' * 4 + '</p>'}</article>"
+    closed = html_extract.main_text(f"<html><head><title>T</title></head><body>{article}</body></html>")
+    assert "the mill was lost" in closed
+    assert html_extract.main_text(f"<html><head><title>T</title>{opened}{article}</html>") == closed
+
+
+def test_text_in_an_open_head_begins_the_body():
+    nodes = html_extract.parse("<head><title>T</title> <script>x</script>Words of the page")
+    assert [(n.text, n.hidden) for n in nodes if n.text.strip() not in ("", "T")] == [("Words of the page", False)]
