@@ -66,6 +66,7 @@ def oof_target_encode(t) -> DataFrame:
     return rows.select("id", r6(encoded).alias("encoded"), r6((F.col("sy") + 10 * F.col("mean")) / (F.col("n") + 10)).alias("smoothed"))
 
 
+#: The count of the registered queries, which their SQL fixes; the reference draws 10,000, and 1,000 for the pooled one.
 REPLICATES = 20
 _W = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
 _GAIN = "1e5 * (sum(w * (p0 - y) ** 2) - sum(w * (p1 - y) ** 2)) / sum(w) / ((sum(w * y) / sum(w)::DOUBLE) * (1 - sum(w * y) / sum(w)::DOUBLE))"
@@ -78,9 +79,9 @@ def _weighted_gain():
     return 1e5 * (sq("p0") - sq("p1")) / F.sum(w) / (r * (1 - r))
 
 
-def _replicates(rows: DataFrame, unit: str) -> DataFrame:
+def _replicates(rows: DataFrame, unit: str, replicates: int) -> DataFrame:
     """Rows once a replicate with a Poisson(1) weight from the hash of replicate and unit."""
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("b"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     u = unit_hash(F.col("b").cast("string"), F.col(unit).cast("string"))
     return each.withColumn("w", poisson_weight(u))
 
@@ -90,9 +91,9 @@ def _replicates(rows: DataFrame, unit: str) -> DataFrame:
     d AS (SELECT b, {_GAIN} AS gain FROM (SELECT b, y, p0, p1, {_W} AS w FROM x) GROUP BY b) SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med, count(*) AS replicates FROM d""",
     "m",
 )
-def bootstrap_rows(t) -> DataFrame:
+def bootstrap_rows(t, replicates: int = REPLICATES) -> DataFrame:
     rows = t.main.where("season = 2023").select("rk", "y", "p0", "p1")
-    d = _replicates(rows, "rk").groupBy("b").agg(_weighted_gain().alias("gain"))
+    d = _replicates(rows, "rk", replicates).groupBy("b").agg(_weighted_gain().alias("gain"))
     q = lambda p: F.round(F.percentile("gain", F.lit(p)), 4)
     return d.agg(q(0.05).alias("lb5"), q(0.5).alias("med"), F.count("*").alias("replicates"))
 
@@ -103,10 +104,10 @@ def bootstrap_rows(t) -> DataFrame:
     SELECT round(quantile_cont(gain, 0.05), 4) AS p5, round(quantile_cont(gain, 0.5), 4) AS p50, round(quantile_cont(gain, 0.95), 4) AS p95 FROM p""",
     "m",
 )
-def bootstrap_pooled(t) -> DataFrame:
+def bootstrap_pooled(t, replicates: int = REPLICATES) -> DataFrame:
     """Gains of two folds, weighted by their sizes within each replicate."""
     rows = t.main.where("season IN (2022, 2023)").select("rk", "season", "y", "p0", "p1")
-    d = _replicates(rows, "rk").groupBy("b", "season").agg(F.count("*").alias("n"), _weighted_gain().alias("gain"))
+    d = _replicates(rows, "rk", replicates).groupBy("b", "season").agg(F.count("*").alias("n"), _weighted_gain().alias("gain"))
     p = d.groupBy("b").agg((F.sum(F.col("n") * F.col("gain")) / F.sum("n")).alias("gain"))
     return p.agg(*[F.round(F.percentile("gain", F.lit(q / 100)), 4).alias(f"p{q}") for q in (5, 50, 95)])
 
@@ -118,7 +119,7 @@ def bootstrap_pooled(t) -> DataFrame:
     SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med FROM d""",
     "m",
 )
-def bootstrap_cluster(t) -> DataFrame:
+def bootstrap_cluster(t, replicates: int = REPLICATES) -> DataFrame:
     """Clusters are summed first, so replicates multiply clusters and not rows."""
     y = F.col("y")
     sq = lambda p: F.sum((F.col(p) - y) * (F.col(p) - y))
@@ -126,7 +127,7 @@ def bootstrap_cluster(t) -> DataFrame:
     w = F.col("w")
     size = F.sum(w * F.col("n"))
     r = F.sum(w * F.col("sy")) / size
-    d = _replicates(c, "pid").groupBy("b").agg((1e5 * F.sum(w * (F.col("s0") - F.col("s1"))) / size / (r * (1 - r))).alias("gain"))
+    d = _replicates(c, "pid", replicates).groupBy("b").agg((1e5 * F.sum(w * (F.col("s0") - F.col("s1"))) / size / (r * (1 - r))).alias("gain"))
     return d.agg(F.round(F.percentile("gain", F.lit(0.05)), 4).alias("lb5"), F.round(F.percentile("gain", F.lit(0.5)), 4).alias("med"))
 
 

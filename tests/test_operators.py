@@ -272,3 +272,15 @@ def test_exact_quantiles(spark):
     rows = spark.createDataFrame([("a", float(x)) for x in (0, 1, 2, 3)] + [("b", 5.0), ("b", None), ("b", 5.0)], "k string, x double")
     got = {r["k"]: r["q"] for r in ranking.exact_quantiles(rows, ["k"], "x", [0.0, 0.25, 0.5, 1.0]).collect()}
     assert got == {"a": [0.0, 0.75, 1.5, 3.0], "b": [5.0] * 4}
+
+
+def test_bootstraps_take_as_many_replicates_as_the_reference(spark):
+    from evenkeel.plans import sampling as plans
+    from evenkeel.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert plans.bootstrap_rows(t, replicates=1000).first()["replicates"] == 1000
+    few, many = plans.bootstrap_cluster(t).first(), plans.bootstrap_cluster(t, replicates=10_000).first()
+    assert few["lb5"] != many["lb5"] < many["med"]
+    pooled = plans.bootstrap_pooled(t, replicates=1000).first()
+    assert pooled["p5"] < pooled["p50"] < pooled["p95"]
