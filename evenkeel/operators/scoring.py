@@ -29,6 +29,36 @@ def simplex(members: int, ticks: int) -> list[tuple[int, ...]]:
     return [(k, *rest) for k in range(ticks + 1) for rest in simplex(members - 1, ticks - k)]
 
 
+def _least(rows: DataFrame, names: list[str], points: list[tuple[float, ...]], p: Column, y: str) -> tuple[float, tuple[float, ...]]:
+    """The least Brier score of p over the points, to 14 digits, and the first point that has it. One aggregate."""
+    each = rows.select("*", F.inline(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, at, strict=True)]) for at in points])))
+    scores = each.groupBy(*names).agg(F.round(brier(p, F.col(y)), 14).alias("_b"))
+    best = scores.agg(F.min(F.struct("_b", *names)).alias("s")).first()["s"]
+    return best["_b"], tuple(best[n] for n in names)
+
+
+def slope_search(rows: DataFrame, z: str = "z", y: str = "y", offset: float = 0.0) -> tuple[float, float]:
+    """The slope of z with the least Brier score, and that score: 201 slopes from 0.6 to 1.4, then steps of 0.001 within 0.02 of the best."""
+    rows = rows.select(F.col(z).alias("_z"), F.col(y).alias("_y"))
+    p = 1 / (1 + F.exp(-(F.col("_a") * F.col("_z") + offset)))
+    _, (a,) = _least(rows, ["_a"], [(0.6 + 0.8 * k / 200,) for k in range(201)], p, "_y")
+    low, high = max(0.6, a - 0.02), min(1.4, a + 0.02)
+    steps = round((high - low) / 0.001)
+    b, (a,) = _least(rows, ["_a"], [(low + (high - low) * k / steps,) for k in range(steps + 1)], p, "_y")
+    return a, b
+
+
+def weight_search(rows: DataFrame, members: list[str], y: str = "y", step: float = 0.02) -> tuple[tuple[float, ...], float]:
+    """Weights of three logit columns with the least Brier score, and that score: the simplex in steps of 0.05, then the neighbours of the best at ``step``."""
+    rows = rows.select(*[F.col(m).alias(f"_z{k}") for k, m in enumerate(members)], F.col(y).alias("_y"))
+    names = ["_w0", "_w1", "_w2"]
+    p = 1 / (1 + F.exp(-sum(F.col(w) * F.col(f"_z{k}") for k, w in enumerate(names))))
+    _, (a, b, _) = _least(rows, names, [tuple(k / 20 for k in ws) for ws in simplex(3, 20)], p, "_y")
+    near = [(round(a + i * step, 4), round(b + j * step, 4)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    score, weights = _least(rows, names, [(i, j, round(1 - i - j, 4)) for i, j in near if min(i, j, round(1 - i - j, 4)) >= 0], p, "_y")
+    return weights, score
+
+
 def resolution(rows: DataFrame, cell: str, target: str = "y", scale: float = 1e5) -> DataFrame:
     """How much skill the cells' means could give at most."""
     cells = rows.groupBy(cell).agg(F.avg(target).alias("o"), F.count("*").alias("n"))

@@ -284,3 +284,16 @@ def test_bootstraps_take_as_many_replicates_as_the_reference(spark):
     assert few["lb5"] != many["lb5"] < many["med"]
     pooled = plans.bootstrap_pooled(t, replicates=1000).first()
     assert pooled["p5"] < pooled["p50"] < pooled["p95"]
+
+
+def test_searches_are_refined_off_the_coarse_grid(spark):
+    z = F.col("id") / 1000.0 - 2
+    rows = spark.range(4001).select(z.alias("z"), F.sin(F.col("id")).alias("z1"), F.lit(0.0).alias("z2"))
+    made = rows.withColumn("y", 1 / (1 + F.exp(-(0.913 * F.col("z") - 0.04))))
+    slope, score = scoring.slope_search(made, "z", "y", -0.04)
+    assert slope == pytest.approx(0.913, abs=1e-9) and score == pytest.approx(0, abs=1e-12)
+    edge = scoring.slope_search(rows.withColumn("y", 1 / (1 + F.exp(-3 * F.col("z")))), "z", "y")
+    assert edge[0] == pytest.approx(1.4)
+    mixed = rows.withColumn("y", 1 / (1 + F.exp(-(0.37 * F.col("z") + 0.45 * F.col("z1")))))
+    weights, score = scoring.weight_search(mixed, ["z", "z1", "z2"])
+    assert weights == pytest.approx((0.37, 0.45, 0.18)) and score == pytest.approx(0, abs=1e-12)
