@@ -3,18 +3,20 @@
 A text becomes its counts of letter n-grams (one to three letters, lower-cased, words apart),
 hashed to a fixed number of dimensions, weighted by TF-IDF and normalised. Each language keeps a
 few centroids, found by spherical k-means over its training vectors. A text gets the language of
-the centroid nearest by cosine; it is rejected where that cosine is below what training texts of
-its length reach.
+the centroid nearest by cosine; it is rejected where that cosine is far below what training texts
+of its length reach.
 
 The classifier is fitted on a bounded sample: about ``per_language`` labelled documents of
-each language, drawn by a hash of doc_id at a rate set from full counts, their vectors computed
-on executors from whole texts, so the driver holds per_language * languages sparse vectors. Every
-other step covers all rows, and prediction is a map without any shuffle.
+each language, drawn by a hash of id and text at a rate set from full counts, repeated rows once; of more than
+``max_languages`` labels it learns the most frequent, ties by code point. Vectors and centroids are made on
+executors, a language at a time; the driver gets one number for each dimension and the centroids.
+Every other step covers all rows, and prediction is a map without any shuffle that sends texts
+alone to Python.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected. With no
 labelled document every text is ``und``. Ties go to the language first by code point. Repeated
-rows get equal predictions. An empty table gives no rows. Further columns are
-ignored by the report and kept by ``keep_identified``.
+rows get equal predictions. Very long texts are counted whole, in pieces of ``CHUNK`` letters. An
+empty table gives no rows. Further columns are ignored by the report and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, staged
@@ -34,14 +37,14 @@ UNKNOWN = "und"
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CENTROIDS = 3
-#: Languages whose counts may be broadcast, and whose centroids every task may hold.
-MAX_LANGUAGES = 1000
+#: Languages that are learned: every task holds their centroids, some 50 KB each.
+MAX_LANGUAGES = 500
 #: Letters that are counted at once.
 CHUNK = 1 << 20
 #: For rejection, training texts are also cut to so many letters and more, doubling.
 SHORTEST, LENGTHS = 8, 12
-#: Of the least cosine that training texts of a length reach, the share under which a text is rejected.
-SLACK = 0.5
+#: A text is rejected under this share of the cosine that all but this part of the training texts of its length reach.
+SLACK, ODDEST = 0.4, 0.01
 
 
 @cache
@@ -102,7 +105,7 @@ class Model:
         near = self.centroids @ weighted(counts(points), self.idf).astype(np.float32)
         best = int(near.argmax())
         cosine = float(min(1.0, max(0.0, near[best])))
-        return self.languages[self.owner[best]], cosine, cosine < self.floor[_length_class(letters)]
+        return self.languages[self.owner[best]], cosine, bool(cosine < self.floor[_length_class(letters)])
 
 
 def _length_class(letters: int) -> int:
@@ -132,75 +135,109 @@ def _vector_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["at"].map(len) > 0]
 
 
-def _floors(model: Model):
+def _frequency_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each dimension, in how many texts it occurs; -1 stands for all texts."""
+    seen, texts = np.zeros(DIMENSIONS, dtype=np.int64), 0
+    for batch in batches:
+        for at in batch["at"]:
+            seen[np.frombuffer(at, "<u2")] += 1
+        texts += len(batch)
+    some = np.flatnonzero(seen)
+    yield pd.DataFrame({"d": [-1, *some.tolist()], "n": [texts, *seen[some].tolist()]})
+
+
+def _clustered(idf: np.ndarray, centroids: int):
+    def run(vectors: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.sort_values("key")
+        dense = np.zeros((len(vectors), DIMENSIONS), dtype=np.float32)
+        for i, (at, n) in enumerate(zip(vectors["at"], vectors["n"], strict=True)):
+            dense[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
+        centres = cluster(weighted(dense, idf), centroids).astype("<f4")
+        return pd.DataFrame({"lang": vectors["lang"].iloc[0], "k": range(len(centres)), "centre": [c.tobytes() for c in centres]})
+
+    return run
+
+
+def _nearest(model: Model):
     """For each text and for its beginnings of doubling lengths: the length class and the nearest cosine."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            least: dict[int, float] = {}
+            found = []
             for text in batch["text"]:
                 points = code_points(text)
                 for cut in [*(SHORTEST << k for k in range(LENGTHS) if SHORTEST << k < len(points)), len(points)]:
                     letters = int((points[:cut] > 0).sum())
                     if letters:
                         near = float((model.centroids @ weighted(counts(points[:cut]), model.idf).astype(np.float32)).max())
-                        c = _length_class(letters)
-                        least[c] = min(least.get(c, near), near)
-            yield pd.DataFrame({"c": list(least), "near": list(least.values())})
+                        found.append((_length_class(letters), near))
+            yield pd.DataFrame(found, columns=["c", "near"])
 
     return run
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """labelled: doc_id, lang, text."""
+def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """labelled: doc_id, lang, text. key, lang and text of about per_language rows of each learned language."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = staged(known.groupBy(F.col("lang").alias("t_lang")).count(), "language-totals")
-    if totals.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    key = F.xxhash64(F.lit("language sample"), "doc_id")
+    totals = known.groupBy(F.col("lang").alias("t_lang")).count()
+    totals = staged(totals.orderBy(F.col("count").desc(), "t_lang").limit(max_languages), "language-totals")
+    key = F.xxhash64(F.lit("language sample"), "doc_id", "text")
     share = F.shiftrightunsigned(key, 11) / F.lit(float(2**53))
     drawn = (
         known.join(F.broadcast(totals), F.col("lang") == F.col("t_lang"))
         .where(share * F.col("count") < F.lit(float(per_language)))
         .select(key.alias("key"), "lang", "text")
+        .dropDuplicates(["key", "lang"])
     )
-    sample = staged(drawn, "language-sample")
-    vectors = sample.mapInPandas(_vector_batches, "key bigint, lang string, at binary, n binary").collect()
-    vectors.sort(key=lambda r: (r["lang"], r["key"]))
-    languages = sorted({r["lang"] for r in vectors})
-    dense = np.zeros((len(vectors), DIMENSIONS), dtype=np.float32)
-    for i, r in enumerate(vectors):
-        dense[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    idf = (np.log((1 + len(vectors)) / (1 + (dense > 0).sum(axis=0))) + 1).astype(np.float32)
-    owner, found = [], []
-    langs = np.array([r["lang"] for r in vectors], dtype=object)
-    for i, lang in enumerate(languages):
-        centres = cluster(weighted(dense[langs == lang], idf), centroids)
-        owner += [i] * len(centres)
-        found.append(centres)
-    centres = np.vstack(found).astype(np.float32) if found else np.zeros((0, DIMENSIONS), dtype=np.float32)
-    model = Model(languages, idf, centres, np.array(owner, dtype=int), np.zeros(LENGTHS))
+    return staged(drawn, "language-sample")
+
+
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> Model:
+    """labelled: doc_id, lang, text."""
+    sample = training_sample(labelled, per_language, max_languages)
+    vectors = staged(sample.mapInPandas(_vector_batches, "key bigint, lang string, at binary, n binary"), "language-vectors")
+    seen = vectors.select("at").mapInPandas(_frequency_batches, "d int, n bigint").groupBy("d").agg(F.sum("n").alias("n")).collect()
+    frequency, texts = np.zeros(DIMENSIONS), 0
+    for d, n in seen:
+        if d < 0:
+            texts = n
+        else:
+            frequency[d] = n
+    idf = (np.log((1 + texts) / (1 + frequency)) + 1).astype(np.float32)
+    rows = vectors.groupBy("lang").applyInPandas(_clustered(idf, centroids), "lang string, k int, centre binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["k"]))
+    languages = sorted({r["lang"] for r in rows})
+    place = {lang: i for i, lang in enumerate(languages)}
+    centres = np.vstack([np.frombuffer(r["centre"], "<f4") for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
+    model = Model(languages, idf, centres, np.array([place[r["lang"]] for r in rows], dtype=int), np.zeros(LENGTHS))
     # a class of lengths that no training text reaches rejects nothing
     if languages:
-        for c, near in sample.mapInPandas(_floors(model), "c int, near double").groupBy("c").agg(F.min("near")).collect():
-            model.floor[c] = near * SLACK
+        near = sample.select("text").mapInPandas(_nearest(model), "c int, near double")
+        for c, low in near.groupBy("c").agg(F.expr(f"percentile(near, {ODDEST}D)")).collect():
+            model.floor[c] = low * SLACK
     return model
 
 
-def predictions(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
-    """The key columns, lang_pred, score and rejected of every row; only text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keys, "text")
+PREDICTION = "struct<lang_pred:string,score:double,rejected:boolean>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [shared.value.predict(t) for t in batch["text"]]
-            out = batch.drop(columns="text")
-            out["lang_pred"], out["score"], out["rejected"] = zip(*made, strict=True) if made else ([], [], [])
-            yield out
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+def told(spark: SparkSession, model: Model, text: Column) -> Column:
+    """lang_pred, score and rejected of a text; Python gets nothing but the text."""
+    shared = spark.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            made = [shared.value.predict(t.as_py()) for t in batch]
+            yield pa.array([dict(zip(("lang_pred", "score", "rejected"), m, strict=True)) for m in made], type=kind)
+
+    return F.arrow_udf(run, PREDICTION)(text)
+
+
+def predictions(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
+    """The key columns, lang_pred, score and rejected of every row; only text is looked at."""
+    rows = docs.select(*keys, told(docs.sparkSession, model, F.col("text")).alias("__ek_told"))
+    return rows.select(*keys, "__ek_told.lang_pred", "__ek_told.score", "__ek_told.rejected")
 
 
 def held_out():
@@ -217,10 +254,7 @@ def identified(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are rejected; the columns of docs stay."""
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(True))).select("doc_id", "lang", "text"), **options)
-    names = docs.columns
-    carried = docs.select(F.col("text"), *[F.col(c).alias(f"__ek_{i}") for i, c in enumerate(names)])
-    kept = predictions(carried, model, *[f"__ek_{i}" for i in range(len(names))]).where(~F.col("rejected"))
-    return kept.select(*[F.col(f"__ek_{i}").alias(c) for i, c in enumerate(names)])
+    return docs.where(~told(docs.sparkSession, model, F.col("text"))["rejected"])
 
 
 def op1_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
