@@ -1,27 +1,29 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A document descends region, rack and shard. At each node every child draws -ln(u) / weight, with u
-a hash of the child's name and the document's id, and the least draw wins: a child is chosen in
-proportion to its weight, and raising one child's weight moves documents into that child only. So
-a change of weights moves documents in the subtrees whose weights change and nowhere else.
-
-A new shard comes as a region of its own with the weight of one shard: its region's draw can only
-win documents for it, so growth from n to n + 1 moves rows into the new shard and between no
-others. ``regroup_rack`` instead grows one rack with the weights above it held, which
-confines movement to that rack.
-
-The law held is ``key``: doc_id and the shard count decide. Slots number the rows of each shard
+A document descends region, rack and shard. At each node every child makes a draw, and the least wins.
+A shard draws -ln(u) / weight, with u a hash of its name and the document's id. A rack or region
+draws the least of its children's draws: the least of exponential draws is itself an exponential draw
+of their summed weight, so each node is chosen in proportion to what it holds, and a child that
+comes, goes or changes its weight moves only documents that it wins or loses. Racks and regions may thus
+fill up shard by shard: the tree of n + 1 shards is that of n, grown, for every n, and growth moves rows into the new shard and between no
+others.
+
+A node may instead be ``held``: then it draws under its own name with a weight of its own, whatever is
+below it, and any change below confines movement to its subtree. ``hold_rack`` does that to a rack.
+
+The law is ``key``: doc_id and the shard count decide. Slots number the rows of each shard
 from 0: rows are numbered inside hash buckets, and running counts of the buckets, a table whose
-size is fixed by the bucket count, shift them.
+size is fixed by the bucket count, shift them. A bucket that repeated rows make large is split by row number.
 
 Defined results: null text has no bytes (size 16, checksum 0); null ids hash as one value. Rows
-that share id, size and checksum may swap slots, which changes no output row. An empty table gives
-no rows. Further columns are ignored.
+that share id, size and checksum may swap slots, which changes no output row. Very long texts cost one
+pass for size and checksum. An empty table gives no rows. Further columns are ignored by the
+report and kept by ``shard_of``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,96 +35,84 @@ SHARDS = 40
 RACK = 5
 REGION = 4
 ROW_OVERHEAD = 16
-#: Rows that one bucket of a shard holds on average when slots are given.
+#: Rows that one bucket of a shard holds on average when slots are given; with over four times as many it is split.
 BUCKET_ROWS = 200_000
 
 
 @dataclass(frozen=True)
-class Tree:
-    """regions[r][k][s] = (shard, weight); rack and region weights are held apart from the shards'."""
-
-    regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
-    rack_weights: tuple[tuple[float, ...], ...]
-    region_weights: tuple[float, ...]
-
-    def grown(self) -> Tree:
-        """With one more shard, which takes rows only into itself."""
-        new = 1 + max(s for region in self.regions for rack in region for s, _ in rack)
-        return Tree((*self.regions, (((new, 1.0),),)), (*self.rack_weights, (1.0,)), (*self.region_weights, 1.0))
-
-    def regroup_rack(self, region: int, rack: int, shards: tuple[tuple[int, float], ...]) -> Tree:
-        """With other shards or weights in one rack; documents move inside that rack only."""
-        racks = [*self.regions[region]]
-        racks[rack] = shards
-        regions = [*self.regions]
-        regions[region] = tuple(racks)
-        return Tree(tuple(regions), self.rack_weights, self.region_weights)
-
-
-def build_tree(shards: int = SHARDS, rack: int = RACK, region: int = REGION) -> Tree:
-    """Full regions of ``region`` racks of ``rack`` shards, then one region for each shard that is left over."""
-    per_region = rack * region
-    full = shards // per_region
-    regions = tuple(
-        tuple(tuple((r * per_region + k * rack + s, 1.0) for s in range(rack)) for k in range(region)) for r in range(full)
-    )
-    tree = Tree(regions, tuple((float(rack),) * region for _ in range(full)), (float(per_region),) * full)
-    for shard in range(full * per_region, shards):
-        tree = tree.grown() if tree.regions else Tree((((((shard, 1.0)),),),), ((1.0,),), (1.0,))
-    return tree
+class Node:
+    """A shard (no children), or a rack or region, which is held if it has a weight of its own."""
 
+    name: str
+    weight: float | None = None
+    shard: int | None = None
+    children: tuple[Node, ...] = ()
 
-def _draw(key: Column, name: Column, weight: Column) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(name, key), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    return -F.log(uniform) / weight
+    def shards(self) -> list[int]:
+        return [self.shard] if self.shard is not None else [s for c in self.children for s in c.shards()]
 
+    def load(self) -> float:
+        return self.weight if self.weight is not None else sum(c.load() for c in self.children)
 
-def _children(nodes: list[list[tuple[int, str, float]]]) -> Column:
-    """For each parent its children as (number, name, weight); a constant that Catalyst folds."""
-    child = lambda c: F.struct(F.lit(c[0]).alias("node"), F.lit(c[1]).alias("name"), F.lit(c[2]).alias("weight"))
-    return F.array(*[F.array(*[child(c) for c in children]) for children in nodes])
 
+def leaf(shard: int, weight: float = 1.0) -> Node:
+    return Node(f"shard {shard}", weight, shard)
+
+
+def build_tree(shards: int = SHARDS, rack: int = RACK, region: int = REGION) -> Node:
+    """Shards in order, ``rack`` to a rack and ``region`` racks to a region; the last of each may be part full."""
+    leaves = [leaf(s) for s in range(shards)]
+    racks = [Node(f"rack {k}", children=tuple(leaves[at : at + rack])) for k, at in enumerate(range(0, shards, rack))]
+    regions = [Node(f"region {r}", children=tuple(racks[at : at + region])) for r, at in enumerate(range(0, len(racks), region))]
+    return Node("root", children=tuple(regions))
+
+
+def hold_rack(tree: Node, region: int, rack: int, children: tuple[Node, ...] | None = None) -> Node:
+    """With one rack, and the region over it, held at their present weights, and with other shards in that rack if they are given."""
+    regions = [*tree.children]
+    racks = [*regions[region].children]
+    racks[rack] = replace(racks[rack], weight=racks[rack].load(), children=children or racks[rack].children)
+    regions[region] = replace(regions[region], weight=regions[region].load(), children=tuple(racks))
+    return replace(tree, children=tuple(regions))
 
-def _descend(key: Column, parent: Column, nodes: list[list[tuple[int, str, float]]]) -> Column:
-    drawn = F.transform(
-        F.get(_children(nodes), parent),
-        lambda c: F.struct(_draw(key, c["name"], c["weight"]).alias("draw"), c["node"].alias("node")),
-    )
-    return F.array_min(drawn)["node"]
 
+def _draw(key: Column, node: Node) -> Column:
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    return -F.log(uniform) / F.lit(node.weight)
 
-def shard_of(docs: DataFrame, tree: Tree, out: str, key: str = "doc_id") -> DataFrame:
+
+def _descent(key: Column, node: Node) -> Column:
+    """(draw, shard): the draw of a node and the shard to which its children's least draws lead."""
+    if node.shard is not None:
+        return F.struct(_draw(key, node).alias("draw"), F.lit(node.shard).alias("shard"))
+    below = [_descent(key, c) for c in node.children]
+    least = F.array_min(F.array(*below)) if len(below) > 1 else below[0]
+    return least if node.weight is None else F.struct(_draw(key, node).alias("draw"), least["shard"].alias("shard"))
+
+
+def shard_of(docs: DataFrame, tree: Node, out: str, key: str = "doc_id") -> DataFrame:
     """docs with the shard as column ``out``; a map-side expression."""
-    at, racks, shards = f"__ek_{out}", [], []
-    rack_nodes: list[list[tuple[int, str, float]]] = []
-    for r, region in enumerate(tree.regions):
-        rack_nodes.append([])
-        for k, rack in enumerate(region):
-            rack_nodes[r].append((len(racks), f"rack {r}/{k}", tree.rack_weights[r][k]))
-            racks.append(rack)
-    shards = [[(s, f"shard {s}", w) for s, w in rack] for rack in racks]
-    top = [[(r, f"region {r}", w) for r, w in enumerate(tree.region_weights)]]
-    column = F.col(key)
-    return (
-        docs.withColumn(at, _descend(column, F.lit(0), top))
-        .withColumn(at, _descend(column, F.col(at), rack_nodes))
-        .withColumn(out, _descend(column, F.col(at), shards))
-        .drop(at)
-    )
+    return docs.withColumn(out, _descent(F.col(key), tree)["shard"])
 
 
-def with_slots(rows: DataFrame, buckets: int) -> DataFrame:
-    """rows: doc_id, size, text_crc32, shard and more, on which two readings agree. Adds slot."""
+def with_slots(rows: DataFrame, buckets: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows: doc_id, size, text_crc32, rid, shard and more, on which two readings agree. Adds slot."""
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32"), F.lit(buckets)))
-    counts = dealt.groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col("shard").alias("s_shard"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
+    # a bucket much over its share holds repeated rows, which any number tells apart
+    parts = dealt.groupBy("shard", "bucket").count().select(
+        F.col("shard").alias("s_shard"), F.col("bucket").alias("s_bucket"), F.ceil(F.col("count") / (4 * bucket_rows)).alias("parts")
+    )
+    parts = staged(parts, "slot-parts")
+    here = (F.col("shard") == F.col("s_shard")) & (F.col("bucket") == F.col("s_bucket"))
+    split = staged(dealt.join(parts, here).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("s_shard", "s_bucket", "parts"), "slots")
+    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = split.groupBy("shard", "bucket", "part").count().select(
+        F.col("shard").alias("s_shard"), F.col("bucket").alias("s_bucket"), F.col("part").alias("s_part"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
     )
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("shard", "bucket", "part").orderBy("doc_id", "size", "text_crc32")
     return (
-        dealt.withColumn("place", F.row_number().over(inside) - 1)
-        .join(starts, (F.col("shard") == F.col("s_shard")) & (F.col("bucket") == F.col("s_bucket")))
+        split.withColumn("place", F.row_number().over(inside) - 1)
+        .join(starts, here & (F.col("part") == F.col("s_part")))
         .withColumn("slot", F.col("start") + F.col("place"))
     )
 
@@ -130,11 +120,15 @@ def with_slots(rows: DataFrame, buckets: int) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tree = build_tree(shards)
-    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = staged(shard_of(shard_of(rows, tree, "shard"), tree.grown(), "grown_shard"), "shards")
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("rid"),
+    )
+    rows = staged(shard_of(shard_of(rows, build_tree(shards), "shard"), build_tree(shards + 1), "grown_shard"), "shards")
     buckets = 1 + rows.count() // (shards * bucket_rows)
-    return with_slots(rows, max(16, buckets)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return with_slots(rows, max(16, buckets), bucket_rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

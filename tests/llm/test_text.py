@@ -216,10 +216,58 @@ def test_shards(messy, nothing, corpus):
     assert sharding.sharded(nothing).count() == 0
 
 
+def naive_shards(ids, n):
+    """The shard of each id by a flat comparison of all draws, as every node of an unheld tree draws the least below it."""
+    import math
+    import struct
+
+    import xxhash
+
+    out = {}
+    for i in ids:
+        draws = []
+        for s in range(n):
+            seed = xxhash.xxh64_intdigest(f"shard {s}".encode(), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed) if i is not None else seed
+            draws.append((-math.log(((h >> 11) + 0.5) / 2**53), s))
+        out[i] = min(draws)[1]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 41])
+def test_shards_against_naive_draws(spark, n):
+    ids = [*range(300), -5, 2**62, None]
+    rows = sharding.shard_of(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"), sharding.build_tree(n), "s").collect()
+    assert {r["doc_id"]: r["s"] for r in rows} == naive_shards(ids, n)
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(400).withColumnRenamed("id", "doc_id")
+    sizes = (*range(1, 61),)
+    for n in sizes:
+        docs = sharding.shard_of(docs, sharding.build_tree(n), f"s{n}")
+    for r in docs.collect():
+        for n in sizes[:-1]:
+            assert r[f"s{n + 1}"] in (r[f"s{n}"], n)
+
+
+def test_grown_shard_is_the_shard_at_one_more(spark, messy):
+    few = messy.select("doc_id", "text").unionByName(spark.range(100, 300).selectExpr("id AS doc_id", "'t' AS text"))
+    for n in (1, 19, 39, 40):
+        a = sharding.sharded(few, n).select("doc_id", "grown_shard").collect()
+        b = sharding.sharded(few, n + 1).select("doc_id", "shard").collect()
+        assert sorted(map(str, map(tuple, a))) == sorted(map(str, map(tuple, b)))
+
+
+def test_a_bucket_of_repeated_rows_is_split(spark):
+    docs = spark.range(500).selectExpr("cast(null as bigint) AS doc_id", "'same' AS text")
+    rows = sharding.sharded(docs, bucket_rows=10).collect()
+    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(500))
+
+
 def test_shards_are_near_equal_and_growth_is_fair(spark):
     ids = spark.range(100_000).withColumnRenamed("id", "doc_id")
-    tree = sharding.build_tree(40)
-    rows = sharding.shard_of(sharding.shard_of(ids, tree, "a"), tree.grown(), "b")
+    rows = sharding.shard_of(sharding.shard_of(ids, sharding.build_tree(40), "a"), sharding.build_tree(41), "b")
     counts = [r["count"] for r in rows.groupBy("a").count().collect()]
     assert len(counts) == 40 and max(counts) < 1.12 * min(counts)
     moved = rows.where("a <> b")
@@ -227,16 +275,17 @@ def test_shards_are_near_equal_and_growth_is_fair(spark):
     assert 0.8 < moved.count() / (100_000 / 41) < 1.2
 
 
-def test_growing_a_rack_moves_rows_inside_it_only(spark):
+def test_a_weight_moves_rows_in_its_subtree_only_where_it_is_held(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    tree = sharding.build_tree(40)
-    rack = tree.regions[1][2]
-    wider = tree.regroup_rack(1, 2, (*rack, (40, 1.0)))
+    tree = sharding.hold_rack(sharding.build_tree(40), 1, 2)
+    rack = tree.children[1].children[2].children
+    wider = sharding.hold_rack(sharding.build_tree(40), 1, 2, (*rack, sharding.leaf(40)))
+    counts = [r["count"] for r in sharding.shard_of(ids, tree, "a").groupBy("a").count().collect()]
+    assert len(counts) == 40 and max(counts) < 1.4 * min(counts)
     moved = sharding.shard_of(sharding.shard_of(ids, tree, "a"), wider, "b").where("a <> b").select("a", "b").distinct().collect()
-    assert moved and {r["b"] for r in moved} == {40} and {r["a"] for r in moved} <= {s for s, _ in rack}
+    assert moved and {r["b"] for r in moved} == {40} and {r["a"] for r in moved} <= {s.shard for s in rack}
 
 
 def test_trees_of_any_size():
     for n in (1, 2, 19, 20, 41, 45):
-        tree = sharding.build_tree(n)
-        assert sorted(s for region in tree.regions for rack in region for s, _ in rack) == list(range(n))
+        assert sharding.build_tree(n).shards() == list(range(n))
