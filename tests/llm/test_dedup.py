@@ -102,7 +102,10 @@ def test_first_of_each(messy, nothing):
     kept = simhash.first_of_each(messy)
     assert kept.columns == messy.columns
     rows = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
-    assert len(rows) == len({naive_fingerprint(t) for _, t in rows}) == 8
+    fps = {naive_fingerprint(r["text"]) for r in messy.select("text").collect()}
+    # all pairs: no two fingerprints of these texts are linked
+    assert all((a ^ b).bit_count() > simhash.THRESHOLD for a in fps for b in fps if a != b)
+    assert len(rows) == len({naive_fingerprint(t) for _, t in rows}) == len(fps) == 9
     assert sum(i == 6 for i, _ in rows) == 1
     assert {i for i, _ in rows} >= {1, 3, 7, 10, None}
     assert simhash.first_of_each(nothing).count() == 0
