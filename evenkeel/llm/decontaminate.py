@@ -6,18 +6,20 @@ every position's window is hashed and probed in one generated loop; a hit is ver
 word in the same join, so neither texts nor words are copied for windows that miss. Hits are
 counted for each document after one shuffle of small rows; texts are never shuffled.
 
-At most ``max_windows`` windows are broadcast; they are counted first. A larger benchmark is
-joined by shuffling the documents' windows, with the same result. Items of fewer words than a
-window cost one more scan for each distinct length.
+At most ``max_windows`` windows are broadcast at once; they are counted first. A larger benchmark is
+taken in blocks of that size by window hash, each a scan of the documents with the same code. Items of fewer
+words than a window are probed in the same pass as further keys of each position.
 
-Defined results: null texts and texts without words have no windows and no hits. Repeated rows
-are judged one by one. Repeated item ids count once. An empty benchmark leaves every document
+Defined results: null texts and texts without words have no windows and no hits. Very long texts are
+scanned whole, their words held once. Repeated rows are judged one by one. Repeated item ids count once. An empty benchmark leaves every document
 clean; an empty table gives no rows. Further columns are ignored by the report and kept by
 ``clean_documents``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,30 +57,41 @@ def window_hits(docs: DataFrame, found: DataFrame, window: int = WINDOW, max_win
     """docs without text, with n_words: one row with at 0 for each row of docs, and one for each hit, with
     the word it starts at (from 1), its len and item_ids."""
     kept = [c for c in docs.columns if c != "text"]
-    lengths = sorted({window, *(r[0] for r in found.select("len").distinct().collect())})
-    small = found.count() <= max_windows
+    lengths = sorted(r[0] for r in found.select("len").distinct().collect()) or [window]
+    blocks = max(1, math.ceil(found.count() / max(1, max_windows)))
+    if blocks > 1:  # every block is to see the same rows, generated row ids included
+        docs = staged(docs, "decontaminate-rows")
     hashed = (
         docs.withColumn("__ek_words", words(F.col("text")))
         .drop("text")
         .withColumn("__ek_hashes", F.concat(F.array(F.lit(0).cast("long")), F.transform("__ek_words", lambda w: F.xxhash64(w))))
     )
+    at = F.col("at")
     # the outer form keeps Catalyst from evaluating the array once more in a filter below
     exploded = hashed.select(*kept, "__ek_words", "__ek_hashes", F.posexplode_outer("__ek_hashes").alias("at", "__ek_one"))
-    itself = found.sparkSession.range(1).select(
-        F.lit(SELF).cast("long").alias("b_hash"), F.lit(None).cast("array<string>").alias("b_gram"), F.lit(None).cast(found.schema["item_ids"].dataType).alias("item_ids")
+
+    def key(n: int) -> Column:
+        return F.when(at + n <= F.size("__ek_hashes"), F.xxhash64(F.slice("__ek_hashes", at + 1, F.lit(n))))
+
+    if len(lengths) == 1:
+        n = F.lit(lengths[0])
+        probed = exploded.withColumn("__ek_key", F.when(at == 0, F.lit(SELF).cast("long")).otherwise(key(lengths[0])))
+    else:
+        n = F.col("__ek_probe.n")
+        itself = F.array(F.struct(F.lit(0).alias("n"), F.lit(SELF).cast("long").alias("key")))
+        probes = F.array(*[F.struct(F.lit(n).alias("n"), key(n).alias("key")) for n in lengths])
+        probed = exploded.select(*kept, "__ek_words", "at", F.explode(F.when(at == 0, itself).otherwise(probes)).alias("__ek_probe")).withColumn("__ek_key", F.col("__ek_probe.key"))
+    none = found.sparkSession.range(1).select(
+        F.lit(SELF).cast("long").alias("b_hash"), F.lit(None).cast("int").alias("b_len"), F.lit(None).cast("array<string>").alias("b_gram"), F.lit(None).cast(found.schema["item_ids"].dataType).alias("item_ids")
     )
+    # slice stops at the end of the words, so a gram of another length never fits by accident
+    same = F.when(at == 0, F.col("b_gram").isNull()).otherwise((n == F.col("b_len")) & (F.slice("__ek_words", at, n) == F.col("b_gram")))
     out = None
-    for n in lengths:
-        build = found.where(F.col("len") == n).select(F.col("hash").alias("b_hash"), F.col("gram").alias("b_gram"), "item_ids")
-        build = build.unionByName(itself) if n == window else build
-        at = F.col("at")
-        fits = at + n <= F.size("__ek_hashes")
-        key = F.when(at == 0, F.lit(SELF).cast("long")).when(fits, F.xxhash64(F.slice("__ek_hashes", at + 1, F.lit(n))))
-        same = F.when(at == 0, F.col("b_gram").isNull()).otherwise(F.slice("__ek_words", at, F.lit(n)) == F.col("b_gram"))
-        hits = (
-            exploded.withColumn("__ek_key", key)
-            .join(F.broadcast(build) if small else build, (F.col("__ek_key") == F.col("b_hash")) & same)
-            .select(*kept, F.size("__ek_words").cast("long").alias("n_words"), "at", F.lit(n).alias("len"), "item_ids")
+    for block in range(blocks):
+        build = found.where(F.pmod("hash", F.lit(blocks)) == block).select(F.col("hash").alias("b_hash"), F.col("len").alias("b_len"), F.col("gram").alias("b_gram"), "item_ids")
+        build = build.unionByName(none) if block == 0 else build
+        hits = probed.join(F.broadcast(build), (F.col("__ek_key") == F.col("b_hash")) & same).select(
+            *kept, F.size("__ek_words").cast("long").alias("n_words"), "at", F.coalesce("b_len", F.lit(0)).alias("len"), "item_ids"
         )
         out = hits if out is None else out.unionByName(hits)
     return out
@@ -117,6 +130,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """docs without the rows in which a benchmark window occurs."""
     found = benchmark_windows(benchmark, window)
     leaks = window_hits(docs.select("text", *row_key(docs)), found, window, max_windows).where(F.col("at") > 0).select("__ek_id", "__ek_text").distinct()
+    # a file, so that its size decides whether it is broadcast or texts are shuffled
+    leaks = staged(leaks, "decontaminate-leaks")
     ident, text = row_key(docs)
     here = docs.select("*", ident.alias("__ek_d_id"), text.alias("__ek_d_text"))
     return here.join(leaks, (F.col("__ek_d_text") == F.col("__ek_text")) & F.col("__ek_d_id").eqNullSafe(F.col("__ek_id")), "left_anti").select(*docs.columns)
