@@ -5,15 +5,18 @@ and suffix. Each level is a beta-binomial whose prior mean is the level above: t
 to the corpus mean, the registered domain to its suffix, the host to its registered domain. The
 prior strength of a level is estimated from all its groups by the method of moments. A host
 without labels stands on its domain, suffix or the corpus. A page is blocked where the lower
-posterior bound of its host's bad rate exceeds the limit; fixed rules, longest match first, decide
-before the method.
+posterior bound of its host's bad rate exceeds ``limit`` times the mean of the corpus, that is, where its host is worse than
+the corpus beyond the doubt that its few labels leave; fixed rules, longest match first, decide before the method.
+
+Rules are a table. Each depth of rule hosts is one join on the page's last names with the rules grouped by host, so there may be any
+number of rules; Catalyst broadcasts them where they are small.
 
 Counting is partial before every shuffle, so a hot host costs one row for each task; the join of
 hosts to pages is left to Catalyst, which splits a hot host's rows. Hosts, suffixes and domains are
 staged, as each level is read several times.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule and the
-verdict of the corpus mean. Repeated labels of one page count once, bad if any is bad; null
+verdict of the host of that name. Very long urls are read in one pass. Repeated labels of one page count once, bad if any is bad; null
 labels say nothing. Rules of equal length cannot fit one page unless they are equal; of those the
 first listed wins. An empty table gives no rows. Further columns are ignored.
 """
@@ -32,12 +35,10 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Rules are tried in one expression on each row.
-MAX_RULES = 2_000
 #: Prior strengths are kept in this range.
 LEAST_PRIOR, MOST_PRIOR = 1.0, 1000.0
-#: Posterior standard deviations below the mean, and the bad rate that they may not exceed.
-BOUND_SD, LIMIT = 1.645, 0.5
+#: Posterior standard deviations below the mean, and the multiple of the corpus mean that they may not exceed.
+BOUND_SD, LIMIT = 1.645, 1.0
 # fixed values: second-level names under which a country's registry sells names
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
@@ -53,16 +54,32 @@ def path_of(url: Column) -> Column:
     return F.when(F.coalesce(F.locate("://", url), F.lit(0)) == 0, "").otherwise(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
 
 
-def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
-    """(rule, action) of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for _, (action, rule) in sorted(enumerate(rules), key=lambda r: (len(r[1][1]), -r[0])):
-        name, _, start = rule.partition("/")
-        fits = ((host == name) | F.endswith(host, F.lit(f".{name}"))) & F.startswith(path, F.lit(f"/{start}"))
-        found = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("verdict"))).otherwise(found)
-    return found
+def rules_table(spark: SparkSession, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """place, action and rule of a list of rules."""
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(action).alias("action"), F.lit(rule).alias("rule")) for i, (action, rule) in enumerate(rules)]
+    kind = "array<struct<place:int,action:string,rule:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
+
+
+def with_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows: host, path and more. Adds __ek_rule, the (rule, verdict) of the longest rule that fits, else null."""
+    slash = F.locate("/", "rule")
+    name = F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule"))
+    start = F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise(F.lit("/"))
+    # the longest of a host's rules first, of equal ones the first listed
+    one = F.struct((-F.length("rule")).alias("less"), "place", start.alias("start"), "rule", F.col("action").alias("verdict"))
+    named = rules.select("*", name.alias("name"), one.alias("one")).groupBy("name").agg(F.array_sort(F.collect_list("one")).alias("ones"))
+    named = staged(named.withColumn("depth", F.size(F.split("name", r"\."))), "url-rules")
+    found = []
+    for depth in sorted(r[0] for r in named.select("depth").distinct().collect()):
+        here = named.where(F.col("depth") == depth).select(F.col("name").alias("__ek_name"), F.col("ones").alias(f"__ek_{depth}"))
+        rows = rows.join(here, F.substring_index("host", ".", -depth) == F.col("__ek_name"), "left").drop("__ek_name")
+        found.append(F.get(F.filter(f"__ek_{depth}", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0)))
+    out = "struct<rule:string,verdict:string>"
+    best = F.array_min(F.array_compact(F.array(*found))) if found else F.lit(None).cast(out)
+    if found:
+        best = F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
+    return rows.withColumn("__ek_rule", best).drop(*[c for c in rows.columns if c.startswith("__ek_")])
 
 
 def registered_domain(host: Column) -> Column:
@@ -94,7 +111,7 @@ def _strength(n: Column, bad: Column, mean: Column) -> Column:
 
 
 def reputations(hosts: DataFrame) -> DataFrame:
-    """hosts: host, n, bad (labelled pages), one row for each host. Adds lower, the posterior bound of the bad rate."""
+    """hosts: host, n, bad (labelled pages), one row for each host. Adds lower, the posterior bound of the bad rate, and mean0, the corpus mean."""
     hosts = staged(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "url-hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
     mean0 = ((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean0")
@@ -102,12 +119,12 @@ def reputations(hosts: DataFrame) -> DataFrame:
     suffixes = staged(suffixes.crossJoin(F.broadcast(hosts.agg(mean0))), "url-suffixes")
     strength0 = suffixes.agg(_strength(F.col("s_n"), F.col("s_bad"), F.col("mean0")).alias("k0"))
     suffixes = suffixes.crossJoin(F.broadcast(strength0)).select(
-        "suffix", ((F.col("s_bad") + F.col("k0") * F.col("mean0")) / (F.col("s_n") + F.col("k0"))).alias("s_mean")
+        "suffix", "mean0", ((F.col("s_bad") + F.col("k0") * F.col("mean0")) / (F.col("s_n") + F.col("k0"))).alias("s_mean")
     )
     domains = staged(domains.join(suffixes, "suffix"), "url-domains")
     strength1 = domains.agg(_strength(F.col("d_n"), F.col("d_bad"), F.col("s_mean")).alias("k1"))
     domains = domains.crossJoin(F.broadcast(strength1)).select(
-        "domain", "suffix", ((F.col("d_bad") + F.col("k1") * F.col("s_mean")) / (F.col("d_n") + F.col("k1"))).alias("d_mean")
+        "domain", "suffix", "mean0", ((F.col("d_bad") + F.col("k1") * F.col("s_mean")) / (F.col("d_n") + F.col("k1"))).alias("d_mean")
     )
     hosts = staged(hosts.join(domains, ["domain", "suffix"]), "url-rated")
     strength2 = hosts.agg(_strength(F.col("n"), F.col("bad"), F.col("d_mean")).alias("k2"))
@@ -115,17 +132,18 @@ def reputations(hosts: DataFrame) -> DataFrame:
     beta = F.col("n") - F.col("bad") + F.col("k2") * (1 - F.col("d_mean"))
     mean = alpha / (alpha + beta)
     sd = F.sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
-    return hosts.crossJoin(F.broadcast(strength2)).select("host", "n", "bad", (mean - F.lit(BOUND_SD) * sd).alias("lower"))
+    return hosts.crossJoin(F.broadcast(strength2)).select("host", "n", "bad", (mean - F.lit(BOUND_SD) * sd).alias("lower"), "mean0")
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of pages. labels: page_id, bad (0, 1 or null)."""
+def judged(pages: DataFrame, labels: DataFrame, rules: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of pages. labels: page_id, bad (0, 1 or null); rules: place, action, rule."""
     outcomes = labels.where(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("l_id")).agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = rows.select("page_id", "host").join(outcomes, F.col("page_id") == F.col("l_id"), "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    verdicts = reputations(hosts).select(F.col("host").alias("r_host"), F.when(F.col("lower") > limit, "block").otherwise("allow").alias("learned"))
-    ruled = rows.withColumn("__ek_rule", rule_for(F.col("host"), F.col("path"), rules))
+    worse = F.col("lower") > F.lit(limit) * F.col("mean0")
+    verdicts = reputations(hosts).select(F.col("host").alias("r_host"), F.when(worse, "block").otherwise("allow").alias("learned"))
+    ruled = with_rule(rows, rules_table(pages.sparkSession) if rules is None else rules)
     return ruled.join(verdicts, F.col("host") == F.col("r_host"), "left").select(
         "page_id", "host", "path", F.col("__ek_rule.rule").alias("rule"), F.coalesce(F.col("__ek_rule.verdict"), F.col("learned")).alias("verdict")
     )
@@ -180,7 +198,7 @@ domm AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM dom, k1),
 hostm AS (SELECT l.host, l.n, l.bad, m FROM levels l JOIN domm USING (domain)),
 k2 AS (SELECT {_PRIOR} AS k FROM (SELECT {_moments("n", "bad", "m")} FROM hostm)),
 post AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM hostm, k2),
-learned AS (SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS v FROM post),
+learned AS (SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > corpus.m THEN 'block' ELSE 'allow' END AS v FROM post, corpus),
 rules(action, rule, rhost, rpath) AS (VALUES
   ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
   ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
