@@ -5,14 +5,20 @@ potentials are the likelihoods of what is seen of a node (tag, words of its clas
 length and punctuation of text, share of link text), edge potentials the probabilities of a child's label given its
 parent's. The tree has no loops, so one sum-product pass up from the leaves and one down from
 the root give each node's exact content marginal; text whose marginal exceeds one half is kept.
-All potentials are smoothed counts from the labelled pages below.
 
-Pages are independent: a map over rows without any shuffle, holding one page at a time.
+Potentials are smoothed counts from two sets of labelled pages: those written below, and a bounded sample of
+``FIT_PAGES`` pages of the corpus that mark their own content, as the text in ``<article>`` or ``<main>`` less the
+navigation, asides, forms, headers and footers inside. The corpus counts as much as the written pages,
+however many pages it gives, so a corpus of one template doesn't unlearn the ways of others.
 
-Defined results: null and empty html give an empty text. Unclosed and misnested tags are closed
+Sampling reads the pages once more; apart from that pages are independent, a map over rows without any shuffle, holding one page at a time.
+Parsing is linear in a page: open elements are found by name and never searched for.
+
+Defined results: null and empty html give an empty text. Tags follow HTML's attribute states: a quote opens a
+value only behind an equals sign, and one that never ends is text of its tag, which ends at the next bracket. Unclosed and misnested tags are closed
 as browsers do for heads, paragraphs, list items, table parts and options, and otherwise at their
-parent's end. An open head ends at the body, or at the first element or text that isn't metadata. An unfinished tag at the end of a page is dropped. Nesting is followed to any
-depth without recursion. Repeated rows give equal results. An empty table gives no rows. Further
+parent's end; end tags without a start are dropped. An open head ends at the body, or at the first element or text that isn't metadata. An unfinished tag at the end of a page is dropped. Nesting is followed to any
+depth without recursion, and very long pages whole. Repeated rows give equal results. An empty table gives no rows. Further
 columns are ignored.
 """
 
@@ -21,12 +27,14 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -37,15 +45,34 @@ RAW = frozenset("script style textarea title".split())
 METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SIBLINGS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select div section article".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([A-Za-z][^\s/>]*)[^>]*(?:>|$)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|([^<]+|<)", re.S)
-BROKEN = re.compile(r"([A-Za-z][^\s/>]*)[^>]*>")
-NAMED = re.compile(r"(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+LISTS = SCOPES - {"div", "section", "article"}
+PAGE = frozenset("html body".split())
+HEAD, TEMPLATE, PARAGRAPH = frozenset(["head"]), frozenset(["template"]), frozenset(["p"])
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
+# a name, which may begin with an equals sign, and perhaps a value: quoted, or up to white space or the bracket
+ATTRIBUTE = r"""(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++|(?=>)))?+"""
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|</?+[!?][^>]*+>?+|</(?:>|[^A-Za-z>][^>]*+>?+)"
+    rf"|</([A-Za-z][^\s/>]*+)[^>]*+>?+|<([A-Za-z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE})*+)(>?+)|((?:[^<]++|<(?![A-Za-z/!?]))++)|.",
+    re.S,
+)
+NAMED = re.compile(ATTRIBUTE.replace("(?:=", "(=", 1).replace('"[^"]*+"', '"([^"]*+)"').replace("'[^']*+'", "'([^']*+)'").replace("[^\\s>]++", "([^\\s>]++)"))
+TELLING = frozenset("class id role aria-label".split())
 WORDS = re.compile(r"[a-z]+")
 
 
+def telling_words(inside: str) -> tuple[str, ...]:
+    """The words in a tag's class, id, role and label, each once."""
+    low = inside.lower()
+    if not any(name in low for name in ("class", "id", "role", "aria-label")):
+        return ()
+    values = (m[2] or m[3] or m[4] or "" for m in NAMED.finditer(low) if m[1] in TELLING)
+    return tuple(dict.fromkeys(w for v in values for w in WORDS.findall(v)))
+
+
 @dataclass
 class Node:
     tag: str
@@ -56,6 +83,8 @@ class Node:
     #: Text below in all, and below links.
     chars: int = 0
     linked: int = 0
+    #: Whether text stands in it directly.
+    own: bool = False
     children: list[int] = field(default_factory=list)
 
 
@@ -63,15 +92,24 @@ def parse(page: str) -> list[Node]:
     """The nodes of a page in document order; the first is the root. Text nodes have the tag #text."""
     nodes = [Node("#root", -1)]
     stack = [0]
+    opened: dict[str, list[int]] = {}
 
-    def close(names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]].tag
-            if tag in names:
-                del stack[depth:]
-                return
-            if tag in stop:
-                return
+    def push(tag: str) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(len(nodes) - 1)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            opened[nodes[stack.pop()].tag].pop()
+
+    def innermost(names: frozenset[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def close(names: frozenset[str], stop: frozenset[str]) -> None:
+        """Ends the innermost of the names, if no element of stop is open inside it."""
+        depth = innermost(names)
+        if depth and depth >= innermost(stop - names):
+            cut(depth)
 
     at = 0
     while at < len(page):
@@ -80,45 +118,42 @@ def parse(page: str) -> list[Node]:
         at = token.end()
         if tag and not ended:
             break
-        if text == "<" and (broken := BROKEN.match(page, at)):  # a quote that never ends: the tag goes to the next bracket
-            tag, inside, text, at = broken[1], "", None, broken.end()
         if text is not None:
             if text.strip():
                 if nodes[stack[-1]].tag == "head":
-                    stack.pop()
+                    cut(len(stack) - 1)
                 nodes[stack[-1]].children.append(len(nodes))
                 nodes.append(Node("#text", stack[-1], text=html.unescape(text), hidden=nodes[stack[-1]].hidden))
             elif nodes[stack[-1]].children:
                 nodes[stack[-1]].children.append(len(nodes))
                 nodes.append(Node("#text", stack[-1], text=" ", hidden=True))
         elif end_tag:
-            end_tag = end_tag.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == end_tag:
-                    del stack[depth:]
-                    break
+            depth = innermost(frozenset((end_tag.lower(),)))
+            if depth:
+                cut(depth)
         elif tag:
             tag = tag.lower()
             if tag == "body":
-                close({"head"}, frozenset({"template"}))
+                close(HEAD, TEMPLATE)
             elif nodes[stack[-1]].tag == "head" and tag not in METADATA:
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in CLOSED_BY_BLOCK:
-                close({"p"}, SCOPES)
+                close(PARAGRAPH, SCOPES)
             if tag in SIBLINGS:
-                close(SIBLINGS[tag], SCOPES - {"div", "section", "article"})
-            words = tuple(dict.fromkeys(w for _, v in NAMED.findall(inside) for w in WORDS.findall(v.lower()))) if inside else ()
+                close(SIBLINGS[tag], LISTS)
+            words = telling_words(inside) if inside else ()
             nodes[stack[-1]].children.append(len(nodes))
             nodes.append(Node(tag, stack[-1], words, hidden=nodes[stack[-1]].hidden or tag in UNSEEN))
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+                end = RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
             if tag not in VOID:
-                stack.append(len(nodes) - 1)
+                push(tag)
     for i in range(len(nodes) - 1, 0, -1):
         node, parent = nodes[i], nodes[nodes[i].parent]
         if node.tag == "#text" and not node.hidden:
             node.chars = len(node.text)
+            parent.own = True
         if node.tag == "a":
             node.linked = node.chars
         parent.chars += node.chars
@@ -133,8 +168,12 @@ def seen(nodes: list[Node], i: int) -> list[str]:
         return []
     if node.tag == "#text":
         return [f"text {min(6, int(math.log2(1 + len(node.text) / 16)))}"]
+    if node.tag == "a":  # a link is told by what it stands in: text, or other links
+        around = nodes[node.parent]
+        return ["tag a", f"around {int(4 * around.linked / around.chars) if around.chars else 0}", *(f"word {w}" for w in node.words)]
     links = int(4 * node.linked / node.chars) if node.chars else 0
-    return [f"tag {node.tag}", f"links {links}", *(f"word {w}" for w in node.words)]
+    mass = [f"mass {int(4 * node.chars / nodes[0].chars)}{' own' * node.own}"] if node.chars and kind(node) and node.tag not in PAGE else []
+    return [f"tag {node.tag}", f"links {links}", *mass, *(f"word {w}" for w in node.words)]
 
 
 @dataclass(frozen=True)
@@ -149,21 +188,44 @@ def kind(node: Node) -> int:
     return 0 if node.tag == "#text" or node.tag in INLINE or node.tag in VOID else 1
 
 
-def train(pages: list[list[tuple[Node, int]]]) -> Potentials:
-    """Log potentials from pages whose nodes are labelled 0 or 1."""
-    edge = [[[1.0, 1.0], [1.0, 1.0]] for _ in range(2)]
-    counts: dict[str, list[float]] = {}
+Counts = dict[tuple[str, int], float]
+
+
+def count(page: list[tuple[Node, int]]) -> Counts:
+    """How often each observation and each edge comes with each label, in a page whose nodes are labelled 0 or 1."""
+    out: Counts = {}
+    nodes = [n for n, _ in page]
+    for i, (node, label) in enumerate(page):
+        if i and not node.hidden:
+            for f in (f"edge {kind(node)} {page[node.parent][1]}", *seen(nodes, i)):
+                out[f, label] = out.get((f, label), 0.0) + 1
+    return out
+
+
+def summed(counts: Iterable[Counts]) -> Counts:
+    out: Counts = {}
+    for one in counts:
+        for key, n in one.items():
+            out[key] = out.get(key, 0.0) + n
+    return out
+
+
+def together(written: Counts, corpus: Counts) -> Counts:
+    """Both counts, those of the corpus scaled down to as many nodes as the written pages have."""
+    nodes = lambda c: sum(n for (f, _), n in c.items() if f.startswith("edge "))
+    share = min(1.0, nodes(written) / nodes(corpus)) if corpus else 0.0
+    return summed([written, {k: n * share for k, n in corpus.items()}])
+
+
+def potentials(counts: Counts) -> Potentials:
+    """Smoothed log potentials."""
+    edge = [[[1.0 + counts.get((f"edge {k} {above}", y), 0.0) for y in (0, 1)] for above in (0, 1)] for k in (0, 1)]
     totals: dict[str, list[float]] = {}
-    for page in pages:
-        nodes = [n for n, _ in page]
-        for i, (node, label) in enumerate(page):
-            if i and not node.hidden:
-                edge[kind(node)][page[node.parent][1]][label] += 1
-                for f in seen(nodes, i):
-                    counts.setdefault(f, [0.0, 0.0])[label] += 1
-                    totals.setdefault(f.split(" ")[0], [0.0, 0.0])[label] += 1
+    for (f, y), n in counts.items():
+        totals.setdefault(f.split(" ")[0], [0.0, 0.0])[y] += n
     node = {}
-    for f, pair in counts.items():
+    for f in sorted({f for f, _ in counts if not f.startswith("edge ")}):
+        pair = [counts.get((f, y), 0.0) for y in (0, 1)]
         total, more = totals[f.split(" ")[0]], SMOOTHING[f.split(" ")[0]]
         share = sum(pair) / sum(total)
         node[f] = tuple(math.log((pair[y] + more * share) / (total[y] + more)) for y in (0, 1))
@@ -172,7 +234,7 @@ def train(pages: list[list[tuple[Node, int]]]) -> Potentials:
 
 
 #: Pseudo-nodes of each label, by kind of observation: words and tags say much, lengths little.
-SMOOTHING = {"word": 0.2, "tag": 0.5, "links": 20.0, "text": 50.0}
+SMOOTHING = {"word": 0.2, "tag": 0.5, "links": 20.0, "around": 2.0, "mass": 5.0, "text": 50.0}
 
 
 def _sum(a: float, b: float) -> float:
@@ -221,7 +283,7 @@ def marginals(nodes: list[Node], p: Potentials) -> list[float]:
 # text outside any label isn't content. They cover the ways in which pages commonly name their parts.
 _SENTENCE = "It began early, and nobody had seen it coming; the town talked of the river. "
 _PARAGRAPHS = "".join(f"<p>{_SENTENCE * n}</p>" for n in (1, 2, 3, 5, 8, 13, 20, 30))
-_ARTICLE = f"<h1>A headline of the story</h1><p><b>The first witnesses</b> said, <em>on Monday</em>, that it was <a href=x>there before</a>. {_SENTENCE}</p>{_PARAGRAPHS}<h2>What came next</h2><ul><li>A first point, with some words.</li><li>A second point.</li></ul><ol><li>Step one.</li></ol><h3>In detail</h3><blockquote><p>{_SENTENCE}</p></blockquote><pre>code sample</pre><table><tr><th>Name</th><td>42</td></tr></table><dl><dt>Term</dt><dd>What it means.</dd></dl><p>Short.<br>{_SENTENCE * 4}<br>And <i>one</i> more <span>line</span>.</p><figure><img src=x><figcaption>The bridge at dawn.</figcaption></figure><div>{_SENTENCE * 6}</div>"
+_ARTICLE = f"<h1>A headline of the story</h1><p><b>The first witnesses</b> said, <em>on Monday</em>, that it was <a href=x>there before</a>. {_SENTENCE}</p>{_PARAGRAPHS}<p>See <a href=x>the report</a>, and <a href=y>what followed</a> from it.</p><p><a href=x>An inquiry</a> found nothing of the kind. {_SENTENCE}</p><p>More <a href=z>here</a>.</p><ul><li>The <a href=v>first</a> of its kind, says <a href=w>the mayor</a>.</li></ul><h2>What came next</h2><ul><li>A first point, with some words.</li><li>A second point.</li></ul><ol><li>Step one.</li></ol><h3>In detail</h3><blockquote><p>{_SENTENCE}</p></blockquote><pre>code sample</pre><table><tr><th>Name</th><td>42</td></tr></table><dl><dt>Term</dt><dd>What it means.</dd></dl><p>Short.<br>{_SENTENCE * 4}<br>And <i>one</i> more <span>line</span>.</p><figure><img src=x><figcaption>The bridge at dawn.</figcaption></figure><div>{_SENTENCE * 6}</div>"
 _LINKS = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News and views</a></li><li><a href=/c>Contact</a></li></ul>"
 _NOTE = "<h2>Before you go on</h2><p>We use cookies to give you a better visit. Read our <a href=/p>policy</a>.</p><button>Fine</button><span>Or not</span>"
 _ADVERT = "Buy two and get a third for free today. Sale ends soon!"
@@ -261,6 +323,7 @@ def labelled_pages() -> list[str]:
         pages.append(f"<html><body data-y=0>{''.join(own)}</body></html>")
         pages.append(f"<html><body data-y=0><div class=ad data-y=0>{_ADVERT}</div><main data-y=1><article>{_ARTICLE}{boxes[0]}{boxes[1]}<aside data-y=0>{_FILL['aside']}</aside></article>{boxes[2]}</main><footer data-y=0>{_SMALL}</footer></body></html>")
         pages.append(f"<html><body data-y=0><div class='wrapper container row page'><div><div class='{good}' id=content data-y=1>{_ARTICLE}</div></div></div></body></html>")
+        pages += [f"<html><body data-y=0><div data-y=1>{words}</div></body></html>" for words in ("Words.", "A word or two.", _SENTENCE, _SENTENCE * 3, _SENTENCE * 9)]
         pages.append(f"<div data-y=1>{_PARAGRAPHS}<div>{_SENTENCE * 3}</div><section><div><p>{_SENTENCE}</p></div></section></div>")
         pages.append(f"<html><body data-y=0><nav data-y=0>{_LINKS}</nav><main data-y=1>{_ARTICLE}{boxes[3]}<form data-y=0>{_FORM}</form>{boxes[4]}</main><section class=comments data-y=0>{_COMMENT}</section></body></html>")
     return pages
@@ -278,17 +341,61 @@ def labelled(page: str) -> list[tuple[Node, int]]:
     return out
 
 
+@cache
+def written() -> Counts:
+    return summed(count(labelled(p)) for p in labelled_pages())
+
+
 @cache
 def model() -> Potentials:
-    return train([labelled(p) for p in labelled_pages()])
+    """The potentials of the written pages alone."""
+    return potentials(written())
+
+
+#: Pages of the corpus that are fitted on, about.
+FIT_PAGES = 2_000
+# fixed values: elements that HTML defines as the content, and as what is beside it
+MARKED = frozenset("article main".split())
+BESIDE = frozenset("nav aside footer form header dialog".split())
+
+
+def self_labelled(page: str | None) -> list[tuple[Node, int]]:
+    """The nodes of a page that marks its content, labelled by it; nothing for other pages."""
+    nodes = parse(page) if page else []
+    if not any(n.tag in MARKED and n.chars for n in nodes):
+        return []
+    labels: list[int] = []
+    for node in nodes:
+        above = labels[node.parent] if labels else 0
+        labels.append(1 if node.tag in MARKED else 0 if node.tag in BESIDE else above)
+    return list(zip(nodes, labels, strict=True))
+
+
+def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found: Counts = {}
+    for batch in batches:
+        for page in batch["html"]:
+            found = summed([found, count(self_labelled(page))])
+    yield pd.DataFrame([(f, y, n) for (f, y), n in found.items()], columns=["f", "y", "n"])
 
 
-def main_text(page: str | None) -> str:
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Potentials:
+    """Potentials from the written pages and about fit_pages pages of the corpus, drawn by a hash of id and url.
+
+    The driver gets the counts of observations: tags, and the words in classes of the sampled pages.
+    """
+    share = F.shiftrightunsigned(F.xxhash64(F.lit("page sample"), "page_id", "url"), 11) / F.lit(float(2**53))
+    sample = pages.where(share * F.lit(float(pages.count())) < F.lit(float(fit_pages))).select("html")
+    counts = sample.mapInPandas(_count_batches, "f string, y int, n double").groupBy("f", "y").agg(F.sum("n").alias("n"))
+    return potentials(together(written(), {(r["f"], r["y"]): r["n"] for r in counts.collect()}))
+
+
+def main_text(page: str | None, p: Potentials | None = None) -> str:
     """The article's text: blocks in page order, white space as single spaces."""
     if not page:
         return ""
     nodes = parse(page)
-    content = marginals(nodes, model())
+    content = marginals(nodes, p or model())
     pieces: list[str] = []
     # a walk in page order; block elements put a space before and after what they hold
     stack = [(0, True)]
@@ -307,16 +414,16 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(pieces).split())
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        text = [main_text(h) for h in batch["html"]]
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+def extracted(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+    """page_id, url, text and n_chars of every row; Python gets nothing but the html."""
+    shared = pages.sparkSession.sparkContext.broadcast(fit(pages, fit_pages))
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array((main_text(h.as_py(), shared.value) for h in batch), type=pa.string(), size=len(batch))
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(_batches, f"page_id {kind}, url string, text string, n_chars bigint")
+    text = F.arrow_udf(run, "string")(F.col("html"))
+    return pages.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op5_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
