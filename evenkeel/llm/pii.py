@@ -1,18 +1,21 @@
 """Personal data by weak supervision.
 
-Base spans (email, ip, card, phone) come from fixed patterns and always stand. Beside them, looser
-patterns propose candidates that the base misses: phone numbers without a plus sign, and emails
-whose at sign or dots are written out. Labelers vote on every span, base spans included: regex
-labelers on its form, gazetteer labelers on known names inside it, context labelers on the words
-before it. Expectation-maximisation over the counts of vote patterns, of which there are
-few hundred at most however large the corpus, estimates how reliable each labeler is. Its
+Base spans (email, ip, card, phone) come from fixed patterns and always stand. Beside them, wide
+patterns propose candidates that the base misses, and much that only looks alike: emails
+whose at sign or dots are written out, numbers in groups without a plus sign, dotted numbers, long numbers that fail
+the card check, and key-like strings (kind ``secret``). So both classes are seen. Labelers vote on every span, base spans included: regex
+labelers on its form and its parts, gazetteer labelers on known names, prefixes and codes inside it, context labelers on the words
+and signs before it. Expectation-maximisation over the counts of vote patterns, a few
+hundred of each kind at most however large the corpus, estimates how reliable each labeler is. Its
 posteriors, as soft labels over all spans, train a naive Bayes span classifier on span features.
 Candidates that the classifier accepts are added where they don't overlap a base span.
 
-Each text is scanned once; spans with votes and features are staged as a small table.
+Each text is scanned once, into its matches and the gaps between them; running sums over matches place them, so the
+work is linear in a text however many matches it holds, and only matches are shuffled.
 
 Defined results: null texts count as empty and have no spans. Offsets are code points, end
-exclusive. Repeated rows are scanned one by one. Equal starts follow the order of kinds. With no
+exclusive. Very long texts are scanned whole. Repeated rows are judged one by one. Equal starts follow the order of kinds. A candidate that begins
+inside an earlier accepted one is dropped. With no
 spans in the corpus nothing is added. An empty table gives no rows. Further columns are
 ignored.
 """
@@ -22,52 +25,68 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, staged
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 # Possessive forms of the contract's patterns. A run that fails from its first character fails from
-# all others, so matches start where a run does, or where the match before ended.
+# all others, so matches start where a run does, or where the match before ended. Runs of digits too
+# short or too long for a card would fail the check on their number of digits and are not matched.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: Looser candidates.
-LOOSE_PHONE = r"(?<![0-9A-Za-z+.,-])(?:\([0-9]{2,5}\)[\x20]?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])"
-LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{2,63}){1,4}"
+#: Wide candidates: what they may be, and how they look.
+LOOSE_PHONE = r"(?<![0-9A-Za-z+.,/-])(?:\([0-9]{2,5}\)[\x20]?|[0-9]{2,5}[\x20./-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,3}+(?![0-9A-Za-z/-])"
+LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[\[(]at[\])]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63}){1,4}"
+LOOSE_IP = r"(?<![0-9A-Za-z.])[0-9]{1,9}(?:\.[0-9]{1,9}){2,5}+(?![0-9])"
+LOOSE_CARD = r"(?<![0-9A-Za-z.,])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9A-Za-z])"
+LOOSE_SECRET = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{20,128}+(?![0-9A-Za-z_-])"
+#: Kind, whether base, pattern, and what a text must hold to be worth a scan.
+STREAMS = (
+    ("email", True, EMAIL, "@"),
+    ("ip", True, IP, r"[0-9]\.[0-9]"),
+    ("card", True, CARD, "[0-9]"),
+    ("phone", True, PHONE, r"\+[0-9]"),
+    ("email", False, LOOSE_EMAIL, r"[\[( ]at[\]) ]"),
+    ("ip", False, LOOSE_IP, r"[0-9]\.[0-9]"),
+    ("card", False, LOOSE_CARD, "[0-9]"),
+    ("phone", False, LOOSE_PHONE, "[0-9]"),
+    ("secret", False, LOOSE_SECRET, "[0-9]"),
+)
 #: Characters before a span that the context labelers read.
 CONTEXT = 40
-# fixed values: words that announce, or deny, personal data
-ANNOUNCE = "phone|mobile|cell|call|tel|fax|contact|mail|e-mail|email|address|ip|card|visa|mastercard|account|telefon|handy|anruf|teléfono|correo|téléphone|courriel|portable"
-DENY = "version|isbn|issn|chapter|section|figure|table|page|rev|build|part|order|item|serial|date|price|total|id"
-# fixed values: top-level names, and area and exchange codes that are never given out
-TOP_LEVEL = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu"
+# fixed values: words that announce each kind, and words that deny it
+ANNOUNCE = {
+    "email": "mail|e-mail|email|contact|write|address|correo|courriel|kontakt",
+    "ip": "ip|address|host|server|client|login|addr",
+    "card": "card|visa|mastercard|amex|credit|debit|account|karte|tarjeta|carte",
+    "phone": "phone|mobile|cell|call|tel|telephone|fax|contact|telefon|handy|anruf|teléfono|téléphone|portable|whatsapp",
+    "secret": "token|key|secret|password|passwd|pwd|api|auth|bearer|credential|credentials",
+}
+DENY = {
+    "email": "look|looking|stay|meet|arrived",
+    "ip": "version|v|release|section|rev|build|chapter|figure|firmware|update",
+    "card": "isbn|order|serial|tracking|item|invoice|number of|id|part|reference",
+    "phone": "version|isbn|issn|chapter|section|figure|table|page|rev|build|part|order|item|serial|date|price|total|id|since|between|from|until",
+    "secret": "sha|sha1|sha256|md5|commit|checksum|digest|hash|uuid|file|path|url|version",
+}
+# fixed values: top-level names; prefixes of card issuers; area codes never given out; country codes; prefixes of service keys
+TOP_LEVEL = "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|me|tv|at|au|be|br|ca|ch|cn|cz|de|dk|es|eu|fi|fr|gr|hu|ie|il|in|it|jp|kr|mx|nl|no|nz|pl|pt|ro|ru|se|tr|ua|uk|us|za"
+ISSUERS = "4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6011|64[4-9]|65|62"
 NEVER_GIVEN = "000|666|911"
+COUNTRIES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|35[0-9]|37[0-9]|38[0-9]|42[013]"
+KEY_PREFIXES = "sk_|pk_|ghp_|gho_|xoxb-|xoxp-|AKIA|AIza|glpat-"
 EM_ROUNDS = 50
 ACCEPT = 0.5
 #: Pseudo-spans of each class of the classifier.
 SMOOTHING = 8.0
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, match) in code points, from one split and one extraction."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["upto"] + pair["gap"]
-        end = at + F.length(pair["match"])
-        span = F.struct(at.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(F.coalesce(end, at).alias("upto"), F.when(pair["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-
-
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -93,60 +112,50 @@ def is_ip(match: Column) -> Column:
     return F.rlike(match, F.lit(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))
 
 
-EMPTY = "array<struct<start:int,end:int,match:string>>"
-
-
-def _scan(text: Column, pattern: str, worth: Column) -> Column:
-    return F.when(worth, located(text, pattern)).otherwise(F.array().cast(EMPTY))
-
-
-def _as_spans(found: Column, kind: str, base: bool) -> Column:
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            s["end"].alias("end"),
-            F.lit(base).alias("base"),
-            s["match"].alias("match"),
-        ),
-    )
+PIECE = "array<struct<stream:int,skip:int,tail:string,match:string>>"
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id and spans of every row: base spans, and candidates that overlap none, each with its context."""
-    text = F.col("__ek_text")
-    at, number = F.contains(text, F.lit("@")), F.rlike(text, F.lit("[0-9]"))
-    plus = F.contains(text, F.lit("+"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__ek_text")).select(
-        "doc_id",
-        "__ek_text",
-        _scan(text, EMAIL, at).alias("email"),
-        _scan(text, IP, number).alias("ip"),
-        _scan(text, CARD, number).alias("card"),
-        _scan(text, PHONE, plus).alias("phone"),
-        _scan(text, LOOSE_PHONE, number).alias("loose_phone"),
-        _scan(text, LOOSE_EMAIL, F.rlike(text, F.lit(r"[\[(]at[\])]"))).alias("loose_email"),
-    )
-    base = F.concat(
-        _as_spans(F.col("email"), "email", True),
-        _as_spans(F.filter("ip", lambda s: is_ip(s["match"])), "ip", True),
-        _as_spans(F.filter("card", lambda s: is_card(s["match"])), "card", True),
-        _as_spans(F.filter("phone", lambda s: is_phone(s["match"])), "phone", True),
-    )
-    loose = F.concat(_as_spans(F.col("loose_email"), "email", False), _as_spans(F.col("loose_phone"), "phone", False))
-    rows = rows.select("doc_id", "__ek_text", base.alias("base"), loose.alias("loose"))
-    free = F.filter("loose", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    before = lambda s: F.substring(
-        F.col("__ek_text"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), s["start"] - F.greatest(F.lit(0), s["start"] - CONTEXT)
+def pieces(text: Column, stream: int, pattern: str, worth: str) -> Column:
+    """All matches of a pattern, each with the length and the end of the gap before it."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("skip"), F.right(g, F.lit(CONTEXT)).alias("tail")))
+    found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    made = F.transform(
+        F.filter(found, lambda p: p["match"].isNotNull()),
+        lambda p: F.struct(F.lit(stream).alias("stream"), p["gap"]["skip"].alias("skip"), p["gap"]["tail"].alias("tail"), p["match"].alias("match")),
     )
-    with_context = F.transform(
-        F.concat("base", free),
-        lambda s: F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), _votes(s, F.lower(before(s))).alias("votes"), _features(s).alias("features")
-        ),
+    there = F.contains(text, F.lit(worth)) if worth == "@" else F.rlike(text, F.lit(worth))
+    return F.when(there, made).otherwise(F.array()).cast(PIECE)
+
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """rid, doc_id and found (the matches of all patterns) of every row of docs."""
+    text = F.coalesce("text", F.lit(""))
+    every = F.concat(*[pieces(text, i, pattern, worth) for i, (_, _, pattern, worth) in enumerate(STREAMS)])
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", every.alias("found"))
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """rid, start, end, kind (its number), base, match and tail of all base spans and of the candidates that overlap none."""
+    matches = found.select("rid", F.posexplode("found").alias("pos", "m")).select("rid", "pos", "m.*")
+    upto = F.sum(F.col("skip") + F.length("match")).over(Window.partitionBy("rid", "stream").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kind = F.element_at(F.array(*[F.lit(KINDS.index(k)) for k, _, _, _ in STREAMS]), F.col("stream") + 1)
+    of_base = F.col("stream") < len(BASE)
+    valid = (
+        F.when(F.col("stream") == KINDS.index("ip"), is_ip(F.col("match")))
+        .when(F.col("stream") == KINDS.index("card"), is_card(F.col("match")))
+        .when(F.col("stream") == KINDS.index("phone"), is_phone(F.col("match")))
+        .otherwise(True)
     )
-    return rows.select("doc_id", F.array_sort(with_context).alias("spans"))
+    placed = matches.select(
+        "rid", (upto - F.length("match")).cast("int").alias("start"), upto.cast("int").alias("end"), kind.alias("kind"), of_base.alias("base"), "match", "tail", valid.alias("valid")
+    ).where(F.col("valid") | ~F.col("base"))
+    order = ["start", F.col("base").desc(), "kind", "end"]
+    before = Window.partitionBy("rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("base"), F.col("kind").desc(), F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("base")
+    near = placed.withColumn("ended", F.max(F.when(known, F.col("end"))).over(before)).withColumn("next", F.min(F.when(known, F.col("start"))).over(behind))
+    free = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return near.where(known | free).drop("ended", "next", "valid")
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -154,39 +163,70 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
 
 
-def _votes(s: Column, context: Column) -> Column:
-    match, number = s["match"], digits(s["match"])
-    n = F.length(number)
-    email = s["kind"] == KINDS.index("email")
-    form = _vote(F.when(email, F.rlike(match, F.lit(r"@|[\[(]at[\])]"))).otherwise(n.between(9, 19)), ~email & (n < 7))
-    separators = _vote(
-        F.when(email, F.rlike(match, F.lit(r"[A-Za-z]"))).otherwise(F.rlike(match, F.lit(r"[()+]|[0-9]{3}[ .-][0-9]{4}$|^(?:[0-9]+\.){3}[0-9]+$|^[0-9]{14,}$"))),
-        ~email & F.rlike(match, F.lit(r"^(?:19|20)[0-9]{2}-")),
-    )
-    known = _vote(
-        F.when(email, F.rlike(F.lower(match), F.lit(rf"(?:\.|dot[\])] ?)(?:{TOP_LEVEL})$"))).otherwise(~F.rlike(match, F.lit(rf"(?:^|[^0-9])(?:{NEVER_GIVEN})[ .)-]"))),
-        ~email & F.rlike(match, F.lit(rf"(?:^|[^0-9])(?:{NEVER_GIVEN})[ .)-]")),
-    )
-    told = _vote(F.rlike(context, F.lit(rf"(?<![\p{{L}}])(?:{ANNOUNCE})[\p{{L}}]*[:.]?[^\p{{L}}]*$")), F.rlike(context, F.lit(rf"(?<![\p{{L}}])(?:{DENY})[\p{{L}}]*[:.]?[^\p{{L}}]*$")))
-    around = _vote(F.rlike(context, F.lit(r"[\p{L},.:;] $|^$|\n$")), F.rlike(context, F.lit(r"[0-9=$#%/] ?$")))
-    return F.array(form, separators, known, told, around)
+def _by_kind(of: dict[str, Column]) -> Column:
+    out = F.when(F.col("kind") == KINDS.index(KINDS[0]), of[KINDS[0]])
+    for k in KINDS[1:]:
+        out = out.when(F.col("kind") == KINDS.index(k), of[k])
+    return out
 
 
-VOTERS = 5
+def _said(words: str) -> Column:
+    """Whether one of the words is the last but signs and one further word before the span."""
+    return F.rlike(F.lower("tail"), F.lit(rf"(?<![\p{{L}}])(?:{words})[\p{{L}}]{{0,2}}[^\p{{L}}]*(?:[\p{{L}}]{{1,8}}[^\p{{L}}]*)?$"))
 
 
-def _features(s: Column) -> Column:
-    match = s["match"]
-    n = F.length(digits(match))
-    return F.array(
-        F.concat(F.lit("kind="), s["kind"].cast("string")),
-        F.concat(F.lit("digits="), F.least(n, F.lit(20)).cast("string")),
-        F.concat(F.lit("long="), F.least(F.floor(F.length(match) / 4), F.lit(12)).cast("string")),
-        F.concat(F.lit("parts="), F.least(F.size(F.split(match, "[^0-9A-Za-z]+")), F.lit(8)).cast("string")),
-        F.concat(F.lit("round="), F.contains(match, F.lit("(")).cast("string")),
-        F.concat(F.lit("ends4="), F.rlike(match, F.lit("[^0-9][0-9]{4}$")).cast("string")),
-        F.concat(F.lit("year="), F.rlike(match, F.lit("(?:19|20)[0-9]{2}")).cast("string")),
+def with_votes(spans: DataFrame) -> DataFrame:
+    """Adds votes (one of each labeler) and features."""
+    match, low = F.col("match"), F.lower("match")
+    number = digits(match)
+    n = F.length(number)
+    like = lambda text, pattern: F.rlike(text, F.lit(pattern))
+    luhn_ok = F.when(n.between(12, 19), luhn(number)).otherwise(False)
+    year = like(match, r"^(?:19|20)[0-9]{2}[ ./-]|[ ./-](?:19|20)[0-9]{2}$")
+    form = _by_kind({
+        "email": _vote(like(low, r"@|[\[(]at[\])]"), like(low, r" at .*[^a-z0-9.-]")),
+        "ip": _vote(is_ip(match), ~is_ip(match)),
+        "card": _vote(luhn_ok, ~luhn_ok),
+        "phone": _vote(n.between(9, 15) & ~year, (n < 8) | year),
+        "secret": _vote(like(match, r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9]).*)$"), like(match, r"^(?:[a-z]+|[A-Z]+|[0-9]+)(?:[-_](?:[a-z]+|[A-Z]+|[0-9]+))+$")),
+    })
+    parts = _by_kind({
+        "email": _vote(like(match, r"^[A-Za-z0-9][A-Za-z0-9._%+-]*[A-Za-z0-9]?[ @\[(]"), like(match, r"^[^A-Za-z0-9]|\.\.")),
+        "ip": _vote(like(match, r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), ~like(match, r"^(?:[0-9]+\.){3}[0-9]+$")),
+        "card": _vote(like(match, r"^(?:[0-9]{14,16}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"), like(match, r"^[0-9]{1,3}[ -]|[ -][0-9]{1,2}[ -]")),
+        "phone": _vote(like(match, r"^[+(]|[0-9]{3}[ .-][0-9]{4}$"), like(match, r"^[0-9]{1,2}[./][0-9]{1,2}[./]|/")),
+        "secret": _vote(F.length(match).isin(32, 36, 40, 64) | (F.length(match) >= 24) & ~like(match, "[-_]"), like(match, "[-_].*[-_].*[-_]")),
+    })
+    known = _by_kind({
+        "email": _vote(like(low, rf"(?:\.|dot[\])]? ?)(?:{TOP_LEVEL})$"), ~like(low, rf"(?:\.|dot[\])]? ?)(?:{TOP_LEVEL})$")),
+        "ip": _vote(~like(match, r"^(?:0|1?[0-9])\.[0-9]{1,2}\.[0-9]{1,2}(?:\.[0-9]{1,2})?$"), like(match, r"^(?:0|1?[0-9])\.[0-9]{1,2}\.[0-9]{1,2}(?:\.[0-9]{1,2})?$")),
+        "card": _vote(like(number, f"^(?:{ISSUERS})"), ~like(number, f"^(?:{ISSUERS})")),
+        "phone": _vote(~like(match, rf"(?:^|[^0-9])(?:{NEVER_GIVEN})[ .)-]") & (~like(match, r"^\+") | like(number, f"^(?:{COUNTRIES})")), like(match, rf"(?:^|[^0-9])(?:{NEVER_GIVEN})[ .)-]|^\+0")),
+        "secret": _vote(like(match, f"^(?:{KEY_PREFIXES})"), F.lit(False)),
+    })
+    told = _by_kind({k: _vote(_said(ANNOUNCE[k]), _said(DENY[k])) for k in KINDS})
+    around = _vote(like(F.col("tail"), r"[\p{L},.:;]\s$|^$|\n$|[:=]\s?[\"']$"), like(F.col("tail"), r"[0-9=$€£#%/]\s?$|[-_/.]$"))
+    votes = F.array(form, parts, known, told, around)
+    feature = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"))
+    features = F.array(
+        feature("digits", F.least(n, F.lit(20))),
+        feature("long", F.least(F.floor(F.length(match) / 4), F.lit(12))),
+        feature("parts", F.least(F.size(F.split(match, "[^0-9A-Za-z]+")), F.lit(8))),
+        feature("plus", like(match, r"^\+")),
+        feature("round", F.contains(match, F.lit("("))),
+        feature("ends4", like(match, "[^0-9][0-9]{4}$")),
+        feature("year", year),
+        feature("slash", F.contains(match, F.lit("/"))),
+        feature("check", luhn_ok),
+        feature("octets", is_ip(match)),
+        feature("sign", F.contains(match, F.lit("@"))),
+        feature("told", told),
+        feature("ending", F.when(F.col("kind") == KINDS.index("email"), like(low, rf"(?:{TOP_LEVEL})$")).otherwise(False)),
     )
+    return spans.withColumn("votes", votes).withColumn("features", features)
+
+
+VOTERS = 5
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
@@ -215,38 +255,48 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS)
     return posterior
 
 
-def train(spans: DataFrame) -> tuple[float, dict[str, float]]:
-    """The prior log-odds and the weight of each feature value. spans: votes and features, one row a span.
+Classifier = dict[int, tuple[float, dict[str, float]]]
+
 
-    The driver gets the counts of vote patterns (3 ** VOTERS at most) and of feature values by pattern.
+def train(spans: DataFrame) -> Classifier:
+    """For each kind the prior log-odds and the weight of each feature value. spans: kind, votes and features, one row a span.
+
+    The driver gets the counts of vote patterns (3 ** VOTERS of a kind at most) and of feature values by pattern.
     """
-    counted = spans.groupBy("votes").count().collect()
-    patterns = {tuple(r["votes"]): r["count"] for r in counted}
-    posterior = reliabilities(patterns)
-    seen = spans.select("votes", F.explode("features").alias("feature")).groupBy("votes", "feature").count().collect()
-    yes = sum(n * posterior[p] for p, n in patterns.items())
-    no = sum(patterns.values()) - yes
-    sums: dict[str, list[float]] = {}
-    for r in sorted(seen, key=lambda r: (r["feature"], tuple(r["votes"]))):
-        p = posterior[tuple(r["votes"])]
-        pair = sums.setdefault(r["feature"], [0.0, 0.0])
-        pair[0] += r["count"] * p
-        pair[1] += r["count"] * (1 - p)
-    # each class is smoothed towards the feature's share in all spans, so a class with few spans says little
-    weights = {}
-    for f, (a, b) in sums.items():
-        share = SMOOTHING * (a + b) / (yes + no)
-        weights[f] = math.log((a + share) / (yes + SMOOTHING)) - math.log((b + share) / (no + SMOOTHING))
-    return math.log((yes + 1) / (no + 1)), weights
-
-
-def accepted(features: Column, prior: float, weights: dict[str, float]) -> Column:
-    """Whether the classifier takes a span with these features."""
-    if not weights:
-        return F.lit(False)
+    counted = spans.groupBy("kind", "votes").count().collect()
+    seen = spans.select("kind", "votes", F.explode("features").alias("feature")).groupBy("kind", "votes", "feature").count().collect()
+    out: Classifier = {}
+    for kind in sorted({r["kind"] for r in counted}):
+        patterns = {tuple(r["votes"]): r["count"] for r in counted if r["kind"] == kind}
+        posterior = reliabilities(patterns)
+        yes = sum(n * posterior[p] for p, n in patterns.items())
+        no = sum(patterns.values()) - yes
+        sums: dict[str, list[float]] = {}
+        for r in sorted((r for r in seen if r["kind"] == kind), key=lambda r: (r["feature"], tuple(r["votes"]))):
+            p = posterior[tuple(r["votes"])]
+            pair = sums.setdefault(r["feature"], [0.0, 0.0])
+            pair[0] += r["count"] * p
+            pair[1] += r["count"] * (1 - p)
+        # each class is smoothed towards the feature's share in all spans, so a class with few spans says little
+        weights = {}
+        for f, (a, b) in sums.items():
+            share = SMOOTHING * (a + b) / (yes + no)
+            weights[f] = math.log((a + share) / (yes + SMOOTHING)) - math.log((b + share) / (no + SMOOTHING))
+        out[kind] = math.log((yes + 1) / (no + 1)), weights
+    return out
+
+
+def _logit(prior: float, weights: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
-    logit = F.aggregate(features, F.lit(float(prior)), lambda acc, f: acc + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-    return logit > math.log(ACCEPT / (1 - ACCEPT))
+    return F.aggregate("features", F.lit(float(prior)), lambda acc, f: acc + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+
+
+def accepted(classifier: Classifier) -> Column:
+    """Whether the classifier takes a span, from its columns kind and features."""
+    logit = F.lit(None).cast("double")
+    for kind, (prior, weights) in sorted(classifier.items()):
+        logit = F.when(F.col("kind") == kind, _logit(prior, weights)).otherwise(logit)
+    return F.coalesce(logit > math.log(ACCEPT / (1 - ACCEPT)), F.lit(False))
 
 
 def _named(spans: Column) -> Column:
@@ -255,27 +305,20 @@ def _named(spans: Column) -> Column:
     return F.array_join(said, ",")
 
 
-def _apart(spans: Column) -> Column:
-    """Sorted spans without candidates that begin inside a candidate before."""
-    empty = F.filter(spans, lambda s: F.lit(False))
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("upto"), empty.alias("kept")),
-        lambda a, s: F.when(s["base"] | (s["start"] >= a["upto"]), F.struct(F.greatest(a["upto"], F.when(s["base"], F.lit(0)).otherwise(s["end"])).alias("upto"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-
-
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row."""
-    rows = staged(spans_of(docs), "pii-spans")
-    prior, weights = train(rows.select(F.explode("spans").alias("s")).select("s.votes", "s.features"))
-    base = F.filter("spans", lambda s: s["base"])
-    every = F.filter("spans", lambda s: s["base"] | accepted(s["features"], prior, weights))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", base.alias("base"), _apart(every).alias("every")).select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(F.col("every")).alias("spans")
-    )
+    found = staged(found_in(docs), "pii-found")
+    spans = staged(with_votes(spans_of(found)).drop("match", "tail"), "pii-spans")
+    taken = spans.where(F.col("base") | accepted(train(spans.select("kind", "votes", "features"))))
+    earlier = Window.partitionBy("rid").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max(F.when(~F.col("base"), F.col("end"))).over(earlier) > F.col("start"), F.lit(False))
+    taken = taken.withColumn("inside", inside).where(F.col("base") | ~F.col("inside"))
+    lists = taken.groupBy(F.col("rid").alias("s_rid")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base"))).alias("every"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")
+    rows = found.select("rid", "doc_id").join(lists, F.col("rid") == F.col("s_rid"), "left").withColumn("every", F.coalesce("every", none))
+    base = F.filter("every", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("every", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("every")).alias("spans"))
 
 
 def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
