@@ -6,15 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where spark.checkpoint.dir is unset, as in tests on one machine.
+#: Only where no checkpoint folder is set and driver and executors share one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/evenkeel"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; checkpoint() is made to use it too."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder: spark.checkpoint.dir, else the context's checkpoint folder. checkpoint() is made to use it too.
+
+    Without either, a local session takes a local folder and a cluster is refused, as its executors would write to
+    disks that nobody else reads.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    known = context._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if at is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = LOCAL_CHECKPOINTS
+    if known.isEmpty():
         context.setCheckpointDir(at)
     return at
 
