@@ -47,6 +47,14 @@ def right_closed(c: Column, edges: list[float], otherwise: int = 0) -> Column:
     return out
 
 
+def cut(c: Column, edges: list[float], labels: list[str]) -> Column:
+    """The label of the interval (edge, next edge] that holds c; null outside all of them."""
+    out = F.when(c <= edges[0], None)
+    for edge, label in zip(edges[1:], labels, strict=True):
+        out = out.when(c <= edge, label)
+    return out
+
+
 def choose(pairs: list[tuple[Column, object]], otherwise: object = None) -> Column:
     """The value beside the first condition that holds."""
     out = F
@@ -67,7 +75,7 @@ def recency_weight(kind: str, season: Column, first: Column, last: Column) -> Co
         "uniform": F.lit(1.0),
         "linear": 1 + t,
         "exponential": F.pow(F.lit(2.0), t),
-        "step": F.when(t >= 1, 1.5).when(t >= 0.5, 1.0).otherwise(0.5),
+        "step": F.when(season < (first + last) / 2, 0.5).otherwise(1.5),
     }[kind]
 
 
@@ -120,6 +128,10 @@ def bias_corrected_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def wilson_upper(successes: Column, n: Column, z: float = 1.96) -> Column:
+#: The normal quantile of a one-sided bound of 95 %.
+ONE_SIDED_95 = 1.6448536269514722
+
+
+def wilson_upper(successes: Column, n: Column, z: float = ONE_SIDED_95) -> Column:
     p = successes / n
     return (p + z * z / (2 * n) + z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)

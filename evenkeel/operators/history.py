@@ -30,8 +30,8 @@ def past_rows(history: DataFrame, first: int, last: int) -> DataFrame:
     return history.where(F.col("season") < last).select("*", each)
 
 
-def backoff(rows: DataFrame, levels: list[tuple[str, DataFrame, list[str], str]], support: int) -> DataFrame:
-    """rows with the value of the first level that has support.
+def backoff(rows: DataFrame, levels: list[tuple[str, DataFrame, list[str], str]], support: int, last_support: int | None = None) -> DataFrame:
+    """rows with the value of the first level that has support; the last level may ask for another support.
 
     levels: (name, lookup, keys, value), each lookup with columns keys, n and value. Adds level and value;
     NO_HISTORY and null where none has support.
@@ -41,8 +41,8 @@ def backoff(rows: DataFrame, levels: list[tuple[str, DataFrame, list[str], str]]
     for name, lookup, keys, value in reversed(levels):
         renamed = lookup.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], F.col("n").alias(f"_{name}_n"), F.col(value).alias(f"_{name}_v"))
         on = [F.col(k) == F.col(f"_{name}_{k}") for k in keys]
-        out = out.join(F.broadcast(renamed), on, "left").drop(*[f"_{name}_{k}" for k in keys])
-        enough = F.col(f"_{name}_n") >= support
+        out = out.join(renamed, on, "left").drop(*[f"_{name}_{k}" for k in keys])
+        enough = F.col(f"_{name}_n") >= (support if last_support is None or name != levels[-1][0] else last_support)
         names = F.when(enough, F.lit(name)).otherwise(names)
         values = F.when(enough, F.col(f"_{name}_v")).otherwise(values)
     out = out.withColumn("level", names).withColumn("value", values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import choose, classify_value, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
+from ..functions.exprs import choose, classify_value, cut, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
 from ..operators.encode import fit_scaler, scaled, vocabulary_codes
 from ..operators.fit import with_constants, with_group_value
 from ..operators.ranking import ordinal_positions
@@ -95,32 +95,52 @@ def feat_cross(t) -> DataFrame:
     )
 
 
+# fixed values: bounds (right-closed) and labels of the domain's groups
+PHASES = [0, 3, 6, 9, 99], ["1-3", "4-6", "7-9", "10+"]
+PITCHES = [-1, 25, 50, 75, 100, 10000], ["0-25", "26-50", "51-75", "76-100", "100+"]
+USAGE = [-1, 0, 50, 200, 500, 1500, 5000, 1e9], ["0(신규)", "1~50", "51~200", "201~500", "501~1500", "1501~5000", "5000+"]
+LEVERAGE = [-0.01, 0.5, 1.0, 2.0, 100], ["<0.5", "0.5-1.0", "1.0-2.0", ">2.0"]
+
+
+def _sql_cut(column: str, edges: list[float], labels: list[str]) -> str:
+    steps = "".join(f" WHEN {column} <= {edge} THEN '{label}'" for edge, label in zip(edges[1:], labels, strict=True))
+    return f"CASE WHEN {column} <= {edges[0]} THEN NULL{steps} END"
+
+
 @query(
-    """SELECT rk, balls::VARCHAR || '-' || strikes AS count_text,
-       CASE WHEN balls - strikes >= 2 THEN 'behind' WHEN strikes - balls >= 1 THEN 'ahead' ELSE 'even' END AS count_role,
-       CASE WHEN ph = bh THEN 'same_' ELSE 'cross_' END || CASE ph WHEN 1 THEN 'L' ELSE 'R' END AS platoon_detail,
-       CASE WHEN r2 + r3 > 0 THEN 'scoring' WHEN r1 > 0 THEN 'first' ELSE 'empty' END AS runner_pressure,
-       CASE WHEN inning <= 3 THEN 'early' WHEN inning <= 6 THEN 'middle' WHEN inning <= 9 THEN 'late' ELSE 'extra' END AS phase,
-       CASE WHEN n_p = 0 THEN 'u0' WHEN n_p < 10 THEN 'u1' WHEN n_p < 50 THEN 'u2' WHEN n_p < 100 THEN 'u3' WHEN n_p < 200 THEN 'u4' WHEN n_p < 400 THEN 'u5' ELSE 'u6' END AS usage,
-       CASE WHEN li < 0.5 THEN 'low' WHEN li < 1.5 THEN 'mid' WHEN li < 3 THEN 'high' ELSE 'very_high' END AS li_bucket,
-       CASE WHEN diff > 0 THEN 'lead' WHEN diff < 0 THEN 'trail' ELSE 'tie' END AS lead_dir,
+    f"""SELECT rk, balls || '-' || strikes AS count_text,
+       CASE WHEN balls - strikes <= -1 THEN 'pitcher_ahead(0-1,0-2,1-2,2-2)' WHEN balls - strikes >= 2 THEN 'batter_ahead(3-0,3-1,2-0)' WHEN balls - strikes = 1 THEN 'batter_slight(1-0,2-1,3-2)' ELSE 'even(0-0,1-1)' END AS count_role,
+       CASE WHEN ph = bh THEN 'same_hand' ELSE 'opp_hand' END AS platoon, CASE ph WHEN 1 THEN 'L' WHEN 2 THEN 'R' END || '-' || CASE bh WHEN 1 THEN 'L' WHEN 2 THEN 'R' END AS platoon_detail,
+       CASE WHEN r1 + r2 + r3 = 3 THEN 'bases_loaded' WHEN r2 = 1 OR r3 = 1 THEN 'risp' WHEN r1 + r2 + r3 > 0 THEN 'runner_no_risp' ELSE 'none' END AS runner_pressure,
+       {_sql_cut("inning", *PHASES)} AS phase, {_sql_cut("n_p", *PITCHES)} AS pitches, {_sql_cut("n_p", *USAGE)} AS usage, {_sql_cut("li", *LEVERAGE)} AS li_bucket,
+       CASE WHEN abs(diff) <= 1 THEN 'close(<=1)' WHEN abs(diff) <= 3 THEN 'mod(2-3)' WHEN abs(diff) <= 5 THEN 'gapped(4-5)' ELSE 'blowout(>=6)' END AS score_bucket,
+       CASE WHEN diff > 0 THEN 'leading' WHEN diff < 0 THEN 'trailing' ELSE 'tied' END AS lead_dir,
+       CASE WHEN tb = 'T' THEN 'away_attack(T)' ELSE 'home_attack(B)' END AS side, CASE WHEN season >= 2023 THEN '2023-24' ELSE '2019-22' END AS recent,
+       CASE balls * 3 + strikes WHEN 11 THEN '풀카운트(3-2)' WHEN 1 THEN '스트라이크우위(0-1)' WHEN 9 THEN '볼우위(3-0/3-1)' WHEN 10 THEN '볼우위(3-0/3-1)' WHEN 0 THEN '시작(0-0)' ELSE '기타' END AS count_group,
        CASE WHEN balls > 3 THEN 'na' ELSE balls::VARCHAR || '-' || strikes || CASE WHEN season >= 2024 THEN '_ABS' ELSE '_PRE' END END AS regime_count FROM m""",
     "m",
 )
 def feat_labels(t) -> DataFrame:
-    gap = F.col("balls") - F.col("strikes")
-    text = F.concat("balls", F.lit("-"), "strikes")
-    usage = [("u0", 1), ("u1", 10), ("u2", 50), ("u3", 100), ("u4", 200), ("u5", 400)]
+    gap, state = F.col("balls") - F.col("strikes"), F.col("balls") * 3 + F.col("strikes")
+    text, apart = F.concat("balls", F.lit("-"), "strikes"), F.abs("diff")
+    on = F.col("r1") + F.col("r2") + F.col("r3")
+    hand = lambda c: F.when(F.col(c) == 1, "L").when(F.col(c) == 2, "R")
     return t.main.select(
         "rk",
         text.alias("count_text"),
-        choose([(gap >= 2, "behind"), (gap <= -1, "ahead")], "even").alias("count_role"),
-        F.concat(F.when(F.col("ph") == F.col("bh"), "same_").otherwise("cross_"), F.when(F.col("ph") == 1, "L").otherwise("R")).alias("platoon_detail"),
-        choose([(F.col("r2") + F.col("r3") > 0, "scoring"), (F.col("r1") > 0, "first")], "empty").alias("runner_pressure"),
-        choose([(F.col("inning") <= k, v) for k, v in ((3, "early"), (6, "middle"), (9, "late"))], "extra").alias("phase"),
-        choose([(F.col("n_p") < k, v) for v, k in usage], "u6").alias("usage"),
-        choose([(F.col("li") < k, v) for k, v in ((0.5, "low"), (1.5, "mid"), (3, "high"))], "very_high").alias("li_bucket"),
-        choose([(F.col("diff") > 0, "lead"), (F.col("diff") < 0, "trail")], "tie").alias("lead_dir"),
+        choose([(gap <= -1, "pitcher_ahead(0-1,0-2,1-2,2-2)"), (gap >= 2, "batter_ahead(3-0,3-1,2-0)"), (gap == 1, "batter_slight(1-0,2-1,3-2)")], "even(0-0,1-1)").alias("count_role"),
+        F.when(F.col("ph") == F.col("bh"), "same_hand").otherwise("opp_hand").alias("platoon"),
+        F.concat(hand("ph"), F.lit("-"), hand("bh")).alias("platoon_detail"),
+        choose([(on == 3, "bases_loaded"), ((F.col("r2") == 1) | (F.col("r3") == 1), "risp"), (on > 0, "runner_no_risp")], "none").alias("runner_pressure"),
+        cut(F.col("inning"), *PHASES).alias("phase"),
+        cut(F.col("n_p"), *PITCHES).alias("pitches"),
+        cut(F.col("n_p"), *USAGE).alias("usage"),
+        cut(F.col("li"), *LEVERAGE).alias("li_bucket"),
+        choose([(apart <= 1, "close(<=1)"), (apart <= 3, "mod(2-3)"), (apart <= 5, "gapped(4-5)")], "blowout(>=6)").alias("score_bucket"),
+        choose([(F.col("diff") > 0, "leading"), (F.col("diff") < 0, "trailing")], "tied").alias("lead_dir"),
+        F.when(F.col("tb") == "T", "away_attack(T)").otherwise("home_attack(B)").alias("side"),
+        F.when(F.col("season") >= 2023, "2023-24").otherwise("2019-22").alias("recent"),
+        choose([(state == 11, "풀카운트(3-2)"), (state == 1, "스트라이크우위(0-1)"), (state.isin(9, 10), "볼우위(3-0/3-1)"), (state == 0, "시작(0-0)")], "기타").alias("count_group"),
         F.when(F.col("balls") > 3, "na").otherwise(F.concat(text, F.when(F.col("season") >= 2024, "_ABS").otherwise("_PRE"))).alias("regime_count"),
     )
 
@@ -232,15 +252,19 @@ def smooth_rate(t) -> DataFrame:
 
 
 @query(
-    """+ r AS (SELECT season >= 2023 AS late, avg(rate) AS mean FROM m WHERE season < 2025 AND n_p > 0 GROUP BY 1), g AS (SELECT avg(rate) AS mean FROM m WHERE season < 2025 AND n_p > 0)
-    SELECT rk, round(CASE WHEN n_p = 0 THEN coalesce(r.mean, g.mean) ELSE m.rate END, 6) AS rate FROM m LEFT JOIN r ON r.late = (season >= 2023), g""",
+    """+ r AS (SELECT season >= 2023 AS late, avg(rate) AS pitcher, avg(prev1) AS batter FROM m WHERE season < 2025 GROUP BY 1), g AS (SELECT avg(rate) AS pitcher, avg(prev1) AS batter FROM m WHERE season < 2025)
+    SELECT rk, round(CASE WHEN n_p = 0 THEN coalesce(r.pitcher, g.pitcher) ELSE m.rate END, 6) AS rate, round(CASE WHEN n_b = 0 THEN coalesce(r.batter, g.batter) ELSE m.prev1 END, 6) AS batter_rate
+    FROM m LEFT JOIN r ON r.late = (season >= 2023), g""",
     "m",
 )
 def impute_regime(t) -> DataFrame:
-    known = t.main.where((F.col("season") < 2025) & (F.col("n_p") > 0)).withColumn("late", F.col("season") >= 2023)
-    rows = with_group_value(t.main.withColumn("late", F.col("season") >= 2023), known, ["late"], r_mean=F.avg("rate"))
-    rows = with_constants(rows, known, mean=F.avg("rate"))
-    return rows.select("rk", r6(F.when(F.col("n_p") == 0, F.coalesce("r_mean", "mean")).otherwise(F.col("rate"))).alias("rate"))
+    """Rates of first appearances from the mean of their regime over all training rows, for pitchers and for batters."""
+    known = t.main.where(F.col("season") < 2025).withColumn("late", F.col("season") >= 2023)
+    means = {"pitcher": F.avg("rate"), "batter": F.avg("prev1")}
+    rows = with_group_value(t.main.withColumn("late", F.col("season") >= 2023), known, ["late"], **{f"r_{k}": v for k, v in means.items()})
+    rows = with_constants(rows, known, **means)
+    filled = lambda n, kind, rate: r6(F.when(F.col(n) == 0, F.coalesce(f"r_{kind}", kind)).otherwise(F.col(rate)))
+    return rows.select("rk", filled("n_p", "pitcher", "rate").alias("rate"), filled("n_b", "batter", "prev1").alias("batter_rate"))
 
 
 @query(
@@ -270,7 +294,7 @@ def zscore_encode(t) -> DataFrame:
 @query(
     """+ s AS (SELECT min(season) AS a, max(season) AS b FROM m), d AS (SELECT season, count(*) AS n FROM m GROUP BY season)
     SELECT season, n, 1.0::DOUBLE AS uniform, round(1 + (season - a) / (b - a)::DOUBLE, 6) AS linear, round(pow(2, (season - a) / (b - a)::DOUBLE), 6) AS exponential,
-           CASE WHEN season = b THEN 1.5 WHEN (season - a) / (b - a)::DOUBLE >= 0.5 THEN 1.0 ELSE 0.5 END::DOUBLE AS step FROM d, s""",
+           CASE WHEN season < (a + b) / 2.0 THEN 0.5 ELSE 1.5 END::DOUBLE AS step FROM d, s""",
     "m",
 )
 def season_weights(t) -> DataFrame:

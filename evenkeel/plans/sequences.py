@@ -15,6 +15,10 @@ FAMILIES = ["breaking", "fastball", "offspeed"]
 _RUN_SQL = """+ s AS (SELECT *, CASE WHEN lag(family) OVER w = family THEN 0 ELSE 1 END AS start FROM h WINDOW w AS (PARTITION BY uid ORDER BY ts, event_id)), r AS (SELECT *, sum(start) OVER (PARTITION BY uid ORDER BY ts, event_id) AS run FROM s)""".replace(" WINDOW w AS (PARTITION BY uid ORDER BY ts, event_id)", "").replace("OVER w", "OVER (PARTITION BY uid ORDER BY ts, event_id)")
 
 
+#: Tolerance of supports, and the share of transitions that proves a mode.
+TIE, LEAST_SHARE = 1e-9, 0.95
+
+
 @query(
     f"{_RUN_SQL}, g AS (SELECT uid, run, count(*) AS n, arg_min(balls, event_id) AS first_balls, count(DISTINCT hand) AS hands FROM r GROUP BY uid, run) SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS size, count(*) AS runs, sum(first_balls)::BIGINT AS balls, max(hands) AS hands FROM g GROUP BY 1",
     "h",
@@ -178,15 +182,20 @@ def snapshot_max(t) -> DataFrame:
 
 @query(
     """+ s AS (SELECT pid, season, min(n_p) AS lo, max(n_p) AS hi FROM m GROUP BY ALL), d AS (SELECT pid, lo, lag(hi) OVER (PARTITION BY pid ORDER BY season) AS before FROM s)
-    SELECT count(*) FILTER (lo >= before) AS cumulative, count(*) FILTER (lo < before) AS reset, CASE WHEN count(*) FILTER (lo >= before) > count(*) FILTER (lo < before) THEN 'cumulative' ELSE 'season_reset' END AS mode FROM d""",
+    , c AS (SELECT count(*) FILTER (lo >= before - 1e-9) AS cumulative, count(*) FILTER (lo < before - 1e-9) AS reset, count(before) AS n FROM d)
+    SELECT cumulative, reset, CASE WHEN n = 0 THEN 'INSUFFICIENT_TRANSITIONS' WHEN cumulative >= 0.95 * n OR reset >= 0.95 * n THEN 'PASS' ELSE 'MATERIALIZATION_NOT_PROVEN' END AS status,
+           CASE WHEN n > 0 AND cumulative >= 0.95 * n THEN 'CUMULATIVE' WHEN n > 0 AND reset >= 0.95 * n THEN 'SEASON_RESET' END AS mode FROM c""",
     "m",
 )
 def asof_mode(t) -> DataFrame:
-    """Whether as-of counts go on across seasons or start over."""
+    """Whether as-of counts go on across seasons or start over; proven by 95 % of an entity's adjacent seasons or not at all."""
     s = t.main.groupBy("pid", "season").agg(F.min("n_p").alias("lo"), F.max("n_p").alias("hi"))
     d = s.withColumn("before", F.lag("hi").over(Window.partitionBy("pid").orderBy("season")))
-    on, over = F.count_if(F.col("lo") >= F.col("before")), F.count_if(F.col("lo") < F.col("before"))
-    return d.agg(on.alias("cumulative"), over.alias("reset"), F.when(on > over, "cumulative").otherwise("season_reset").alias("mode"))
+    c = d.agg(F.count_if(F.col("lo") >= F.col("before") - TIE).alias("cumulative"), F.count_if(F.col("lo") < F.col("before") - TIE).alias("reset"), F.count("before").alias("n"))
+    enough = lambda k: (F.col("n") > 0) & (F.col(k) >= LEAST_SHARE * F.col("n"))
+    proven = enough("cumulative") | enough("reset")
+    status = F.when(F.col("n") == 0, "INSUFFICIENT_TRANSITIONS").when(proven, "PASS").otherwise("MATERIALIZATION_NOT_PROVEN")
+    return c.select("cumulative", "reset", status.alias("status"), F.when(enough("cumulative"), "CUMULATIVE").when(enough("reset"), "SEASON_RESET").alias("mode"))
 
 
 @query(
