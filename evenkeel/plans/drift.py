@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, r6
 from ..operators import drift as ops
+from ..operators import scoring
 from ..operators.fit import with_constants
 from ..operators.grouped import shares, total_variation
 from ..operators.ranking import average_ranks, ordinal_positions
@@ -78,23 +79,49 @@ def season_shift(t) -> DataFrame:
     return s.select("family", "season", r6(gap).alias("delta"), r6(gap / F.col("p_sd")).alias("scaled"), r6(F.col("sd") / F.col("p_sd")).alias("sd_ratio"), (F.col("n") - F.col("p_n")).alias("dn"))
 
 
-_BOUNDARY_SQL = f"""{_LONG_SQL}, s AS (SELECT metric, season, avg(value) AS mu, var_pop(value) AS v, quantile_cont(value, 0.5) AS med, avg((value IS NULL)::INT) AS gone FROM l WHERE season < 2025 GROUP BY metric, season),
-    b AS (SELECT n.metric, n.season, round((n.mu - o.mu) / sqrt((n.v + o.v) / 2), 6) AS smd, round(n.med - o.med, 6) AS median_change, round(100 * (n.gone - o.gone), 6) AS missing_pp FROM s n JOIN s o ON n.metric = o.metric AND n.season = o.season + 1)"""
+GRID = (0.1, 0.5, 0.9)
+CATEGORIES, ENTITIES = ("game_type", "tb", "dow", "inning"), ("pid", "bid")
+_SIDES = "unnest([season, season + 1]) AS season, unnest([1, -1]) AS side"
+
+_BOUNDARY_SQL = f"""{_LONG_SQL}, s AS (SELECT metric, season, avg(value) AS mu, var_pop(value) AS v, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.9) AS q90, avg((value IS NULL)::INT) AS gone FROM l WHERE season < 2025 GROUP BY metric, season),
+    n AS (SELECT n.metric, n.season, (n.mu - o.mu) / sqrt((n.v + o.v) / 2) AS smd, n.q10 - o.q10 AS q10, n.q50 - o.q50 AS q50, n.q90 - o.q90 AS q90, 100 * (n.gone - o.gone) AS pp FROM s n JOIN s o ON n.metric = o.metric AND n.season = o.season + 1),
+    c AS (UNPIVOT (SELECT season, {", ".join(f"{c}::VARCHAR AS {c}" for c in CATEGORIES)} FROM m WHERE season < 2025) ON {", ".join(CATEGORIES)} INTO NAME col VALUE val),
+    cn AS (SELECT col, season, val, count(*) / sum(count(*)) OVER (PARTITION BY col, season) AS share FROM c GROUP BY col, season, val),
+    cs AS (SELECT col, val, share, {_SIDES} FROM cn), cd AS (SELECT col, season, val, sum(side * share) AS d, max(side) AS later, min(side) AS earlier FROM cs GROUP BY col, season, val),
+    e AS (SELECT season, 'pid' AS col, count(DISTINCT pid) AS k FROM m WHERE season < 2025 GROUP BY season UNION ALL SELECT season, 'bid', count(DISTINCT bid) FROM m WHERE season < 2025 GROUP BY season),
+    b AS (SELECT 'numeric_smd' AS family, metric AS key, season, round(smd, 6) AS change FROM n
+      UNION ALL SELECT 'quantile_change', metric || ':' || p, season, round(q, 6) FROM (SELECT metric, season, unnest(['0.1', '0.5', '0.9']) AS p, unnest([q10, q50, q90]) AS q FROM n)
+      UNION ALL SELECT 'missing_rate_pp', metric, season, round(pp, 6) FROM n
+      UNION ALL SELECT 'categorical_tv', col, season, round(0.5 * sum(abs(d)), 6) FROM cd GROUP BY col, season HAVING max(later) = 1 AND min(earlier) = -1
+      UNION ALL SELECT 'entity_change', x.col, x.season, round((x.k - o.k) / o.k::DOUBLE, 6) FROM e x JOIN e o ON x.col = o.col AND x.season = o.season + 1)"""
 
 
 def _boundaries(t) -> DataFrame:
+    """family, key, season and change of each season against the one before: five families."""
     s = _long(t).where(F.col("season") < 2025).groupBy("metric", "season").agg(
-        F.avg("value").alias("mu"), F.var_pop("value").alias("v"), F.percentile("value", F.lit(0.5)).alias("med"), F.avg(flag(F.col("value").isNull())).alias("gone")
+        F.avg("value").alias("mu"), F.var_pop("value").alias("v"), F.percentile("value", F.array(*[F.lit(p) for p in GRID])).alias("q"), F.avg(flag(F.col("value").isNull())).alias("gone")
     )
     w = Window.partitionBy("metric").orderBy("season")
-    s = s.select("*", *[F.lag(c).over(w).alias(f"o_{c}") for c in ("season", "mu", "v", "med", "gone")]).where(F.col("o_season") == F.col("season") - 1)
-    return s.select(
-        "metric",
-        "season",
-        r6(ops.smd_pooled_population(F.col("o_mu"), F.col("o_v"), F.col("mu"), F.col("v"))).alias("smd"),
-        r6(F.col("med") - F.col("o_med")).alias("median_change"),
-        r6(100 * (F.col("gone") - F.col("o_gone"))).alias("missing_pp"),
-    )
+    s = s.select("*", *[F.lag(c).over(w).alias(f"o_{c}") for c in ("season", "mu", "v", "q", "gone")]).where(F.col("o_season") == F.col("season") - 1)
+    row = lambda family, key, change: F.struct(F.lit(family).alias("family"), key.alias("key"), r6(change).alias("change"))
+    numeric = s.select("season", F.inline(F.array(
+        row("numeric_smd", F.col("metric"), ops.smd_pooled_population(F.col("o_mu"), F.col("o_v"), F.col("mu"), F.col("v"))),
+        *[row("quantile_change", F.concat("metric", F.lit(f":{p}")), F.get("q", F.lit(i)) - F.get("o_q", F.lit(i))) for i, p in enumerate(GRID)],
+        row("missing_rate_pp", F.col("metric"), 100 * (F.col("gone") - F.col("o_gone"))),
+    )))
+    rows = t.main.where(F.col("season") < 2025)
+    # a season's shares stand for its own boundary and, negative, for the next one
+    counted = rows.select("season", *[F.col(c).cast("string").alias(c) for c in CATEGORIES]).unpivot(["season"], list(CATEGORIES), "key", "val").groupBy("key", "season", "val").count()
+    counted = counted.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("key", "season")))
+    sides = F.inline(F.array(*[F.struct((F.col("season") + k).alias("at"), F.lit(1 - 2 * k).alias("side")) for k in (0, 1)]))
+    gaps = counted.select("key", "val", "share", sides).groupBy("key", "at", "val").agg(F.sum(F.col("side") * F.col("share")).alias("d"), F.max("side").alias("later"), F.min("side").alias("earlier"))
+    tv = gaps.groupBy("key", "at").agg((0.5 * F.sum(F.abs("d"))).alias("tv"), F.max("later").alias("later"), F.min("earlier").alias("earlier")).where("later = 1 AND earlier = -1")
+    many = rows.groupBy("season").agg(*[F.count_distinct(c).alias(c) for c in ENTITIES])
+    before = Window.orderBy("season")
+    many = many.select("*", F.lag("season").over(before).alias("o_season"), *[F.lag(c).over(before).alias(f"o_{c}") for c in ENTITIES]).where(F.col("o_season") == F.col("season") - 1)
+    entities = many.select("season", F.inline(F.array(*[row("entity_change", F.lit(c), (F.col(c) - F.col(f"o_{c}")) / F.col(f"o_{c}")) for c in ENTITIES])))
+    tv = tv.select(F.col("at").alias("season"), F.lit("categorical_tv").alias("family"), "key", r6("tv").alias("change"))
+    return numeric.unionByName(tv).unionByName(entities).select("family", "key", "season", "change")
 
 
 @query(f"{_BOUNDARY_SQL} SELECT * FROM b", "m")
@@ -103,21 +130,50 @@ def boundary_families(t) -> DataFrame:
 
 
 @query(
-    f"""{_BOUNDARY_SQL}, u AS (SELECT metric, season, unnest(['smd', 'median_change', 'missing_pp']) AS family, unnest([smd, median_change, missing_pp]) AS change FROM b),
-    p AS (SELECT metric, family, max(abs(change)) AS past, count(*) - count(change) AS nulls FROM u WHERE season < 2024 GROUP BY metric, family)
-    SELECT u.metric, u.family, change, past, (nulls = 0 AND abs(change) > past)::INT AS exceeds FROM u JOIN p ON u.metric = p.metric AND u.family = p.family WHERE season = 2024""",
+    f"""{_BOUNDARY_SQL}, p AS (SELECT family, key, max(abs(change)) AS past, count(*) - count(change) AS nulls FROM b WHERE season < 2024 GROUP BY family, key)
+    SELECT b.family, b.key, change, past, (nulls = 0 AND abs(change) > past)::INT AS exceeds FROM b JOIN p ON b.family = p.family AND b.key = p.key WHERE season = 2024""",
     "m",
 )
 def boundary_exceeds(t) -> DataFrame:
     """The last boundary against the largest of all before it."""
-    u = _boundaries(t).unpivot(["metric", "season"], ["smd", "median_change", "missing_pp"], "family", "change")
     past = F.when(F.col("season") < 2024, F.col("change"))
-    made = u.groupBy("metric", "family").agg(
+    made = _boundaries(t).groupBy("family", "key").agg(
         F.max(F.when(F.col("season") == 2024, F.col("change"))).alias("change"),
         F.max(F.abs(past)).alias("past"),
         F.count_if((F.col("season") < 2024) & F.col("change").isNull()).alias("nulls"),
     )
-    return made.select("metric", "family", "change", "past", flag(ops.boundary_exceeds(F.col("change"), F.col("past"), F.col("nulls"))).alias("exceeds"))
+    return made.select("family", "key", "change", "past", flag(ops.boundary_exceeds(F.col("change"), F.col("past"), F.col("nulls"))).alias("exceeds"))
+
+
+# fixed values: how much worse the 95 % point of each family may get
+GUARDRAILS = {"categorical_tv": 0.005, "numeric_smd": 0.02, "quantile_change": 0.02, "missing_rate_pp": 0.05, "entity_change": 0.01}
+
+
+@query(
+    f"""{_BOUNDARY_SQL}, p AS (SELECT family, key, abs(max(change) FILTER (season = 2023)) AS cur, abs(max(change) FILTER (season = 2024)) AS cand FROM b GROUP BY family, key),
+    f AS (SELECT family, count(*) FILTER (cur IS NOT NULL AND cand IS NOT NULL) AS n, count(*) FILTER (cur IS NOT NULL AND cand IS NULL) AS lost,
+      quantile_cont(cur, 0.5) FILTER (cand IS NOT NULL) AS cm, quantile_cont(cand, 0.5) FILTER (cur IS NOT NULL) AS nm, quantile_cont(cur, 0.95) FILTER (cand IS NOT NULL) AS c95, quantile_cont(cand, 0.95) FILTER (cur IS NOT NULL) AS n95 FROM p GROUP BY family),
+    g AS (SELECT *, CASE family {" ".join(f"WHEN '{k}' THEN {v}" for k, v in GUARDRAILS.items())} END AS rail FROM f),
+    gated AS (SELECT *, CASE WHEN lost > 0 OR n = 0 THEN 'FAIL_CLOSED' WHEN nm <= cm + 1e-12 AND n95 <= c95 + rail THEN 'PASS' ELSE 'FAIL' END AS status FROM g)
+    SELECT family, n, round(cm, 6) AS current_med, round(nm, 6) AS candidate_med, round(c95, 6) AS current_p95, round(n95, 6) AS candidate_p95, status, (status = 'PASS' AND nm < cm - 1e-12)::INT AS strict,
+      CASE WHEN cm IS NULL OR nm IS NULL OR cm <= 1e-12 THEN 'FAIL_CLOSED' WHEN nm <= cm * 0.75 + 1e-12 THEN 'PASS' ELSE 'FAIL' END AS reduced,
+      CASE WHEN bool_or(status = 'FAIL_CLOSED') OVER () THEN 'FAIL_CLOSED' WHEN bool_and(status = 'PASS') OVER () AND sum((status = 'PASS' AND nm < cm - 1e-12)::INT) OVER () >= 3 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM gated""",
+    "m",
+)
+def family_gate(t) -> DataFrame:
+    """The distances of the last boundary against those of the one before, by family; the verdict asks all families and three strict gains."""
+    at = lambda s: F.abs(F.max(F.when(F.col("season") == s, F.col("change"))))
+    pairs = _boundaries(t).groupBy("family", "key").agg(at(2023).alias("current"), at(2024).alias("candidate"))
+    every = Window.partitionBy()
+    strict = flag(F.col("strict"))
+    verdict = F.when(F.bool_or(F.col("status") == "FAIL_CLOSED").over(every), "FAIL_CLOSED").when(
+        F.bool_and(F.col("status") == "PASS").over(every) & (F.sum(strict).over(every) >= 3), "PASS"
+    ).otherwise("FAIL")
+    gate = scoring.family_gate(pairs, GUARDRAILS)
+    return gate.select(
+        "family", "n", *[r6(c).alias(c) for c in ("current_med", "candidate_med", "current_p95", "candidate_p95")], "status", strict.alias("strict"),
+        scoring.relative_reduction(F.col("current_med"), F.col("candidate_med"), 0.25).alias("reduced"), verdict.alias("verdict"),
+    )
 
 
 @query("SELECT season, id FROM (SELECT season, id, row_number() OVER (PARTITION BY season ORDER BY id) AS k FROM f WHERE status = 'F') WHERE k <= 100", "f")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import choose, clip, deployed, flag, logit, r6, sigmoid
 from ..operators.fit import with_constants, with_group_value
 from ..operators.ranking import ordinal_positions
-from ..operators.scoring import brier, grid, simplex, skill
+from ..operators.scoring import brier, capped_correction, cells, counted_skill, grid, rolling_choice, screen_gate, simplex, skill
 from .registry import query
 
 Y = "y"
@@ -103,15 +103,16 @@ def blend_legs(t) -> DataFrame:
 
 
 @query(
-    f"""+ {_Z}, g AS (SELECT a::INT AS a, b::INT AS b, (10 - a - b)::INT AS c FROM (SELECT unnest(generate_series(0, 10)) AS a), (SELECT unnest(generate_series(0, 10)) AS b) WHERE a + b <= 10)
-    SELECT a, b, c, round({_BSS.format(p=_sig('(a * z0 + b * z1) / 10.0::DOUBLE'))}, 4) AS bss FROM z, g GROUP BY a, b, c""",
+    f"""+ {_Z}, g AS (SELECT a::INT AS a, b::INT AS b, (20 - a - b)::INT AS c FROM (SELECT unnest(generate_series(0, 20)) AS a), (SELECT unnest(generate_series(0, 20)) AS b) WHERE a + b <= 20)
+    SELECT a, b, c, round({_BSS.format(p=_sig('(a * z0 + b * z1) / 20.0::DOUBLE'))}, 4) AS bss FROM z, g GROUP BY a, b, c""",
     "m",
 )
 def weight_grid(t) -> DataFrame:
-    """All weights of two members and a constant in steps of a tenth."""
-    weights = F.array(*[F.struct(*[F.lit(w).alias(n) for n, w in zip("abc", ws, strict=True)]) for ws in simplex(3, 10)])
-    rows = _z(t).select("z0", "z1", "y", F.inline(weights))
-    return rows.groupBy("a", "b", "c").agg(F.round(skill(sigmoid((F.col("a") * F.col("z0") + F.col("b") * F.col("z1")) / 10), F.col(Y)), 4).alias("bss"))
+    """All weights of two members and a constant in steps of a twentieth. Rows of equal predictions are counted first."""
+    weights = F.array(*[F.struct(*[F.lit(w).alias(n) for n, w in zip("abc", ws, strict=True)]) for ws in simplex(3, 20)])
+    rows = cells(_z(t), ["z0", "z1"], Y).select("*", F.inline(weights))
+    p = sigmoid((F.col("a") * F.col("z0") + F.col("b") * F.col("z1")) / 20)
+    return rows.groupBy("a", "b", "c").agg(F.round(counted_skill(p, F.col(Y), F.col("n")), 4).alias("bss"))
 
 
 @query(
@@ -125,17 +126,56 @@ def blend_analytic(t) -> DataFrame:
     return t.main.groupBy("season").agg(r6(w).alias("weight"), (r6(clip(w, 0.0, 1.0)) + 0.0).alias("bounded"), r6(2 * w).alias("root"))
 
 
+#: Points of the grid, tolerance of its signs, step of the derivative; each refinement cuts the bracket into so many.
+ALPHAS, SIGN, STEP, CUTS = 1000, 1e-12, 1e-6, 100
+_P_ALPHA = f"least(greatest({_sig('z0 + alpha * (z1 - z0) - 0.0404')}, 0.3), 0.7)"
+_G = "SELECT {k} AS k, alpha, (SELECT sum(n * (least(greatest(1 / (1 + exp(-(z0 - 0.0404))), 0.3), 0.7) - y) ** 2) / sum(n) FROM c) - sum(n * ({p} - y) ** 2) / sum(n) AS g FROM c, {points} GROUP BY ALL"
+
+
+def _sql_round(i: int) -> str:
+    """One refinement: the bracket of round i - 1 cut into equal parts, and the part in which the sign changes."""
+    points = f"(SELECT k, lo + k * (hi - lo) / {CUTS} AS alpha FROM b{i - 1}, (SELECT unnest(generate_series(1, {CUTS})) AS k))"
+    return f"""g{i} AS ({_G.format(k="k", p=_P_ALPHA, points=points)}), f{i} AS (SELECT min(k) AS k FROM g{i} WHERE g <= {SIGN}),
+    b{i} AS (SELECT lo + (f{i}.k - 1) * (hi - lo) / {CUTS} AS lo, lo + f{i}.k * (hi - lo) / {CUTS} AS hi FROM b{i - 1}, f{i})"""
+
+
 @query(
-    """+ g AS (SELECT unnest(generate_series(0, 20)) / 20.0::DOUBLE AS alpha), s AS (SELECT alpha, avg((p0 + alpha * (p1 - p0) - y) ** 2) AS b FROM m, g WHERE season = 2024 GROUP BY alpha)
-    SELECT round(alpha, 6) AS alpha, round(b, 8) AS brier, (round(b, 10) < (SELECT round(b, 10) FROM s WHERE alpha = 0))::INT AS better FROM s""",
+    f"""+ {_Z}, c AS (SELECT z0, z1, y, count(*) AS n FROM z WHERE season = 2024 GROUP BY ALL),
+    d AS ({_G.format(k="0", p=_P_ALPHA, points=f"(SELECT {STEP} AS alpha)")}), g0 AS ({_G.format(k="k", p=_P_ALPHA, points=f"(SELECT k, k / {ALPHAS}.0::DOUBLE AS alpha FROM (SELECT unnest(generate_series(1, {ALPHAS})) AS k))")}),
+    f0 AS (SELECT min(k) AS k FROM g0 WHERE g <= {SIGN}), b0 AS (SELECT (k - 1) / {ALPHAS}.0::DOUBLE AS lo, k / {ALPHAS}.0::DOUBLE AS hi FROM f0), {_sql_round(1)}, {_sql_round(2)}
+    SELECT round(d.g / {STEP}, 4) AS derivative, CASE WHEN d.g / {STEP} > 1e-12 THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(f0.k - 1, {ALPHAS})::INT AS positive_points, round(CASE WHEN d.g / {STEP} > 1e-12 THEN coalesce(b2.hi, 1.0) END, 6) AS boundary
+    FROM d, f0, b2""",
     "m",
 )
 def alpha_grid(t) -> DataFrame:
-    """Every step towards the second member in one pass, each against the step of zero."""
-    rows = grid(t.main.where("season = 2024").select("p0", "p1", "y"), "alpha", [k / 20 for k in range(21)])
-    s = rows.groupBy("alpha").agg(brier(F.col("p0") + F.col("alpha") * (F.col("p1") - F.col("p0")), F.col(Y)).alias("b"))
-    s = with_constants(s, s, base=F.max(F.when(F.col("alpha") == 0, F.col("b"))))
-    return s.select(r6("alpha").alias("alpha"), F.round("b", 8).alias("brier"), flag(F.round("b", 10) < F.round("base", 10)).alias("better"))
+    """Up to which step towards the second member the deployed Brier score stays below that of none: the first change of
+    sign on a grid, refined twice inside its bracket. Later changes are ignored."""
+    c = cells(_z(t).where("season = 2024"), ["z0", "z1"], Y)
+    error = lambda alpha: F.pow(deployed(F.col("z0") + alpha * (F.col("z1") - F.col("z0")), -0.0404) - F.col(Y), F.lit(2))
+    gain = F.sum(F.col("n") * (error(F.lit(0.0)) - error(F.col("alpha")))) / F.sum("n")
+
+    def first_change(points) -> DataFrame:
+        """The first k whose alpha brings no gain; points: an array of (k, alpha), from constants or from a bracket of one row."""
+        g = points.groupBy("k", "alpha").agg(gain.alias("g"))
+        return g.agg(F.min(F.when(F.col("g") <= SIGN, F.col("k"))).alias("k"))
+
+    at = F.explode(F.sequence(F.lit(1), F.lit(ALPHAS)))
+    found = first_change(c.select("*", at.alias("k")).withColumn("alpha", F.col("k") / F.lit(float(ALPHAS))))
+    slope = c.withColumn("alpha", F.lit(STEP)).agg((gain / STEP).alias("slope"))
+    bracket = found.select(F.col("k").alias("k0"), ((F.col("k") - 1) / F.lit(float(ALPHAS))).alias("lo"), (F.col("k") / F.lit(float(ALPHAS))).alias("hi"))
+    for _ in range(2):
+        cut = F.explode(F.sequence(F.lit(1), F.lit(CUTS)))
+        points = c.crossJoin(F.broadcast(bracket)).select("*", cut.alias("k")).withColumn("alpha", F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / CUTS)
+        inside = first_change(points).withColumnRenamed("k", "k1")
+        width = (F.col("hi") - F.col("lo")) / CUTS
+        bracket = bracket.crossJoin(F.broadcast(inside)).select("k0", (F.col("lo") + (F.col("k1") - 1) * width).alias("lo"), (F.col("lo") + F.col("k1") * width).alias("hi"))
+    rising = F.col("slope") > 1e-12
+    return bracket.crossJoin(F.broadcast(slope)).select(
+        F.round("slope", 4).alias("derivative"),
+        F.when(rising, "PASS").otherwise("FAIL").alias("status"),
+        F.coalesce(F.col("k0") - 1, F.lit(ALPHAS)).cast("int").alias("positive_points"),
+        r6(F.when(rising, F.coalesce("hi", F.lit(1.0)))).alias("boundary"),
+    )
 
 
 @query(f"+ {_Z} SELECT season, round(corr(z0, z1), 6) AS members, round(corr(p1 - p0, y - p0), 6) AS residual FROM z GROUP BY season", "m")
@@ -148,16 +188,46 @@ def clip_fracs(t) -> DataFrame:
     return t.main.groupBy("season").agg(r6(F.avg(flag(F.col("p0") <= 0.3))).alias("low"), r6(F.avg(flag(F.col("p0") >= 0.55))).alias("high"), r6(F.max(F.abs(F.col("p0") - 0.5))).alias("reach"))
 
 
+_SLOPES = "SELECT slope, sum(n * ({p} - y) ** 2) / sum(n) AS b FROM c, {points} GROUP BY slope"
+_P_SLOPE = _sig("slope * z0")
+
+
 @query(
-    f"""+ {_Z}, g AS (SELECT (5 + unnest(generate_series(0, 10))) / 10.0::DOUBLE AS slope), s AS (SELECT slope, avg(({_sig('slope * z0')} - y) ** 2) AS b FROM z, g WHERE season < 2024 GROUP BY slope)
-    SELECT round(slope, 6) AS slope, round(b, 8) AS brier FROM s ORDER BY round(b, 10), slope LIMIT 1""",
+    f"""+ {_Z}, c AS (SELECT z0, y, count(*) AS n FROM z WHERE season < 2024 GROUP BY ALL), g AS ({_SLOPES.format(p=_P_SLOPE, points="(SELECT 0.6::DOUBLE + k * 0.8::DOUBLE / 200 AS slope FROM (SELECT unnest(generate_series(0, 200)) AS k))")}),
+    a AS (SELECT slope AS a FROM g ORDER BY round(b, 12), slope LIMIT 1), r AS (SELECT greatest(0.6, a - 0.02) AS lo, least(1.4, a + 0.02) AS hi FROM a),
+    f AS ({_SLOPES.format(p=_P_SLOPE, points="(SELECT lo + unnest(generate_series(0, round((hi - lo) / 0.001)::INT)) * (hi - lo) / round((hi - lo) / 0.001) AS slope FROM r)")})
+    SELECT round(slope, 6) AS slope, round(f.b, 8) AS brier, round((SELECT max(b) - min(b) FROM g), 8) AS range FROM f ORDER BY round(f.b, 12), slope LIMIT 1""",
     "m",
 )
 def slope_grid(t) -> DataFrame:
-    rows = grid(_z(t).where("season < 2024").select("z0", "y"), "slope", [(5 + k) / 10 for k in range(11)])
-    s = rows.groupBy("slope").agg(brier(sigmoid(F.col("slope") * F.col("z0")), F.col(Y)).alias("b"))
-    best = s.agg(F.min(F.struct(F.round("b", 10).alias("b"), "slope")).alias("s"))
-    return best.select(r6("s.slope").alias("slope"), F.round("s.b", 8).alias("brier"))
+    """The slope of least Brier score: 201 slopes from 0.6 to 1.4, then steps of 0.001 within 0.02 of the best."""
+    c = cells(_z(t).where("season < 2024"), ["z0"], Y)
+    error = F.sum(F.col("n") * F.pow(sigmoid(F.col("slope") * F.col("z0")) - F.col(Y), F.lit(2))) / F.sum("n")
+    best = F.min(F.struct(F.round("b", 12).alias("r"), "slope", "b"))
+    coarse = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k")).withColumn("slope", F.lit(0.6) + F.col("k") * 0.8 / 200).groupBy("slope").agg(error.alias("b"))
+    coarse = coarse.agg(best["slope"].alias("a"), (F.max("b") - F.min("b")).alias("range"))
+    lo, hi = F.greatest(F.lit(0.6), F.col("a") - 0.02), F.least(F.lit(1.4), F.col("a") + 0.02)
+    steps = F.round((hi - lo) / 0.001).cast("int")
+    fine = c.crossJoin(F.broadcast(coarse)).select("*", F.explode(F.sequence(F.lit(0), steps)).alias("k")).withColumn("slope", lo + F.col("k") * (hi - lo) / steps)
+    fine = fine.groupBy("slope", "range").agg(error.alias("b")).groupBy("range").agg(best.alias("s"))
+    return fine.select(r6("s.slope").alias("slope"), F.round("s.b", 8).alias("brier"), F.round("range", 8).alias("range"))
+
+
+CAPS, YEARS = (0.05, 0.15, 0.5), (2022, 2023, 2024)
+_CORRECTED = "least(greatest(1 / (1 + exp(-(z0 + least(greatest(z1 + 0.0404 - z0, -cap), cap) - 0.0404))), 0.3), 0.7)"
+
+
+@query(
+    f"""+ {_Z}, e AS (SELECT cap, season, avg(({_CORRECTED} - y) ** 2) AS b FROM z, (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in CAPS)}]) AS cap) WHERE season IN {YEARS} GROUP BY cap, season)
+    SELECT cap, round(avg(b), 8) AS mean_brier, count(*) AS years, (row_number() OVER (ORDER BY round(avg(b), 12), cap) = 1)::INT AS chosen FROM e GROUP BY cap""",
+    "m",
+)
+def residual_rolling(t) -> DataFrame:
+    """A residual member's correction of the base logit under several caps; the least mean Brier score over forward years decides, the smallest cap on a tie."""
+    rows = grid(_z(t).where(F.col("season").isin(*YEARS)), "cap", list(CAPS))
+    p = deployed(capped_correction(F.col("z0"), F.col("z1"), -0.0404, F.col("cap")), -0.0404)
+    years = rows.groupBy("cap", "season").agg(brier(p, F.col(Y)).alias("b"))
+    return rolling_choice(years, "cap").select("cap", F.round("mean_brier", 8).alias("mean_brier"), "years", "chosen")
 
 
 @query(
@@ -178,7 +248,7 @@ def subgroup_apply(t) -> DataFrame:
 
 _METRICS_SQL = f"""+ {_Z}, o AS (SELECT season, {_BSS.format(p='p0')} AS base, {_BSS.format(p='p1')} AS c1, {_BSS.format(p=_sig('(z0 + z1) / 2'))} AS c2, {_BSS.format(p='0.9 * p0 + 0.1 * p1')} AS c3,
     avg(p1) - avg(p0) AS s1, avg({_sig('(z0 + z1) / 2')}) - avg(p0) AS s2, avg(0.9 * p0 + 0.1 * p1) - avg(p0) AS s3 FROM z WHERE season IN (2022, 2023, 2024) GROUP BY season),
-    u AS (SELECT season, unnest(['c1', 'c2', 'c3']) AS candidate, unnest([c1 - base, c2 - base, c3 - base]) AS delta, unnest([s1, s2, s3]) AS shift FROM o)"""
+    u AS (SELECT season, unnest(['c1', 'c2', 'c3']) AS candidate, unnest([c1 - base, c2 - base, c3 - base]) AS delta, unnest([s1, s2, s3]) AS shift, base, unnest([c1, c2, c3]) AS score FROM o)"""
 
 
 def _metrics(t) -> DataFrame:
@@ -186,38 +256,30 @@ def _metrics(t) -> DataFrame:
     y = F.col(Y)
     made = {"c1": F.col("p1"), "c2": sigmoid((F.col("z0") + F.col("z1")) / 2), "c3": 0.9 * F.col("p0") + 0.1 * F.col("p1")}
     o = _z(t).where(F.col("season").isin(2022, 2023, 2024)).groupBy("season").agg(
-        *[F.struct(F.lit(k).alias("candidate"), (skill(p, y) - skill(F.col("p0"), y)).alias("delta"), (F.avg(p) - F.avg("p0")).alias("shift")).alias(k) for k, p in made.items()]
+        *[F.struct(F.lit(k).alias("candidate"), (skill(p, y) - skill(F.col("p0"), y)).alias("delta"), (F.avg(p) - F.avg("p0")).alias("shift"), skill(F.col("p0"), y).alias("base"), skill(p, y).alias("score")).alias(k) for k, p in made.items()]
     )
     return o.select("season", F.inline(F.array(*made)))
 
 
 @query(
-    f"""{_METRICS_SQL} SELECT candidate, round(min(delta), 4) AS worst, count(*) FILTER (delta > 1) AS improved, bool_and(delta > 1 AND abs(shift) <= 0.05)::INT AS screened, bool_and(delta > 3)::INT AS terminal,
+    f"""{_METRICS_SQL} SELECT candidate, round(min(delta), 4) AS worst, count(*) FILTER (delta > 1) AS improved, bool_and(delta > 1 AND score > base AND abs(shift) <= 0.005 AND isfinite(score))::INT AS screened, bool_and(delta > 1 AND abs(shift) <= 0.05)::INT AS screened_wide, bool_and(delta > 3)::INT AS terminal,
     CASE WHEN bool_and(delta > 3) THEN 'PASS' WHEN bool_or(delta > 0) THEN 'FAIL' ELSE 'KILL' END AS verdict FROM u GROUP BY candidate""",
     "m",
 )
 def gate_table(t) -> DataFrame:
-    gain, still = F.col("delta"), F.abs("shift") <= 0.05
+    gain = F.col("delta")
+    # a score is 1e5 (1 - Brier / reference), so a higher score of the same rows is a lower Brier
+    screened = lambda shift: screen_gate(gain, -F.col("score"), -F.col("base"), F.col("shift"), shift=shift)
     return _metrics(t).groupBy("candidate").agg(
         F.round(F.min(gain), 4).alias("worst"),
         F.count_if(gain > 1).alias("improved"),
-        flag(F.bool_and((gain > 1) & still)).alias("screened"),
+        flag(F.bool_and(screened(0.005))).alias("screened"),
+        flag(F.bool_and(screened(0.05))).alias("screened_wide"),
         flag(F.bool_and(gain > 3)).alias("terminal"),
         choose([(F.bool_and(gain > 3), "PASS"), (F.bool_or(gain > 0), "FAIL")], "KILL").alias("verdict"),
     )
 
 
-@query(
-    f"""{_METRICS_SQL} SELECT candidate, round(quantile_cont(delta, 0.5), 4) AS med, round(quantile_cont(delta, 0.95), 4) AS p95, (quantile_cont(delta, 0.5) >= 0 AND count(*) FILTER (delta > 0) >= 3 AND count(delta) = count(*))::INT AS holds FROM u GROUP BY candidate""",
-    "m",
-)
-def family_gate(t) -> DataFrame:
-    """Median no worse and three strict gains; any unknown gain fails."""
-    q = lambda p: F.percentile("delta", F.lit(p))
-    holds = (q(0.5) >= 0) & (F.count_if(F.col("delta") > 0) >= 3) & (F.count("delta") == F.count("*"))
-    return _metrics(t).groupBy("candidate").agg(F.round(q(0.5), 4).alias("med"), F.round(q(0.95), 4).alias("p95"), flag(holds).alias("holds"))
-
-
 @query(
     f"{_METRICS_SQL}, a AS (SELECT candidate, round(avg(delta), 6) AS mean FROM u GROUP BY candidate) SELECT candidate, round(mean, 4) AS mean, substr(sha256('candidate=' || candidate), 1, 16) AS id FROM a ORDER BY a.mean DESC, candidate LIMIT 1",
     "m",
