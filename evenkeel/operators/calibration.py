@@ -43,6 +43,15 @@ def isotonic(train: DataFrame, rows: DataFrame, p: str, y: str, out: str = "cali
     return model.transform(rows).withColumn(out, clip(F.col(out), low, 1 - low))
 
 
+def cross_fit(rows: DataFrame, fold: str, folds: int, calibrate) -> DataFrame:
+    """rows, each calibrated by a fit on the other folds. calibrate(train, rows) gives rows with the calibrated column."""
+    parts = [calibrate(rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def subgroup_intercepts(rows: DataFrame, group: str, z: str, y: str, l2: float = 1.0, shrink: float = 200.0, cap: float = 0.05, rounds: int = 25) -> DataFrame:
     """group, n and beta: logistic intercepts on top of z, L2-penalised, with zero count-weighted sum, then
     shrunk by n / (n + shrink) and capped.

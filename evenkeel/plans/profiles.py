@@ -209,6 +209,38 @@ def integrity_counts(t) -> DataFrame:
     return t.main.agg(F.count("*").alias("n"), F.countDistinct("rk").alias("distinct_rows"), *[F.count_if(c).alias(k) for k, c in broken.items()])
 
 
+# fixed values: occupied bases by the flags of the first, second and third
+BASES = ["", "1", "2", "12", "3", "13", "23", "123"]
+_TOKEN = f"[{', '.join(repr(b) for b in BASES)}][(r1 + 2 * r2 + 4 * r3)::INT + 1]"
+
+
+@query(
+    f"""+ d AS (SELECT *, CASE WHEN bid % 97 = 0 THEN 2 ELSE r1 END AS f1, r1 + r2 + r3 + (bid % 101 = 0)::INT AS runners, CASE WHEN pid % 7 = 0 AND bid % 50 = 0 THEN '9' ELSE {_TOKEN} END AS base, abs(diff) AS top, 3 AS bottom, abs(diff) + 3 + (bid % 89 = 0)::INT AS total FROM m)
+    SELECT count(*) FILTER (balls NOT BETWEEN 0 AND 3 OR strikes NOT BETWEEN 0 AND 2 OR outs NOT BETWEEN 0 AND 2) AS count_range, count(*) FILTER (f1 NOT IN (0, 1)) + count(*) FILTER (r2 NOT IN (0, 1)) + count(*) FILTER (r3 NOT IN (0, 1)) AS runner_flag_domain,
+      count(*) FILTER (runners <> f1 + r2 + r3) AS runner_count_mismatch, count(*) FILTER (f1 = 2 OR base <> {_TOKEN}) AS base_state_mismatch, count(*) FILTER (total <> top + bottom) AS run_total_mismatch FROM d""",
+    "m",
+)
+def invariant_audit(t) -> DataFrame:
+    """Violations of the state's invariants; the fields that the table lacks are made from it, some of them wrong."""
+    token = lambda first: F.get(F.array(*[F.lit(b) for b in BASES]), (first + 2 * F.col("r2") + 4 * F.col("r3")).cast("int"))
+    d = t.main.select(
+        "balls", "strikes", "outs", "r2", "r3",
+        F.when(F.col("bid") % 97 == 0, 2).otherwise(F.col("r1")).alias("f1"),
+        (F.col("r1") + F.col("r2") + F.col("r3") + flag(F.col("bid") % 101 == 0)).alias("runners"),
+        F.when((F.col("pid") % 7 == 0) & (F.col("bid") % 50 == 0), "9").otherwise(token(F.col("r1"))).alias("base"),
+        F.abs("diff").alias("top"), F.lit(3).alias("bottom"), (F.abs("diff") + 3 + flag(F.col("bid") % 89 == 0)).alias("total"),
+    )
+    flags = [F.col("f1"), F.col("r2"), F.col("r3")]
+    legal = F.when(F.col("f1").isin(0, 1) & F.col("r2").isin(0, 1) & F.col("r3").isin(0, 1), token(F.col("f1")))
+    return d.agg(
+        F.count_if(~F.col("balls").between(0, 3) | ~F.col("strikes").between(0, 2) | ~F.col("outs").between(0, 2)).alias("count_range"),
+        sum((F.count_if(~f.isin(0, 1)) for f in flags[1:]), F.count_if(~flags[0].isin(0, 1))).alias("runner_flag_domain"),
+        F.count_if(F.col("runners") != sum(flags[1:], flags[0])).alias("runner_count_mismatch"),
+        F.count_if(legal.isNull() | (F.col("base") != legal)).alias("base_state_mismatch"),
+        F.count_if(F.col("total") != F.col("top") + F.col("bottom")).alias("run_total_mismatch"),
+    )
+
+
 @query(
     """SELECT season, count(*) FILTER (n_p < 0) AS negative, count(*) FILTER (rate IS NULL AND n_p > 0) AS null_with_support, count(*) FILTER (rate IS NOT NULL AND n_p = 0) AS rate_without_support,
        count(*) FILTER (abs(coalesce(rate, 0) + coalesce(prev1, 0) - 1) > 0.05) AS sum_off FROM m GROUP BY season""",

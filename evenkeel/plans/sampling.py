@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, r6, wilson_upper
+from ..operators.encode import shrunk_encoding
 from ..operators.sampling import poisson_weight, quotas, systematic, unit_hash
 from .registry import query
 
@@ -66,8 +67,27 @@ def oof_target_encode(t) -> DataFrame:
     return rows.select("id", r6(encoded).alias("encoded"), r6((F.col("sy") + 10 * F.col("mean")) / (F.col("n") + 10)).alias("smoothed"))
 
 
-#: The count of the registered queries, which their SQL fixes; the reference draws 10,000, and 1,000 for the pooled one.
-REPLICATES = 20
+_FOLDS = 5
+
+
+@query(
+    f"""+ d AS (SELECT id, entity, (status = 'F')::INT AS y, row_number() OVER (PARTITION BY status = 'F' ORDER BY id) - 1 AS place, count(*) FILTER (status <> 'F') OVER () AS zeros FROM f),
+    q AS (SELECT y, fold, count(*) AS k FROM (SELECT y, (place + CASE y WHEN 1 THEN zeros ELSE 0 END) % {_FOLDS} AS fold FROM d) GROUP BY ALL), u AS (SELECT y, fold, sum(k) OVER (PARTITION BY y ORDER BY fold) AS upto FROM q),
+    x AS (SELECT d.id, d.entity, d.y, min(u.fold) AS fold FROM d JOIN u ON u.y = d.y AND d.place < u.upto GROUP BY ALL),
+    s AS (SELECT fold, entity, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS sy FROM x GROUP BY ALL), o AS (SELECT a.fold, s.entity, sum(n) AS n, sum(sy) AS sy FROM s, (SELECT unnest(generate_series(0, {_FOLDS - 1})) AS fold) a WHERE s.fold <> a.fold GROUP BY ALL),
+    g AS (SELECT fold, sum(sy) / sum(n) AS mean FROM o GROUP BY fold), e AS (SELECT o.fold, entity, n, sy / n AS m, mean, mean * (1 - mean) AS v, sy * (1 - sy / n) AS ss FROM o JOIN g ON g.fold = o.fold)
+    SELECT x.id, x.fold, round(coalesce(CASE WHEN v = 0 THEN e.mean ELSE (v * n / (v * n + ss / n)) * m + (1 - v * n / (v * n + ss / n)) * e.mean END, g.mean), 6) AS encoded FROM x JOIN g ON g.fold = x.fold LEFT JOIN e ON e.fold = x.fold AND e.entity = x.entity""",
+    "f",
+)
+def eb_target_encode(t) -> DataFrame:
+    """Out-of-fold target means, each shrunk to the fold's mean by the variances of target and entity; contiguous folds within each class."""
+    d = t.frame.select("id", "entity", flag(F.col("status") == "F").alias("y"))
+    return shrunk_encoding(d, "id", "entity", "y", _FOLDS).select("id", "fold", r6("encoded").alias("encoded"))
+
+
+#: The counts of the registered queries, which their SQL fixes: rows and pooled folds, and clusters. The reference draws
+#: 10,000 of rows and clusters and 1,000 pooled ones.
+REPLICATES, CLUSTER_REPLICATES = 200, 1000
 _W = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
 _GAIN = "1e5 * (sum(w * (p0 - y) ** 2) - sum(w * (p1 - y) ** 2)) / sum(w) / ((sum(w * y) / sum(w)::DOUBLE) * (1 - sum(w * y) / sum(w)::DOUBLE))"
 
@@ -114,12 +134,12 @@ def bootstrap_pooled(t, replicates: int = REPLICATES) -> DataFrame:
 
 @query(
     f"""+ c AS (SELECT pid, count(*)::DOUBLE AS n, sum(y) AS sy, sum((p0 - y) ** 2) AS s0, sum((p1 - y) ** 2) AS s1 FROM m WHERE season = 2023 GROUP BY pid),
-    x AS (SELECT b, n, sy, s0, s1, {_U.format(parts="concat_ws('|', b, pid)")} AS u FROM c, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
+    x AS (SELECT b, n, sy, s0, s1, {_U.format(parts="concat_ws('|', b, pid)")} AS u FROM c, (SELECT unnest(generate_series(0, {CLUSTER_REPLICATES - 1})) AS b)),
     d AS (SELECT b, 1e5 * sum(w * (s0 - s1)) / sum(w * n) / ((sum(w * sy) / sum(w * n)) * (1 - sum(w * sy) / sum(w * n))) AS gain FROM (SELECT b, n, sy, s0, s1, {_W} AS w FROM x) GROUP BY b)
     SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med FROM d""",
     "m",
 )
-def bootstrap_cluster(t, replicates: int = REPLICATES) -> DataFrame:
+def bootstrap_cluster(t, replicates: int = CLUSTER_REPLICATES) -> DataFrame:
     """Clusters are summed first, so replicates multiply clusters and not rows."""
     y = F.col("y")
     sq = lambda p: F.sum((F.col(p) - y) * (F.col(p) - y))
@@ -133,7 +153,7 @@ def bootstrap_cluster(t, replicates: int = REPLICATES) -> DataFrame:
 
 @query(
     """+ s AS (SELECT entity % 50 AS g, sum((status = 'F')::INT)::DOUBLE AS k, count(*)::DOUBLE AS n FROM f GROUP BY 1)
-    SELECT g, round((k / n + 1.96::DOUBLE * 1.96::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt((k / n) * (1 - k / n) / n + 1.96::DOUBLE * 1.96::DOUBLE / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96::DOUBLE / n), 6) AS upper FROM s""",
+    SELECT g, round((k / n + 1.6448536269514722::DOUBLE * 1.6448536269514722::DOUBLE / (2 * n) + 1.6448536269514722::DOUBLE * sqrt((k / n) * (1 - k / n) / n + 1.6448536269514722::DOUBLE * 1.6448536269514722::DOUBLE / (4 * n * n))) / (1 + 1.6448536269514722::DOUBLE * 1.6448536269514722::DOUBLE / n), 6) AS upper FROM s""",
     "f",
 )
 def wilson_bound(t) -> DataFrame:
