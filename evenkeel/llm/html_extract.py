@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 # fixed values: element names of HTML by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -384,6 +384,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Potentials:
 
     The driver gets the counts of observations: tags, and the words in classes of the sampled pages.
     """
+    bounded_batches(pages.sparkSession)
     share = F.shiftrightunsigned(F.xxhash64(F.lit("page sample"), "page_id", "url"), 11) / F.lit(float(2**53))
     sample = pages.where(share * F.lit(float(pages.count())) < F.lit(float(fit_pages))).select("html")
     counts = sample.mapInPandas(_count_batches, "f string, y int, n double").groupBy("f", "y").agg(F.sum("n").alias("n"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import bounded_batches, read_table, staged
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -194,6 +194,7 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_l
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> Model:
     """labelled: doc_id, lang, text."""
+    bounded_batches(labelled.sparkSession)
     sample = training_sample(labelled, per_language, max_languages)
     vectors = staged(sample.mapInPandas(_vector_batches, "key bigint, lang string, at binary, n binary"), "language-vectors")
     seen = vectors.select("at").mapInPandas(_frequency_batches, "d int, n bigint").groupBy("d").agg(F.sum("n").alias("n")).collect()
@@ -223,6 +224,7 @@ PREDICTION = "struct<lang_pred:string,score:double,rejected:boolean>"
 
 def told(spark: SparkSession, model: Model, text: Column) -> Column:
     """lang_pred, score and rejected of a text; Python gets nothing but the text."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table, row_key, staged
+from .common import bounded_batches, checkpointed, read_table, row_key, staged
 
 SHINGLE = 3
 SEED = 42
@@ -73,6 +73,7 @@ def _fingerprint_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
     """The key columns and fp of every row; Python gets nothing but the text."""
+    bounded_batches(docs.sparkSession)
     return docs.select(*keys, F.arrow_udf(_fingerprint_batches, "bigint")(F.col("text")).alias("fp"))
 
 
