@@ -297,3 +297,57 @@ def test_searches_are_refined_off_the_coarse_grid(spark):
     mixed = rows.withColumn("y", 1 / (1 + F.exp(-(0.37 * F.col("z") + 0.45 * F.col("z1")))))
     weights, score = scoring.weight_search(mixed, ["z", "z1", "z2"])
     assert weights == pytest.approx((0.37, 0.45, 0.18)) and score == pytest.approx(0, abs=1e-12)
+
+
+def test_cross_fit_never_sees_its_own_fold(spark):
+    from evenkeel.operators.calibration import cross_fit
+
+    rows = spark.createDataFrame([(i, i % 3, float(i % 7) / 7) for i in range(30)], "id int, fold int, p double")
+    fits = []
+
+    def shift(train, part):
+        fits.append({r["fold"] for r in train.select("fold").distinct().collect()} & {r["fold"] for r in part.select("fold").distinct().collect()})
+        return part.withColumn("calibrated", F.col("p") + F.lit(train.count()))
+
+    got = cross_fit(rows, "fold", 3, shift).collect()
+    assert fits == [set()] * 3 and sorted(r["id"] for r in got) == list(range(30))
+    assert all(r["calibrated"] == pytest.approx(r["p"] + 20) for r in got)
+
+
+def test_screen_gate_fails_closed(spark):
+    from evenkeel.operators.scoring import screen_gate
+
+    c = lambda v: F.lit(v).cast("double")
+    r = one(spark, screen_gate(c(1.5), c(0.2), c(0.21), c(-0.004)), screen_gate(c(1.5), c(0.2), c(0.21), c(0.006)), screen_gate(c(None), c(0.2), c(0.21), c(0.0)), screen_gate(c(1.5), c(0.2), c(0.21), c(0.0), c(-0.1)), screen_gate(c(1.5), c(0.22), c(0.21), c(0.0)))
+    assert list(r) == [True, False, False, False, False]
+
+
+def test_stratified_folds_deal_sorted_classes_round(spark):
+    from evenkeel.operators.encode import stratified_folds
+
+    ys = [1, 0, 0, 1, 0, 0, 1, 0, 1, 0, 0, 1, 0]
+    rows = spark.createDataFrame(list(enumerate(ys)), "id int, y int")
+    got = {r["id"]: r["fold"] for r in stratified_folds(rows, "id", "y", 3).collect()}
+    order = sorted(ys)
+    want, left = {}, {c: [order[i::3].count(c) for i in range(3)] for c in (0, 1)}
+    for i, y in enumerate(ys):
+        k = next(f for f in range(3) if left[y][f])
+        left[y][k] -= 1
+        want[i] = k
+    assert got == want
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from evenkeel.sources import stage
+
+    class Context:
+        master = "spark://somewhere"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False), "isEmpty": staticmethod(lambda: True)}))})
+
+    session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_dir(session)
