@@ -44,7 +44,7 @@ OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 LOOSE_PHONE = r"(?<![0-9A-Za-z+.,/-])(?:\([0-9]{2,5}\)[\x20]?|[0-9]{2,5}[\x20./-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,3}+(?![0-9A-Za-z/-])"
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[\[(]at[\])]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63}){1,4}"
 LOOSE_IP = r"(?<![0-9A-Za-z.])[0-9]{1,9}(?:\.[0-9]{1,9}){2,5}+(?![0-9])"
-LOOSE_CARD = r"(?<![0-9A-Za-z.,])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9A-Za-z])"
+LOOSE_CARD = r"(?<![0-9A-Za-z.,])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![0-9A-Za-z]|[\x20-][0-9])"
 LOOSE_SECRET = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[0-9A-Za-z_-]{20,128}+(?![0-9A-Za-z_-])"
 #: Kind, whether base, pattern, and what a text must hold to be worth a scan.
 STREAMS = (

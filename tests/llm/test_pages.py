@@ -127,6 +127,10 @@ BODY = "<p>It was a long day, and nobody had thought that it would end like this
         (f"<div class='cookie-banner'><p>We use cookies.</p></div><main>{BODY}<div class=ad>Buy!</div></main><div id=sidebar><p>Side words.</p></div>", "It was a long day, and nobody had thought that it would end like this. They went home."),
         ("<article><p>one<p>two &amp; &#233;&nbsp;three <b>fo</b>ur<br>five", "one two & é three four five"),
         ("<article><p>a <!-- <p>no</p> --> b</p><form><p>Sign up now</p></form><p>c\n\t d</p></article", "a b c d"),
+        ("<article><p class=it's>Hello world one.</p><p>don't go</p></article>", "Hello world one. don't go"),
+        ('<article><p title=a">First words here.</p><p>Second <a href="x">link</a> words here now.</p></article>', "First words here. Second link words here now."),
+        ("<body><div>hello there world</div></body>", "hello there world"),
+        ("<body><div class='foo'><p>hello there world</p></div></body>", "hello there world"),
         ("<article><p title='a > b'>x</p><p title=\"unclosed>y</p></article>", "x y"),
     ],
 )
@@ -175,3 +179,42 @@ def test_an_omitted_end_of_the_head_hides_nothing(opened):
 def test_text_in_an_open_head_begins_the_body():
     nodes = html_extract.parse("<head><title>T</title> <script>x</script>Words of the page")
     assert [(n.text, n.hidden) for n in nodes if n.text.strip() not in ("", "T")] == [("Words of the page", False)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</b>" * 20_000, "<" * 200_000, "<ul><li><ul>" + "<b>" * 20_000 + "<li>x" * 20_000, "<a b='" * 30_000, "<!" * 100_000, "<a " + "= " * 100_000])
+def test_odd_pages_take_time_in_proportion(page):
+    import time
+
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 20
+
+
+def test_held_out_pages_without_telling_names(spark):
+    """Fitted on pages of the corpus; on others, with article tags and class words masked, nearly all words are told apart."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    p = html_extract.potentials(html_extract.together(html_extract.written(), html_extract.summed(html_extract.count(html_extract.self_labelled(h)) for h in pages[::2])))
+    hit = kept = there = 0
+    for h in pages[1::2]:
+        want = html_extract.main_text(h, p).split()
+        masked = re.sub(r"(</?)article>", r"\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|\S+)", "", h))
+        got = html_extract.main_text(masked, p).split()
+        hit, kept, there = hit + (got == want), kept + len(got), there + len(want)
+    assert hit >= 0.97 * len(pages[1::2]) and abs(kept - there) <= 0.01 * there
+
+
+def test_the_method_blocks_in_the_query(spark, tmp_path):
+    """Tables in which one host is bad: the query blocks its pages by the posterior bound."""
+    rows = [(i, f"http://www.{'bad' if i % 5 == 0 else 'ok'}{i % 10}.net/p/{i}") for i in range(500)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1, int("bad" in u)) for i, u in rows[:400]], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = url_filter.op3_host_reputation(spark, str(tmp_path)).collect()
+    assert {r["verdict"] for r in got if "bad" in r["host"]} == {"block"} and {r["verdict"] for r in got if "ok" in r["host"]} == {"allow"}
+    assert all(r["rule"] is None for r in got)
+
+
+def test_thousands_of_rules(spark):
+    rules = tuple(("block" if i % 2 else "allow", f"h{i}.org/a{i}/") for i in range(3000)) + (("allow", "org/"), ("block", "org/"))
+    pages = spark.createDataFrame([(1, "http://x.h7.org/a7/z"), (2, "http://h8.org/a8/"), (3, "http://h9.org/b"), (4, "http://h9.net/a9/")], "page_id bigint, url string")
+    got = url_filter.judged(pages, spark.createDataFrame([], "page_id bigint, bad int"), url_filter.rules_table(spark, rules)).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {1: ("h7.org/a7/", "block"), 2: ("h8.org/a8/", "allow"), 3: ("org/", "allow"), 4: (None, "allow")}
