@@ -38,6 +38,21 @@ def ordinal_positions(rows: DataFrame, keys: list[str], order: list[Column], out
     return ranged.join(starts, on).withColumn(out, F.col("_id") + F.col("_shift")).select(*rows.columns, out, total)
 
 
+def running_before(rows: DataFrame, order: list[Column], amount: str, out: str) -> DataFrame:
+    """rows with the sum of ``amount`` over all rows before them in ``order``, in which rows must differ; 0 for the first.
+
+    Only the sums of the ranges, a row each, go through a window without a partition.
+    """
+    # staged, as a second evaluation could range anew
+    ranged = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    below = Window.orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col("_part").alias("_s_part")).agg(F.sum(amount).alias("_sum"))
+    starts = sums.select("_s_part", F.coalesce(F.sum("_sum").over(below), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("_within", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return within.join(starts, F.col("_part") == F.col("_s_part")).withColumn(out, F.col("_start") + F.col("_within")).select(*rows.columns, out)
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], out: str = "q") -> DataFrame:
     """keys and an array of linearly interpolated quantiles of the values that aren't null.
 

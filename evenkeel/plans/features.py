@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import choose, classify_value, cut, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
 from ..operators.encode import fit_scaler, scaled, vocabulary_codes
 from ..operators.fit import with_constants, with_group_value
-from ..operators.ranking import ordinal_positions
+from ..operators.ranking import ordinal_positions, running_before
 from .registry import query
 
 TRAIN = "season < 2024"
@@ -228,16 +228,11 @@ def feat_trend(t) -> DataFrame:
 )
 def usage_rank(t) -> DataFrame:
     """Ordinal rank within the season, and the share of training values strictly below."""
-    counts = t.main.where(TRAIN).groupBy("n_p").count()
-    # values are few: one row for each distinct count
-    below = F.sum("count").over(Window.orderBy("n_p")) - F.col("count")
-    table = counts.select(F.col("n_p").alias("v"), "count", below.alias("below"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    every = t.main.select("n_p").distinct()
-    cdf = every.join(F.broadcast(table), F.col("v") < F.col("n_p"), "left").groupBy("n_p").agg(
-        (F.coalesce(F.max(F.col("below") + F.col("count")), F.lit(0))).alias("under")
-    )
+    # one row for each distinct value, whether or not it occurs in training; nulls are below nothing
+    counts = t.main.groupBy("n_p").agg(F.count_if(F.expr(TRAIN) & F.col("n_p").isNotNull()).alias("k"))
+    cdf = running_before(counts, [F.col("n_p")], "k", "under").select(F.col("n_p").alias("v"), "under")
     placed = ordinal_positions(t.main.select("rk", "season", "n_p"), ["season"], [F.col("n_p"), F.col("rk")])
-    rows = with_constants(placed.join(F.broadcast(cdf), "n_p"), t.main.where(TRAIN), n=F.count("*"))
+    rows = with_constants(placed.join(cdf, F.col("n_p").eqNullSafe(F.col("v"))), t.main.where(TRAIN), n=F.count("*"))
     return rows.select("rk", r6((F.col("position") + 1) / F.col("total")).alias("ordinal"), r6(F.col("under") / F.col("n")).alias("cdf"))
 
 

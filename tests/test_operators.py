@@ -351,3 +351,11 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stage.shared_dir(session)
+
+
+def test_running_sums_over_ranges(spark):
+    values = [(None, 0), *[(v, v % 4) for v in range(-50, 250, 3)]]
+    rows = spark.createDataFrame(values, "v int, k bigint").repartition(5)
+    got = {r["v"]: r["b"] for r in ranking.running_before(rows, [F.col("v")], "k", "b").collect()}
+    assert got == {v: sum(k for w, k in values if w is not None and v is not None and w < v) for v, _ in values}
+    assert ranking.running_before(rows.limit(0), [F.col("v")], "k", "b").count() == 0
