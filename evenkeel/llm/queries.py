@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, language, mixing, pii, sharding, simhash, url_filter
+from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language, mixing, pii, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_centroid": language.op1_nearest_centroid,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_filter_bitmaps": filter_audit.op11_filter_bitmaps,
 }
 
 #: Classifiers, checksums, fingerprints and page models that SQL can't express are tested by brute force.
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_bitmaps": filter_audit.ORACLE_SQL,
 }
