@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language, mixing, pii, sharding, simhash, url_filter
+from . import chat_format, decontaminate, exact_dedup, filter_audit, html_extract, language, lot_matching, mixing, nearest, pii, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_centroid": language.op1_nearest_centroid,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": mixing.op9_source_mix,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_filter_bitmaps": filter_audit.op11_filter_bitmaps,
+    "op12_hilbert_neighbours": nearest.op12_hilbert_neighbours,
+    "op13_return_lots": lot_matching.op13_return_lots,
 }
 
 #: Classifiers, checksums, fingerprints and page models that SQL can't express are tested by brute force.
