@@ -6,8 +6,8 @@ acts on S(r) as a max-plus map x -> max(x + a(r), b(r)): a is units shipped with
 without stock. Both change at the stretch's own lots only, so the maps of all thresholds are held by its lots: their units, and what is left of each.
 
 1. Events (lots when shipped, returns when they come back) of clients and items with a return are dealt over range partitions by client, item
-   and time, so that one hot client and item spreads over many tasks. A task replays its groups from no stock; groups that lie inside it are done. A group at either
-   end of the task may go on in the next one, and a group of over ``chunk_events`` events is cut inside the task: these chunks keep their events, each lot with what is left of it.
+   and time, so that one hot client and item spreads over many tasks. A group that lies inside a task is one chunk. A group at either end of the task may go
+   on in the next one, and a group of over ``chunk_events`` events is cut: such a chunk is replayed from no stock, which gives what it leaves of each lot.
 2. Lots of such chunks are put into blocks of ranks, again by a range partitioning. A tree of ``FAN`` chunks a node composes maps
    upwards and hands stocks downwards (a parallel prefix scan). Running sums over ranks are taken within a block and carried from block to
    block by the blocks' totals, so a node of any size is spread over its blocks. A chunk is handed only lots that its own returns can
@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged
 
-#: Events of one client and item that a chunk holds at most; a task's share of all events is of this order too.
+#: Events that a chunk holds at most; a task's share of all events is of this order too.
 CHUNK_EVENTS = 100_000
+#: Tasks over which events are dealt at most; beyond, tasks grow and chunks don't.
+MAX_TASKS = 50_000
 #: Children of a node of the tree.
 FAN = 16
 #: Stands for a null line_no, below all others.
@@ -121,60 +124,72 @@ def replay(events: list[tuple], stock: list[list], number: int) -> tuple[list[tu
     return pieces, shipped, number
 
 
-def _batches(names: list[str], rows: list[tuple], held: list[str], size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """Rows of the columns ``held`` as batches of the columns ``names``, the others null."""
-    for i in range(0, len(rows), size):
-        part = rows[i : i + size]
-        columns = dict(zip(held, zip(*part)))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[k], pa.int64()) if k in columns else pa.nulls(len(part), pa.int64()) for k in names], names)
-
-
-CHUNK = [*OWNER, "pid", "cut", *EVENT, "seq", "hi", "lo", "left", *PIECE]
+BASE = [*OWNER, *EVENT]
+CHUNK = [*BASE, "pid", "cut", "seq", "split", "hi", "lo", "left"]
 
 
 def chunked(events: DataFrame, chunk_events: int, parts: int) -> DataFrame:
-    """Pieces of groups that lie inside one task; of others the events, by chunk (pid, cut), with what the chunk leaves of each lot."""
+    """events by chunk (pid, cut) with their place in it; split where the chunk may not hold its whole group, and then
+    with each lot's rank and what the chunk leaves of it when it starts without stock."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        owner, cut, buffer = None, 0, []
-        done: list[tuple] = []
+        seen = 0
+
+        def emit(part: pa.Table, cut: int, split: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            n = part.num_rows
+            same = lambda v: pa.array(np.full(n, v, np.int64))
+            own = [same(pid), same(cut), pa.array(np.arange(seen, seen + n)), same(int(split))]
+            seen += n
+            if split:
+                shipped = iter(replay(list(zip(*[c.to_pylist() for c in part.columns[2:]])), [], 0)[1])
+                lots = [(*lot[0][:2], lot[1]) if lot else (None, None, None) for lot in (next(shipped) if k == SHIPPED else None for k in part.column(3).to_pylist())]
+                own += [pa.array(c, pa.int64()) for c in zip(*lots)]
+            else:
+                own += [pa.nulls(n, pa.int64())] * 3
+            yield from pa.Table.from_arrays([*part.columns, *own], CHUNK).to_batches(max_chunksize=10_000)
+
+        owner, outer, cut = None, True, 0  # the group at hand, whether it is the task's first, and its chunks so far
+        held: list[pa.RecordBatch] = []
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from emit(pa.Table.from_batches(held), cut, outer or last or cut > 0)
 
-        def close(whole: bool) -> Iterator[pa.RecordBatch]:
-            pieces, shipped, _ = replay(buffer, [], 0)
-            if whole:
-                done.extend((*owner, *p) for p in pieces)
-                return
-            lots = iter(shipped)
-            rows = []
-            for seq, e in enumerate(buffer):
-                lot = next(lots) if e[1] == SHIPPED else None
-                rows.append((*owner, pid, cut, *e, seq, *(lot[0][:2] if lot else (None, None)), lot[1] if lot else None))
-            yield from _batches(CHUNK, rows, [*OWNER, "pid", "cut", *EVENT, "seq", "hi", "lo", "left"])
-
-        inner = False  # whether the group began after another one in this task
         for batch in batches:
-            for row in zip(*[column.to_pylist() for column in batch.columns]):
-                if row[:2] != owner:
-                    if owner is not None:
-                        yield from close(inner and not cut)
-                    inner, cut, owner, buffer = owner is not None, 0, row[:2], []
-                elif len(buffer) >= chunk_events:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(1)])
+            ends = np.r_[starts[1:], len(names)]
+            k = 0
+            while k < len(starts):
+                lo, hi = int(starts[k]), int(ends[k])
+                if tuple(names[lo]) != owner:
                     yield from close(False)
-                    cut, buffer = cut + 1, []
-                buffer.append(row[2:])
-            if len(done) >= 10_000:
-                yield from _batches(CHUNK, done, [*OWNER, *PIECE])
-                done.clear()
-        if owner is not None:
-            yield from close(False)
-        yield from _batches(CHUNK, done, [*OWNER, *PIECE])
+                    held, cut, outer, owner = [], 0, owner is None, tuple(names[lo])
+                    # small groups that begin and end inside the batch go on as they are, in one piece
+                    small = np.flatnonzero(ends[k:-1] - starts[k:-1] > chunk_events)
+                    upto = k + (int(small[0]) if len(small) else len(starts) - 1 - k)
+                    if not outer and upto > k:
+                        yield from emit(pa.Table.from_batches([batch.slice(lo, int(ends[upto - 1]) - lo)]), 0, False)
+                        k, owner = upto, ()
+                        continue
+                while lo < hi:
+                    room = chunk_events - sum(b.num_rows for b in held)
+                    if room <= 0:
+                        yield from emit(pa.Table.from_batches(held), cut, True)
+                        held, cut, room = [], cut + 1, chunk_events
+                    held.append(batch.slice(lo, min(room, hi - lo)))
+                    lo += min(room, hi - lo)
+                k += 1
+        yield from close(True)
 
-    order = [*OWNER, *EVENT]
     return (
-        events.select(*order)
-        .repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
+        events.select(*BASE)
+        .repartitionByRange(parts, *BASE)
+        .sortWithinPartitions(*BASE)
         .mapInArrow(scan, ", ".join(f"{k} bigint" for k in CHUNK))
     )
 
@@ -259,7 +274,7 @@ def stock_at_start(lots: DataFrame, returned: DataFrame, nodes: int) -> DataFram
 
 def _replayed(rows: DataFrame, parts: int) -> DataFrame:
     """Pieces of every chunk: rows are its number of earlier returns, its stock and its events."""
-    columns = [*OWNER, "node", "seq", *EVENT]
+    columns, made = ["node", *OWNER, "seq", *EVENT], [*OWNER, *PIECE]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, number, stock, events = None, 0, [], []
@@ -267,7 +282,12 @@ def _replayed(rows: DataFrame, parts: int) -> DataFrame:
 
         def close() -> None:
             heapify(stock)
-            done.extend((*chunk[:2], *p) for p in replay(events, stock, number)[0])
+            done.extend((*chunk[1:], *p) for p in replay(events, stock, number)[0])
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(done), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done[i : i + 10_000])], made)
+            done.clear()
 
         for batch in batches:
             for row in zip(*[column.to_pylist() for column in batch.columns]):
@@ -284,17 +304,17 @@ def _replayed(rows: DataFrame, parts: int) -> DataFrame:
                 else:
                     events.append(row[4:])
             if len(done) >= 10_000:
-                yield from _batches([*OWNER, *PIECE], done, [*OWNER, *PIECE])
-                done.clear()
+                yield from emit()
         if chunk is not None:
             close()
-        yield from _batches([*OWNER, *PIECE], done, [*OWNER, *PIECE])
+        yield from emit()
 
+    # a node's rows are one task's share of all events at most, so nodes fill tasks evenly
     return (
         rows.select(*columns)
-        .repartition(parts, *OWNER, "node")
-        .sortWithinPartitions(*OWNER, "node", "seq")
-        .mapInArrow(scan, ", ".join(f"{k} bigint" for k in [*OWNER, *PIECE]))
+        .repartitionByRange(parts, "node")
+        .sortWithinPartitions("node", *OWNER, "seq")
+        .mapInArrow(scan, ", ".join(f"{k} bigint" for k in made))
     )
 
 
@@ -302,38 +322,32 @@ def match_returns(lots: DataFrame, lots_back: DataFrame, chunk_events: int = CHU
     """One row per piece of every return; see sold_lots for the columns of lots and lots_back (its returned ones)."""
     spark = lots.sparkSession
     events = staged(lot_events(lots, lots_back), "lot-events")
-    parts = max(spark.sparkContext.defaultParallelism, events.count() // chunk_events + 1)
+    parts = max(spark.sparkContext.defaultParallelism, min(MAX_TASKS, events.count() // chunk_events + 1))
     found = staged(chunked(events, chunk_events, parts), "lot-chunks")
-    pieces, split = found.where("pid is null"), found.where("pid is not null")
-    ends = split.agg(F.max("pid").alias("pid"), F.max("cut").alias("cut")).first()
-    if ends.pid is None:
-        return _named(pieces)
-    cuts = ends.cut + 1
-    split = split.withColumn("node", F.expr(f"pid * {cuts} + cut"))
-    back = split.where(F.col("kind") == RETURNED).groupBy(*OWNER, "node").agg(F.sum("n").alias("units"), F.count("*").alias("returns"))
-    lots_of = split.where(F.col("kind") == SHIPPED).withColumn("at", F.col("node"))
-    lots_of = staged(
-        lots_of.select(*OWNER, *RANK, "node", F.col("q").alias("came"), "left")
+    ends = found.agg(F.max("pid").alias("pid"), F.max("cut").alias("cut")).first()
+    cuts = 1 + (ends.cut or 0)
+    found = found.withColumn("node", F.expr(f"pid * {cuts} + cut"))
+    rows = found.select("node", *OWNER, "seq", *EVENT)
+    split = found.where("split = 1")
+    back = staged(split.where(F.col("kind") == RETURNED).groupBy(*OWNER, "node").agg(F.sum("n").alias("units"), F.count("*").alias("returns")), "lot-returns")
+    ranked = staged(
+        split.where(F.col("kind") == SHIPPED)
+        .withColumn("at", F.col("node"))
+        .select(*OWNER, *RANK, "node", F.col("q").alias("came"), "left")
         .repartitionByRange(parts, *OWNER, *RANK)
         .withColumn("blk", F.spark_partition_id()),
         "lot-ranks",
     )
-    back = staged(back, "lot-returns")
-    stock = stock_at_start(lots_of, back.select(*OWNER, "node", "units"), (ends.pid + 1) * cuts)
-    rows = split.select(*OWNER, "node", "seq", *EVENT)
     earlier = Window.partitionBy(*OWNER).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     number = back.select(*OWNER, "node", F.lit(NUMBER).alias("kind"), F.coalesce(F.sum("returns").over(earlier), F.lit(0)).alias("n"))
     rows = rows.unionByName(number.withColumn("seq", F.lit(-2)), allowMissingColumns=True)
+    stock = stock_at_start(ranked, back.select(*OWNER, "node", "units"), (1 + (ends.pid or 0)) * cuts)
     if stock is not None:
         rows = rows.unionByName(
             stock.select(*OWNER, "node", "day", "sale_id", "line_no", "q", "c", "d", F.col("stock").alias("n"), F.lit(STOCK).alias("kind"), F.lit(-1).alias("seq")), allowMissingColumns=True
         )
-    return _named(pieces).unionByName(_named(_replayed(rows, parts)))
-
-
-def _named(pieces: DataFrame) -> DataFrame:
     line = F.when(F.col("lot_line_no") != NO_LINE, F.col("lot_line_no")).alias("lot_line_no")
-    return pieces.select(*OWNER, *[line if k == "lot_line_no" else F.col(k) for k in PIECE])
+    return _replayed(rows, parts).select(*OWNER, *[line if k == "lot_line_no" else F.col(k) for k in PIECE])
 
 
 def op13_return_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
