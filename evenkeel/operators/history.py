@@ -2,8 +2,7 @@
 
 A row of season S may use history of seasons before S only. Sums, counts and variances come from
 per-season partial sums, carried forward over a dense spine of cutoffs, so history is read once
-whatever the number of cutoffs. Order statistics need the rows themselves: each history row
-goes to the cutoffs after its season.
+whatever the number of cutoffs. Order statistics come from counts of distinct values, which carry one count for each cutoff.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_totals
+
 
 def cutoffs(history: DataFrame, first: int, last: int) -> DataFrame:
     return history.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("cutoff"))
@@ -24,10 +25,34 @@ def past_sums(history: DataFrame, keys: list[str], sums: dict[str, Column], firs
     return season.where(F.col("season") < last).select(*keys, *sums, each).groupBy(*keys, "cutoff").agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def past_rows(history: DataFrame, first: int, last: int) -> DataFrame:
-    """Each history row once for every cutoff after its season."""
-    each = F.explode(F.sequence(F.greatest(F.col("season") + 1, F.lit(first)), F.lit(last))).alias("cutoff")
-    return history.where(F.col("season") < last).select("*", each)
+def past_quantiles(history: DataFrame, keys: list[str], value: str, points: list[float], first: int, last: int, out: str = "q", weight: str | None = None) -> DataFrame:
+    """keys, cutoff, n and an array of linearly interpolated quantiles of the values of seasons before the cutoff.
+
+    Each distinct value of the keys carries its count before every cutoff; running sums of these counts place it at all
+    cutoffs at once. Nulls don't count; keys without any past have no row. ``weight`` names a column of row counts.
+    """
+    span = range(first, last + 1)
+    one = F.col(weight) if weight else F.lit(1)
+    counts = [F.sum(F.when(F.col("season") < s, one).otherwise(0)).alias(f"n{s}") for s in span]
+    values = history.where(F.col(value).isNotNull() & (F.col("season") < last)).groupBy(*keys, value).agg(*counts)
+    placed = running_totals(values, keys, [value], [f"n{s}" for s in span])
+    bounds, picked = {}, []
+    for s in span:
+        for i, p in enumerate(points):
+            at = F.lit(float(p)) * (F.col(f"total_n{s}") - 1)
+            for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+                bounds[s, i, side] = f"_{side}{s}_{i}"
+                # the first value with more rows up to it than the place
+                picked.append(F.min(F.when(F.col(f"upto_n{s}") > place, F.col(value))).alias(bounds[s, i, side]))
+    made = placed.groupBy(*keys, *[f"total_n{s}" for s in span]).agg(*picked)
+
+    def quantile(s: int, i: int, p: float) -> Column:
+        at = F.lit(float(p)) * (F.col(f"total_n{s}") - 1)
+        low, high = F.col(bounds[s, i, "lo"]), F.col(bounds[s, i, "hi"])
+        return low + (high - low) * (at - F.floor(at))
+
+    each = F.array(*[F.struct(F.lit(s).alias("cutoff"), F.col(f"total_n{s}").alias("n"), F.array(*[quantile(s, i, p) for i, p in enumerate(points)]).alias(out)) for s in span])
+    return made.select(*keys, F.explode(each).alias("_at")).where("_at.n > 0").select(*keys, "_at.*")
 
 
 def backoff(rows: DataFrame, levels: list[tuple[str, DataFrame, list[str], str]], support: int, last_support: int | None = None) -> DataFrame:

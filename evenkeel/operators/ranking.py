@@ -53,6 +53,27 @@ def running_before(rows: DataFrame, order: list[Column], amount: str, out: str)
     return within.join(starts, F.col("_part") == F.col("_s_part")).withColumn(out, F.col("_start") + F.col("_within")).select(*rows.columns, out)
 
 
+def running_totals(rows: DataFrame, keys: list[str], order: list[str], amounts: list[str]) -> DataFrame:
+    """rows with upto_<a>, the sum of each amount up to and with the row in ``order``, in which rows of the same keys must
+    differ, and total_<a>, its sum over the keys. Null keys are a group of their own."""
+    # staged, as a second evaluation could range anew
+    ranged = staged(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "totals")
+    group = Window.partitionBy(*keys)
+    below = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(a).alias(a) for a in amounts])
+    starts = sums.select(
+        *[F.col(k).alias(f"_s_{k}") for k in keys],
+        F.col("_part").alias("_s_part"),
+        *[F.coalesce(F.sum(a).over(below), F.lit(0)).alias(f"_start_{a}") for a in amounts],
+        *[F.sum(a).over(group).alias(f"total_{a}") for a in amounts],
+    )
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = ranged.select("*", *[F.sum(a).over(inside).alias(f"_within_{a}") for a in amounts])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], F.col("_part") == F.col("_s_part"))
+    upto = [(F.col(f"_start_{a}") + F.col(f"_within_{a}")).alias(f"upto_{a}") for a in amounts]
+    return within.join(starts, on).select(*rows.columns, *upto, *[f"total_{a}" for a in amounts])
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], out: str = "q") -> DataFrame:
     """keys and an array of linearly interpolated quantiles of the values that aren't null.
 

@@ -7,16 +7,16 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import FRAME_SQL, HISTORY_SQL, MAIN_SQL, Tables
+from ..sources.tables import FRAME_SQL, HISTORY_SQL, MAIN_SQL, PHYSICS_SQL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_SHAPES = {"m": MAIN_SQL, "h": HISTORY_SQL, "f": FRAME_SQL}
+_SHAPES = {"m": MAIN_SQL, "h": HISTORY_SQL, "f": FRAME_SQL, "g": PHYSICS_SQL}
 
 
 def query(sql: str | None = None, shapes: str = "", name: str | None = None):
-    """Register a function of Tables, under its own name unless another is given. ``shapes`` says which of m, h and f the SQL reads."""
+    """Register a function of Tables, under its own name unless another is given. ``shapes`` says which of m, h, f and g the SQL reads."""
 
     def register(plan: Callable[[Tables], DataFrame]):
         @wraps(plan)

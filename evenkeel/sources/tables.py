@@ -10,12 +10,28 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIRST_SEASON, LAST_SEASON = 2019, 2025
 
 
+def _history_columns() -> list[Column]:
+    kind = F.col("event_type")
+    return [
+        F.col("event_id"),
+        F.col("ts"),
+        F.col("user_id").alias("uid"),
+        (F.floor((F.dayofmonth("ts") - 1) / 5) + FIRST_SEASON).cast("int").alias("season"),
+        F.when(kind == "view", "fastball").when(kind == "click", "breaking").when(kind == "purchase", "offspeed").otherwise("other").alias("family"),
+        (F.col("event_id") % 4).cast("int").alias("balls"),
+        (F.floor(F.col("event_id") / 4) % 3).cast("int").alias("strikes"),
+        (F.col("user_id") % 3).cast("int").alias("outs"),
+        (F.col("user_id") % 2 + 1).cast("int").alias("hand"),
+        F.col("value"),
+    ]
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -61,18 +77,20 @@ class Tables:
 
     @cached_property
     def history(self) -> DataFrame:
-        kind = F.col("event_type")
+        return self.raw("events").select(*_history_columns())
+
+    @cached_property
+    def physics(self) -> DataFrame:
+        """history with six measures: the value, a number inside the JSON text, and what the clock says."""
+        k = F.get_json_object("props", "$.k").cast("double")
         return self.raw("events").select(
-            "event_id",
-            "ts",
-            F.col("user_id").alias("uid"),
-            (F.floor((F.dayofmonth("ts") - 1) / 5) + FIRST_SEASON).cast("int").alias("season"),
-            F.when(kind == "view", "fastball").when(kind == "click", "breaking").when(kind == "purchase", "offspeed").otherwise("other").alias("family"),
-            (F.col("event_id") % 4).cast("int").alias("balls"),
-            (F.floor(F.col("event_id") / 4) % 3).cast("int").alias("strikes"),
-            (F.col("user_id") % 3).cast("int").alias("outs"),
-            (F.col("user_id") % 2 + 1).cast("int").alias("hand"),
-            F.col("value"),
+            *_history_columns(),
+            F.col("value").alias("speed"),
+            k.alias("spin"),
+            (F.minute("ts") + F.second("ts") / 60).alias("lift"),
+            (F.col("value") / (1 + k)).alias("reach"),
+            F.hour("ts").cast("double").alias("height"),
+            F.abs(F.col("value") - k).alias("sweep"),
         )
 
     @cached_property
@@ -108,6 +126,14 @@ HISTORY_SQL = """h AS (
   FROM events
 )"""
 
+PHYSICS_SQL = """g AS (
+  SELECT event_id, ((day(ts) - 1) // 5 + 2019)::INT AS season,
+         CASE event_type WHEN 'view' THEN 'fastball' WHEN 'click' THEN 'breaking' WHEN 'purchase' THEN 'offspeed' ELSE 'other' END AS family,
+         (event_id % 4)::INT AS balls, (event_id // 4 % 3)::INT AS strikes, (user_id % 3)::INT AS outs, value AS speed, json_extract(props, '$.k')::DOUBLE AS spin,
+         minute(ts) + second(ts) / 60 AS lift, value / (1 + json_extract(props, '$.k')::DOUBLE) AS reach, hour(ts)::DOUBLE AS height, abs(value - json_extract(props, '$.k')::DOUBLE) AS sweep
+  FROM events
+)"""
+
 FRAME_SQL = """f AS (
   SELECT o_orderkey AS id, o_custkey AS entity, year(o_orderdate)::INT AS season, o_orderstatus AS status, o_totalprice AS amount, o_orderpriority AS priority
   FROM orders
