@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import flag, r6, wilson_upper
 from ..operators.encode import shrunk_encoding
-from ..operators.sampling import poisson_weight, quotas, systematic, unit_hash
+from ..operators.sampling import quotas, redrawn, resampled, systematic, unit_hash
+from ..sources.stage import staged
 from .registry import query
 
 BUDGET = 500
@@ -85,70 +86,92 @@ def eb_target_encode(t) -> DataFrame:
     return shrunk_encoding(d, "id", "entity", "y", _FOLDS).select("id", "fold", r6("encoded").alias("encoded"))
 
 
-#: The counts of the registered queries, which their SQL fixes: rows and pooled folds, and clusters. The reference draws
-#: 10,000 of rows and clusters and 1,000 pooled ones.
-REPLICATES, CLUSTER_REPLICATES = 200, 1000
+#: The reference's counts: of rows and clusters, and of pooled folds.
+REPLICATES, POOLED_REPLICATES, CLUSTER_REPLICATES = 10_000, 1_000, 10_000
 _W = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END"
-_GAIN = "1e5 * (sum(w * (p0 - y) ** 2) - sum(w * (p1 - y) ** 2)) / sum(w) / ((sum(w * y) / sum(w)::DOUBLE) * (1 - sum(w * y) / sum(w)::DOUBLE))"
 
 
-def _weighted_gain():
-    w, y = F.col("w"), F.col("y")
-    r = F.sum(w * y) / F.sum(w)
-    sq = lambda p: F.sum(w * (F.col(p) - y) * (F.col(p) - y))
-    return 1e5 * (sq("p0") - sq("p1")) / F.sum(w) / (r * (1 - r))
+def _resampled_sql(cell: str, carry: str, key: str, by: str, sums: str, replicates: int) -> str:
+    """CTEs up to d: by, b, size and the weighted sums of replicates 0 to replicates - 1. cell: a query of cells with their n; carry: its columns but n."""
+    number = lambda p: f"(('0x' || substr(h, {p}, 7))::BIGINT + 0.5::DOUBLE) / 268435456.0::DOUBLE"
+    return f"""cell AS ({cell}), unit AS (SELECT *, unnest(CASE WHEN n < 30 THEN generate_series(1, n) ELSE [0] END) AS i FROM cell),
+    digest AS (SELECT *, sha256(concat_ws('|', 'boot', k, {key}, i)) AS h FROM unit, (SELECT unnest(generate_series(0, {(replicates - 1) // 4})) AS k)),
+    lane AS (SELECT {carry}, n, i, k * 4 + j AS b, CASE j WHEN 0 THEN {number(1)} WHEN 1 THEN {number(15)} WHEN 2 THEN {number(29)} ELSE {number(43)} END AS u,
+      CASE j WHEN 0 THEN {number(8)} WHEN 1 THEN {number(22)} WHEN 2 THEN {number(36)} ELSE {number(50)} END AS v FROM digest, (SELECT unnest([0, 1, 2, 3]) AS j)),
+    z AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM lane WHERE b < {replicates}),
+    wt AS (SELECT *, CASE WHEN i > 0 THEN {_W} ELSE greatest(floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5), 0) END AS w FROM z),
+    d AS (SELECT {by}, sum(w) AS size, {sums} FROM wt GROUP BY {by})"""
 
 
-def _replicates(rows: DataFrame, unit: str, replicates: int) -> DataFrame:
-    """Rows once a replicate with a Poisson(1) weight from the hash of replicate and unit."""
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    u = unit_hash(F.col("b").cast("string"), F.col(unit).cast("string"))
-    return each.withColumn("w", poisson_weight(u))
+_CELL_SUMS = "sum(w * y) AS sy, sum(w * (p0 - y) ** 2) AS s0, sum(w * (p1 - y) ** 2) AS s1"
+_CELL_KEY = "y, round(p0 * 1e6)::BIGINT, round(p1 * 1e6)::BIGINT"
+_GAIN = "1e5 * (s0 - s1) / size / ((sy / size) * (1 - sy / size))"
+
+
+def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by, "y", "p0", "p1").agg(F.count("*").alias("n"))
+
+
+def _draws(cells: DataFrame, by: list[str], first: int, last: int) -> DataFrame:
+    """by, b and gain of each replicate; null for a resample of a single class."""
+    micro = lambda p: F.round(F.col(p) * 1e6).cast("long").cast("string")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("y").cast("string"), micro("p0"), micro("p1"))
+    sq = lambda p: (F.col(p) - F.col("y")) * (F.col(p) - F.col("y"))
+    d = resampled(cells, by, key, "n", {"sy": F.col("y"), "s0": sq("p0"), "s1": sq("p1")}, first, last)
+    r = F.try_divide(F.col("sy"), F.col("size"))
+    return d.withColumn("gain", F.try_divide(F.try_divide(1e5 * (F.col("s0") - F.col("s1")), F.col("size")), r * (1 - r)))
+
+
+def lower_bound(rows: DataFrame, replicates: int = REPLICATES, point: float = 0.05) -> DataFrame:
+    """lb5, med and replicates of the skill gained by p1 over p0 on rows (y, p0, p1), resamples of one class drawn anew."""
+    cells = staged(_cells(rows, []), "cells")
+    d = redrawn(lambda a, b: _draws(cells, [], a, b), F.col("gain").isNotNull(), replicates)
+    q = lambda p: F.round(F.percentile("gain", F.lit(p)), 4)
+    return d.agg(q(point).alias("lb5"), q(0.5).alias("med"), F.count("*").alias("replicates"))
 
 
 @query(
-    f"""+ v AS (SELECT rk, y, p0, p1 FROM m WHERE season = 2023), x AS (SELECT b, y, p0, p1, {_U.format(parts="concat_ws('|', b, rk)")} AS u FROM v, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
-    d AS (SELECT b, {_GAIN} AS gain FROM (SELECT b, y, p0, p1, {_W} AS w FROM x) GROUP BY b) SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med, count(*) AS replicates FROM d""",
+    f"""+ {_resampled_sql("SELECT y, p0, p1, count(*) AS n FROM m WHERE season = 2023 GROUP BY ALL", "y, p0, p1", _CELL_KEY, "b", _CELL_SUMS, REPLICATES + 1000)},
+    ok AS (SELECT {_GAIN} AS gain, row_number() OVER (ORDER BY b) AS k FROM d WHERE sy > 0 AND sy < size) SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med, count(*) AS replicates FROM ok WHERE k <= {REPLICATES}""",
     "m",
 )
 def bootstrap_rows(t, replicates: int = REPLICATES) -> DataFrame:
-    rows = t.main.where("season = 2023").select("rk", "y", "p0", "p1")
-    d = _replicates(rows, "rk", replicates).groupBy("b").agg(_weighted_gain().alias("gain"))
-    q = lambda p: F.round(F.percentile("gain", F.lit(p)), 4)
-    return d.agg(q(0.05).alias("lb5"), q(0.5).alias("med"), F.count("*").alias("replicates"))
+    """Paired resamples of rows: rows of equal outcome and predictions are one cell, drawn a Poisson number of times."""
+    return lower_bound(t.main.where("season = 2023").select("y", "p0", "p1"), replicates)
 
 
 @query(
-    f"""+ v AS (SELECT rk, season, y, p0, p1 FROM m WHERE season IN (2022, 2023)), x AS (SELECT b, season, y, p0, p1, {_U.format(parts="concat_ws('|', b, rk)")} AS u FROM v, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
-    d AS (SELECT b, season, count(*) AS n, {_GAIN} AS gain FROM (SELECT b, season, y, p0, p1, {_W} AS w FROM x) GROUP BY b, season), p AS (SELECT b, sum(n * gain) / sum(n) AS gain FROM d GROUP BY b)
-    SELECT round(quantile_cont(gain, 0.05), 4) AS p5, round(quantile_cont(gain, 0.5), 4) AS p50, round(quantile_cont(gain, 0.95), 4) AS p95 FROM p""",
+    f"""+ {_resampled_sql("SELECT season, y, p0, p1, count(*) AS n FROM m WHERE season IN (2022, 2023) GROUP BY ALL", "season, y, p0, p1", f"season, {_CELL_KEY}", "season, b", _CELL_SUMS, POOLED_REPLICATES)},
+    s AS (SELECT season, count(*) AS rows_in FROM m WHERE season IN (2022, 2023) GROUP BY season),
+    p AS (SELECT b, sum(rows_in * {_GAIN}) / sum(rows_in) AS gain FROM d JOIN s USING (season) GROUP BY b)
+    SELECT round(quantile_cont(gain, 0.05), 4) AS p5, round(quantile_cont(gain, 0.5), 4) AS p50, round(quantile_cont(gain, 0.95), 4) AS p95, count(*) AS replicates FROM p""",
     "m",
 )
-def bootstrap_pooled(t, replicates: int = REPLICATES) -> DataFrame:
-    """Gains of two folds, weighted by their sizes within each replicate."""
-    rows = t.main.where("season IN (2022, 2023)").select("rk", "season", "y", "p0", "p1")
-    d = _replicates(rows, "rk", replicates).groupBy("b", "season").agg(F.count("*").alias("n"), _weighted_gain().alias("gain"))
-    p = d.groupBy("b").agg((F.sum(F.col("n") * F.col("gain")) / F.sum("n")).alias("gain"))
-    return p.agg(*[F.round(F.percentile("gain", F.lit(q / 100)), 4).alias(f"p{q}") for q in (5, 50, 95)])
+def bootstrap_pooled(t, replicates: int = POOLED_REPLICATES) -> DataFrame:
+    """Gains of two folds, weighted by the folds' sizes within each replicate."""
+    cells = staged(_cells(t.main.where("season IN (2022, 2023)"), ["season"]), "cells")
+    sizes = cells.groupBy("season").agg(F.sum("n").alias("rows_in"))
+    d = _draws(cells, ["season"], 0, replicates).join(F.broadcast(sizes), "season")
+    p = d.groupBy("b").agg((F.sum(F.col("rows_in") * F.col("gain")) / F.sum("rows_in")).alias("gain"))
+    return p.agg(*[F.round(F.percentile("gain", F.lit(q / 100)), 4).alias(f"p{q}") for q in (5, 50, 95)], F.count("*").alias("replicates"))
 
 
 @query(
-    f"""+ c AS (SELECT pid, count(*)::DOUBLE AS n, sum(y) AS sy, sum((p0 - y) ** 2) AS s0, sum((p1 - y) ** 2) AS s1 FROM m WHERE season = 2023 GROUP BY pid),
-    x AS (SELECT b, n, sy, s0, s1, {_U.format(parts="concat_ws('|', b, pid)")} AS u FROM c, (SELECT unnest(generate_series(0, {CLUSTER_REPLICATES - 1})) AS b)),
-    d AS (SELECT b, 1e5 * sum(w * (s0 - s1)) / sum(w * n) / ((sum(w * sy) / sum(w * n)) * (1 - sum(w * sy) / sum(w * n))) AS gain FROM (SELECT b, n, sy, s0, s1, {_W} AS w FROM x) GROUP BY b)
-    SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med FROM d""",
+    f"""+ {_resampled_sql("SELECT pid, 1 AS n, count(*)::DOUBLE AS rows_in, sum(y) AS cy, sum((p0 - y) ** 2) AS c0, sum((p1 - y) ** 2) AS c1 FROM m WHERE season = 2023 GROUP BY pid", "pid, rows_in, cy, c0, c1", "pid", "b", "sum(w * rows_in) AS total, sum(w * cy) AS sy, sum(w * c0) AS s0, sum(w * c1) AS s1", CLUSTER_REPLICATES + 1000)},
+    g AS (SELECT {_GAIN.replace("size", "total")} AS gain, row_number() OVER (ORDER BY b) AS k FROM d WHERE sy > 0 AND sy < total) SELECT round(quantile_cont(gain, 0.05), 4) AS lb5, round(quantile_cont(gain, 0.5), 4) AS med, count(*) AS replicates FROM g WHERE k <= {CLUSTER_REPLICATES}""",
     "m",
 )
 def bootstrap_cluster(t, replicates: int = CLUSTER_REPLICATES) -> DataFrame:
     """Clusters are summed first, so replicates multiply clusters and not rows."""
     y = F.col("y")
     sq = lambda p: F.sum((F.col(p) - y) * (F.col(p) - y))
-    c = t.main.where("season = 2023").groupBy("pid").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), sq("p0").alias("s0"), sq("p1").alias("s1"))
-    w = F.col("w")
-    size = F.sum(w * F.col("n"))
-    r = F.sum(w * F.col("sy")) / size
-    d = _replicates(c, "pid", replicates).groupBy("b").agg((1e5 * F.sum(w * (F.col("s0") - F.col("s1"))) / size / (r * (1 - r))).alias("gain"))
-    return d.agg(F.round(F.percentile("gain", F.lit(0.05)), 4).alias("lb5"), F.round(F.percentile("gain", F.lit(0.5)), 4).alias("med"))
+    c = t.main.where("season = 2023").groupBy("pid").agg(F.lit(1).alias("n"), F.count("*").alias("rows_in"), F.sum("y").alias("cy"), sq("p0").alias("c0"), sq("p1").alias("c1"))
+    sums = {"total": F.col("rows_in"), "sy": F.col("cy"), "s0": F.col("c0"), "s1": F.col("c1")}
+    r = F.try_divide(F.col("sy"), F.col("total"))
+    gain = F.try_divide(F.try_divide(1e5 * (F.col("s0") - F.col("s1")), F.col("total")), r * (1 - r)).alias("gain")
+    clusters = staged(c, "clusters")
+    d = redrawn(lambda a, b: resampled(clusters, [], F.col("pid").cast("string"), "n", sums, a, b).select("b", gain), F.col("gain").isNotNull(), replicates)
+    return d.agg(F.round(F.percentile("gain", F.lit(0.05)), 4).alias("lb5"), F.round(F.percentile("gain", F.lit(0.5)), 4).alias("med"), F.count("*").alias("replicates"))
 
 
 @query(
