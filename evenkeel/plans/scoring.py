@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import choose, clip, deployed, flag, logit, r6, sigmoid
+from ..operators import calibration
+from ..operators.calibration import subgroup_intercepts
 from ..operators.fit import with_constants, with_group_value
 from ..operators.ranking import ordinal_positions
+from ..operators.sampling import unit_hash
 from ..operators.scoring import brier, capped_correction, cells, counted_skill, grid, rolling_choice, screen_gate, simplex, skill
 from .registry import query
 
@@ -230,20 +233,113 @@ def residual_rolling(t) -> DataFrame:
     return rolling_choice(years, "cap").select("cap", F.round("mean_brier", 8).alias("mean_brier"), "years", "chosen")
 
 
+#: Regularisation and shrinkage of the intercepts, bound of each and of their sum, offset of deployed logits, and the first season of type F that a fit may see.
+LAM, SHRINK, TERM_CAP, OFFSET, F_SEASON = 0.001, 5000, 0.05, -0.0404, 2023
+
+
+def _intercepts_sql(name: str, cells_of: str, rounds: int = 12) -> str:
+    """CTEs up to <name>: grp and beta, by Newton steps under the constraint, one after another."""
+    steps = [f"{name}_c AS MATERIALIZED ({cells_of}), {name}_pen AS (SELECT 2 * {LAM}::DOUBLE * sum(n) AS pen FROM {name}_c), {name}_0 AS MATERIALIZED (SELECT grp, sum(n)::DOUBLE AS size, 0::DOUBLE AS raw FROM {name}_c GROUP BY grp)"]
+    for k in range(rounds):
+        p = _sig("c.z + t.raw")
+        steps.append(
+            f"""{name}_s{k} AS MATERIALIZED (SELECT t.grp, size, raw, sum(c.n * (c.y - {p})) - pen * raw AS g, sum(c.n * ({p}) * (1 - {p})) + pen AS h FROM {name}_c c JOIN {name}_{k} t ON t.grp = c.grp, {name}_pen GROUP BY t.grp, size, raw, pen),
+            {name}_{k + 1} AS MATERIALIZED (SELECT grp, size, raw + (g - (SELECT (sum(size * g / h) + sum(size * raw)) / sum(size * size / h) FROM {name}_s{k}) * size) / h AS raw FROM {name}_s{k})"""
+        )
+    return ", ".join(steps) + f", {name} AS (SELECT grp, least(greatest(raw * size / (size + {SHRINK}), -{TERM_CAP}), {TERM_CAP}) AS beta FROM {name}_{rounds})"
+
+
 @query(
-    f"""+ {_Z}, g AS (SELECT balls * 3 + strikes AS grp, rk, price FROM m), tr AS (SELECT balls * 3 + strikes AS grp, avg(y - p0) AS d, count(*)::DOUBLE AS n FROM m WHERE season < 2024 GROUP BY 1),
-    c AS (SELECT sum(n * d) / sum(n) AS centre FROM tr), k AS (SELECT grp, least(greatest((d - centre) * n / (n + 200), -0.05), 0.05) AS beta FROM tr, c)
-    SELECT m.rk, round(least(greatest(m.p0 + coalesce(beta, 0), 0.3), 0.7), 6) AS p FROM m LEFT JOIN k ON k.grp = balls * 3 + strikes WHERE season = 2024""".replace(f"+ {_Z}, g AS (SELECT balls * 3 + strikes AS grp, rk, price FROM m), tr", "+ tr"),
+    f"""+ {_intercepts_sql("a", f"SELECT game_type AS grp, ln(p0 / (1 - p0)) AS z, y, count(*) AS n FROM m WHERE season < 2024 AND (game_type <> 'F' OR season >= {F_SEASON}) GROUP BY ALL")},
+    {_intercepts_sql("b", "SELECT balls * 3 + strikes AS grp, ln(p0 / (1 - p0)) AS z, y, count(*) AS n FROM m WHERE season < 2024 GROUP BY ALL")},
+    d AS (SELECT rk, ln(p0 / (1 - p0)) + {OFFSET} + least(greatest(coalesce(a.beta, 0) + coalesce(b.beta, 0), -{TERM_CAP}), {TERM_CAP}) AS z FROM m LEFT JOIN a ON a.grp = game_type LEFT JOIN b ON b.grp = balls * 3 + strikes WHERE season = 2024)
+    SELECT rk, round(least(greatest({_sig("z")}, 0.3), 0.7), 6) AS p FROM d""",
     "m",
 )
 def subgroup_apply(t) -> DataFrame:
-    """Group corrections with zero weighted sum, shrunk by n / (n + 200) and capped, applied and clipped."""
-    rows = t.main.withColumn("grp", F.col("balls") * 3 + F.col("strikes"))
-    train = rows.where("season < 2024").groupBy("grp").agg(F.avg(F.col("y") - F.col("p0")).alias("d"), F.count("*").alias("n"))
-    k = with_constants(train, train, centre=F.sum(F.col("n") * F.col("d")) / F.sum("n"))
-    beta = clip((F.col("d") - F.col("centre")) * F.col("n") / (F.col("n") + 200), -0.05, 0.05)
-    made = rows.where("season = 2024").join(k.select("grp", beta.alias("beta")), "grp", "left")
-    return made.select("rk", r6(clip(F.col("p0") + F.coalesce("beta", F.lit(0.0)), 0.3, 0.7)).alias("p"))
+    """Intercepts of two groupings, fitted on earlier seasons with zero count-weighted sum, shrunk and capped, added to the deployed logit and capped again; unseen groups add nothing."""
+    rows = t.main.select("rk", "season", "game_type", (F.col("balls") * 3 + F.col("strikes")).alias("state"), "y", logit(F.col("p0")).alias("z"))
+    past = rows.where("season < 2024")
+    by_type = subgroup_intercepts(past.where((F.col("game_type") != "F") | (F.col("season") >= F_SEASON)), "game_type", "z", "y", LAM, SHRINK, TERM_CAP)
+    by_state = subgroup_intercepts(past, "state", "z", "y", LAM, SHRINK, TERM_CAP)
+    made = rows.where("season = 2024").join(by_type.select("game_type", F.col("beta").alias("a")), "game_type", "left").join(by_state.select("state", F.col("beta").alias("b")), "state", "left")
+    moved = clip(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), -TERM_CAP, TERM_CAP)
+    return made.select("rk", r6(deployed(F.col("z") + moved, OFFSET)).alias("p"))
+
+
+_FOLD = "floor(('0x' || substr(sha256(concat_ws('|', 'calibrate', rk)), 1, 7))::BIGINT * 3 / 268435456)::INT"
+_EPS = "least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)"
+
+
+def _newton_sql(name: str, features: list[str], l2: float, rounds: int = 12) -> str:
+    """CTEs up to <name>: f and the coefficients of the fit on tr(f, p, y, n), by Newton steps one after another."""
+    d = len(features) + 1
+    b, x = [f"b{i}" for i in range(d)], ["1", *[f"x{i}" for i in range(1, d)]]
+    steps = [f"{name}_c AS MATERIALIZED (SELECT f, {', '.join(f'{e} AS x{i}' for i, e in enumerate(features, 1))}, y, n FROM tr), {name}_0 AS (SELECT DISTINCT f, {', '.join(f'0::DOUBLE AS {k}' for k in b)} FROM tr)"]
+    z = "b0" + "".join(f" + b{i} * x{i}" for i in range(1, d))
+    h = lambda i, j: f"(h{min(i, j)}{max(i, j)}{f' + {l2}::DOUBLE' if i == j and i else ''})"
+    g = lambda i: f"(g{i}{f' - {l2}::DOUBLE * b{i}' if i else ''})"
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 2:
+            return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+        return "(" + " + ".join(f"{m[0][j]} * {m[1][(j + 1) % 3]} * {m[2][(j + 2) % 3]} - {m[0][j]} * {m[1][(j + 2) % 3]} * {m[2][(j + 1) % 3]}" for j in range(3)) + ")"
+
+    whole = [[h(i, j) for j in range(d)] for i in range(d)]
+    for k in range(rounds):
+        sums = [f"sum(n * (y - {_sig(z)}) * {x[i]}) AS g{i}" for i in range(d)] + [f"sum(n * ({_sig(z)}) * (1 - {_sig(z)}) * {x[i]} * {x[j]}) AS h{i}{j}" for i in range(d) for j in range(i, d)]
+        new = [f"b{q} + {det([[g(i) if j == q else whole[i][j] for j in range(d)] for i in range(d)])} / {det(whole)} AS b{q}" for q in range(d)]
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT f, {', '.join(new)} FROM (SELECT c.f, {', '.join(b)}, {', '.join(sums)} FROM {name}_c c JOIN {name}_{k} t ON t.f = c.f GROUP BY c.f, {', '.join(b)}))")
+    return ", ".join(steps) + f", {name} AS (SELECT f, {', '.join(f'{k} AS {name}_{k}' for k in b)} FROM {name}_{rounds})"
+
+
+_ISO_SQL = """ic AS MATERIALIZED (SELECT f, round(p * 1e6)::BIGINT AS x, sum(n)::DOUBLE AS n, sum(n * y)::DOUBLE AS s FROM tr GROUP BY ALL),
+    ip AS MATERIALIZED (SELECT f, x, n, s, sum(n) OVER (PARTITION BY f ORDER BY x) AS cn, sum(s) OVER (PARTITION BY f ORDER BY x) AS cs FROM ic),
+    im AS (SELECT i.f, i.x, j.x AS jx, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) AS least FROM ip i JOIN ip j ON j.f = i.f AND j.x <= i.x JOIN ip k ON k.f = i.f AND k.x >= i.x GROUP BY i.f, i.x, j.x),
+    iso AS MATERIALIZED (SELECT f, x, max(least) AS v FROM im GROUP BY f, x), ia AS (SELECT DISTINCT f, round(p * 1e6)::BIGINT AS x FROM va),
+    ib AS (SELECT ia.f, ia.x, max(a.x) FILTER (a.x <= ia.x) AS lo, min(a.x) FILTER (a.x >= ia.x) AS hi FROM ia JOIN iso a ON a.f = ia.f GROUP BY ia.f, ia.x),
+    iv AS (SELECT ib.f, ib.x, CASE WHEN lo IS NULL THEN b.v WHEN hi IS NULL OR lo = hi THEN a.v ELSE a.v + (b.v - a.v) * (ib.x - lo) / (hi - lo)::DOUBLE END AS v FROM ib LEFT JOIN iso a ON a.f = ib.f AND a.x = lo LEFT JOIN iso b ON b.f = ib.f AND b.x = hi)"""
+_PLATT, _BETA = [f"ln({_EPS} / (1 - {_EPS}))"], [f"ln({_EPS})", f"-ln(1 - {_EPS})"]
+_CALIBRATED_SQL = f"{_newton_sql('platt', _PLATT, 1e-6)}, {_newton_sql('beta', _BETA, 1.0)}, {_ISO_SQL}"
+_CALIBRATED = f"{_sig(f'platt_b0 + platt_b1 * {_PLATT[0]}')} AS platt, {_sig(f'beta_b0 + beta_b1 * {_BETA[0]} + beta_b2 * {_BETA[1]}')} AS beta, least(greatest(iv.v, 0.001), 0.999) AS isotonic"
+_FITTED = "FROM va JOIN platt ON platt.f = va.f JOIN beta ON beta.f = va.f JOIN iv ON iv.f = va.f AND iv.x = round(p * 1e6)::BIGINT"
+
+
+def _calibrations(train: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with a Platt, a beta and an isotonic calibration of p, each fitted on train."""
+    made = calibration.logistic(train, rows, "p", "y", out="platt", by=by, l2=1e-6)
+    made = calibration.logistic(train, made, "p", "y", calibration.beta_features, out="beta", by=by, l2=1.0)
+    return calibration.isotonic(train, made, "p", "y", out="isotonic", by=by)
+
+
+@query(
+    f"""+ r AS MATERIALIZED (SELECT rk, {_FOLD} AS f, round((p0 + p1) / 2, 6) AS p, y FROM m WHERE season = 2023), tr AS MATERIALIZED (SELECT k.f, p, y, count(*) AS n FROM r JOIN (SELECT unnest([0, 1, 2]) AS f) k ON k.f <> r.f GROUP BY ALL), va AS (SELECT * FROM r),
+    {_CALIBRATED_SQL} SELECT rk, va.f AS fold, p, round(platt, 6) AS platt, round(beta, 6) AS beta, round(isotonic, 6) AS isotonic FROM (SELECT va.*, {_CALIBRATED} {_FITTED}) va""",
+    "m",
+)
+def cross_fit_calibration(t) -> DataFrame:
+    """Three calibrations of the members' mean, every row by fits on the two folds that it isn't in."""
+    fold = F.floor(unit_hash(F.lit("calibrate"), F.col("rk")) * 3).cast("int")
+    rows = t.main.where("season = 2023").select("rk", fold.alias("fold"), r6((F.col("p0") + F.col("p1")) / 2).alias("p"), "y")
+    made = calibration.cross_fit_together(rows, "fold", 3, _calibrations)
+    return made.select("rk", "fold", "p", *[r6(c).alias(c) for c in ("platt", "beta", "isotonic")])
+
+
+@query(
+    f"""+ tr AS MATERIALIZED (SELECT v AS f, round((p0 + p1) / 2, 6) AS p, y, count(*) AS n FROM m JOIN (SELECT unnest([2021, 2022, 2023, 2024]) AS v) ON season < v GROUP BY ALL),
+    va AS MATERIALIZED (SELECT season AS f, round((p0 + p1) / 2, 6) AS p, y FROM m WHERE season BETWEEN 2021 AND 2024), {_CALIBRATED_SQL},
+    c AS (SELECT va.f, p, y, {_CALIBRATED} {_FITTED})
+    SELECT f AS season, count(*) AS n, round(avg((p - y) ** 2), 8) AS raw, round(avg((platt - y) ** 2), 8) AS platt, round(avg((beta - y) ** 2), 8) AS beta, round(avg((isotonic - y) ** 2), 8) AS isotonic FROM c GROUP BY f""",
+    "m",
+)
+def forward_calibration(t) -> DataFrame:
+    """Brier scores of each season, raw and by calibrations fitted on all seasons before it."""
+    rows = t.main.select("season", r6((F.col("p0") + F.col("p1")) / 2).alias("p"), "y")
+    later = F.explode(F.sequence(F.greatest(F.col("season") + 1, F.lit(2021)), F.lit(2024))).alias("season")
+    train = rows.where("season < 2024").select("p", "y", later)
+    made = _calibrations(train, rows.where("season BETWEEN 2021 AND 2024"), ["season"])
+    score = lambda c: F.round(brier(F.col(c), F.col("y")), 8)
+    return made.groupBy("season").agg(F.count("*").alias("n"), score("p").alias("raw"), *[score(c).alias(c) for c in ("platt", "beta", "isotonic")])
 
 
 _METRICS_SQL = f"""+ {_Z}, o AS (SELECT season, {_BSS.format(p='p0')} AS base, {_BSS.format(p='p1')} AS c1, {_BSS.format(p=_sig('(z0 + z1) / 2'))} AS c2, {_BSS.format(p='0.9 * p0 + 0.1 * p1')} AS c3,
