@@ -27,6 +27,29 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(short == 0, 0).when(first == 0, short).otherwise(first - 1).cast("int")
 
 
+def prefix_rows(rows: DataFrame, entity: list[str], order: list[str], code: str) -> DataFrame:
+    """rows with place, their number within the entity from 1, steps, the entity's number of rows, and the digest of the
+    codes up to each row: two 64-bit digests of (code, place), combined by exclusive or."""
+    w = Window.partitionBy(*entity).orderBy(*order)
+    placed = rows.withColumn("place", F.row_number().over(w))
+    digest = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), code, "place")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.select("*", F.count("*").over(Window.partitionBy(*entity)).alias("steps"), digest(1).alias("digest"), digest(2).alias("digest2"))
+
+
+def longest_prefix(left: DataFrame, right: DataFrame, entity: list[str], group: list[str]) -> DataFrame:
+    """entity, group, steps, lcp (codes that its walk shares at its start with some right walk of its group) and exact (right walks that are equal).
+
+    left and right come from prefix_rows, with the group's columns constant in an entity. Every row stands for the prefix that ends
+    there, so prefixes meet in one equi-join on group, length and digest; the right's are told apart first, and no pair of walks is formed.
+    """
+    by = [*group, "place", "digest", "digest2"]
+    known = right.groupBy(*by).agg(F.count_if(F.col("place") == F.col("steps")).alias("_ends"))
+    met = left.select(*entity, *by, "steps").join(known, by, "left")
+    shared = F.max(F.when(F.col("_ends").isNotNull(), F.col("place")).otherwise(0))
+    exact = F.max(F.when(F.col("place") == F.col("steps"), F.coalesce("_ends", F.lit(0))))
+    return met.groupBy(*entity, *group, "steps").agg(shared.alias("lcp"), exact.alias("exact"))
+
+
 def majority(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """left, right, n and confidence of each left's most frequent right; ties go to the smaller right."""
     n = pairs.groupBy(left, right).agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import choose, flag, r6, safe_ratio
+from ..functions.exprs import choose, flag, r6, safe_ratio, wilson_upper
+from ..operators import matching
 from ..operators import sequences as ops
 from ..operators.grouped import mix
 from .registry import query
@@ -94,18 +95,40 @@ def walk_match(t) -> DataFrame:
     return made.where(F.col("n") == 1).drop("n")
 
 
+_LCP_SQL = f"""+ w AS (SELECT uid, season, arg_min(month(ts), event_id)::INT AS month, arg_min(isodow(ts) - 1, event_id)::INT AS dow, list({_CODE} ORDER BY event_id) AS walk FROM h GROUP BY uid, season),
+    p AS (SELECT a.uid, a.season, a.month, a.dow, a.walk AS x, b.walk AS y FROM w a LEFT JOIN w b ON b.uid % 2 = 1 AND a.season = b.season AND a.month = b.month AND a.dow = b.dow WHERE a.uid % 2 = 0),
+    l AS (SELECT uid, season, month, dow, len(x) AS steps, (x = y)::INT AS same, CASE WHEN y IS NULL THEN 0 ELSE coalesce(nullif(list_position(list_transform(generate_series(1, least(len(x), len(y))), lambda i: x[i] = y[i]), false), 0) - 1, least(len(x), len(y))) END AS lcp FROM p),
+    g AS (SELECT uid, season, month, dow, steps::BIGINT AS steps, coalesce(sum(same), 0)::BIGINT AS exact, max(lcp)::INT AS lcp FROM l GROUP BY ALL)"""
+
+
+def _longest_prefixes(t) -> DataFrame:
+    """Walks of one source against those of the other that begin in the same season and month and on the same weekday."""
+    code = F.col("balls") * 100 + F.col("strikes") * 10 + F.col("outs")
+    first = Window.partitionBy("uid", "season").orderBy("event_id")
+    start = lambda c: F.first(c).over(first)
+    rows = t.history.select("uid", "season", "event_id", code.alias("code"), start(F.month("ts")).alias("month"), start(F.weekday("ts")).alias("dow"))
+    placed = ops.prefix_rows(rows, ["uid", "season"], ["event_id"], "code")
+    return ops.longest_prefix(placed.where("uid % 2 = 0"), placed.where("uid % 2 = 1"), ["uid"], ["season", "month", "dow"])
+
+
+@query(f"{_LCP_SQL} SELECT uid, season, month, dow, steps, lcp, exact, (exact = 1)::INT AS unique_match, round(lcp / steps, 6) AS share FROM g", "h")
+def walk_lcp(t) -> DataFrame:
+    """The longest common prefix with any same-day walk of the other source; a walk that is equal to exactly one is matched."""
+    g = _longest_prefixes(t)
+    return g.select("uid", "season", "month", "dow", "steps", "lcp", "exact", flag(F.col("exact") == 1).alias("unique_match"), r6(F.col("lcp") / F.col("steps")).alias("share"))
+
+
 @query(
-    f"""{_WALK_SQL}, p AS (SELECT a.uid, b.uid AS other, a.season, a.walk AS x, b.walk AS y FROM w a JOIN w b ON a.season = b.season AND a.uid % 2 = 0 AND b.uid % 2 = 1 AND a.walk[1] = b.walk[1]),
-    l AS (SELECT uid, other, season, len(x) AS n, coalesce(list_position(list_transform(generate_series(1, least(len(x), len(y))), lambda i: x[i] = y[i]), false) - 1, least(len(x), len(y))) AS lcp FROM p)
-    SELECT uid, season, max(lcp)::INT AS lcp, (max(lcp) >= 0.5 * max(n))::INT AS half FROM l GROUP BY uid, season""",
+    f"""{_LCP_SQL} SELECT season, t / 100.0::DOUBLE AS threshold, count(*) FILTER (lcp * 100 >= t * steps) AS walks, coalesce(sum(steps) FILTER (lcp * 100 >= t * steps), 0)::BIGINT AS row_count,
+    round(coalesce(sum(steps) FILTER (lcp * 100 >= t * steps), 0) / sum(steps), 6) AS coverage FROM g, (SELECT unnest([50, 75, 90, 100]) AS t) GROUP BY season, t""",
     "h",
 )
-def walk_lcp(t) -> DataFrame:
-    """The longest common prefix with any walk of the other source that begins alike."""
-    w = _walks(t).withColumn("head", F.col("walk")[0])
-    b = w.where("uid % 2 = 1").select("season", "head", F.col("walk").alias("b_walk"))
-    pairs = w.where("uid % 2 = 0").join(b, ["season", "head"]).select("uid", "season", "steps", ops.common_prefix(F.col("walk"), F.col("b_walk")).alias("l"))
-    return pairs.groupBy("uid", "season").agg(F.max("l").alias("lcp"), flag(F.max("l") >= 0.5 * F.max("steps")).alias("half"))
+def walk_coverage(t) -> DataFrame:
+    """Share of rows in walks that a prefix covers to at least each threshold."""
+    g = _longest_prefixes(t).select("season", "steps", "lcp", F.explode(F.array(*[F.lit(k) for k in (50, 75, 90, 100)])).alias("k"))
+    covered = F.col("lcp") * 100 >= F.col("k") * F.col("steps")
+    rows = F.sum(F.when(covered, F.col("steps")).otherwise(0))
+    return g.groupBy("season", (F.col("k") / 100).alias("threshold")).agg(F.count_if(covered).alias("walks"), rows.alias("row_count"), r6(rows / F.sum("steps")).alias("coverage"))
 
 
 @query(
@@ -309,3 +332,69 @@ def context_tv(t) -> DataFrame:
 def recent_k(t) -> DataFrame:
     w = Window.partitionBy("uid").orderBy(*ORDER).rowsBetween(-5, -1)
     return t.history.select("event_id", r6(F.avg("value").over(w)).alias("recent5"), F.count("*").over(w).alias("n"))
+
+
+REQUESTED = 5
+
+
+@query(
+    f"""+ e AS (SELECT DISTINCT uid, balls AS l, event_id // 7 % 6 AS r FROM h WHERE value > 20), k AS (SELECT * FROM e WHERE l <> r),
+    n AS (SELECT uid, count(DISTINCT l) AS lefts, count(DISTINCT r) AS rights FROM e GROUP BY uid), q AS (SELECT uid, count(DISTINCT l) AS eligible, count(*) AS edges FROM k GROUP BY uid),
+    o AS (SELECT uid, l, r FROM k UNION ALL SELECT DISTINCT uid, v.l, NULL FROM e, (SELECT unnest([0, 1, 2, 3]) AS l) v),
+    c AS (SELECT a.uid, list_filter([(0, a.r), (1, b.r), (2, c.r), (3, d.r)], lambda x: x[2] IS NOT NULL) AS pairs FROM o a JOIN o b ON b.uid = a.uid AND b.l = 1 JOIN o c ON c.uid = a.uid AND c.l = 2 JOIN o d ON d.uid = a.uid AND d.l = 3 WHERE a.l = 0),
+    u AS (SELECT uid, pairs, len(pairs) AS size FROM c WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda x: x[2])))),
+    b AS (SELECT uid, max(size) AS size FROM u GROUP BY uid),
+    s AS (SELECT u.uid, u.size, substr(sha256('[' || array_to_string(list_transform(pairs, lambda x: '(' || x[1] || ', ' || x[2] || ')'), ', ') || ']'), 1, 16) AS id FROM u JOIN b ON b.uid = u.uid AND b.size = u.size)
+    SELECT n.uid, lefts, rights, coalesce(eligible, 0) AS eligible_lefts, coalesce(edges, 0) AS edge_count, max(size)::INT AS cardinality, count(*) AS finite_space, least(count(*) - 1, {REQUESTED}) AS generated, count(*) - 1 <= {REQUESTED} AS exhausted
+    FROM n JOIN s ON s.uid = n.uid LEFT JOIN q ON q.uid = n.uid GROUP BY n.uid, lefts, rights, eligible, edges""",
+    "h",
+)
+def null_matchings(t) -> DataFrame:
+    """How many largest matchings of each entity's graph of states and slots there are, no state in the slot of its own number, and how many others than the canonical one are drawn."""
+    allowed = t.history.where("value > 20").select("uid", F.col("balls").cast("long").alias("left"), (F.floor(F.col("event_id") / 7) % 6).alias("right"))
+    graphs = matching.null_graphs(allowed, "uid", derangement=True)
+    _, summary = matching.null_matchings(graphs, "uid", REQUESTED, "null")
+    return graphs.select("uid", "lefts", "rights", "eligible_lefts", F.size("edges").cast("long").alias("edge_count")).join(summary, "uid")
+
+
+TRIALS, CLOSE = 200, 0.05
+_NULL_SQL = f"""+ e AS (SELECT uid, avg(value) AS mean FROM h GROUP BY uid), t AS (SELECT unnest(generate_series(0, {TRIALS - 1})) AS trial),
+    l AS (SELECT trial, uid, mean, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', 'null/left', trial, uid)), uid) AS k FROM e, t),
+    r AS (SELECT trial, uid, mean, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', 'null/right', trial, uid)), uid) AS k FROM e, t),
+    p AS (SELECT l.trial, l.uid AS a, r.uid AS b, l.mean AS x, r.mean AS y FROM l JOIN r ON l.trial = r.trial AND l.k = r.k), ok AS (SELECT trial FROM p GROUP BY trial HAVING count(*) FILTER (a = b) = 0),
+    acc AS (SELECT trial, count(*) AS pairs, count(*) FILTER (abs(x - y) < {CLOSE}) AS accepted FROM p JOIN ok USING (trial) GROUP BY trial)"""
+
+
+def _null_accepts(t) -> DataFrame:
+    means = t.history.groupBy("uid").agg(F.avg("value").alias("mean"))
+    pairs = matching.null_permutations(means.select("uid"), means.select("uid"), "uid", TRIALS, "null", derangement=True)
+    pairs = pairs.join(means.select(F.col("uid").alias("left"), F.col("mean").alias("x")), "left").join(means.select(F.col("uid").alias("right"), F.col("mean").alias("y")), "right")
+    return pairs.groupBy("trial").agg(F.count("*").alias("pairs"), F.count_if(F.abs(F.col("x") - F.col("y")) < CLOSE).alias("accepted"))
+
+
+@query(f"{_NULL_SQL} SELECT trial, pairs, accepted FROM acc", "h")
+def null_permutations(t) -> DataFrame:
+    """Pairs of close means in every null assignment that maps no entity to itself."""
+    return _null_accepts(t)
+
+
+@query(
+    f"""{_NULL_SQL}, s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (accepted > 0)::DOUBLE AS k, quantile_cont(accepted, 0.95) AS p95, max(accepted) AS most, max(pairs) AS pairs FROM acc)
+    SELECT n::BIGINT AS unique_trials, {TRIALS} AS requested_trials, k::BIGINT AS false_accepts, round(k / n, 6) AS rate,
+    round(least(1, (k / n + 1.6448536269514722::DOUBLE ** 2 / (2 * n) + 1.6448536269514722::DOUBLE * sqrt((k / n * (1 - k / n) + 1.6448536269514722::DOUBLE ** 2 / (4 * n)) / n)) / (1 + 1.6448536269514722::DOUBLE ** 2 / n)), 6) AS upper,
+    round(p95, 6) AS accepted_p95, most AS accepted_max, pairs, (least(1, (k / n + 1.6448536269514722::DOUBLE ** 2 / (2 * n) + 1.6448536269514722::DOUBLE * sqrt((k / n * (1 - k / n) + 1.6448536269514722::DOUBLE ** 2 / (4 * n)) / n)) / (1 + 1.6448536269514722::DOUBLE ** 2 / n)) <= 0.01)::INT AS passes,
+    (SELECT array_to_string(list(accepted || ':' || c ORDER BY accepted), ',') FROM (SELECT accepted, count(*) AS c FROM acc GROUP BY accepted)) AS histogram FROM s""",
+    "h",
+)
+def false_accepts(t) -> DataFrame:
+    """Summary of null trials: how many accept anything, the upper bound of that rate, and how many pairs they accept."""
+    trials = _null_accepts(t)
+    histogram = trials.groupBy("accepted").agg(F.count("*").alias("c"))
+    # one row for each count of accepted pairs
+    text = histogram.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("accepted", "c"))), lambda e: F.concat_ws(":", e["accepted"], e["c"])), ",").alias("histogram"))
+    made = trials.agg(F.count("*").alias("n"), F.count_if(F.col("accepted") > 0).alias("k"), F.percentile("accepted", F.lit(0.95)).alias("p95"), F.max("accepted").alias("most"), F.max("pairs").alias("pairs"))
+    upper = F.least(F.lit(1.0), wilson_upper(F.col("k"), F.col("n")))
+    return made.crossJoin(F.broadcast(text)).select(
+        F.col("n").alias("unique_trials"), F.lit(TRIALS).alias("requested_trials"), F.col("k").alias("false_accepts"), r6(F.col("k") / F.col("n")).alias("rate"), r6(upper).alias("upper"),
+        r6("p95").alias("accepted_p95"), F.col("most").alias("accepted_max"), "pairs", flag(upper <= 0.01).alias("passes"), "histogram",
+    )
