@@ -10,8 +10,8 @@ without stock. Both change at the stretch's own lots only, so the maps of all th
    on in the next one, and a group of over ``chunk_events`` events is cut: such a chunk is replayed from no stock, which gives what it leaves of each lot.
 2. Lots of such chunks are put into blocks of ranks, again by a range partitioning. A tree of ``FAN`` chunks a node composes maps
    upwards and hands stocks downwards (a parallel prefix scan). Running sums over ranks are taken within a block and carried from block to
-   block by the blocks' totals, so a node of any size is spread over its blocks. A chunk is handed only lots that its own returns can
-   reach: those with less before them than it returns.
+   block by the blocks' totals, so a node of any size is spread over its blocks. A chunk is handed only lots that its
+   returns take from: those whose better lots run out, which shows where its map of these meets its floor.
 3. Every chunk replays independently, from the stock at its start.
 
 Each level handles every lot once, so the work grows as lots times the logarithm of chunks. What grows in one task is one row per chunk (its returns,
@@ -194,33 +194,40 @@ def chunked(events: DataFrame, chunk_events: int, parts: int) -> DataFrame:
     )
 
 
-def _composed(rows: DataFrame, returned: DataFrame, level: int) -> tuple[DataFrame, list[Column], list[Column]]:
+def _composed(rows: DataFrame, returned: DataFrame) -> tuple[DataFrame, list[Column], list[Column]]:
     """Units in the r best lots before child 0, 1, ... and after the last one, for r with and without each row's own lot.
 
-    rows have stock (at the node's start), came and left (of a child's lots); a node of this level holds FAN of the level below.
+    rows have stock (at the node's start), came and left (of a child's lots); a node has FAN children. The totals of the blocks before
+    come as a row of their own, the first of its block, so that one running sum serves both.
     """
     node, cell = [*OWNER, "parent"], [*OWNER, "parent", "blk"]
-    parent = F.expr(f"node div {FAN}")
     child = F.expr(f"node % {FAN}")
     zero = F.lit(0).cast("bigint")
-    own = {"x": F.col("stock")}
-    for j in range(FAN):
-        own[f"q{j}"] = F.when(F.col("child") == j, F.col("came")).otherwise(zero)
-        own[f"l{j}"] = F.when(F.col("child") == j, F.col("left")).otherwise(zero)
-    totals = returned.groupBy(*OWNER, parent.alias("parent")).agg(*[F.sum(F.when(child == j, F.col("units")).otherwise(0)).alias(f"t{j}") for j in range(FAN)])
+    of = lambda j, c: F.when(F.col("child") == j, F.col(c)).otherwise(zero)
+    sums = [F.col("stock"), *[of(j, c) for c in ("came", "left") for j in range(FAN)]]
+    units = F.array(*[F.sum(F.when(child == j, F.col("units")).otherwise(zero)) for j in range(FAN)])
+    totals = returned.groupBy(*OWNER, F.expr(f"node div {FAN}").alias("parent")).agg(units.alias("units"))
     earlier = Window.partitionBy(*node).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*cell).agg(*[F.sum(v).alias(k) for k, v in own.items()])
-    base = blocks.select(*cell, *[F.coalesce(F.sum(k).over(earlier), zero).alias(f"b_{k}") for k in own]).join(totals, node, "left")
-    up_to = Window.partitionBy(*cell).orderBy(*RANK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.join(base.hint("merge"), cell).select(
-        *rows.columns, *[F.coalesce(f"t{j}", zero).alias(f"t{j}") for j in range(FAN)], *[(F.col(f"b_{k}") + F.sum(v).over(up_to)).alias(k) for k, v in own.items()]
+    blocks = rows.groupBy(*cell).agg(*[F.sum(v).alias(f"s{k}") for k, v in enumerate(sums)])
+    base = F.array(*[F.coalesce(F.sum(f"s{k}").over(earlier), zero) for k in range(len(sums))])
+    heads = blocks.select(*cell, base.alias("base")).join(totals, node, "left")
+    heads = heads.select(*cell, "base", F.coalesce("units", F.array(*[zero] * FAN)).alias("units"))
+    # dealt by block before the sums are spelled out
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(*cell)
+    own = [F.coalesce(F.col("base")[k], v) for k, v in enumerate(sums)]
+    up_to = Window.partitionBy(*cell).orderBy(F.col("base").isNull(), *RANK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = (
+        dealt.select("*", *[v.alias(f"o{k}") for k, v in enumerate(own)])
+        .select("*", *[F.sum(f"o{k}").over(up_to).alias(f"u{k}") for k in range(len(sums))], F.max("units").over(up_to).alias("_units"))
+        .where(F.col("base").isNull())
+        .withColumn("units", F.col("_units"))
     )
 
     def states(less: bool) -> list[Column]:
-        at = lambda k: F.col(k) - own[k] if less else F.col(k)
-        found = [at("x")]
+        at = lambda k: F.col(f"u{k}") - F.col(f"o{k}") if less else F.col(f"u{k}")
+        found = [at(0)]
         for j in range(FAN):
-            found.append(F.greatest(found[-1] + at(f"q{j}") - F.col(f"t{j}"), at(f"l{j}")))
+            found.append(F.greatest(found[-1] + at(1 + j) - F.col("units")[j], at(1 + FAN + j)))
         return found
 
     return summed, states(False), states(True)
@@ -233,12 +240,12 @@ def _dealt(lots: DataFrame) -> DataFrame:
 def _up(lots: DataFrame, returned: DataFrame) -> DataFrame:
     """The maps of nodes from those of their children."""
     rows = _dealt(lots).withColumn("stock", F.lit(0).cast("bigint"))
-    summed, own, less = _composed(rows, returned, 1)
+    summed, own, less = _composed(rows, returned)
     return summed.select(*OWNER, "blk", *RANK, F.col("parent").alias("node"), "came", (own[FAN] - less[FAN]).alias("left"))
 
 
 def _down(stock: DataFrame | None, lots: DataFrame, returned: DataFrame) -> DataFrame:
-    """Lots in stock at the start of every child, from those at the start of its parent, as far as the child's returns can reach."""
+    """Lots in stock at the start of every child that it takes from, from those at the start of its parent."""
     nothing = F.lit(0).cast("bigint")
     rows = _dealt(lots).withColumn("stock", nothing)
     if stock is not None:
@@ -246,16 +253,18 @@ def _down(stock: DataFrame | None, lots: DataFrame, returned: DataFrame) -> Data
         rows = rows.drop("node").unionByName(kept)
     else:
         rows = rows.drop("node")
-    summed, own, less = _composed(rows, returned, 1)
-    held = F.array(*[F.struct(F.lit(j).alias("child"), (own[j] - less[j]).alias("stock"), less[j].alias("ahead"), F.col(f"t{j}").alias("units")) for j in range(FAN)])
-    reached = F.filter(held, lambda h: (h.stock > 0) & (h.ahead < h.units))
+    summed, own, less = _composed(rows, returned)
+    # a child takes from a lot where its map of the better lots meets its floor, so that they run out
+    short = [less[j + 1] > less[j] + F.col(f"u{1 + j}") - F.col(f"o{1 + j}") - F.col("units")[j] for j in range(FAN)]
+    held = F.array(*[F.struct(F.lit(j).alias("child"), (own[j] - less[j]).alias("stock"), short[j].alias("short")) for j in range(FAN)])
+    reached = F.filter(held, lambda h: (h.stock > 0) & h.short)
     return summed.select(*OWNER, "blk", *RANK, "parent", F.explode(reached).alias("h")).select(
         *OWNER, "blk", *RANK, (F.col("parent") * FAN + F.col("h.child")).alias("node"), "h.stock"
     )
 
 
 def stock_at_start(lots: DataFrame, returned: DataFrame, nodes: int) -> DataFrame | None:
-    """client_id, item_id, node, the lot's columns and stock of every lot that a chunk finds and can reach.
+    """client_id, item_id, node, the lot's columns and stock of every lot that a chunk finds and takes from.
 
     lots: owner, blk, RANK, node (the chunk), came, left; returned: owner, node, units. Chunks are numbered below ``nodes``. None for one chunk.
     """
