@@ -55,6 +55,14 @@ def cut(c: Column, edges: list[float], labels: list[str]) -> Column:
     return out
 
 
+def cut_code(c: Column, edges: list[float]) -> Column:
+    """Number of the interval (edge, next edge] that holds c, from 0; null outside all of them."""
+    out = F.when(c <= edges[0], None)
+    for k, edge in enumerate(edges[1:]):
+        out = out.when(c <= edge, k)
+    return out
+
+
 def choose(pairs: list[tuple[Column, object]], otherwise: object = None) -> Column:
     """The value beside the first condition that holds."""
     out = F

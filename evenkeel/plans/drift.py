@@ -10,7 +10,7 @@ from ..operators import drift as ops
 from ..operators import scoring
 from ..operators.fit import with_constants
 from ..operators.grouped import shares, total_variation
-from ..operators.ranking import average_ranks, ordinal_positions
+from ..operators.ranking import average_ranks, exact_quantiles, ordinal_positions
 from .profiles import _LONG_SQL, _long
 from .registry import query
 
@@ -330,3 +330,53 @@ def icc(t) -> DataFrame:
     g = s.agg(F.var_samp("r").alias("b"), (F.sum(F.col("v") * (F.col("n") - 1)) / F.sum(F.col("n") - 1)).alias("w"), F.avg("n").alias("k"))
     true = F.greatest(F.lit(0.0), F.col("b") - F.col("w") / F.col("k"))
     return g.select(F.round("b", 8).alias("between_v"), F.round("w", 8).alias("within_v"), F.round(true / (true + F.col("w")), 8).alias("icc"))
+
+
+def _ids_sql() -> str:
+    return "i AS (SELECT 'pid' AS kind, pid AS id, season, y FROM m UNION ALL SELECT 'bid', bid % 200, season, y FROM m), s AS (SELECT kind, id, season, avg(y) AS r, count(*) AS n FROM i GROUP BY ALL)"
+
+
+def _ids(t) -> DataFrame:
+    """kind, id, season, r and n of both kinds of entity."""
+    each = F.inline(F.array(F.struct(F.lit("pid").alias("kind"), F.col("pid").alias("id")), F.struct(F.lit("bid").alias("kind"), (F.col("bid") % 200).alias("id"))))
+    return t.main.select("season", "y", each)
+
+
+@query(
+    f"""+ {_ids_sql()}, u AS (SELECT kind, id, sum(n) AS used FROM s GROUP BY ALL), q AS (SELECT kind, quantile_cont(used, 0.4) AS low, quantile_cont(used, 0.6) AS high FROM u GROUP BY kind),
+    g AS (SELECT u.kind, id, CASE WHEN used < low THEN 'low' WHEN used <= high THEN 'middle' ELSE 'high' END AS usage FROM u JOIN q ON q.kind = u.kind)
+    SELECT a.kind, a.season, usage, count(*) AS ids, round(corr(a.r, b.r), 6) AS r FROM s a JOIN s b ON a.kind = b.kind AND a.id = b.id AND b.season = a.season + 1 JOIN g ON g.kind = a.kind AND g.id = a.id
+    WHERE a.n >= 30 GROUP BY a.kind, a.season, usage HAVING count(*) >= 10""",
+    "m",
+)
+def usage_repeatability(t) -> DataFrame:
+    """Correlation of rates of adjacent seasons by how much an entity was used: below the 40 %, above the 60 % point, and between. Groups under ten entities are left out."""
+    s = _ids(t).groupBy("kind", "id", "season").agg(F.avg("y").alias("r"), F.count("*").alias("n"))
+    used = s.groupBy("kind", "id").agg(F.sum("n").alias("used"))
+    q = F.col("q")
+    usage = F.when(F.col("used") < q[0], "low").when(F.col("used") <= q[1], "middle").otherwise("high")
+    # two rows, one a kind
+    used = used.join(F.broadcast(exact_quantiles(used, ["kind"], "used", [0.4, 0.6])), "kind").select("kind", "id", usage.alias("usage"))
+    ahead = s.select("kind", "id", (F.col("season") - 1).alias("season"), F.col("r").alias("next"))
+    pairs = s.where("n >= 30").join(ahead, ["kind", "id", "season"]).join(used, ["kind", "id"])
+    return pairs.groupBy("kind", "season", "usage").agg(F.count("*").alias("ids"), r6(F.corr("r", "next")).alias("r")).where("ids >= 10")
+
+
+@query(
+    f"""+ {_ids_sql()}, t AS (SELECT kind, var_samp(y) AS total FROM i GROUP BY kind), e AS (SELECT kind, id, avg(y) AS r FROM i GROUP BY ALL), b AS (SELECT kind, var_samp(r) AS between_v FROM e GROUP BY kind),
+    w AS (SELECT kind, avg(v) AS within_v FROM (SELECT kind, id, var_samp(r) AS v FROM s GROUP BY kind, id) GROUP BY kind), d AS (SELECT i.kind, avg((y - r) ** 2) AS rest FROM i JOIN s ON s.kind = i.kind AND s.id = i.id AND s.season = i.season GROUP BY i.kind)
+    SELECT kind, round(total, 8) AS total, round(between_v, 8) AS between_v, round(within_v, 8) AS within_v, round(rest, 8) AS rest, round(between_v / total, 8) AS icc_id, round(between_v / (between_v + within_v), 8) AS icc_season
+    FROM t JOIN b USING (kind) JOIN w USING (kind) JOIN d USING (kind)""",
+    "m",
+)
+def id_variance(t) -> DataFrame:
+    """How much of the target's variance lies between entities, between an entity's seasons, and within a season."""
+    ids, y = _ids(t), F.col("y")
+    s = ids.groupBy("kind", "id", "season").agg(F.avg("y").alias("r"), F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(y * y).alias("sq"))
+    n, rest = F.sum("n"), F.sum(F.col("sq") - F.col("sy") * F.col("r"))
+    whole = s.groupBy("kind").agg(((F.sum("sq") - F.sum("sy") * F.sum("sy") / n) / (n - 1)).alias("total"), (rest / n).alias("rest"))
+    of = s.groupBy("kind", "id").agg((F.sum("sy") / F.sum("n")).alias("r"), F.var_samp("r").alias("v"))
+    between = of.groupBy("kind").agg(F.var_samp("r").alias("b"), F.avg("v").alias("w"))
+    eighth = lambda c: F.round(c, 8)
+    b, w = F.col("b"), F.col("w")
+    return whole.join(between, "kind").select("kind", eighth("total").alias("total"), eighth(b).alias("between_v"), eighth(w).alias("within_v"), eighth("rest").alias("rest"), eighth(b / F.col("total")).alias("icc_id"), eighth(b / (b + w)).alias("icc_season"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import choose, classify_value, cut, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
+from ..functions.exprs import choose, classify_value, cut, cut_code, flag, lexical_kind, logit, parse_date, r6, recency_weight, right_closed, smoothed_rate
 from ..operators.encode import fit_scaler, scaled, vocabulary_codes
 from ..operators.fit import with_constants, with_group_value
-from ..operators.ranking import ordinal_positions, running_before
+from ..operators.ranking import exact_quantiles, ordinal_positions, running_before
 from .registry import query
 
 TRAIN = "season < 2024"
@@ -73,14 +73,26 @@ def feat_bucket(t) -> DataFrame:
     return t.main.select("rk", right_closed(F.col("n_p"), [0, 1, 10, 50, 100]).alias("asof_n_bucket"))
 
 
+# fixed values: bounds (right-closed) of the crosses' cells
+LI_EDGES = [0, 0.5, 1.0, 1.5, 2.0, 99]
+RATE_EDGES = [0, 0.45, 0.475, 0.50, 0.525, 0.55, 1.0]
+DIFF_EDGES = [-99, -3, -1, 1, 3, 99]
+
+
 @query(
     """SELECT rk, (abs(diff) <= 1)::INT AS close_game, (r2 + r3 > 0 AND li >= 1)::INT AS risp_li, (balls = 3 AND strikes = 2 AND outs = 2)::INT AS full_two_out,
        (balls = 3 AND strikes = 2 AND ph = bh)::INT AS full_same_hand,
        CASE WHEN outs BETWEEN 0 AND 2 THEN (r1::VARCHAR || r2 || r3) || '|' || outs ELSE '__MISSING__' END AS base_out,
-       ph * 100 + balls * 3 + strikes AS hand_count, CASE WHEN abs(diff) <= 1 THEN month WHEN abs(diff) <= 3 THEN 100 + month ELSE 200 + month END AS sdiff_month FROM m""",
+       (ph * 2 + bh) * 12 + balls * 3 + strikes AS hand_count,
+       (balls * 3 + strikes) * 5 + CASE WHEN li > 0 AND li <= 0.5 THEN 0 WHEN li > 0.5 AND li <= 1 THEN 1 WHEN li > 1 AND li <= 1.5 THEN 2 WHEN li > 1.5 AND li <= 2 THEN 3 WHEN li > 2 AND li <= 99 THEN 4 ELSE 0 END AS count_li,
+       2 * CASE WHEN rate > 0.45 AND rate <= 0.475 THEN 1 WHEN rate > 0.475 AND rate <= 0.5 THEN 2 WHEN rate > 0.5 AND rate <= 0.525 THEN 3 WHEN rate > 0.525 AND rate <= 0.55 THEN 4 WHEN rate > 0.55 AND rate <= 1 THEN 5 ELSE 0 END + ph AS cond_pitcher,
+       2 * CASE WHEN li > 0.5 AND li <= 1 THEN 1 WHEN li > 1 AND li <= 1.5 THEN 2 WHEN li > 1.5 AND li <= 2 THEN 3 WHEN li > 2 AND li <= 99 THEN 4 ELSE 0 END + bh AS li_batter,
+       CASE WHEN diff > -99 AND diff <= -3 THEN 0 WHEN diff > -3 AND diff <= -1 THEN 4 WHEN diff > -1 AND diff <= 1 THEN 8 WHEN diff > 1 AND diff <= 3 THEN 12 WHEN diff > 3 AND diff <= 99 THEN 16 END + month % 4 AS sdiff_month FROM m""",
     "m",
 )
 def feat_cross(t) -> DataFrame:
+    """Flags of rare states and cells of two variables each; values outside a cut count as its first cell, but a score difference has none then."""
+    state = F.col("balls") * 3 + F.col("strikes")
     full = (F.col("balls") == 3) & (F.col("strikes") == 2)
     close = F.abs("diff")
     return t.main.select(
@@ -90,8 +102,11 @@ def feat_cross(t) -> DataFrame:
         flag(full & (F.col("outs") == 2)).alias("full_two_out"),
         flag(full & (F.col("ph") == F.col("bh"))).alias("full_same_hand"),
         F.when(F.col("outs").between(0, 2), F.concat_ws("|", F.concat("r1", "r2", "r3"), "outs")).otherwise("__MISSING__").alias("base_out"),
-        (F.col("ph") * 100 + F.col("balls") * 3 + F.col("strikes")).alias("hand_count"),
-        choose([(close <= 1, F.col("month")), (close <= 3, 100 + F.col("month"))], 200 + F.col("month")).alias("sdiff_month"),
+        ((F.col("ph") * 2 + F.col("bh")) * 12 + state).alias("hand_count"),
+        (state * 5 + F.coalesce(cut_code(F.col("li"), LI_EDGES), F.lit(0))).alias("count_li"),
+        (F.coalesce(cut_code(F.col("rate"), RATE_EDGES), F.lit(0)) * 2 + F.col("ph")).alias("cond_pitcher"),
+        (F.coalesce(cut_code(F.col("li"), LI_EDGES), F.lit(0)) * 2 + F.col("bh")).alias("li_batter"),
+        (cut_code(F.col("diff"), DIFF_EDGES) * 4 + F.col("month") % 4).alias("sdiff_month"),
     )
 
 
@@ -184,24 +199,26 @@ def feat_binned_product(t) -> DataFrame:
 
 @query(
     """+ med AS (SELECT r1 * 4 + r2 * 2 + r3 AS base, quantile_cont(li, 0.5) AS mid FROM m WHERE season < 2024 GROUP BY 1),
-    e AS (SELECT quantile_cont(li, 0.25) AS a, quantile_cont(li, 0.5) AS b, quantile_cont(li, 0.75) AS c FROM m WHERE season < 2024)
-    SELECT rk, CASE WHEN mid IS NULL THEN -1 WHEN mid <= a THEN 0 WHEN mid <= b THEN 1 WHEN mid <= c THEN 2 ELSE 3 END AS base_code, balls * 3 + strikes AS count_code,
-           (r1 + r2 + r3) * 3 + CASE WHEN li <= a THEN 0 WHEN li <= c THEN 1 ELSE 2 END AS runner_li
+    e AS (SELECT list_sort(list_distinct(quantile_cont(li, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS edges FROM m WHERE season < 2024)
+    SELECT rk, CASE WHEN mid IS NULL THEN -1 ELSE len(list_filter(edges[2:], lambda x: x < mid)) END::INT AS base_code, balls * 3 + strikes AS count_code,
+           (r1 + r2 + r3) * 3 + CASE WHEN li > 1 AND li <= 2 THEN 1 WHEN li > 2 AND li <= 1e9 THEN 2 ELSE 0 END AS runner_li
     FROM m LEFT JOIN med ON med.base = r1 * 4 + r2 * 2 + r3, e""",
     "m",
 )
 def feat_interaction(t) -> DataFrame:
-    train = t.main.where(TRAIN)
+    """The fifth of leverage that holds the base state's median (-1 for an unseen one), the count, and runners with fixed classes of leverage."""
     base = F.col("r1") * 4 + F.col("r2") * 2 + F.col("r3")
-    rows = with_group_value(t.main.withColumn("base", base), train.withColumn("base", base), ["base"], mid=F.percentile("li", F.lit(0.5)))
-    rows = with_constants(rows, train, q=F.percentile("li", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])))
-    q = F.col("q")
-    code = choose([(F.col("mid").isNull(), -1), *[(F.col("mid") <= q[k], k) for k in range(3)]], 3)
-    return rows.select(
+    train = t.main.where(TRAIN).select(base.alias("base"), "li")
+    middles = exact_quantiles(train, ["base"], "li", [0.5]).select("base", F.col("q")[0].alias("mid"))
+    # one row; equal edges count once
+    edges = exact_quantiles(train.withColumn("all", F.lit(0)), ["all"], "li", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).select(F.array_distinct("q").alias("edges"))
+    code = F.size(F.filter("edges", lambda e, i: (i > 0) & (e < F.col("mid"))))
+    codes = middles.crossJoin(F.broadcast(edges)).select("base", code.alias("code"))
+    return t.main.withColumn("base", base).join(codes, "base", "left").select(
         "rk",
-        code.alias("base_code"),
+        F.coalesce("code", F.lit(-1)).alias("base_code"),
         (F.col("balls") * 3 + F.col("strikes")).alias("count_code"),
-        ((F.col("r1") + F.col("r2") + F.col("r3")) * 3 + choose([(F.col("li") <= q[0], 0), (F.col("li") <= q[2], 1)], 2)).alias("runner_li"),
+        ((F.col("r1") + F.col("r2") + F.col("r3")) * 3 + F.coalesce(cut_code(F.col("li"), [-1, 1, 2, 1e9]), F.lit(0))).alias("runner_li"),
     )
 
 

@@ -15,6 +15,22 @@ REALS = ["rate", "prev1", "prev5", "li", "price"]
 _LONG_SQL = "+ l AS (SELECT rk, season, game_type, y, unnest(['rate', 'prev1', 'prev5', 'li', 'price']) AS metric, unnest([rate, prev1, prev5, li, price]) AS value FROM m)"
 
 
+#: Counts of few values, and what the shapes are called: fixed values, with their tests by skewness and kurtosis in order.
+COUNTS = ["balls", "strikes", "outs"]
+SHAPES = {
+    "constant": "상수",
+    "count": "저차원 이산 (카운트)",
+    "inning": "이산 (1~13, 연장 포함)",
+    "strong": "강한 우측 꼬리 (log 정규/지수적)",
+    "right": "우측 꼬리",
+    "left": "좌측 꼬리",
+    "flat": "대략 정규/평평",
+    "bell": "종 모양 (정규 근사)",
+}
+TAILS = [("strong", lambda s, k: s > 1.5), ("right", lambda s, k: s > 0.5), ("left", lambda s, k: s < -0.5), ("flat", lambda s, k: F.abs(k) < 1)]
+_WIDE_SQL = "+ l AS (SELECT rk, unnest(['rate', 'prev1', 'prev5', 'li', 'price', 'balls', 'strikes', 'outs', 'inning']) AS metric, unnest([rate, prev1, prev5, li, price, balls, strikes, outs, inning]) AS value FROM m)"
+
+
 def _long(t) -> DataFrame:
     return unpivoted(t.main.select("rk", "season", "game_type", "y", *REALS), ["rk", "season", "game_type", "y"], REALS)
 
@@ -61,23 +77,27 @@ def quantile_profile(t) -> DataFrame:
 
 
 @query(
-    f"""{_LONG_SQL}, c AS (SELECT metric, value, count(*) AS k FROM l WHERE value IS NOT NULL GROUP BY metric, value),
+    f"""{_WIDE_SQL}, c AS (SELECT metric, value, count(*) AS k FROM l WHERE value IS NOT NULL GROUP BY metric, value),
     top AS (SELECT metric, arg_max(value, (k, -value)) AS mode, max(k) AS k FROM c GROUP BY metric),
     s AS (SELECT metric, count(value)::DOUBLE AS n, avg(value) AS mu FROM l GROUP BY metric),
     p AS (SELECT metric, n, avg((value - mu) ** 2) AS m2, avg((value - mu) ** 3) AS m3, avg((value - mu) ** 4) AS m4 FROM l JOIN s USING (metric) GROUP BY metric, n)
     SELECT metric, round(m3 / m2 ** 1.5 * sqrt(n * (n - 1)) / (n - 2), 4) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6), 4) AS kurt,
-           round(mode, 6) AS mode, round(k / n, 6) AS mode_share FROM p JOIN top USING (metric)""",
+           round(mode, 6) AS mode, round(k / n, 6) AS mode_share, CASE WHEN hi - lo < 1e-9 THEN '상수' WHEN metric IN ('balls', 'strikes', 'outs') THEN '저차원 이산 (카운트)' WHEN metric = 'inning' THEN '이산 (1~13, 연장 포함)'
+           WHEN m3 / m2 ** 1.5 * sqrt(n * (n - 1)) / (n - 2) > 1.5 THEN '강한 우측 꼬리 (log 정규/지수적)' WHEN m3 / m2 ** 1.5 * sqrt(n * (n - 1)) / (n - 2) > 0.5 THEN '우측 꼬리' WHEN m3 / m2 ** 1.5 * sqrt(n * (n - 1)) / (n - 2) < -0.5 THEN '좌측 꼬리'
+           WHEN abs((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2 ** 2 - 3) + 6)) < 1 THEN '대략 정규/평평' ELSE '종 모양 (정규 근사)' END AS shape FROM p JOIN top USING (metric) JOIN (SELECT metric, min(value) AS lo, max(value) AS hi FROM l GROUP BY metric) USING (metric)""",
     "m",
 )
 def describe_moments(t) -> DataFrame:
-    """Bias-corrected skewness and kurtosis; the mode is the smallest of the most frequent values."""
-    rows = _long(t).where(F.col("value").isNotNull())
+    """Bias-corrected skewness and kurtosis, the smallest of the most frequent values and its share, and the name of the distribution's shape."""
+    columns = [*REALS, *COUNTS, "inning"]
+    rows = unpivoted(t.main.select("rk", *[F.col(c).cast("double").alias(c) for c in columns]), ["rk"], columns).where(F.col("value").isNotNull())
     best = rows.groupBy("metric", "value").count().groupBy("metric").agg(F.max(F.struct("count", (-F.col("value")).alias("v"))).alias("top"))
     n = F.count("value").cast("double")
     made = rows.groupBy("metric").agg(
-        F.round(bias_corrected_skew(n, F.skewness("value")), 4).alias("skew"), F.round(bias_corrected_kurtosis(n, F.kurtosis("value")), 4).alias("kurt"), n.alias("n")
+        bias_corrected_skew(n, F.skewness("value")).alias("s"), bias_corrected_kurtosis(n, F.kurtosis("value")).alias("k"), n.alias("n"), (F.max("value") - F.min("value")).alias("span")
     )
-    return made.join(best, "metric").select("metric", "skew", "kurt", r6(-F.col("top.v")).alias("mode"), r6(F.col("top.count") / F.col("n")).alias("mode_share"))
+    shape = choose([(F.col("span") < 1e-9, SHAPES["constant"]), (F.col("metric").isin(COUNTS), SHAPES["count"]), (F.col("metric") == "inning", SHAPES["inning"]), *[(test(F.col("s"), F.col("k")), SHAPES[name]) for name, test in TAILS]], SHAPES["bell"])
+    return made.join(best, "metric").select("metric", F.round("s", 4).alias("skew"), F.round("k", 4).alias("kurt"), r6(-F.col("top.v")).alias("mode"), r6(F.col("top.count") / F.col("n")).alias("mode_share"), shape.alias("shape"))
 
 
 @query(

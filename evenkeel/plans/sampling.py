@@ -112,12 +112,16 @@ def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "y", "p0", "p1").agg(F.count("*").alias("n"))
 
 
+def cell_key(by: list[str]):
+    """The name of a cell: its ``by``, outcome and predictions in millionths."""
+    micro = lambda p: F.round(F.col(p) * 1e6).cast("long").cast("string")
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("y").cast("string"), micro("p0"), micro("p1"))
+
+
 def _draws(cells: DataFrame, by: list[str], first: int, last: int) -> DataFrame:
     """by, b and gain of each replicate; null for a resample of a single class."""
-    micro = lambda p: F.round(F.col(p) * 1e6).cast("long").cast("string")
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("y").cast("string"), micro("p0"), micro("p1"))
     sq = lambda p: (F.col(p) - F.col("y")) * (F.col(p) - F.col("y"))
-    d = resampled(cells, by, key, "n", {"sy": F.col("y"), "s0": sq("p0"), "s1": sq("p1")}, first, last)
+    d = resampled(cells, by, cell_key(by), "n", {"sy": F.col("y"), "s0": sq("p0"), "s1": sq("p1")}, first, last)
     r = F.try_divide(F.col("sy"), F.col("size"))
     return d.withColumn("gain", F.try_divide(F.try_divide(1e5 * (F.col("s0") - F.col("s1")), F.col("size")), r * (1 - r)))
 

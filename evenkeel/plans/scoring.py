@@ -10,9 +10,11 @@ from ..operators import calibration
 from ..operators.calibration import subgroup_intercepts
 from ..operators.fit import with_constants, with_group_value
 from ..operators.ranking import ordinal_positions
-from ..operators.sampling import unit_hash
+from ..operators.sampling import redrawn, resampled, unit_hash
 from ..operators.scoring import brier, capped_correction, cells, counted_skill, grid, rolling_choice, screen_gate, simplex, skill
+from ..sources.stage import staged
 from .registry import query
+from .sampling import _CELL_KEY, _resampled_sql, cell_key
 
 Y = "y"
 _BSS = "1e5 * (1 - avg(({p} - y) ** 2) / (avg(y) * (1 - avg(y))))"
@@ -391,3 +393,106 @@ def select_winner(t) -> DataFrame:
 def season_residual(t) -> DataFrame:
     rows = with_group_value(t.main.where("season = 2023"), t.main, ["season"], r=F.avg("y"))
     return rows.select("rk", r6(F.col("y") - F.col("r")).alias("residual"))
+
+
+_MEMBERS_SQL = "mm AS MATERIALIZED (SELECT ln(p0 / (1 - p0)) AS z0, ln(p1 / (1 - p1)) AS z1, ln((0.3::DOUBLE + 0.03::DOUBLE * balls) / (0.7::DOUBLE - 0.03::DOUBLE * balls)) AS z2, y, count(*)::DOUBLE AS n FROM m WHERE season = 2024 GROUP BY ALL)"
+_GRID_BSS = "1e5 * (1 - sum(n * (p - y) ** 2) / sum(n) / ((sum(n * y) / sum(n)) * (1 - sum(n * y) / sum(n))))"
+
+
+def _members(t) -> DataFrame:
+    """Cells of three members' logits on the selection season."""
+    p2 = 0.3 + 0.03 * F.col("balls")
+    rows = t.main.where("season = 2024").select("y", logit(F.col("p0")).alias("z0"), logit(F.col("p1")).alias("z1"), F.log(p2 / (0.7 - 0.03 * F.col("balls"))).alias("z2"))
+    return cells(rows, ["z0", "z1", "z2"], Y)
+
+
+def _on_grid(rows: DataFrame, points: DataFrame | list[tuple[int, int, int]], unit: int) -> DataFrame:
+    """a, b, c (weights in units of 1 / unit) and bss of each point."""
+    if isinstance(points, list):
+        each = rows.select("*", F.inline(F.array(*[F.struct(*[F.lit(w).alias(k) for k, w in zip("abc", ws, strict=True)]) for ws in points])))
+    else:
+        each = rows.crossJoin(F.broadcast(points))
+    p = sigmoid((F.col("a") * F.col("z0") + F.col("b") * F.col("z1") + F.col("c") * F.col("z2")) / unit)
+    return each.groupBy("a", "b", "c").agg(F.round(counted_skill(p, F.col(Y), F.col("n")), 4).alias("bss"))
+
+
+@query(
+    f"""+ {_MEMBERS_SQL}, g AS (SELECT a, 40 - a - c AS b, c FROM (SELECT unnest(generate_series(6, 14)) AS a), (SELECT unnest(generate_series(14, 22)) AS c) WHERE 40 - a - c >= 6), s AS (SELECT a, b, c, y, n, {_sig("(a * z0 + b * z1 + c * z2) / 40.0::DOUBLE")} AS p FROM mm, g)
+    SELECT a::INT AS a, b::INT AS b, c::INT AS c, round({_GRID_BSS}, 4) AS bss FROM s GROUP BY a, b, c""",
+    "m",
+)
+def tick_grid(t) -> DataFrame:
+    """The 78 weights of three members in fortieths: 6 to 14 of the first, 14 to 22 of the third, at least 6 for the second."""
+    points = [(a, 40 - a - c, c) for a in range(6, 15) for c in range(14, 23) if 40 - a - c >= 6]
+    return _on_grid(_members(t), points, 40)
+
+
+#: Bounds of refined weights in hundredths: of the first, the second and the third member.
+BOUNDS = ((15, 45), (30, 60), (15, 35))
+
+
+@query(
+    f"""+ {_MEMBERS_SQL}, g AS (SELECT a, b, 100 - a - b AS c FROM (SELECT unnest(generate_series(20, 40, 5)) AS a), (SELECT unnest(generate_series(35, 55, 5)) AS b) WHERE 100 - a - b BETWEEN 15 AND 35),
+    s AS (SELECT a, b, c, y, n, {_sig("(a * z0 + b * z1 + c * z2) / 100.0::DOUBLE")} AS p FROM mm, g), coarse AS (SELECT a, b, c, round({_GRID_BSS}, 4) AS bss FROM s GROUP BY a, b, c), top AS (SELECT a, b FROM coarse ORDER BY bss DESC, a, b LIMIT 3),
+    f AS (SELECT DISTINCT a + i AS a, b + j AS b, 100 - a - b - i - j AS c FROM top, (SELECT unnest([-2, 0, 2]) AS i), (SELECT unnest([-2, 0, 2]) AS j) WHERE a + i BETWEEN 15 AND 45 AND b + j BETWEEN 30 AND 60 AND 100 - a - b - i - j BETWEEN 15 AND 35),
+    r AS (SELECT a, b, c, y, n, {_sig("(a * z0 + b * z1 + c * z2) / 100.0::DOUBLE")} AS p FROM mm, f)
+    SELECT a::INT AS a, b::INT AS b, c::INT AS c, round({_GRID_BSS}, 4) AS bss FROM r GROUP BY a, b, c""",
+    "m",
+)
+def refined_grid(t) -> DataFrame:
+    """Weights in steps of .05, then the neighbours of the three best in steps of .02, each once, within their bounds."""
+    rows = staged(_members(t), "members")
+    coarse = [(a, b, 100 - a - b) for a in range(20, 41, 5) for b in range(35, 56, 5) if 15 <= 100 - a - b <= 35]
+    best = _on_grid(rows, coarse, 100).orderBy(F.desc("bss"), "a", "b").limit(3)
+    step = lambda c: F.explode(F.array(*[F.col(c) + k for k in (-2, 0, 2)])).alias(c)
+    # 27 points at most
+    near = best.select(step("a"), "b").select("a", step("b")).distinct().withColumn("c", 100 - F.col("a") - F.col("b"))
+    for name, (low, high) in zip("abc", BOUNDS, strict=True):
+        near = near.where(F.col(name).between(low, high))
+    return _on_grid(rows, near, 100)
+
+
+_SCREEN_P = {"c1": "p1", "c2": _sig("(ln(p0 / (1 - p0)) + ln(p1 / (1 - p1))) / 2"), "c3": "0.9::DOUBLE * p0 + 0.1::DOUBLE * p1"}
+
+
+def _screen_sql(replicates: int = 10_000) -> str:
+    sums = ", ".join(["sum(w * y) AS sy", "sum(w * (p0 - y) ** 2) AS s0", *[f"sum(w * ({p} - y) ** 2) AS {c}" for c, p in _SCREEN_P.items()]])
+    head = _resampled_sql("SELECT season, y, p0, p1, count(*) AS n FROM m WHERE season IN (2022, 2023) GROUP BY ALL", "season, y, p0, p1", f"season, {_CELL_KEY}", "season, b", sums, replicates + 200)
+    ok = "ok AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY b) AS k FROM d WHERE sy > 0 AND sy < size)"
+    each = " UNION ALL ".join(
+        f"""SELECT '{c}' AS candidate, o.season, o.delta, o.brier, o.base, o.shift, l.lb5 FROM (SELECT season, 1e5 * (avg((p0 - y) ** 2) - avg(({p} - y) ** 2)) / (avg(y) * (1 - avg(y))) AS delta, avg(({p} - y) ** 2) AS brier, avg((p0 - y) ** 2) AS base, avg({p}) - avg(p0) AS shift FROM m WHERE season IN (2022, 2023) GROUP BY season) o
+        JOIN (SELECT season, quantile_cont(1e5 * (s0 - {c}) / size / ((sy / size) * (1 - sy / size)), 0.05) AS lb5 FROM ok WHERE k <= {replicates} GROUP BY season) l ON l.season = o.season"""
+        for c, p in _SCREEN_P.items()
+    )
+    return f"""+ {head}, {ok}, e AS ({each}) SELECT candidate, season, round(delta, 4) AS delta, round(lb5, 4) AS lb5, round(shift, 6) AS shift, (brier < base)::INT AS brier_lower, (delta > 1 AND brier < base AND lb5 > 0 AND abs(shift) <= 0.005 AND isfinite(brier))::INT AS origin_passes,
+    bool_and(delta > 1 AND brier < base AND lb5 > 0 AND abs(shift) <= 0.005 AND isfinite(brier)) OVER (PARTITION BY candidate)::INT AS passes FROM e"""
+
+
+@query(_screen_sql(), "m")
+def screened_candidates(t, replicates: int = 10_000) -> DataFrame:
+    """The screen gate of three candidates on two origins, with the lower bound of paired resamples; a candidate passes if it does on both."""
+    p = {"c1": F.col("p1"), "c2": sigmoid((logit(F.col("p0")) + logit(F.col("p1"))) / 2), "c3": 0.9 * F.col("p0") + 0.1 * F.col("p1")}
+    y = F.col(Y)
+    sq = lambda c: (c - y) * (c - y)
+    counted = staged(cells(t.main.where("season IN (2022, 2023)").select("season", "p0", "p1", Y), ["season", "p0", "p1"], Y), "cells")
+    sums = {"sy": y, "s0": sq(F.col("p0")), **{c: sq(v) for c, v in p.items()}}
+    parts = []
+    for season in (2022, 2023):
+        own = counted.where(F.col("season") == season)
+        draw = lambda a, b: resampled(own, ["season"], cell_key(["season"]), "n", sums, a, b)  # noqa: B023, E731
+        parts.append(redrawn(draw, (F.col("sy") > 0) & (F.col("sy") < F.col("size")), replicates))
+    r = F.col("sy") / F.col("size")
+    gain = lambda c: F.percentile(1e5 * (F.col("s0") - F.col(c)) / F.col("size") / (r * (1 - r)), F.lit(0.05)).alias(f"lb_{c}")
+    bounds = parts[0].unionByName(parts[1]).groupBy("season").agg(*[gain(c) for c in p])
+    mean = lambda v: F.sum(F.col("n") * v) / F.sum("n")
+    rate = mean(y)
+    base = mean(sq(F.col("p0")))
+    whole = counted.groupBy("season").agg(
+        *[F.struct(F.lit(c).alias("candidate"), (1e5 * (base - mean(sq(v))) / (rate * (1 - rate))).alias("delta"), mean(sq(v)).alias("brier"), base.alias("base"), (mean(v) - mean(F.col("p0"))).alias("shift")).alias(c) for c, v in p.items()]
+    )
+    e = whole.join(bounds, "season").select("season", F.inline(F.array(*[F.struct(f"{c}.*", F.col(f"lb_{c}").alias("lb5")) for c in p])))
+    ok = screen_gate(F.col("delta"), F.col("brier"), F.col("base"), F.col("shift"), F.col("lb5"))
+    return e.select(
+        "candidate", "season", F.round("delta", 4).alias("delta"), F.round("lb5", 4).alias("lb5"), r6("shift").alias("shift"), flag(F.col("brier") < F.col("base")).alias("brier_lower"), flag(ok).alias("origin_passes"),
+        F.min(flag(ok)).over(Window.partitionBy("candidate")).alias("passes"),
+    )
