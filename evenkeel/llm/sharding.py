@@ -1,15 +1,17 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A document descends region, rack and shard. At each node every child makes a draw, and the least wins.
-A shard draws -ln(u) / weight, with u a hash of its name and the document's id. A rack or region
-draws the least of its children's draws: the least of exponential draws is itself an exponential draw
-of their summed weight, so each node is chosen in proportion to what it holds, and a child that
-comes, goes or changes its weight moves only documents that it wins or loses. Racks and regions may thus
-fill up shard by shard: the tree of n + 1 shards is that of n, grown, for every n, and growth moves rows into the new shard and between no
-others.
+A document descends region, rack and shard. At each node every child draws -ln(u) / weight, with u a hash of the child's name and the document's id;
+the least draw wins, and only the winner's children draw next. So a level decides by its own names and weights, a document makes one draw for each child on
+its path, and a child is chosen in proportion to its weight among its siblings.
 
-A node may instead be ``held``: then it draws under its own name with a weight of its own, whatever is
-below it, and any change below confines movement to its subtree. ``hold_rack`` does that to a rack.
+Racks and regions declare their weights. A weight that changes below a declared one moves documents within that subtree
+only; declaring the new sum as well (``reweighted`` with ``declare``) lets documents come from, or go to, siblings of the nodes whose weights change, and moves none between
+others. Siblings that come or go likewise take or leave documents, and that is all that moves.
+
+``grown`` adds a shard as a region of its own, which takes documents only into itself, whatever the tree. ``build_tree`` of one shard
+more is that tree where the last region is full, as with 40 shards. Elsewhere it puts the shard into an open rack, whose region then draws for more: documents that come go
+to any of its shards, so one step of a part-filled tree moves documents between old shards too (of 100,000, from 41 to 42 shards: see README). The tree of least draws over all
+shards would move none at any size, but its levels decide nothing; both can't be had.
 
 The law is ``key``: doc_id and the shard count decide. Slots number the rows of each shard
 from 0: rows are numbered inside hash buckets, and running counts of the buckets, a table whose
@@ -23,6 +25,7 @@ report and kept by ``shard_of``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +44,7 @@ BUCKET_ROWS = 200_000
 
 @dataclass(frozen=True)
 class Node:
-    """A shard (no children), or a rack or region, which is held if it has a weight of its own."""
+    """A shard (no children), or a rack or region, which draws under the weight that it declares, else under the sum below it."""
 
     name: str
     weight: float | None = None
@@ -59,12 +62,37 @@ def leaf(shard: int, weight: float = 1.0) -> Node:
     return Node(f"shard {shard}", weight, shard)
 
 
+def _declared(name: str, children: list[Node]) -> Node:
+    return Node(name, sum(c.load() for c in children), children=tuple(children))
+
+
 def build_tree(shards: int = SHARDS, rack: int = RACK, region: int = REGION) -> Node:
-    """Shards in order, ``rack`` to a rack and ``region`` racks to a region; the last of each may be part full."""
+    """Shards in order, ``rack`` to a rack and ``region`` racks to a region, each declaring the sum of its weights; the last of each may be part full."""
     leaves = [leaf(s) for s in range(shards)]
-    racks = [Node(f"rack {k}", children=tuple(leaves[at : at + rack])) for k, at in enumerate(range(0, shards, rack))]
-    regions = [Node(f"region {r}", children=tuple(racks[at : at + region])) for r, at in enumerate(range(0, len(racks), region))]
-    return Node("root", children=tuple(regions))
+    racks = [_declared(f"rack {k}", leaves[at : at + rack]) for k, at in enumerate(range(0, shards, rack))]
+    return Node("root", children=tuple(_declared(f"region {r}", racks[at : at + region]) for r, at in enumerate(range(0, len(racks), region))))
+
+
+def grown(tree: Node) -> Node:
+    """With one more shard, in a rack and a region of its own: no old shard takes documents."""
+    shard = 1 + max(tree.shards(), default=-1)
+    racks = sum(len(r.children) for r in tree.children)
+    alone = _declared(f"region {len(tree.children)}", [_declared(f"rack {racks}", [leaf(shard)])])
+    return replace(tree, children=(*tree.children, alone))
+
+
+def reweighted(tree: Node, shard: int, weight: float, declare: bool = False) -> Node:
+    """With another weight of one shard. Its rack and region keep the weights that they declare, unless they are to declare the new sums."""
+
+    def below(node: Node) -> Node:
+        if node.shard is not None:
+            return replace(node, weight=weight) if node.shard == shard else node
+        if shard not in node.shards():
+            return node
+        children = tuple(below(c) for c in node.children)
+        return replace(node, children=children, weight=sum(c.load() for c in children) if declare and node.weight is not None else node.weight)
+
+    return below(tree)
 
 
 def hold_rack(tree: Node, region: int, rack: int, children: tuple[Node, ...] | None = None) -> Node:
@@ -76,23 +104,32 @@ def hold_rack(tree: Node, region: int, rack: int, children: tuple[Node, ...] | N
     return replace(tree, children=tuple(regions))
 
 
-def _draw(key: Column, node: Node) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    return -F.log(uniform) / F.lit(node.weight)
+_LEAF = "name:string,weight:double,shard:int"
+_TREE = f"array<struct<name:string,weight:double,below:array<struct<name:string,weight:double,below:array<struct<{_LEAF}>>>>>>"
+
+
+def _written(node: Node) -> dict:
+    own = {"name": node.name, "weight": node.load()}
+    return own | ({"shard": node.shard} if node.shard is not None else {"below": [_written(c) for c in node.children]})
+
+
+def _winner(key: Column, children: Column) -> Column:
+    """The child with the least draw; the earlier one on a tie. Children of no weight are never drawn."""
 
+    def draw(child: Column, place: Column) -> Column:
+        uniform = (F.shiftrightunsigned(F.xxhash64(child["name"], key), 11) + F.lit(0.5)) / F.lit(float(2**53))
+        return F.when(child["weight"] > 0, F.struct((-F.log(uniform) / child["weight"]).alias("draw"), place.alias("place")))
 
-def _descent(key: Column, node: Node) -> Column:
-    """(draw, shard): the draw of a node and the shard to which its children's least draws lead."""
-    if node.shard is not None:
-        return F.struct(_draw(key, node).alias("draw"), F.lit(node.shard).alias("shard"))
-    below = [_descent(key, c) for c in node.children]
-    least = F.array_min(F.array(*below)) if len(below) > 1 else below[0]
-    return least if node.weight is None else F.struct(_draw(key, node).alias("draw"), least["shard"].alias("shard"))
+    return F.get(children, F.array_min(F.transform(children, draw))["place"])
 
 
 def shard_of(docs: DataFrame, tree: Node, out: str, key: str = "doc_id") -> DataFrame:
-    """docs with the shard as column ``out``; a map-side expression."""
-    return docs.withColumn(out, _descent(F.col(key), tree)["shard"])
+    """docs with the shard as column ``out``; a map-side expression, over a constant that holds the tree."""
+    if not tree.shards():
+        return docs.withColumn(out, F.lit(None).cast("int"))
+    id_ = F.col(key)
+    regions = F.from_json(F.lit(json.dumps([_written(c) for c in tree.children])), _TREE)
+    return docs.withColumn(out, _winner(id_, _winner(id_, _winner(id_, regions)["below"])["below"])["shard"])
 
 
 def with_slots(rows: DataFrame, buckets: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -126,7 +163,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = BUCKET_ROW
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    rows = staged(shard_of(shard_of(rows, build_tree(shards), "shard"), build_tree(shards + 1), "grown_shard"), "shards")
+    rows = staged(shard_of(shard_of(rows, build_tree(shards), "shard"), grown(build_tree(shards)), "grown_shard"), "shards")
     buckets = 1 + rows.count() // (shards * bucket_rows)
     return with_slots(rows, max(16, buckets), bucket_rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

@@ -363,49 +363,90 @@ def test_word_counts(spark):
     assert [r["n"] for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
 
 
-def naive_shards(ids, n):
-    """The shard of each id by a flat comparison of all draws, as every node of an unheld tree draws the least below it."""
+def naive_descent(ids, tree):
+    """The shard of each id, one level after another: only the winner's children draw."""
     import math
     import struct
 
     import xxhash
 
+    def draw(node, i):
+        seed = xxhash.xxh64_intdigest(node.name.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed) if i is not None else seed
+        return -math.log(((h >> 11) + 0.5) / 2**53) / node.load()
+
     out = {}
     for i in ids:
-        draws = []
-        for s in range(n):
-            seed = xxhash.xxh64_intdigest(f"shard {s}".encode(), 42)
-            h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed) if i is not None else seed
-            draws.append((-math.log(((h >> 11) + 0.5) / 2**53), s))
-        out[i] = min(draws)[1]
+        node = tree
+        while node.children:
+            node = min(node.children, key=lambda c: draw(c, i))
+        out[i] = node.shard
     return out
 
 
-@pytest.mark.parametrize("n", [1, 5, 40, 41])
-def test_shards_against_naive_draws(spark, n):
+def placed(spark, ids, tree):
+    rows = sharding.shard_of(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"), tree, "s").collect()
+    return {r["doc_id"]: r["s"] for r in rows}
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 41, 400, 4000])
+def test_shards_against_a_naive_descent(spark, n):
     ids = [*range(300), -5, 2**62, None]
-    rows = sharding.shard_of(spark.createDataFrame([(i,) for i in ids], "doc_id bigint"), sharding.build_tree(n), "s").collect()
-    assert {r["doc_id"]: r["s"] for r in rows} == naive_shards(ids, n)
+    tree = sharding.build_tree(n)
+    assert placed(spark, ids, tree) == naive_descent(ids, tree)
+
+
+def test_levels_decide(spark):
+    """The tree's shards aren't those of the least draw over all shards, and differ where only a region's name does."""
+    from dataclasses import replace
+
+    ids = range(2000)
+    tree = sharding.build_tree(40)
+    flat = sharding.Node("root", children=tuple(sharding.leaf(s) for s in range(40)))
+    got, least = placed(spark, ids, tree), naive_descent(ids, flat)
+    assert sum(got[i] == least[i] for i in ids) < 300
+    other = replace(tree, children=(replace(tree.children[0], name="elsewhere"), tree.children[1]))
+    assert sum(got[i] != s for i, s in placed(spark, ids, other).items()) > 500
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
-    docs = spark.range(400).withColumnRenamed("id", "doc_id")
-    sizes = (*range(1, 61),)
-    for n in sizes:
-        docs = sharding.shard_of(docs, sharding.build_tree(n), f"s{n}")
-    for r in docs.collect():
-        for n in sizes[:-1]:
-            assert r[f"s{n + 1}"] in (r[f"s{n}"], n)
+    ids = range(400)
+    for n in (1, 2, 5, 7, 19, 20, 33, 40, 41):
+        tree = sharding.build_tree(n)
+        before, after = placed(spark, ids, tree), placed(spark, ids, sharding.grown(tree))
+        assert all(after[i] in (before[i], n) for i in ids) and n in after.values()
+    assert sharding.grown(sharding.build_tree(40)) == sharding.build_tree(41)
+    twice = sharding.grown(sharding.grown(sharding.build_tree(40)))
+    before, after = placed(spark, ids, sharding.build_tree(41)), placed(spark, ids, twice)
+    assert all(after[i] in (before[i], 41) for i in ids)
 
 
 def test_grown_shard_is_the_shard_at_one_more(spark, messy):
     few = messy.select("doc_id", "text").unionByName(spark.range(100, 300).selectExpr("id AS doc_id", "'t' AS text"))
-    for n in (1, 19, 39, 40):
+    for n in (20, 40):
         a = sharding.sharded(few, n).select("doc_id", "grown_shard").collect()
         b = sharding.sharded(few, n + 1).select("doc_id", "shard").collect()
         assert sorted(map(str, map(tuple, a))) == sorted(map(str, map(tuple, b)))
 
 
+def test_a_weight_moves_rows_only_where_weights_change(spark):
+    ids = range(20_000)
+    tree = sharding.build_tree(40)
+    at = placed(spark, ids, tree)
+    inside = placed(spark, ids, sharding.reweighted(tree, 7, 3.0))
+    moved = {(at[i], inside[i]) for i in ids if at[i] != inside[i]}
+    assert moved and {b for _, b in moved} == {7} and {a for a, _ in moved} <= set(range(5, 10))
+    declared = placed(spark, ids, sharding.reweighted(tree, 7, 3.0, declare=True))
+    counts = [sum(s == k for s in declared.values()) for k in (7, 8, 30)]
+    assert counts[0] > 2.4 * max(counts[1:])
+    for i in ids:
+        a, b = at[i], declared[i]
+        # into the region, within the region into the rack, within the rack into the shard
+        assert a == b or (a >= 20 and b < 20) or (a < 20 and a // 5 != 1 and b // 5 == 1) or (a // 5 == 1 and b == 7)
+    none = placed(spark, ids, sharding.reweighted(tree, 7, 0.0))
+    assert 7 not in none.values() and all(at[i] in (7, s) for i, s in none.items())
+
+
 def test_a_bucket_of_repeated_rows_is_split(spark):
     docs = spark.range(500).selectExpr("cast(null as bigint) AS doc_id", "'same' AS text")
     rows = sharding.sharded(docs, bucket_rows=10).collect()
