@@ -8,7 +8,8 @@ labelers on its form and its parts, gazetteer labelers on known names, prefixes
 and signs before it. Expectation-maximisation over the counts of vote patterns, a few
 hundred of each kind at most however large the corpus, estimates how reliable each labeler is. Its
 posteriors, as soft labels over all spans, train a naive Bayes span classifier on span features.
-Candidates that the classifier accepts are added where they don't overlap a base span.
+Candidates that the classifier accepts are added where they don't overlap a base span; one whose form is
+denied (a number that fails the card check) also needs a word that announces it.
 
 Each text is scanned once, into its matches and the gaps between them; running sums over matches place them, so the
 work is linear in a text however many matches it holds, and only matches are shuffled.
@@ -85,6 +86,8 @@ EM_ROUNDS = 50
 ACCEPT = 0.5
 #: Pseudo-spans of each class of the classifier.
 SMOOTHING = 8.0
+#: Spans of a kind at which its classifier and the bare vote count alike.
+UNTRUSTED = 200
 
 
 def digits(text: Column) -> Column:
@@ -226,7 +229,8 @@ def with_votes(spans: DataFrame) -> DataFrame:
     return spans.withColumn("votes", votes).withColumn("features", features)
 
 
-VOTERS = 5
+#: Labelers, and the place of the one that reads announcing words.
+VOTERS, TOLD = 5, 3
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
@@ -255,22 +259,29 @@ def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS)
     return posterior
 
 
-Classifier = dict[int, tuple[float, dict[str, float]]]
+#: By kind: how far the classifier is trusted against the bare vote, its prior log-odds, and the weight of each feature value.
+Classifier = dict[int, tuple[float, float, dict[str, float]]]
 
 
 def train(spans: DataFrame) -> Classifier:
-    """For each kind the prior log-odds and the weight of each feature value. spans: kind, votes and features, one row a span.
+    """spans: kind, base, votes and features, one row a span.
 
-    The driver gets the counts of vote patterns (3 ** VOTERS of a kind at most) and of feature values by pattern.
+    The prior comes from candidates alone, so base spans of a kind don't vote its candidates in. The driver gets the counts of vote
+    patterns (3 ** VOTERS of a kind at most) and of feature values by pattern.
     """
-    counted = spans.groupBy("kind", "votes").count().collect()
+    counted = spans.groupBy("kind", "base", "votes").count().collect()
     seen = spans.select("kind", "votes", F.explode("features").alias("feature")).groupBy("kind", "votes", "feature").count().collect()
     out: Classifier = {}
     for kind in sorted({r["kind"] for r in counted}):
-        patterns = {tuple(r["votes"]): r["count"] for r in counted if r["kind"] == kind}
+        patterns: dict[tuple[int, ...], int] = {}
+        for r in counted:
+            if r["kind"] == kind:
+                patterns[tuple(r["votes"])] = patterns.get(tuple(r["votes"]), 0) + r["count"]
         posterior = reliabilities(patterns)
+        total = sum(patterns.values())
         yes = sum(n * posterior[p] for p, n in patterns.items())
-        no = sum(patterns.values()) - yes
+        no = total - yes
+        proposed = {y: sum(r["count"] * (posterior[tuple(r["votes"])] if y else 1 - posterior[tuple(r["votes"])]) for r in counted if r["kind"] == kind and not r["base"]) for y in (True, False)}
         sums: dict[str, list[float]] = {}
         for r in sorted((r for r in seen if r["kind"] == kind), key=lambda r: (r["feature"], tuple(r["votes"]))):
             p = posterior[tuple(r["votes"])]
@@ -282,7 +293,8 @@ def train(spans: DataFrame) -> Classifier:
         for f, (a, b) in sums.items():
             share = SMOOTHING * (a + b) / (yes + no)
             weights[f] = math.log((a + share) / (yes + SMOOTHING)) - math.log((b + share) / (no + SMOOTHING))
-        out[kind] = math.log((yes + 1) / (no + 1)), weights
+        trust = total / (total + UNTRUSTED)
+        out[kind] = trust, math.log((proposed[True] + 1) / (proposed[False] + 1)), weights
     return out
 
 
@@ -292,11 +304,17 @@ def _logit(prior: float, weights: dict[str, float]) -> Column:
 
 
 def accepted(classifier: Classifier) -> Column:
-    """Whether the classifier takes a span, from its columns kind and features."""
+    """Whether a span is taken, from its columns kind, votes and features.
+
+    A span whose form is denied, such as a number that fails the card check, is taken only where a word announces it. Otherwise the classifier
+    decides, and the bare vote at its starting reliability as far as a kind has few spans to learn from.
+    """
+    voted = math.log(0.8 / 0.2) * F.aggregate("votes", F.lit(0), lambda acc, v: acc + v)
     logit = F.lit(None).cast("double")
-    for kind, (prior, weights) in sorted(classifier.items()):
-        logit = F.when(F.col("kind") == kind, _logit(prior, weights)).otherwise(logit)
-    return F.coalesce(logit > math.log(ACCEPT / (1 - ACCEPT)), F.lit(False))
+    for kind, (trust, prior, weights) in sorted(classifier.items()):
+        logit = F.when(F.col("kind") == kind, trust * _logit(prior, weights) + (1 - trust) * voted).otherwise(logit)
+    possible = (F.col("votes")[0] >= 0) | (F.col("votes")[TOLD] > 0)
+    return possible & F.coalesce(logit > math.log(ACCEPT / (1 - ACCEPT)), F.lit(False))
 
 
 def _named(spans: Column) -> Column:
@@ -309,7 +327,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row."""
     found = staged(found_in(docs), "pii-found")
     spans = staged(with_votes(spans_of(found)).drop("match", "tail"), "pii-spans")
-    taken = spans.where(F.col("base") | accepted(train(spans.select("kind", "votes", "features"))))
+    taken = spans.where(F.col("base") | accepted(train(spans.select("kind", "base", "votes", "features"))))
     earlier = Window.partitionBy("rid").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.max(F.when(~F.col("base"), F.col("end"))).over(earlier) > F.col("start"), F.lit(False))
     taken = taken.withColumn("inside", inside).where(F.col("base") | ~F.col("inside"))

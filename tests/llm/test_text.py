@@ -230,6 +230,17 @@ def test_added_spans_on_planted_texts(spark):
     assert all(got[2000 + k] for k in range(len(base) * 12))
 
 
+def test_the_same_spans_are_added_in_small_and_large_corpora(spark, corpus):
+    good = ["call my mobile (415) 555-2671 now", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" end', "mail jane [at] corp [dot] com today", "my card: 4111 1111 1111 1112 is lost"]
+    bad = ["we saw 9870157079875996 there", "the 5731080387325255 of it", "version 4.2.17 was out", "score 12-10-11"]
+    planted = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(good + bad)], "doc_id bigint, text string")
+    texts = corpus.select("doc_id", "text")
+    for base in (texts.where("doc_id < 20"), texts, texts.union(texts.selectExpr("doc_id + 100000", "text"))):
+        got = {r["doc_id"]: r["spans"] for r in pii.personal_data(base.union(planted)).where("doc_id < 0").collect()}
+        assert all(got[-1 - k] for k in range(3)), got
+        assert not any(got[-5 - k] for k in range(4)), got
+
+
 def test_reliabilities_against_a_naive_em():
     """The same model with one row a span and no counting by pattern."""
     import random
