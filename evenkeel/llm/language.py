@@ -7,8 +7,8 @@ the centroid nearest by cosine; it is rejected where that cosine is far below wh
 of its length reach.
 
 The classifier is fitted on a bounded sample: about ``per_language`` labelled documents of
-each language, drawn by a hash of id and text at a rate set from full counts, repeated rows once; of more than
-``max_languages`` labels it learns the most frequent, ties by code point. Vectors and centroids are made on
+each language, drawn by a hash of id and text at a rate set from full counts, repeated rows once. Labels with under
+``LEAST_SHARE`` of the labelled texts are not learned; ``max_languages`` may keep the most frequent only, ties by code point. Vectors and centroids are made on
 executors, a language at a time; the driver gets one number for each dimension and the centroids.
 Every other step covers all rows, and prediction is a map without any shuffle that sends texts
 alone to Python.
@@ -37,8 +37,8 @@ UNKNOWN = "und"
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
 CENTROIDS = 3
-#: Languages that are learned: every task holds their centroids, some 50 KB each.
-MAX_LANGUAGES = 500
+#: A label is learned where it has this share of the labelled texts at least: up to a million texts that is every label.
+LEAST_SHARE = 1e-6
 #: Letters that are counted at once.
 CHUNK = 1 << 20
 #: For rejection, training texts are also cut to so many letters and more, doubling.
@@ -176,11 +176,14 @@ def _nearest(model: Model):
     return run
 
 
-def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int | None = None) -> DataFrame:
     """labelled: doc_id, lang, text. key, lang and text of about per_language rows of each learned language."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.groupBy(F.col("lang").alias("t_lang")).count()
-    totals = staged(totals.orderBy(F.col("count").desc(), "t_lang").limit(max_languages), "language-totals")
+    totals = staged(known.groupBy(F.col("lang").alias("t_lang")).count(), "language-totals")
+    # one row for each label, a million at most
+    totals = totals.crossJoin(F.broadcast(totals.agg(F.sum("count").alias("all")))).where(F.col("count") >= LEAST_SHARE * F.col("all")).drop("all")
+    if max_languages is not None:
+        totals = totals.orderBy(F.col("count").desc(), "t_lang").limit(max_languages)
     key = F.xxhash64(F.lit("language sample"), "doc_id", "text")
     share = F.shiftrightunsigned(key, 11) / F.lit(float(2**53))
     drawn = (
@@ -192,7 +195,7 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_l
     return staged(drawn, "language-sample")
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int | None = None) -> Model:
     """labelled: doc_id, lang, text."""
     bounded_batches(labelled.sparkSession)
     sample = training_sample(labelled, per_language, max_languages)

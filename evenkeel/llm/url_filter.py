@@ -3,7 +3,8 @@
 Labelled page outcomes (bad: quality 0 or toxic 1) are counted for each host, registered domain
 and suffix. Each level is a beta-binomial whose prior mean is the level above: the suffix shrinks
 to the corpus mean, the registered domain to its suffix, the host to its registered domain. The
-prior strength of a level is estimated from all its groups by the method of moments. A host
+prior strength of a level is estimated from all its groups by the method of moments; a level whose groups scatter no more than their
+numbers of labels explain has none, and its groups have the posterior of the level above. A host
 without labels stands on its domain, suffix or the corpus. A page is blocked where the lower
 posterior bound of its host's bad rate exceeds ``limit`` times the mean of the corpus, that is, where its host is worse than
 the corpus beyond the doubt that its few labels leave; fixed rules, longest match first, decide before the method.
@@ -35,8 +36,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Prior strengths are kept in this range.
-LEAST_PRIOR, MOST_PRIOR = 1.0, 1000.0
+#: A prior weighs as much as so many labelled pages at least.
+LEAST_PRIOR = 1.0
 #: Posterior standard deviations below the mean, and the multiple of the corpus mean that they may not exceed.
 BOUND_SD, LIMIT = 1.645, 1.0
 # fixed values: second-level names under which a country's registry sells names
@@ -106,33 +107,35 @@ def _strength(n: Column, bad: Column, mean: Column) -> Column:
     flat = F.sum(n * mean * (1 - mean))
     steep = F.sum(n * n * mean * (1 - mean))
     # square * (s + 1) = s * flat + steep
-    raw = F.when(square > flat, (steep - square) / (square - flat))
-    return F.least(F.lit(MOST_PRIOR), F.greatest(F.lit(LEAST_PRIOR), F.coalesce(raw, F.lit(MOST_PRIOR))))
+    return F.when(square > flat, F.greatest(F.lit(LEAST_PRIOR), (steep - square) / (square - flat)))
+
+
+def _posterior(n: Column, bad: Column, strength: Column, mean: Column, sd: Column) -> tuple[Column, Column]:
+    """Mean and standard deviation of a group's bad rate; those of the level above, mean and sd, where its own level has no strength."""
+    alpha, beta = bad + strength * mean, n - bad + strength * (1 - mean)
+    own = F.sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
+    return F.coalesce(alpha / (alpha + beta), mean), F.coalesce(own, sd)
 
 
 def reputations(hosts: DataFrame) -> DataFrame:
-    """hosts: host, n, bad (labelled pages), one row for each host. Adds lower, the posterior bound of the bad rate, and mean0, the corpus mean."""
+    """hosts: host, n, bad (labelled pages), one row for each host. Adds lower, the posterior bound of the bad rate, mean0, the corpus mean, and k0, k1 and k2, the strengths of
+    the priors of suffixes, domains and hosts, null where there is none."""
     hosts = staged(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "url-hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
     mean0 = ((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean0")
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("bad").alias("s_bad"))
     suffixes = staged(suffixes.crossJoin(F.broadcast(hosts.agg(mean0))), "url-suffixes")
     strength0 = suffixes.agg(_strength(F.col("s_n"), F.col("s_bad"), F.col("mean0")).alias("k0"))
-    suffixes = suffixes.crossJoin(F.broadcast(strength0)).select(
-        "suffix", "mean0", ((F.col("s_bad") + F.col("k0") * F.col("mean0")) / (F.col("s_n") + F.col("k0"))).alias("s_mean")
-    )
+    mean, sd = _posterior(F.col("s_n"), F.col("s_bad"), F.col("k0"), F.col("mean0"), F.lit(0.0))
+    suffixes = suffixes.crossJoin(F.broadcast(strength0)).select("suffix", "mean0", "k0", mean.alias("s_mean"), sd.alias("s_sd"))
     domains = staged(domains.join(suffixes, "suffix"), "url-domains")
     strength1 = domains.agg(_strength(F.col("d_n"), F.col("d_bad"), F.col("s_mean")).alias("k1"))
-    domains = domains.crossJoin(F.broadcast(strength1)).select(
-        "domain", "suffix", "mean0", ((F.col("d_bad") + F.col("k1") * F.col("s_mean")) / (F.col("d_n") + F.col("k1"))).alias("d_mean")
-    )
+    mean, sd = _posterior(F.col("d_n"), F.col("d_bad"), F.col("k1"), F.col("s_mean"), F.col("s_sd"))
+    domains = domains.crossJoin(F.broadcast(strength1)).select("domain", "suffix", "mean0", "k0", "k1", mean.alias("d_mean"), sd.alias("d_sd"))
     hosts = staged(hosts.join(domains, ["domain", "suffix"]), "url-rated")
     strength2 = hosts.agg(_strength(F.col("n"), F.col("bad"), F.col("d_mean")).alias("k2"))
-    alpha = F.col("bad") + F.col("k2") * F.col("d_mean")
-    beta = F.col("n") - F.col("bad") + F.col("k2") * (1 - F.col("d_mean"))
-    mean = alpha / (alpha + beta)
-    sd = F.sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))
-    return hosts.crossJoin(F.broadcast(strength2)).select("host", "n", "bad", (mean - F.lit(BOUND_SD) * sd).alias("lower"), "mean0")
+    mean, sd = _posterior(F.col("n"), F.col("bad"), F.col("k2"), F.col("d_mean"), F.col("d_sd"))
+    return hosts.crossJoin(F.broadcast(strength2)).select("host", "n", "bad", (mean - F.lit(BOUND_SD) * sd).alias("lower"), "mean0", "k0", "k1", "k2")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: DataFrame | None = None, limit: float = LIMIT) -> DataFrame:
@@ -156,7 +159,8 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-_PRIOR = "least(1000.0, greatest(1.0, coalesce(CASE WHEN sq > flat THEN (steep - sq) / (sq - flat) END, 1000.0)))"
+_PRIOR = "CASE WHEN sq > flat THEN greatest(1.0, (steep - sq) / (sq - flat)) END"
+_SD = "sqrt((bad + k * {m}) * (n - bad + k * (1 - {m})) / ((n + k) * (n + k) * (n + k + 1)))"
 
 
 def _moments(n: str, bad: str, mean: str) -> str:
@@ -191,14 +195,14 @@ WITH split AS (
 ), corpus AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM levels),
 suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM levels GROUP BY suffix),
 k0 AS (SELECT {_PRIOR} AS k FROM (SELECT {_moments("n", "bad", "m")} FROM suf, corpus)),
-sufm AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM suf, corpus, k0),
-dom AS (SELECT l.domain, l.suffix, m, sum(n) AS n, sum(bad) AS bad FROM levels l JOIN sufm USING (suffix) GROUP BY l.domain, l.suffix, m),
+sufm AS (SELECT suffix, coalesce((bad + k * m) / (n + k), m) AS m, coalesce({_SD.format(m="m")}, 0) AS sd FROM suf, corpus, k0),
+dom AS (SELECT l.domain, l.suffix, m, sd, sum(n) AS n, sum(bad) AS bad FROM levels l JOIN sufm USING (suffix) GROUP BY l.domain, l.suffix, m, sd),
 k1 AS (SELECT {_PRIOR} AS k FROM (SELECT {_moments("n", "bad", "m")} FROM dom)),
-domm AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM dom, k1),
-hostm AS (SELECT l.host, l.n, l.bad, m FROM levels l JOIN domm USING (domain)),
+domm AS (SELECT domain, coalesce((bad + k * m) / (n + k), m) AS m, coalesce({_SD.format(m="m")}, sd) AS sd FROM dom, k1),
+hostm AS (SELECT l.host, l.n, l.bad, m, sd FROM levels l JOIN domm USING (domain)),
 k2 AS (SELECT {_PRIOR} AS k FROM (SELECT {_moments("n", "bad", "m")} FROM hostm)),
-post AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM hostm, k2),
-learned AS (SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > corpus.m THEN 'block' ELSE 'allow' END AS v FROM post, corpus),
+post AS (SELECT host, coalesce((bad + k * m) / (n + k), m) AS mean, coalesce({_SD.format(m="m")}, sd) AS sd FROM hostm, k2),
+learned AS (SELECT host, CASE WHEN mean - 1.645 * sd > corpus.m THEN 'block' ELSE 'allow' END AS v FROM post, corpus),
 rules(action, rule, rhost, rpath) AS (VALUES
   ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
   ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')

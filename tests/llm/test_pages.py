@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pytest
 
 from evenkeel.llm import chat_format, html_extract, url_filter
@@ -213,6 +214,22 @@ def test_the_method_blocks_in_the_query(spark, tmp_path):
     assert all(r["rule"] is None for r in got)
 
 
+def test_strengths_come_from_the_hosts(spark):
+    """Simulated beta-binomial hosts: the strength of their level is found however large it is; without scatter there is none."""
+    rng = np.random.default_rng(11)
+    for strength in (5.0, 60.0, 4000.0):
+        rates = rng.beta(0.3 * strength, 0.7 * strength, 600)
+        n = rng.integers(400, 20_000, 600)
+        hosts = [(f"h{i}.net", int(k), int(rng.binomial(k, p))) for i, (k, p) in enumerate(zip(n, rates))]
+        r = url_filter.reputations(spark.createDataFrame(hosts, "host string, n bigint, bad bigint")).first()
+        assert 0.75 * strength < r["k1"] < 1.35 * strength
+    even = [(f"h{i}.net", 100, 30 + i % 2) for i in range(200)]
+    made = url_filter.reputations(spark.createDataFrame(even, "host string, n bigint, bad bigint"))
+    assert made.where("k1 is not null or k2 is not null").count() == 0
+    # hosts stand on the suffix then, whose own posterior they have
+    assert made.select("lower").distinct().count() == 1
+
+
 def test_thousands_of_rules(spark):
     rules = tuple(("block" if i % 2 else "allow", f"h{i}.org/a{i}/") for i in range(3000)) + (("allow", "org/"), ("block", "org/"))
     pages = spark.createDataFrame([(1, "http://x.h7.org/a7/z"), (2, "http://h8.org/a8/"), (3, "http://h9.org/b"), (4, "http://h9.net/a9/")], "page_id bigint, url string")

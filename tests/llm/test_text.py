@@ -161,6 +161,12 @@ def test_many_labels_bound_what_is_learned(spark):
     assert model.languages == ["de", "en", "l0300"]
 
 
+def test_rare_labels_are_learned(spark):
+    rows = [(i, f"l{i % 120:04d}", f"some words of number {i} here") for i in range(240)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert len(model.languages) == 120
+
+
 def test_code_points_and_counts():
     assert language.code_points("Ab, cD!").tolist() == [0, 97, 98, 0, 99, 100, 0]
     short, long = "un deux trois ", "un deux trois " * 100_000
