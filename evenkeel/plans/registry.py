@@ -33,5 +33,5 @@ def query(sql: str | None = None, shapes: str = "", name: str | None = None):
     return register
 
 
-from . import drift, features, profiles, sampling, scoring, sequences, signals, temporal  # noqa: E402, F401
+from . import drift, features, profiles, sampling, scans, scoring, sequences, signals, temporal  # noqa: E402, F401
 from . import tables as _tables  # noqa: E402, F401
