@@ -2,7 +2,7 @@
 
 Every node of a page, elements and text alike, has a hidden label: content or not. Node
 potentials are the likelihoods of what is seen of a node (tag, words of its class, id and role,
-length and punctuation of text, share of link text), edge potentials the probabilities of a child's label given its
+length of text, share of link text, whether it is an article inside an article or stands beside the article that the page marks), edge potentials the probabilities of a child's label given its
 parent's. The tree has no loops, so one sum-product pass up from the leaves and one down from
 the root give each node's exact content marginal; text whose marginal exceeds one half is kept.
 
@@ -40,15 +40,18 @@ from .common import bounded_batches, read_table
 
 # fixed values: element names of HTML by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video select textarea button datalist".split())
+UNSEEN = frozenset("script style head title noscript template iframe object canvas audio video select textarea button datalist annotation annotation-xml".split())
 RAW = frozenset("script style textarea title".split())
 METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtext munder q s samp semantics small span strike strong sub sup svg text time tspan tt u var wbr".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select div section article".split())
 LISTS = SCOPES - {"div", "section", "article"}
 PAGE = frozenset("html body".split())
+# fixed values: elements that HTML defines as the content, and as what is beside it
+MARKED = frozenset("article main".split())
+BESIDE = frozenset("nav aside footer form header dialog".split())
 HEAD, TEMPLATE, PARAGRAPH = frozenset(["head"]), frozenset(["template"]), frozenset(["p"])
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
@@ -85,6 +88,9 @@ class Node:
     linked: int = 0
     #: Whether text stands in it directly.
     own: bool = False
+    #: Whether it is, or is in, an article inside another, and whether it stands beside what the page marks as its content (None: it marks nothing).
+    nested: bool = False
+    beside: bool | None = None
     children: list[int] = field(default_factory=list)
 
 
@@ -143,7 +149,7 @@ def parse(page: str) -> list[Node]:
                 close(SIBLINGS[tag], LISTS)
             words = telling_words(inside) if inside else ()
             nodes[stack[-1]].children.append(len(nodes))
-            nodes.append(Node(tag, stack[-1], words, hidden=nodes[stack[-1]].hidden or tag in UNSEEN))
+            nodes.append(Node(tag, stack[-1], words, hidden=nodes[stack[-1]].hidden or tag in UNSEEN, nested=nodes[stack[-1]].nested or tag == "article" and bool(opened.get("article"))))
             if tag in RAW:
                 end = RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
@@ -158,6 +164,15 @@ def parse(page: str) -> list[Node]:
             node.linked = node.chars
         parent.chars += node.chars
         parent.linked += node.linked
+    marked = [n.tag in MARKED and not n.nested and n.chars > 0 for n in nodes]
+    if any(marked):
+        over = marked[:]
+        for i in range(len(nodes) - 1, 0, -1):
+            over[nodes[i].parent] |= over[i]
+        inside = marked[:]
+        for i, node in enumerate(nodes):
+            inside[i] |= i > 0 and inside[node.parent]
+            node.beside = not (inside[i] or over[i])
     return nodes
 
 
@@ -173,7 +188,10 @@ def seen(nodes: list[Node], i: int) -> list[str]:
         return ["tag a", f"around {int(4 * around.linked / around.chars) if around.chars else 0}", *(f"word {w}" for w in node.words)]
     links = int(4 * node.linked / node.chars) if node.chars else 0
     mass = [f"mass {int(4 * node.chars / nodes[0].chars)}{' own' * node.own}"] if node.chars and kind(node) and node.tag not in PAGE else []
-    return [f"tag {node.tag}", f"links {links}", *mass, *(f"word {w}" for w in node.words)]
+    place = [f"beside {int(node.beside)}"] if node.beside is not None and kind(node) and node.tag not in PAGE else []
+    if kind(node) and node.tag not in PAGE:
+        place.append(f"nested {int(node.nested)}")
+    return [f"tag {node.tag}", f"links {links}", *place, *mass, *(f"word {w}" for w in node.words)]
 
 
 @dataclass(frozen=True)
@@ -234,7 +252,7 @@ def potentials(counts: Counts) -> Potentials:
 
 
 #: Pseudo-nodes of each label, by kind of observation: words and tags say much, lengths little.
-SMOOTHING = {"word": 0.2, "tag": 0.5, "links": 20.0, "around": 2.0, "mass": 5.0, "text": 50.0}
+SMOOTHING = {"word": 0.2, "tag": 0.5, "beside": 2.0, "nested": 0.2, "links": 20.0, "around": 2.0, "mass": 5.0, "text": 50.0}
 
 
 def _sum(a: float, b: float) -> float:
@@ -283,12 +301,13 @@ def marginals(nodes: list[Node], p: Potentials) -> list[float]:
 # text outside any label isn't content. They cover the ways in which pages commonly name their parts.
 _SENTENCE = "It began early, and nobody had seen it coming; the town talked of the river. "
 _PARAGRAPHS = "".join(f"<p>{_SENTENCE * n}</p>" for n in (1, 2, 3, 5, 8, 13, 20, 30))
-_ARTICLE = f"<h1>A headline of the story</h1><p><b>The first witnesses</b> said, <em>on Monday</em>, that it was <a href=x>there before</a>. {_SENTENCE}</p>{_PARAGRAPHS}<p>See <a href=x>the report</a>, and <a href=y>what followed</a> from it.</p><p><a href=x>An inquiry</a> found nothing of the kind. {_SENTENCE}</p><p>More <a href=z>here</a>.</p><ul><li>The <a href=v>first</a> of its kind, says <a href=w>the mayor</a>.</li></ul><h2>What came next</h2><ul><li>A first point, with some words.</li><li>A second point.</li></ul><ol><li>Step one.</li></ol><h3>In detail</h3><blockquote><p>{_SENTENCE}</p></blockquote><pre>code sample</pre><table><tr><th>Name</th><td>42</td></tr></table><dl><dt>Term</dt><dd>What it means.</dd></dl><p>Short.<br>{_SENTENCE * 4}<br>And <i>one</i> more <span>line</span>.</p><figure><img src=x><figcaption>The bridge at dawn.</figcaption></figure><div>{_SENTENCE * 6}</div>"
+_ARTICLE = f"<h1>A headline of the story</h1><p><b>The first witnesses</b> said, <em>on Monday</em>, that it was <a href=x>there before</a>. {_SENTENCE}</p>{_PARAGRAPHS}<p>See <a href=x>the report</a>, and <a href=y>what followed</a> from it.</p><p><a href=x>An inquiry</a> found nothing of the kind. {_SENTENCE}</p><p>More <a href=z>here</a>.</p><p><a href=u>Read what the witnesses wrote about it at the time</a></p><p><a href=t>The full report</a></p><ul><li>The <a href=v>first</a> of its kind, says <a href=w>the mayor</a>.</li></ul><h2>What came next</h2><ul><li>A first point, with some words.</li><li>A second point.</li></ul><ol><li>Step one.</li></ol><h3>In detail</h3><blockquote><p>{_SENTENCE}</p></blockquote><pre>code sample</pre><table><tr><th>Name</th><td>42</td></tr></table><dl><dt>Term</dt><dd>What it means.</dd></dl><p>Short.<br>{_SENTENCE * 4}<br>And <i>one</i> more <span>line</span>.</p><figure><img src=x><figcaption>The bridge at dawn.</figcaption></figure><div>{_SENTENCE * 6}</div>"
 _LINKS = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News and views</a></li><li><a href=/c>Contact</a></li></ul>"
 _NOTE = "<h2>Before you go on</h2><p>We use cookies to give you a better visit. Read our <a href=/p>policy</a>.</p><button>Fine</button><span>Or not</span>"
 _ADVERT = "Buy two and get a third for free today. Sale ends soon!"
 _SMALL = "&copy; 2020 Example Ltd. All rights reserved.<p>Some words about the house, and where to find it.</p><div><a href=/t>Terms</a></div>"
 _FORM = "<h3>Stay in touch</h3><p>Get our letter every week, with all that has been written.</p><input name=mail><label>Mail</label><div><b>No</b> spam.</div>"
+_READER = "<article class='{0}'><h4>Jo</h4><p>I was there too and saw it. Great story!</p></article><article class='{0}'><p>Not so sure about that, it was said before.</p></article>"
 _COMMENT = "<div><h4>Jo</h4><p>I was there too and saw it. Great story, thanks for writing!</p></div><ul><li><b>Al</b><br>Not so sure about that. It was said before, and by others, that nothing of the kind took place.</li></ul><p>First!</p>"
 # fixed values: words in class, id and role that tell parts of pages apart
 _CONTENT_WORDS = "article content post entry story body main text article-body post-content entry-content".split()
@@ -322,6 +341,7 @@ def labelled_pages() -> list[str]:
         )
         pages.append(f"<html><body data-y=0>{''.join(own)}</body></html>")
         pages.append(f"<html><body data-y=0><div class=ad data-y=0>{_ADVERT}</div><main data-y=1><article>{_ARTICLE}{boxes[0]}{boxes[1]}<aside data-y=0>{_FILL['aside']}</aside></article>{boxes[2]}</main><footer data-y=0>{_SMALL}</footer></body></html>")
+        pages.append(f"<html><body data-y=0><main data-y=1><article>{_ARTICLE}{_READER.format('note')}</article></main><section class='box{k}' data-y=0>{_COMMENT}</section><div class='end{k}' data-y=0>{_SMALL}</div></body></html>".replace("<article class=", "<article data-y=0 class="))
         pages.append(f"<html><body data-y=0><div class='wrapper container row page'><div><div class='{good}' id=content data-y=1>{_ARTICLE}</div></div></div></body></html>")
         pages += [f"<html><body data-y=0><div data-y=1>{words}</div></body></html>" for words in ("Words.", "A word or two.", _SENTENCE, _SENTENCE * 3, _SENTENCE * 9)]
         pages.append(f"<div data-y=1>{_PARAGRAPHS}<div>{_SENTENCE * 3}</div><section><div><p>{_SENTENCE}</p></div></section></div>")
@@ -354,20 +374,17 @@ def model() -> Potentials:
 
 #: Pages of the corpus that are fitted on, about.
 FIT_PAGES = 2_000
-# fixed values: elements that HTML defines as the content, and as what is beside it
-MARKED = frozenset("article main".split())
-BESIDE = frozenset("nav aside footer form header dialog".split())
 
 
 def self_labelled(page: str | None) -> list[tuple[Node, int]]:
-    """The nodes of a page that marks its content, labelled by it; nothing for other pages."""
+    """The nodes of a page that marks its content, labelled by it; nothing for other pages. An article inside an article is a reader's, as HTML says."""
     nodes = parse(page) if page else []
     if not any(n.tag in MARKED and n.chars for n in nodes):
         return []
     labels: list[int] = []
     for node in nodes:
         above = labels[node.parent] if labels else 0
-        labels.append(1 if node.tag in MARKED else 0 if node.tag in BESIDE else above)
+        labels.append(0 if node.nested or node.tag in BESIDE else 1 if node.tag in MARKED else above)
     return list(zip(nodes, labels, strict=True))
 
 

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import html
 import re
@@ -235,3 +236,34 @@ def test_thousands_of_rules(spark):
     pages = spark.createDataFrame([(1, "http://x.h7.org/a7/z"), (2, "http://h8.org/a8/"), (3, "http://h9.org/b"), (4, "http://h9.net/a9/")], "page_id bigint, url string")
     got = url_filter.judged(pages, spark.createDataFrame([], "page_id bigint, bad int"), url_filter.rules_table(spark, rules)).collect()
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {1: ("h7.org/a7/", "block"), 2: ("h8.org/a8/", "allow"), 3: ("org/", "allow"), 4: (None, "allow")}
+
+
+def written_by_hand():
+    """Pages of other layouts than those given, each with its text as a reader would copy it; no label here comes from the model."""
+    s = "It began early, and nobody had seen it coming; the river rose in the night and the town woke to water. "
+    long = [s * n for n in (2, 3, 1, 4)]
+    body, text = "".join(f"<p>{x}</p>" for x in long), " ".join(x.strip() for x in long)
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+    return {
+        "comments under a name that isn't known": (f"<html><body>{menu}<article><h1>Flood</h1>{body}</article><section class='user-notes'><div><b>Jo</b><p>Great story, I was there too.</p></div></section></body></html>", f"Flood {text}"),
+        "readers' articles inside the article": (f"<body><main><article><h1>Flood</h1>{body}<article class='note'><h4>Jo</h4><p>I was there too.</p></article><article><p>So was I, and my aunt.</p></article></article></main></body>", f"Flood {text}"),
+        "parts named in another language": (f"<body>{menu}<main><h1>Flut</h1>{body}</main><div class='bemerkungen'><p>Danke, sehr schön geschrieben.</p></div><div class='fuss'>Impressum Datenschutz 2020</div></body>", f"Flut {text}"),
+        "a paragraph that is one link": (f"<body><article><p>{s}</p><p><a href=x>The whole report of the committee</a></p>{body}</article></body>", f"{s.strip()} The whole report of the committee {text}"),
+        "formulas": (f"<body><article>{body}<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article></body>", f"{text} Then x=2 holds."),
+        "a picture inside a word": (f"<body><article>{body}<p>foo<img src=x>bar and so on it went</p></article></body>", f"{text} foobar and so on it went"),
+        "drawings": (f"<body><article>{body}<p>Level <svg><text>high</text></svg> all day.</p></article></body>", f"{text} Level high all day."),
+        "no marks at all": (f"<body>{menu}<div id=x1><div><h1>Flood</h1>{body}</div></div><div class=footer><a href=/i>Imprint</a> 2020</div></body>", f"Flood {text}"),
+    }
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_pages_written_by_hand(spark, trained):
+    p = html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")) if trained else html_extract.model()
+    right = there = got = 0
+    for name, (page, want) in written_by_hand().items():
+        text = html_extract.main_text(page, p)
+        a, b = text.split(), want.split()
+        right += sum((collections.Counter(a) & collections.Counter(b)).values())
+        got, there = got + len(a), there + len(b)
+        assert text == want, name
+    assert right == got == there
