@@ -88,6 +88,21 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: list[f
     return made.select(*keys, F.array(*between).alias(out))
 
 
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n (rows of that value), upto_n (of values up to it) and total_n, of the values that aren't null. Written once; quantiles, extremes and counts come from it."""
+    values = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return staged(running_totals(values, keys, [value], ["n"]), "counted")
+
+
+def counted_quantiles(counts: DataFrame, keys: list[str], value: str, points: list[float], out: str = "q") -> DataFrame:
+    """keys and an array of linearly interpolated quantiles, from ``counted``."""
+    at = [F.lit(float(p)) * (F.col("total_n") - 1) for p in points]
+    picked = lambda place: F.min(F.when(F.col("upto_n") > place, F.col(value)))
+    made = counts.groupBy(*keys, "total_n").agg(*[picked(f(a)).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return made.select(*keys, F.array(*between).alias(out))
+
+
 def average_ranks(rows: DataFrame, column: str, out: str, within: list[str]) -> DataFrame:
     """Ranks from 1 with ties averaged, from the counts of distinct values; null values have no rank."""
     values = rows.where(F.col(column).isNotNull()).groupBy(*within, column).agg(F.count("*").alias("_n"))

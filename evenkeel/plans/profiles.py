@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bias_corrected_kurtosis, bias_corrected_skew, choose, flag, r6
 from ..operators.fit import with_constants
 from ..operators.grouped import unpivoted
-from ..operators.ranking import exact_quantiles
+from ..operators.ranking import counted, counted_quantiles, running_totals
 from .registry import query
 
 REALS = ["rate", "prev1", "prev5", "li", "price"]
@@ -44,25 +44,28 @@ def _long(t) -> DataFrame:
     "m",
 )
 def column_profile(t) -> DataFrame:
+    """All of it from one table of distinct values and their numbers, but the missing."""
     rows = _long(t)
-    q = exact_quantiles(rows, ["metric"], "value", [0.25, 0.75, 0.01, 0.5, 0.99])
+    counts = counted(rows, ["metric"], "value")
+    q = counted_quantiles(counts, ["metric"], "value", [0.25, 0.75, 0.01, 0.5, 0.99])
     low, high = F.col("q")[0], F.col("q")[1]
-    distinct = rows.where(F.col("value").isNotNull()).select("metric", "value").distinct().groupBy("metric").agg(F.count("*").alias("distinct_values"))
-    counted = (
-        rows.join(F.broadcast(q), "metric")
-        .groupBy("metric", "q")
+    v, n = F.col("value"), F.col("n")
+    centred = counts.join(F.broadcast(counts.groupBy("metric").agg((F.sum(v * n) / F.sum(n)).alias("mean"))), "metric")
+    made = (
+        centred.join(F.broadcast(q), "metric")
+        .groupBy("metric", "q", "mean")
         .agg(
-            F.count_if(F.col("value").isNull()).alias("missing"),
-            r6(F.min("value")).alias("lo"),
-            r6(F.max("value")).alias("hi"),
-            r6(F.avg("value")).alias("mean"),
-            r6(F.stddev_samp("value")).alias("sd"),
-            F.count_if(F.col("value") < low - 1.5 * (high - low)).alias("low_out"),
-            F.count_if(F.col("value") > high + 1.5 * (high - low)).alias("high_out"),
+            F.count("*").alias("distinct_values"),
+            r6(F.min(v)).alias("lo"),
+            r6(F.max(v)).alias("hi"),
+            r6(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / (F.sum(n) - 1))).alias("sd"),
+            F.sum(F.when(v < low - 1.5 * (high - low), n).otherwise(0)).alias("low_out"),
+            F.sum(F.when(v > high + 1.5 * (high - low), n).otherwise(0)).alias("high_out"),
         )
     )
-    points = [r6(F.col("q")[i]).alias(n) for i, n in ((2, "p1"), (3, "med"), (4, "p99"))]
-    return counted.join(distinct, "metric").select("metric", "missing", "distinct_values", "lo", "hi", "mean", "sd", *points, "low_out", "high_out")
+    missing = rows.groupBy("metric").agg(F.count_if(v.isNull()).alias("missing"))
+    points = [r6(F.col("q")[i]).alias(name) for i, name in ((2, "p1"), (3, "med"), (4, "p99"))]
+    return made.join(missing, "metric").select("metric", "missing", "distinct_values", "lo", "hi", r6("mean").alias("mean"), "sd", *points, "low_out", "high_out")
 
 
 @query(
@@ -111,23 +114,25 @@ def describe_moments(t) -> DataFrame:
     "m",
 )
 def outlier_mad(t) -> DataFrame:
-    """Far fences, modified z-scores, zeros, and the three lowest distinct values."""
-    rows = _long(t)
-    rows = rows.join(F.broadcast(exact_quantiles(rows, ["metric"], "value", [0.25, 0.5, 0.75])), "metric")
+    """Far fences, modified z-scores, zeros, and the three lowest distinct values, from one table of distinct values and their numbers."""
+    counts = counted(_long(t), ["metric"], "value")
     q1, med, q3 = (F.col("q")[i] for i in range(3))
-    mad = exact_quantiles(rows.withColumn("dev", F.abs(F.col("value") - med)), ["metric"], "dev", [0.5], "m").select("metric", F.col("m")[0].alias("mad"))
-    place = F.dense_rank().over(Window.partitionBy("metric").orderBy("value"))
-    low = rows.where(F.col("value").isNotNull()).select("metric", "value").distinct().withColumn("k", place).where(F.col("k") <= 3)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("value")), lambda v: F.round(v, 2).cast("decimal(18,2)").cast("string")), ",")
+    v, n = F.col("value"), F.col("n")
+    rows = counts.select("metric", "value", "n").join(F.broadcast(counted_quantiles(counts, ["metric"], "value", [0.25, 0.5, 0.75])), "metric")
+    apart = rows.groupBy("metric", F.abs(v - med).alias("value")).agg(F.sum("n").alias("n"))
+    mad = counted_quantiles(running_totals(apart, ["metric"], ["value"], ["n"]), ["metric"], "value", [0.5], "m").select("metric", F.col("m")[0].alias("mad"))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy("value"))
+    low = counts.select("metric", "value").withColumn("k", place).where(F.col("k") <= 3)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("value")), lambda x: F.round(x, 2).cast("decimal(18,2)").cast("string")), ",")
     lowest = low.groupBy("metric").agg(text.alias("lowest"))
-    v = F.col("value")
-    counted = rows.join(F.broadcast(mad), "metric").groupBy("metric").agg(
-        F.count_if(v < q1 - 3 * (q3 - q1)).alias("low3"),
-        F.count_if(v > q3 + 3 * (q3 - q1)).alias("high3"),
-        F.count_if((F.col("mad") > 0) & (F.abs(0.6745 * F.try_divide(v - med, F.col("mad"))) > 3.5)).alias("mad_out"),
-        F.count_if(v == 0).alias("zeros"),
+    of = lambda c: F.sum(F.when(c, n).otherwise(0))
+    made = rows.join(F.broadcast(mad), "metric").groupBy("metric").agg(
+        of(v < q1 - 3 * (q3 - q1)).alias("low3"),
+        of(v > q3 + 3 * (q3 - q1)).alias("high3"),
+        of((F.col("mad") > 0) & (F.abs(0.6745 * F.try_divide(v - med, F.col("mad"))) > 3.5)).alias("mad_out"),
+        of(v == 0).alias("zeros"),
     )
-    return counted.join(lowest, "metric")
+    return made.join(lowest, "metric")
 
 
 @query(

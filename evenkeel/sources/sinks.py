@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,30 @@ def report(metrics: DataFrame, path: str) -> str:
     return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "\n"), 256)).first()[0]
 
 
+def canonical_hash(metrics: DataFrame) -> str:
+    """Of the rows as JSON with sorted keys, in sorted order; metrics are aggregates, few by nature."""
+    lines = metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("value"))
+    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), "\n"), 256)).first()[0] or hashlib.sha256(b"").hexdigest()
+
+
+def write_report(metrics: DataFrame, folder: str, title: str, order: list[str], keep_out: str | None = None) -> str:
+    """Metric rows as JSON lines (folder/json) and as a Markdown table under the title and the canonical hash (folder/md); returns the hash.
+
+    Never overwrites, and refuses a folder inside ``keep_out``, such as the repository. Null cells are empty in the table.
+    """
+    at = os.path.realpath(folder.removeprefix("file:")) if "://" not in folder else None
+    if keep_out is not None and at is not None and os.path.commonpath([at, os.path.realpath(keep_out)]) == os.path.realpath(keep_out):
+        raise ValueError(f"reports must be outside {keep_out}: {folder}")
+    digest = canonical_hash(metrics)
+    metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("value")).orderBy("value").coalesce(1).write.mode("errorifexists").text(f"{folder}/json")
+    head = [f"# {title}", "", f"Canonical SHA-256: `{digest}`", "", "| " + " | ".join(metrics.columns) + " |", "|" + " --- |" * len(metrics.columns)]
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metrics.columns]), F.lit(" |"))
+    table = metrics.orderBy(*order).select(cells.alias("value"))
+    top = metrics.sparkSession.range(1).select(F.explode(F.array(*[F.lit(h) for h in head])).alias("value"))
+    top.coalesce(1).unionByName(table.coalesce(1)).coalesce(1).write.mode("errorifexists").text(f"{folder}/md")
+    return digest
+
+
 def cache_key(config: dict) -> str:
     """Of equal configurations, however their keys are ordered, the same key."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

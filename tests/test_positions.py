@@ -74,3 +74,17 @@ def test_lockstep_readings_in_batch_and_stream(spark, tmp_path):
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
     stream = positions.lexical_audit(positions.lockstep(lines, schema, "id,v"), ["id", "v"])
     assert governance.same_rows(made, increments.run_to_end(stream, "lockstep", str(tmp_path / "cp")))
+
+
+def test_reports_are_never_overwritten_nor_put_into_the_repository(spark, tmp_path):
+    from evenkeel.sources import sinks
+
+    metrics = spark.createDataFrame([(2020, 3, None), (2019, 4, 0.5)], "season int, n int, rate double")
+    digest = sinks.write_report(metrics, str(tmp_path / "r"), "Rates", ["season"], keep_out=str(tmp_path / "repo"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "r" / "md")).collect()]
+    assert lines == ["# Rates", "", f"Canonical SHA-256: `{digest}`", "", "| season | n | rate |", "| --- | --- | --- |", "| 2019 | 4 | 0.5 |", "| 2020 | 3 |  |"]
+    assert digest == sinks.canonical_hash(metrics.orderBy("n").select("rate", "n", "season"))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        sinks.write_report(metrics, str(tmp_path / "r"), "Rates", ["season"])
+    with pytest.raises(ValueError, match="outside"):
+        sinks.write_report(metrics, str(tmp_path / "repo" / "out"), "Rates", ["season"], keep_out=str(tmp_path / "repo"))
