@@ -362,3 +362,55 @@ def match_returns(lots: DataFrame, lots_back: DataFrame, chunk_events: int = CHU
 def op13_return_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, sales = read_table(spark, sf_dir, "sale_lines"), read_table(spark, sf_dir, "sales")
     return match_returns(sold_lots(lines, sales), sold_lots(lines.where("flag = 'returned'"), sales))
+
+
+#: The units in the r best lots are a walk reflected at zero: running sums of units shipped within them less units returned, less the least such sum so far where
+#: it is negative. What a return takes from lot r is what it takes from the r best less what it takes from the r - 1 best. CRC-32 is spelled out byte by byte.
+ORACLE_SQL = """
+WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), l AS (
+    SELECT client_id, item_id, s.sale_id, coalesce(line_no, -2147483649)::BIGINT AS line_no, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS c, floor(100 * coalesce(discount, 0) + 0.5)::BIGINT AS d,
+           date_diff('day', DATE '1970-01-01', shipped_at::DATE) AS day, flag = 'returned' AS back, concat_ws(':', s.sale_id, line_no) AS mark, row_number() OVER () AS rid
+    FROM sale_lines JOIN sales s USING (sale_id)
+    WHERE client_id IS NOT NULL AND item_id IS NOT NULL AND amount IS NOT NULL AND shipped_at IS NOT NULL AND quantity >= 1 AND abs(amount) < 1e13 AND NOT isnan(amount)
+), b AS (
+    SELECT l.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(mark, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS h
+    FROM l, crc WHERE coalesce(back, false)
+), owners AS (
+    SELECT DISTINCT client_id, item_id FROM b
+), lots AS (
+    SELECT l.*, row_number() OVER (PARTITION BY client_id, item_id ORDER BY c / q::DOUBLE DESC, day, sale_id, line_no, q, c, d, rid) AS r FROM l JOIN owners USING (client_id, item_id)
+), events AS (
+    SELECT client_id, item_id, day, 1 AS kind, sale_id, line_no, q, c, d, r, q AS step FROM lots
+    UNION ALL SELECT client_id, item_id, day + 1 + h % 31, 0, sale_id, line_no, q, c, d, NULL, -(1 + h % (q + 30)) FROM b
+), e AS (
+    SELECT *, row_number() OVER (PARTITION BY client_id, item_id ORDER BY day, kind, sale_id, line_no, q, c, d, r) AS e FROM events
+), returns AS (
+    SELECT *, row_number() OVER (PARTITION BY client_id, item_id ORDER BY e) AS return_no FROM e WHERE kind = 0
+), p AS (
+    SELECT lots.client_id, lots.item_id, lots.r, e.e, e.kind, sum(CASE WHEN e.kind = 0 OR e.r <= lots.r THEN step ELSE 0 END) OVER (PARTITION BY lots.client_id, lots.item_id, lots.r ORDER BY e.e) AS p
+    FROM lots JOIN e ON e.client_id = lots.client_id AND e.item_id = lots.item_id
+), s AS (
+    SELECT client_id, item_id, r, e, kind, p - least(0, min(p) OVER (PARTITION BY client_id, item_id, r ORDER BY e)) AS s FROM p
+), u AS (
+    SELECT client_id, item_id, r, e, kind, s, lag(s, 1, 0) OVER (PARTITION BY client_id, item_id, r ORDER BY e) - s AS gone FROM s
+), k AS (
+    SELECT client_id, item_id, r, e, gone - lag(gone, 1, 0) OVER w AS units, s - lag(s, 1, 0) OVER w AS lot_left FROM u WHERE kind = 0 WINDOW w AS (PARTITION BY client_id, item_id, e ORDER BY r)
+), m AS (
+    SELECT *, row_number() OVER w AS piece_no, sum(units) OVER w AS done FROM k WHERE units > 0 WINDOW w AS (PARTITION BY client_id, item_id, e ORDER BY r)
+), pieces AS (
+    SELECT m.client_id, m.item_id, x.return_no, m.piece_no, x.day, x.sale_id, l.sale_id AS lot_sale_id, l.line_no AS lot_line_no, m.units, m.lot_left,
+           done * x.c * (100 - x.d) // (100 * x.q) - (done - units) * x.c * (100 - x.d) // (100 * x.q) AS refund,
+           (l.q - m.lot_left) * l.c // l.q - (l.q - m.lot_left - units) * l.c // l.q AS cost
+    FROM m JOIN returns x ON x.client_id = m.client_id AND x.item_id = m.item_id AND x.e = m.e JOIN lots l ON l.client_id = m.client_id AND l.item_id = m.item_id AND l.r = m.r
+    UNION ALL
+    SELECT x.client_id, x.item_id, x.return_no, coalesce(f.n, 0) + 1, x.day, x.sale_id, NULL, NULL, -x.step - coalesce(f.done, 0), NULL,
+           -x.step * x.c * (100 - x.d) // (100 * x.q) - coalesce(f.done, 0) * x.c * (100 - x.d) // (100 * x.q), NULL
+    FROM returns x LEFT JOIN (SELECT client_id, item_id, e, count(*) AS n, sum(units) AS done FROM m GROUP BY ALL) f ON f.client_id = x.client_id AND f.item_id = x.item_id AND f.e = x.e
+    WHERE -x.step > coalesce(f.done, 0)
+)
+SELECT client_id, item_id, return_no, piece_no::BIGINT AS piece_no, day::BIGINT AS return_day, sale_id AS return_sale_id, lot_sale_id, nullif(lot_line_no, -2147483649) AS lot_line_no, units::BIGINT AS units,
+       lot_left::BIGINT AS lot_left, refund::BIGINT AS refund_cents, (refund - cost)::BIGINT AS margin_cents
+FROM pieces
+"""

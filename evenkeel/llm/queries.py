@@ -32,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_filter_bitmaps": filter_audit.ORACLE_SQL,
+    "op13_return_lots": lot_matching.ORACLE_SQL,
 }
