@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip
@@ -10,9 +10,9 @@ from .ranking import ordinal_positions
 
 
 def vocabulary_codes(rows: DataFrame, train: DataFrame, column: str, out: str) -> DataFrame:
-    """1..K by sorted training value; unseen and null values get 0. The window runs over distinct values only."""
-    values = train.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct()
-    codes = values.withColumn(out, F.row_number().over(Window.orderBy("_v")))
+    """1..K by sorted training value; unseen and null values get 0. Values are numbered by ranges, however many there are."""
+    values = train.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"), F.lit(0).alias("_all")).distinct()
+    codes = ordinal_positions(values, ["_all"], [F.col("_v")], "_at", "_of").select("_v", (F.col("_at") + 1).cast("int").alias(out))
     return rows.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(0)))
 
 

@@ -104,9 +104,9 @@ def counted_quantiles(counts: DataFrame, keys: list[str], value: str, points: li
 
 
 def average_ranks(rows: DataFrame, column: str, out: str, within: list[str]) -> DataFrame:
-    """Ranks from 1 with ties averaged, from the counts of distinct values; null values have no rank."""
+    """Ranks from 1 with ties averaged, from the counts of distinct values; null values have no rank. Groups of any number of values are ranked by ranges."""
     values = rows.where(F.col(column).isNotNull()).groupBy(*within, column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*within).orderBy(column))
-    ranks = values.select(*[F.col(c).alias(f"_r_{c}") for c in (*within, column)], (upto - (F.col("_n") - 1) / 2).alias(out))
+    placed = running_totals(values, within, [column], ["_n"])
+    ranks = placed.select(*[F.col(c).alias(f"_r_{c}") for c in (*within, column)], (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*within, column)])
     return rows.join(ranks, on, "left").drop(*[f"_r_{c}" for c in (*within, column)])

@@ -75,7 +75,8 @@ def column_profile(t) -> DataFrame:
 )
 def quantile_profile(t) -> DataFrame:
     points = (5, 25, 50, 75, 95)
-    q = _long(t).groupBy("season", "metric").agg(F.percentile("value", F.array(*[F.lit(p / 100) for p in points])).alias("q"))
+    keys = ["season", "metric"]
+    q = counted_quantiles(counted(_long(t), keys, "value"), keys, "value", [p / 100 for p in points])
     return q.select("season", "metric", *[r6(F.col("q")[i]).alias(f"q{p:02d}") for i, p in enumerate(points)])
 
 
