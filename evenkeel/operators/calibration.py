@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clip, logit, sigmoid
 from ..sources.stage import staged
 
-#: Newton steps; they stop earlier once no coefficient moves by more than SETTLED.
-ROUNDS, SETTLED = 25, 1e-12
+#: Newton steps; from SURE steps on they stop once no coefficient moves by more than SETTLED.
+ROUNDS, SURE, SETTLED = 25, 5, 1e-12
 #: Cells of the unit interval that an isotonic fit tells apart.
 MICRO = 1_000_000
 
@@ -51,7 +51,7 @@ def newton_logistic(cells: DataFrame, by: list[str], features: list[str], y: str
     names = [f"b{i}" for i in range(len(features) + 1)]
     x = [F.lit(1.0), *[F.col(f) for f in features]]
     coefficients = cells.select(*by, *[F.lit(0.0).alias(b) for b in names]).distinct()
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         p = sigmoid(sum((F.col(b) * v for b, v in zip(names[1:], x[1:])), F.col("b0")))
         gap, curve = F.col(n) * (F.col(y) - p), F.col(n) * p * (1 - p)
         gradient = [F.sum(gap * v).alias(f"_g{i}") for i, v in enumerate(x)]
@@ -62,10 +62,9 @@ def newton_logistic(cells: DataFrame, by: list[str], features: list[str], y: str
         g = [F.col(f"_g{i}") - penalty[i] * F.col(names[i]) for i in range(len(x))]
         steps = _solved(h, g)
         moved = F.greatest(*[F.abs(s) for s in steps]) if len(steps) > 1 else F.abs(steps[0])
-        coefficients = staged(sums.select(*by, *[(F.col(b) + s).alias(b) for b, s in zip(names, steps)], moved.alias("_moved")), "newton")
-        most = coefficients.agg(F.max("_moved")).first()[0]
-        coefficients = coefficients.drop("_moved")
-        if most is None or most < SETTLED:
+        written = staged(sums.select(*by, *[(F.col(b) + s).alias(b) for b, s in zip(names, steps)], moved.alias("_moved")), "newton")
+        coefficients = written.drop("_moved")
+        if done >= SURE and (written.agg(F.max("_moved")).first()[0] or 0.0) < SETTLED:
             break
     return coefficients
 
