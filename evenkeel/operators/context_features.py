@@ -10,10 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import choose, safe_ratio
 from .history import past_quantiles
 
 ALL = "ALL"
@@ -94,40 +93,38 @@ def context_features(states: DataFrame, statistics: DataFrame, features: list[Fe
     """
     sets = list(dict.fromkeys(s for f in features for s in f.sets))
     coarsest = list(levels)[-1]
+    stats = ("n", "mean", "var", "med", "iqr")
     out = states
     for level, keys in levels.items():
-        own = [F.when((F.col("measure") == m) & (F.col("family") == f), F.col(stat)) for m, f in sets for stat in ("n", "mean", "var", "med", "iqr")]
-        names = [f"{level}_{i}_{stat}" for i in range(len(sets)) for stat in ("n", "mean", "var", "med", "iqr")]
-        wide = statistics.where(F.col("level") == level).groupBy("cutoff", *keys).agg(*[F.max(c).alias(n) for c, n in zip(own, names, strict=True)])
-        out = out.join(wide, ["cutoff", *keys], "left")
-
-    def at(level: str, of: tuple[str, str], stat: str) -> Column:
-        return F.col(f"{level}_{sets.index(of)}_{stat}")
-
-    def supported(level: str, *of: tuple[str, str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.coalesce(at(level, s, "n") >= support, F.lit(False)) for s in of])
-
+        wide = [F.expr(f"max(CASE WHEN measure = '{m}' AND family = '{f}' THEN {stat} END) AS {level}_{i}_{stat}") for i, (m, f) in enumerate(sets) for stat in stats]
+        out = out.join(statistics.where(F.col("level") == level).groupBy("cutoff", *keys).agg(*wide), ["cutoff", *keys], "left")
+
+    # the features are written as SQL: one expression each, where columns would be put together by thousands of calls
+    at = lambda level, of, stat: f"{level}_{sets.index(of)}_{stat}"
+    supported = lambda level, of: " AND ".join(f"coalesce({at(level, s, 'n')} >= {support}, false)" for s in of)
+    world = lambda of, stat: f"CASE WHEN {supported(coarsest, [of])} THEN {at(coarsest, of, stat)} END"
+    ratio = lambda a, b: f"CASE WHEN NOT isnan({b}) THEN try_divide({a}, {b}) END"
     made = []
     for f in features:
-        wide = {s: F.when(supported(coarsest, s), at(coarsest, s, "mean")) for s in f.sets}
-        spread = {s: F.when(supported(coarsest, s), at(coarsest, s, "var")) for s in f.sets}
-        pick = lambda value: choose([(supported(level, *f.sets), value(level)) for level in levels])  # noqa: B023, E731
         own = f.sets[0]
+        pick = lambda value: "CASE " + " ".join(f"WHEN {supported(level, f.sets)} THEN {value(level)}" for level in levels) + " END"  # noqa: B023, E731
+        of = lambda stat: pick(lambda level: at(level, own, stat))  # noqa: B023, E731
         if f.kind == "mean":
-            value = pick(lambda level: at(level, own, "mean"))  # noqa: B023
+            value = of("mean")
         elif f.kind == "sd":
-            value = pick(lambda level: F.sqrt(at(level, own, "var")))  # noqa: B023
+            value = f"sqrt({of('var')})"
         elif f.kind == "z":
-            value = safe_ratio(pick(lambda level: at(level, own, "mean")) - wide[own], F.sqrt(spread[own]))  # noqa: B023
+            value = ratio(f"({of('mean')} - {world(own, 'mean')})", f"sqrt({world(own, 'var')})")
         elif f.kind == "apart":
-            a, b = f.sets
-            value = safe_ratio(pick(lambda level: at(level, a, "mean") - at(level, b, "mean")), F.sqrt((spread[a] + spread[b]) / 2))  # noqa: B023
+            one, two = f.sets
+            gap = pick(lambda level: f"{at(level, one, 'mean')} - {at(level, two, 'mean')}")  # noqa: B023
+            value = ratio(f"({gap})", f"sqrt(({world(one, 'var')} + {world(two, 'var')}) / 2)")
         elif f.kind == "median_shift":
-            centre, scale = (F.when(supported(coarsest, own), at(coarsest, own, s)) for s in ("med", "iqr"))
-            value = safe_ratio(pick(lambda level: at(level, own, "med")) - centre, scale)  # noqa: B023
+            value = ratio(f"({of('med')} - {world(own, 'med')})", f"({world(own, 'iqr')})")
         elif f.kind == "iqr_ratio":
-            value = safe_ratio(pick(lambda level: at(level, own, "iqr")), F.when(supported(coarsest, own), at(coarsest, own, "iqr"))) - 1  # noqa: B023
+            value = ratio(f"({of('iqr')})", f"({world(own, 'iqr')})") + " - 1"
         else:
             raise ValueError(f.kind)
-        made += [value.alias(f.name), choose([(supported(level, *f.sets), level) for level in levels], NO_HISTORY).alias(f"{f.name}_level")]
+        known = "CASE " + " ".join(f"WHEN {supported(level, f.sets)} THEN '{level}'" for level in levels) + f" ELSE '{NO_HISTORY}' END"
+        made += [F.expr(f"{value} AS {f.name}"), F.expr(f"{known} AS {f.name}_level")]
     return out.select(*states.columns, *made)
