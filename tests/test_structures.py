@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.operators import calibration, history, matching, ranking, sampling, sequences
+from evenkeel.operators import calibration, history, matching, nearest_pairs, ranking, sampling, sequences
 from evenkeel.operators.context_features import Feature, context_features, past_statistics
 
 FAMILIES = ["fastball", "breaking", "offspeed"]
@@ -234,3 +234,37 @@ def test_intercepts_reach_the_constrained_optimum(spark):
     assert all(beta[k]["beta"] == pytest.approx(np.clip(raw[k] * n[k] / (n[k] + 100), -0.05, 0.05)) for k in range(5))
     lone = calibration.subgroup_intercepts(df.withColumn("g", F.lit(1)), "g", "z", "y").first()
     assert lone["raw"] == pytest.approx(0, abs=1e-12)
+
+
+def test_pairs_are_judged_block_by_block(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(i % 3), [float(v) for v in rng.integers(0, 6, 2) / 4] if i % 11 else [None, 1.0]) for i in rng.permutation(300)]
+    df = spark.createDataFrame(rows, "id bigint, g int, v array<double>")
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+
+    def distance(x, y):
+        d = np.abs(x[:, None] - y[None]).sum(axis=2)
+        return (np.where(np.isnan(d), np.inf, d),)
+
+    judge = nearest_pairs.nearest(distance, 2, 9, both=True)
+    made = nearest_pairs.compared(left, right, "g", judge, "l bigint, r bigint, d double", block=7)
+    # no pair goes through a shuffle: what is dealt to tasks are blocks
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    got = {(r["l"], r["r"]): r["d"] for r in made.collect()}
+    known = {i: (g, v) for i, g, v in rows if v[0] is not None}
+    plain = {(a, b): sum(abs(p - q) for p, q in zip(known[a][1], known[b][1])) for a in known for b in known if a % 2 == 0 and b % 2 and known[a][0] == known[b][0]}
+    assert all(plain[k] == pytest.approx(d) for k, d in got.items()) and len(got) < len(plain)
+    pairs = spark.createDataFrame([(a, b, d) for (a, b), d in plain.items()], "l bigint, r bigint, d double")
+    every = nearest_pairs.compared(left, right, "g", nearest_pairs.within(distance), "l bigint, r bigint, d double", block=50)
+    assert sorted(map(tuple, every.collect())) == sorted((a, b, d) for (a, b), d in plain.items())
+    assert sorted(sequences.mutual_best(made.distinct(), "l", "r", "d").collect()) == sorted(sequences.mutual_best(pairs, "l", "r", "d").collect())
+    assert not nearest_pairs.compared(left.where("id < 0"), right, "g", judge, "l bigint, r bigint, d double").collect()
+
+
+@pytest.mark.parametrize("name", ["profile_distance", "mutual_best", "self_identify"])
+def test_pair_queries_shuffle_no_pairs(spark, name):
+    from evenkeel.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
