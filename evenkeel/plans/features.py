@@ -214,7 +214,7 @@ def feat_interaction(t) -> DataFrame:
     edges = exact_quantiles(train.withColumn("all", F.lit(0)), ["all"], "li", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).select(F.array_distinct("q").alias("edges"))
     code = F.size(F.filter("edges", lambda e, i: (i > 0) & (e < F.col("mid"))))
     codes = middles.crossJoin(F.broadcast(edges)).select("base", code.alias("code"))
-    return t.main.withColumn("base", base).join(codes, "base", "left").select(
+    return t.main.withColumn("base", base).join(F.broadcast(codes), "base", "left").select(
         "rk",
         F.coalesce("code", F.lit(-1)).alias("base_code"),
         (F.col("balls") * 3 + F.col("strikes")).alias("count_code"),
@@ -230,7 +230,7 @@ def feat_interaction(t) -> DataFrame:
 )
 def feat_trend(t) -> DataFrame:
     train = t.main.where(TRAIN)
-    rows = with_group_value(t.main.where(F.col("rate").isNotNull()), train, ["season"], s_mean=F.avg("rate"))
+    rows = with_group_value(t.main.where(F.col("rate").isNotNull()), train, ["season"], few=True, s_mean=F.avg("rate"))
     by_season = train.groupBy("season").agg(F.avg("rate").alias("s"))
     rows = with_constants(rows, by_season, latest=F.max_by("s", "season"))
     rows = with_constants(rows, train, mean=F.avg("rate"))
@@ -273,7 +273,7 @@ def impute_regime(t) -> DataFrame:
     """Rates of first appearances from the mean of their regime over all training rows, for pitchers and for batters."""
     known = t.main.where(F.col("season") < 2025).withColumn("late", F.col("season") >= 2023)
     means = {"pitcher": F.avg("rate"), "batter": F.avg("prev1")}
-    rows = with_group_value(t.main.withColumn("late", F.col("season") >= 2023), known, ["late"], **{f"r_{k}": v for k, v in means.items()})
+    rows = with_group_value(t.main.withColumn("late", F.col("season") >= 2023), known, ["late"], few=True, **{f"r_{k}": v for k, v in means.items()})
     rows = with_constants(rows, known, **means)
     filled = lambda n, kind, rate: r6(F.when(F.col(n) == 0, F.coalesce(f"r_{kind}", kind)).otherwise(F.col(rate)))
     return rows.select("rk", filled("n_p", "pitcher", "rate").alias("rate"), filled("n_b", "batter", "prev1").alias("batter_rate"))

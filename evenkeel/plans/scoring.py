@@ -391,7 +391,7 @@ def select_winner(t) -> DataFrame:
 
 @query("+ p AS (SELECT season, avg(y) AS r FROM m GROUP BY season) SELECT rk, round(m.y - p.r, 6) AS residual FROM m JOIN p ON p.season = m.season WHERE m.season = 2023", "m")
 def season_residual(t) -> DataFrame:
-    rows = with_group_value(t.main.where("season = 2023"), t.main, ["season"], r=F.avg("y"))
+    rows = with_group_value(t.main.where("season = 2023"), t.main, ["season"], few=True, r=F.avg("y"))
     return rows.select("rk", r6(F.col("y") - F.col("r")).alias("residual"))
 
 
