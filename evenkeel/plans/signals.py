@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import choose, r6
 from ..operators.fit import with_constants, with_group_value
+from ..operators.ranking import exact_quantiles
 from ..operators.scoring import resolution, skill
 from .registry import query
 
@@ -63,8 +64,8 @@ def cell_bss(t) -> DataFrame:
     """Cell means of the past as predictions: raw, shifted to the season's base rate, and the cells' own means."""
     rows = t.main.withColumn("cell", F.col("balls") * 3 + F.col("strikes"))
     train, valid = rows.where("season < 2024"), rows.where("season = 2024")
-    j = with_group_value(valid, train, ["cell"], p=F.avg("y"))
-    j = with_group_value(j, valid, ["cell"], q=F.avg("y"))
+    j = with_group_value(valid, train, ["cell"], few=True, p=F.avg("y"))
+    j = with_group_value(j, valid, ["cell"], few=True, q=F.avg("y"))
     j = with_constants(with_constants(j, train, base=F.avg("y")), valid, vbase=F.avg("y"))
     z = lambda p: F.log(p / (1 - p))
     p = F.coalesce("p", "base")
@@ -81,10 +82,12 @@ def cell_bss(t) -> DataFrame:
 )
 def decile_transfer(t) -> DataFrame:
     """Right-closed training deciles, duplicate edges dropped, their means scored on the season after."""
-    points = F.array(*[F.lit(k / 10) for k in range(1, 10)])
-    rows = with_constants(t.main.select("season", "y", "price"), t.main.where("season < 2024"), e=F.array_distinct(F.percentile("price", points)))
+    train = t.main.where("season < 2024").select("price", F.lit(0).alias("all"))
+    # one row
+    edges = exact_quantiles(train, ["all"], "price", [k / 10 for k in range(1, 10)]).select(F.array_distinct("q").alias("e"))
+    rows = t.main.select("season", "y", "price").crossJoin(F.broadcast(edges))
     b = rows.withColumn("bin", F.size(F.filter("e", lambda x: x < F.col("price"))))
-    j = with_group_value(b.where("season = 2024"), b.where("season < 2024"), ["bin"], "inner", p=F.avg("y"))
+    j = with_group_value(b.where("season = 2024"), b.where("season < 2024"), ["bin"], "inner", few=True, p=F.avg("y"))
     return j.agg(F.round(skill(F.col("p"), F.col("y")), 4).alias("transfer"), F.count("*").alias("n"))
 
 
@@ -93,7 +96,9 @@ def decile_transfer(t) -> DataFrame:
     "m",
 )
 def quartile_spread(t) -> DataFrame:
-    rows = with_constants(t.main, t.main, q=F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))))
+    # one row
+    cuts = exact_quantiles(t.main.select("price", F.lit(0).alias("all")), ["all"], "price", [0.25, 0.75]).select("q")
+    rows = t.main.select("price", "y").crossJoin(F.broadcast(cuts))
     low, high = F.col("price") <= F.col("q")[0], F.col("price") > F.col("q")[1]
     return rows.agg(r6(F.avg(F.when(high, F.col("y"))) - F.avg(F.when(low, F.col("y")))).alias("spread"), F.count_if(low).alias("low_n"), F.count_if(high).alias("high_n"))
 
