@@ -77,15 +77,10 @@ def running_totals(rows: DataFrame, keys: list[str], order: list[str], amounts:
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: list[float], out: str = "q") -> DataFrame:
     """keys and an array of linearly interpolated quantiles of the values that aren't null.
 
-    percentile() holds a map of all distinct values in one task; here the values are sorted by ranges and only the
-    two neighbours of each point are kept.
+    percentile() holds a map of all distinct values in one task; here distinct values are counted first, so that frequent ones are one row each, and
+    their counts run by ranges.
     """
-    placed = ordinal_positions(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)])
-    at = [F.lit(float(p)) * (F.col("total") - 1) for p in points]
-    picked = lambda place: F.max(F.when(F.col("position") == place, F.col(value)))
-    made = placed.groupBy(*keys, "total").agg(*[picked(f(a)).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f in (("lo", F.floor), ("hi", F.ceil))])
-    between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
-    return made.select(*keys, F.array(*between).alias(out))
+    return counted_quantiles(counted(rows.select(*keys, value), keys, value), keys, value, points, out)
 
 
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

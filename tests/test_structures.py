@@ -268,3 +268,35 @@ def test_pair_queries_shuffle_no_pairs(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def plan_of(spark, name):
+    from evenkeel.plans.registry import QUERIES
+
+    # as where size alone gives no broadcast
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+@pytest.mark.parametrize("name", ["impute_regime", "feat_trend", "cell_bss", "season_residual", "context_prior", "feat_interaction", "decile_transfer"])
+def test_rows_are_not_dealt_by_few_keys(spark, name):
+    plan = plan_of(spark, name)
+    assert "SortMergeJoin" not in plan.replace("SortMergeJoin [_part", "") and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["quartile_spread", "decile_transfer"])
+def test_cuts_of_prices_hold_no_map_of_values(spark, name):
+    assert "percentile(" not in plan_of(spark, name)
+
+
+def test_frequent_values_are_one_row_of_a_quantile(spark, monkeypatch):
+    sizes = []
+    staged = ranking.staged
+    monkeypatch.setattr(ranking, "staged", lambda df, name: sizes.append(df.count()) or staged(df, name))
+    rows = spark.range(3000).select(F.lit(0).alias("k"), (F.col("id") % 3 / 1.0).alias("x"))
+    assert ranking.exact_quantiles(rows, ["k"], "x", [0.0, 0.5, 1.0]).first()["q"] == [0.0, 1.0, 2.0]
+    assert sizes and max(sizes) == 3
