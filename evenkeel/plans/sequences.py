@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import choose, flag, r6, safe_ratio, wilson_upper
@@ -384,6 +384,8 @@ def null_matchings(t) -> DataFrame:
 
 
 TRIALS, CLOSE = 200, 0.05
+#: Digits to which differences of means are judged: sums of the same values in another order differ by some 1e-13.
+JUDGED = 11
 _NULL_SQL = f"""+ e AS (SELECT uid, avg(value) AS mean FROM h GROUP BY uid), t AS (SELECT unnest(generate_series(0, {TRIALS - 1})) AS trial),
     l AS (SELECT trial, uid, mean, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', 'null/left', trial, uid)), uid) AS k FROM e, t),
     r AS (SELECT trial, uid, mean, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', 'null/right', trial, uid)), uid) AS k FROM e, t),
@@ -391,11 +393,16 @@ _NULL_SQL = f"""+ e AS (SELECT uid, avg(value) AS mean FROM h GROUP BY uid), t A
     acc AS (SELECT trial, count(*) AS pairs, count(*) FILTER (abs(x - y) < {CLOSE}) AS accepted FROM p JOIN ok USING (trial) GROUP BY trial)"""
 
 
+def _close(x: Column, y: Column) -> Column:
+    """Whether two means differ by less than CLOSE; a difference of exactly CLOSE doesn't count, in whatever order the values were summed."""
+    return F.round(F.abs(x - y), JUDGED) < CLOSE
+
+
 def _null_accepts(t) -> DataFrame:
     means = t.history.groupBy("uid").agg(F.avg("value").alias("mean"))
     pairs = matching.null_permutations(means.select("uid"), means.select("uid"), "uid", TRIALS, "null", derangement=True)
     pairs = pairs.join(means.select(F.col("uid").alias("left"), F.col("mean").alias("x")), "left").join(means.select(F.col("uid").alias("right"), F.col("mean").alias("y")), "right")
-    return pairs.groupBy("trial").agg(F.count("*").alias("pairs"), F.count_if(F.abs(F.col("x") - F.col("y")) < CLOSE).alias("accepted"))
+    return pairs.groupBy("trial").agg(F.count("*").alias("pairs"), F.count_if(_close(F.col("x"), F.col("y"))).alias("accepted"))
 
 
 @query(f"{_NULL_SQL} SELECT trial, pairs, accepted FROM acc", "h")
