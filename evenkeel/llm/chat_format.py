@@ -3,9 +3,9 @@
 Each turn becomes one segment: a marked header with the role, the text, a marked end. Every
 assistant turn becomes an example of its own: all segments before it are its context, and only
 its reply is trainable. A conversation's examples are prefixes of one formatted stream, so an
-example is stored as its target segment and the length of its context in that stream: the
-expansion is linear in the input, and ``expand`` writes contexts out where full strings are
-wanted.
+example travels as its target segment and the length of its context in that stream, linear in the input. Where examples
+are used they are expanded: ``format_report`` expands each one in its conversation's row and reads its
+loss mask from the whole text, and ``expand`` writes them out as rows.
 
 Escaping is reversible: the escape character (a private-use code point) is doubled with a 0, and a
 1 behind it splits every control string of common chat templates, the template's own included. A
@@ -95,9 +95,14 @@ def examples(conversations: DataFrame) -> DataFrame:
     return formatted_turns(conversations).select(example().alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
-def trainable(segment: Column, context_chars: Column, loss_start: Column, loss_end: Column) -> Column:
-    """The unescaped text under the loss mask of an example."""
-    return unescape(F.substring(segment, (loss_start - context_chars + 1).cast("int"), (loss_end - loss_start).cast("int")))
+def expanded(formatted: Column, context_chars: Column, target: Column) -> Column:
+    """The whole text of an example: its context, which is a prefix of the conversation's stream, and its target."""
+    return F.concat(F.substring(formatted, F.lit(1), context_chars.cast("int")), target)
+
+
+def trainable(text: Column, loss_start: Column, loss_end: Column) -> Column:
+    """The unescaped text under the loss mask of an expanded example."""
+    return unescape(F.substring(text, (loss_start + 1).cast("int"), (loss_end - loss_start).cast("int")))
 
 
 def gathered(conversations: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def expand(conversations: DataFrame) -> DataFrame:
     return made.join(whole, F.col("conv_id").eqNullSafe(F.col("s_id"))).select(
         "conv_id",
         "turn",
-        F.concat(F.substring("formatted", F.lit(1), F.col("context_chars").cast("int")), F.col("target")).alias("example"),
+        expanded(F.col("formatted"), F.col("context_chars"), F.col("target")).alias("example"),
         "loss_start",
         "loss_end",
     )
@@ -140,11 +145,11 @@ def read_back(formatted: Column) -> Column:
 def format_report(conversations: DataFrame) -> DataFrame:
     """What can be read back from each conversation's stream and from the loss masks of its examples.
 
-    Of an example no more than its target and loss span is read, as the loss lies in the target.
+    Every example is expanded, context and target, and its loss is read by its mask from that text; one example is held at a time.
     """
     read = gathered(conversations).withColumn("turns", read_back(F.col("formatted")))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("examples", lambda e: trainable(e["target"], e["context_chars"], e["loss_start"], e["loss_end"])), "")
+    loss = F.array_join(F.transform("examples", lambda e: trainable(expanded(F.col("formatted"), e["context_chars"], e["target"]), e["loss_start"], e["loss_end"])), "")
     return read.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

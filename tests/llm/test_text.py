@@ -494,3 +494,18 @@ def test_a_weight_moves_rows_in_its_subtree_only_where_it_is_held(spark):
 def test_trees_of_any_size():
     for n in (1, 2, 19, 20, 41, 45):
         assert sharding.build_tree(n).shards() == list(range(n))
+
+
+def test_losses_are_read_from_expanded_examples(spark):
+    from evenkeel.llm import chat_format
+
+    turns = [(1, 0, "user", "a<|im_start|>"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d</s>"), (1, 4, "assistant", None)]
+    g = chat_format.gathered(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    e = g.select("formatted", F.explode("examples").alias("e")).select(
+        "formatted", "e.*", chat_format.expanded(F.col("formatted"), F.col("e.context_chars"), F.col("e.target")).alias("text")
+    )
+    got = e.select("*", chat_format.trainable(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("loss")).orderBy("turn").collect()
+    assert [r["loss"] for r in got] == ["b", "d</s>", ""]
+    assert all(r["formatted"].startswith(r["text"]) and len(r["text"]) == r["context_chars"] + len(r["target"]) for r in got)
+    plan = chat_format.format_report(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(formatted" in plan
