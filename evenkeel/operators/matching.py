@@ -19,6 +19,8 @@ from .ranking import ordinal_positions
 
 #: Graphs of up to so many lefts, rights and edges are enumerated.
 SMALL_SIDE, SMALL_EDGES = 8, 32
+#: Rows that a task hands on at once.
+ROWS_AT_ONCE = 2000
 Pairs = list[tuple[int, int]]
 
 
@@ -90,6 +92,18 @@ def _hashed(values: list[int], namespace: str, counter: int) -> list[int]:
     return sorted(values, key=lambda v: (hashlib.sha256(f"{namespace}|{counter}|{v}".encode()).hexdigest(), v))
 
 
+def in_parts(made: Iterator[list[tuple]], columns: list[str], most: int = ROWS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The rows of one graph after the other as frames of ``most`` rows at most, so that what a task holds doesn't grow with its graphs."""
+    held: list[tuple] = []
+    for rows in made:
+        held += rows
+        while len(held) >= most:
+            yield pd.DataFrame(held[:most], columns=columns)
+            held = held[most:]
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def null_graphs(allowed: DataFrame, group: str, forbidden: DataFrame | None = None, derangement: bool = False) -> DataFrame:
     """group, lefts and rights (of the allowed pairs), eligible_lefts, eligible_rights and edges (those that are left).
 
@@ -134,26 +148,28 @@ def null_matchings(graphs: DataFrame, group: str, requested: int, namespace: str
     columns = [group, "counter", "canonical", "pairs", "id", "cardinality"]
 
     def enumerate_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = []
-            for key, edges in zip(batch[group], batch["edges"]):
-                edges = pairs_of(edges)
-                canonical = assignment_id(list(maximum_matching(edges).items()))
-                done += rows(key, 0, all_maximum_matchings(edges), canonical)
-            yield pd.DataFrame(done, columns=columns)
+        def each() -> Iterator[list[tuple]]:
+            for batch in batches:
+                for key, edges in zip(batch[group], batch["edges"]):
+                    edges = pairs_of(edges)
+                    canonical = assignment_id(list(maximum_matching(edges).items()))
+                    yield rows(key, 0, all_maximum_matchings(edges), canonical)
+
+        yield from in_parts(each(), columns)
 
     def try_orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = []
-            for key, edges, counter in zip(batch[group], batch["edges"], batch["counter"]):
-                near: dict[int, list[int]] = {}
-                for left, right in pairs_of(edges):
-                    near.setdefault(left, []).append(right)
-                canonical = list(maximum_matching([(a, b) for a in near for b in near[a]]).items())
-                near = {a: _hashed(b, f"{namespace}/edge/{a}", counter) for a, b in near.items()}
-                trial = maximum_matching([], _hashed(list(near), f"{namespace}/left", counter), near)
-                done += rows(key, int(counter), [sorted(trial.items())], assignment_id(canonical))
-            yield pd.DataFrame(done, columns=columns)
+        def each() -> Iterator[list[tuple]]:
+            for batch in batches:
+                for key, edges, counter in zip(batch[group], batch["edges"], batch["counter"]):
+                    near: dict[int, list[int]] = {}
+                    for left, right in pairs_of(edges):
+                        near.setdefault(left, []).append(right)
+                    canonical = list(maximum_matching([(a, b) for a in near for b in near[a]]).items())
+                    near = {a: _hashed(b, f"{namespace}/edge/{a}", counter) for a, b in near.items()}
+                    trial = maximum_matching([], _hashed(list(near), f"{namespace}/left", counter), near)
+                    yield rows(key, int(counter), [sorted(trial.items())], assignment_id(canonical))
+
+        yield from in_parts(each(), columns)
 
     schema = f"{group} {kind}, counter int, canonical boolean, {made}"
     whole = staged(graphs.where(small).select(group, "edges").mapInPandas(enumerate_all, schema), "matchings")

@@ -300,3 +300,19 @@ def test_frequent_values_are_one_row_of_a_quantile(spark, monkeypatch):
     rows = spark.range(3000).select(F.lit(0).alias("k"), (F.col("id") % 3 / 1.0).alias("x"))
     assert ranking.exact_quantiles(rows, ["k"], "x", [0.0, 0.5, 1.0]).first()["q"] == [0.0, 1.0, 2.0]
     assert sizes and max(sizes) == 3
+
+
+def test_a_difference_of_exactly_the_bound_is_not_close(spark):
+    from evenkeel.plans.sequences import _close
+
+    # 0.05 apart, from sums in two orders, and truly nearer
+    rows = [(1.0, 0.95 + 2.5e-14, False), (1.0, 0.95 - 2.5e-14, False), (0.3, 0.25, False), (1.0, 0.950002, True), (0.95, 1.0, False)]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x double, y double, want boolean").select("i", "want", _close(F.col("x"), F.col("y")).alias("got"))
+    assert all(r["got"] == r["want"] for r in made.collect())
+
+
+def test_matchings_leave_a_task_in_bounded_parts():
+    made = ([(g, k) for k in range(90)] for g in range(100))
+    parts = list(matching.in_parts(made, ["g", "k"], most=50))
+    assert max(map(len, parts)) == 50 and [tuple(r) for p in parts for r in p.itertuples(index=False)] == [(g, k) for g in range(100) for k in range(90)]
+    assert not list(matching.in_parts(iter([[], []]), ["g", "k"]))
