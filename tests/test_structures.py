@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -316,3 +317,35 @@ def test_matchings_leave_a_task_in_bounded_parts():
     parts = list(matching.in_parts(made, ["g", "k"], most=50))
     assert max(map(len, parts)) == 50 and [tuple(r) for p in parts for r in p.itertuples(index=False)] == [(g, k) for g in range(100) for k in range(90)]
     assert not list(matching.in_parts(iter([[], []]), ["g", "k"]))
+
+
+@pytest.mark.parametrize("name", ["null_permutations", "false_accepts"])
+def test_means_as_far_apart_as_the_bound_are_judged_as_their_sql_does(spark, tmp_path, name):
+    import duckdb
+
+    from evenkeel.plans.registry import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i % 30 AS user_id, 'view' AS event_type, (hash(i) % 40)::DOUBLE / 100 AS value, '{}' AS props FROM range(150) r(i)")
+    con.execute(f"COPY (SELECT * FROM events ORDER BY event_id) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    rows = QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())
+
+
+def test_doubtful_means_do_not_depend_on_how_rows_are_dealt(spark):
+    from evenkeel.plans.sequences import _accepts
+
+    values = {1: [30.13, 0.1, 0.2, 0.3, 12.29, 0.07], 2: [30.13, 0.1, 0.2, 0.3, 12.29, 0.37]}
+    rows = [(u, 10 * k + u, v) for u, x in values.items() for k, v in enumerate(x)] + [(3, 1, 7.0), (3, 2, None), (4, 4, None)]
+    pairs = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 3, 3), (1, 3, 4)], "trial int, left bigint, right bigint")
+    want = None
+    for dealt in (1, 3, 7):
+        history = spark.createDataFrame(rows[::-1], "uid bigint, event_id bigint, value double").repartition(dealt)
+        got = sorted(map(tuple, _accepts(history, pairs).collect()))
+        want = want or got
+        assert got == want and got[0][0:2] == (0, 3) and got[1] == (1, 1, 0)
+    # sum() itself would add with a correction
+    x, y = (reduce(lambda a, b: a + b, v) / len(v) for v in values.values())
+    assert got[0][2] == 1 + 2 * (abs(x - y) < 0.05)
