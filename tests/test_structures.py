@@ -349,3 +349,49 @@ def test_doubtful_means_do_not_depend_on_how_rows_are_dealt(spark):
     # sum() itself would add with a correction
     x, y = (reduce(lambda a, b: a + b, v) / len(v) for v in values.values())
     assert got[0][2] == 1 + 2 * (abs(x - y) < 0.05)
+
+
+def test_context_prior_gives_the_whole_record_of_every_row(spark, tmp_path):
+    import duckdb
+
+    from evenkeel.plans.registry import ORACLE_SQL, QUERIES
+    from evenkeel.sources.tables import Tables
+
+    con = duckdb.connect()
+    # some history outside the legal contexts, and rows without a context or a cutoff
+    odd = {"events": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN -user_id ELSE user_id END AS user_id", "lineitem": "CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_linenumber END AS l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_shipdate END AS l_shipdate"}
+    for name, columns in odd.items():
+        again = 6 if name == "events" else 1
+        con.execute(f"COPY (SELECT e.* REPLACE ({columns}) FROM '/root/testdata/sf0.001/{name}.parquet' e, range({again}) r(k)) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    t = Tables(spark, str(tmp_path))
+    families, ranges = ["fastball", "breaking", "offspeed", "other"], [range(4), range(3), range(3)]
+    legal = lambda context: all(v in r for v, r in zip(context, ranges))
+    history = [(r["season"], (r["balls"], r["strikes"], r["outs"]), r["family"]) for r in t.history.collect()]
+    assert not all(legal(c) for _, c, _ in history)
+
+    def record(season, context):
+        past = [(c, f) for s, c, f in history if season is not None and season in range(2019, 2026) and s < season and legal(c)]
+        if not past:
+            return ("NO_HISTORY", 0, *[None] * 6)
+        share = lambda rows: [sum(f == x for _, f in rows) / len(rows) for x in families]
+        fine, wide = ([r for r in past if r[0][:n] == context[:n]] for n in (3, 2))
+        level, rows = ("L0", fine) if len(fine) >= 100 else ("L1", wide) if len(wide) >= 100 else ("global", past)
+        p = share(rows)
+        return (level, len(rows), *p, -sum(x * math.log(x) for x in p if x) / math.log(4), sum(abs(a - b) for a, b in zip(p, share(past))) / 2)
+
+    made = QUERIES["context_prior"](spark, str(tmp_path))
+    names = ["backoff_level", "support", *[f"p_{f}" for f in families], "entropy", "tv"]
+    rows, want = made.collect(), {}
+    contexts = t.main.select("rk", "season", "balls", "strikes", "outs").collect()
+    for r in contexts:
+        key = (r["season"], (r["balls"], r["strikes"], r["outs"]))
+        if key not in want:
+            want[key] = (*[round(v, 6) + 0.0 if isinstance(v, float) else v for v in record(*key)], int(legal(key[1]) and key[0] is not None and key[0] >= 2019))
+    assert len(rows) == len(contexts) and len({v[0] for v in want.values()}) >= 3 and {v[-1] for v in want.values()} == {0, 1}
+    shown = lambda values: repr([round(v, 5) + 0.0 if isinstance(v, float) else v for v in values])
+    got = sorted(shown([r["rk"], *[r[n] for n in names], r["legal"]]) for r in rows)
+    assert got == sorted(shown([r["rk"], *want[r["season"], (r["balls"], r["strikes"], r["outs"])]]) for r in contexts)
+    found = con.execute(ORACLE_SQL["context_prior"])
+    order = [d[0] for d in found.description]
+    assert sorted(shown([r[c] for c in order]) for r in rows) == sorted(map(shown, found.fetchall()))
