@@ -263,6 +263,22 @@ def test_pairs_are_judged_block_by_block(spark):
     assert not nearest_pairs.compared(left.where("id < 0"), right, "g", judge, "l bigint, r bigint, d double").collect()
 
 
+def test_vectors_move_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 0, [float(i)]) for i in range(400)], "id bigint, g int, v array<double>")
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+
+    def judge(a, x, b, y):
+        yield [[len(a)], [len(b)]]
+
+    met = lambda block: nearest_pairs.compared(left, right, "g", judge, "l bigint, r bigint", block=block).collect()
+    found = met(2)
+    assert len(found) <= nearest_pairs.SIDE**2 and sum(r["l"] * r["r"] for r in found) == 200 * 200
+    # but no block grows without a bound
+    monkeypatch.setattr(nearest_pairs, "MOST", 5)
+    found = met(2)
+    assert len(found) > 30**2 and sum(r["l"] * r["r"] for r in found) == 200 * 200
+
+
 @pytest.mark.parametrize("name", ["profile_distance", "mutual_best", "self_identify"])
 def test_pair_queries_shuffle_no_pairs(spark, name):
     from evenkeel.plans.registry import QUERIES
